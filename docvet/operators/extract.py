@@ -160,11 +160,23 @@ def parse_record(
     """
     parsed = F.from_json(F.col(payload), schema, {"mode": "PERMISSIVE"})
     keys = F.json_object_keys(F.col(payload))
-    missing = F.filter(F.array(*[F.lit(r) for r in required]), lambda f: ~F.coalesce(F.array_contains(keys, f), F.lit(False)))
-    nested = F.filter(
-        F.array(*[F.lit(f.name) for f in schema.fields if isinstance(f.dataType, T.StringType)]),
-        lambda f: F.coalesce(F.get_json_object(F.col(payload), F.concat(F.lit("$."), f)).rlike(r"^\s*[\[{]"), F.lit(False)),
+    missing = F.array_compact(
+        F.array(*[F.when(~F.coalesce(F.array_contains(keys, F.lit(r)), F.lit(False)), F.lit(r)) for r in required])
     )
+    # a list or object where text belongs (the schema would keep its JSON text)
+    v = F.try_parse_json(F.col(payload))
+    text_fields = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    nested = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.coalesce(F.schema_of_variant(F.variant_get(v, f"$.{name}", "variant")).rlike("^(ARRAY|OBJECT)"), F.lit(False)),
+                    F.lit(name),
+                )
+                for name in text_fields
+            ]
+        )
+    ) if text_fields else F.array().cast("array<string>")
     err = (
         F.when(F.col(payload).isNull(), F.coalesce(F.col("error") if "error" in df.columns else F.lit(None), F.lit("empty answer")))
         .when(keys.isNull(), F.lit("answer is not a JSON object"))

@@ -604,3 +604,319 @@ def q_histogram(spark, d):
 )
 def q_by_category(spark, d):
     return AG.by_category(table(spark, d, "customer"), "c_mktsegment")
+
+
+# ================================================================ D: collection
+from docvet.functions.checks import official_url  # noqa: E402
+from docvet.operators import collect as CO  # noqa: E402
+from docvet.sources import records as REC  # noqa: E402
+
+
+@register("q_search_text", f"SELECT p_partkey, {S.lit(fixed.SEARCH_TEXT.split('{name}')[0])} || p_name || {S.lit(fixed.SEARCH_TEXT.split('{name}')[1])} AS query FROM part")
+def q_search_text(spark, d):
+    """The search text per app (part names stand in for apps)."""
+    return table(spark, d, "part").select("p_partkey", CO.search_text("p_name").alias("query"))
+
+
+@register(
+    "q_official_url",
+    f"SELECT page_id, {S.official_url('url', REC.PAGE_INDICATORS, REC.PAGE_BLOCKED)} AS official, {S.official_url('url')} AS official_default FROM pages",
+)
+def q_official_url(spark, d):
+    """D2 with the override lists and with the default lists."""
+    p = table(spark, d, "pages")
+    return p.select(
+        "page_id",
+        official_url("url", REC.PAGE_INDICATORS, REC.PAGE_BLOCKED).alias("official"),
+        official_url("url").alias("official_default"),
+    )
+
+
+_HITS_SQL = (
+    f"hits AS (SELECT regexp_extract(url, {S.lit(REC.HOST_PATTERN)}, 1) AS app, page_id AS rank, url, "
+    f"{S.official_url('url', REC.PAGE_INDICATORS, REC.PAGE_BLOCKED)} AS official FROM pages)"
+)
+_TOP_SQL = (
+    "top AS (SELECT app, rank, url, official, pos FROM (SELECT *, row_number() OVER (PARTITION BY app ORDER BY official DESC, rank) AS pos, "
+    "max(CAST(official AS INTEGER)) OVER (PARTITION BY app) AS any_official FROM hits) "
+    f"WHERE pos <= {fixed.PAGES_PER_APP} AND CAST(official AS INTEGER) = any_official)"
+)
+
+
+@register("q_top_docs", f"WITH {_HITS_SQL}, {_TOP_SQL} SELECT * FROM top")
+def q_top_docs(spark, d):
+    """D3: per host, official pages if any, else the rest; first 3 by page id."""
+    return CO.top_docs(REC.page_hits(spark, d)).select("app", "rank", "url", "official", "pos")
+
+
+@register(
+    "q_evidence_urls",
+    f"WITH {_HITS_SQL}, {_TOP_SQL} SELECT app, string_agg(url, {S.lit(fixed.EVIDENCE_SEPARATOR)} ORDER BY rank) AS evidence_url, "
+    "CAST(count(*) AS INTEGER) AS n_pages FROM top GROUP BY app",
+)
+def q_evidence_urls(spark, d):
+    """Evidence URLs of the chosen pages, in rank order."""
+    top = CO.top_docs(REC.page_hits(spark, d)).withColumn("text", F.lit(None).cast("string"))
+    return CO.combine_pages(top, failed=None).select("app", "evidence_url", "n_pages")
+
+
+def _combine_sql(with_failures: bool) -> str:
+    failed = "doc_id % 7 = 0" if with_failures else "false"
+    text = "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END" if with_failures else "text"
+    h0, h1 = fixed.PAGE_HEADER.split("{url}")
+    return (
+        "WITH pages0 AS (SELECT source AS app, doc_id AS rank, 'https://docs.' || source || '.example/' || CAST(doc_id AS VARCHAR) AS url, "
+        f"{text} AS text, {failed} AS failed FROM documents), "
+        f"top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app ORDER BY rank) AS pos FROM pages0) WHERE pos <= {fixed.PAGES_PER_APP}) "
+        f"SELECT app, string_agg(CASE WHEN failed THEN '' ELSE {S.lit(h0)} || url || {S.lit(h1)} || coalesce(substring(text, 1, {fixed.CHARS_PER_PAGE}), '') END, '' ORDER BY rank) AS document, "
+        f"string_agg(url, {S.lit(fixed.EVIDENCE_SEPARATOR)} ORDER BY rank) AS evidence_url, CAST(count(*) AS INTEGER) AS n_pages FROM top GROUP BY app"
+    )
+
+
+def _doc_pages(spark, d, failures: bool) -> DataFrame:
+    pages = REC.document_pages(spark, d)
+    if not failures:
+        pages = table(spark, d, "documents").select(
+            F.col("source").alias("app"),
+            F.col("doc_id").alias("rank"),
+            F.concat(F.lit("https://docs."), F.col("source"), F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"),
+            F.col("text"),
+            F.lit(False).alias("failed"),
+        )
+    return CO.top_docs(pages.withColumn("official", F.lit(False)))
+
+
+@register("q_combine_pages", _combine_sql(False))
+def q_combine_pages(spark, d):
+    """Per source, the first 3 documents as one text (headers, 1500 chars each)."""
+    return CO.combine_pages(_doc_pages(spark, d, False))
+
+
+@register("q_failed_pages", _combine_sql(True))
+def q_failed_pages(spark, d):
+    """Failed pages keep their URL only; NULL content keeps its header only."""
+    return CO.combine_pages(_doc_pages(spark, d, True))
+
+
+@register("q_no_hits", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def q_no_hits(spark, d):
+    """Documents ("apps") without any label row ("hit")."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return CO.no_hits(docs, table(spark, d, "labels"), "doc_id")
+
+
+def _page_text_sql(x: str) -> str:
+    t = x
+    t = f"regexp_replace({t}, {S.lit(CO._SCRIPT)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {S.lit(CO._STYLE)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {S.lit(CO._COMMENT)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {S.lit(CO._TAG)}, ' ', 'g')"
+    for ent, rep in CO._ENTITIES:
+        t = f"replace({t}, {S.lit(ent)}, {S.lit(rep)})"
+    t = f"regexp_replace({t}, {S.lit(CO._SPACES)}, ' ', 'g')"
+    return f"trim({t})"
+
+
+@register("q_page_text", f"SELECT page_id, {_page_text_sql('html')} AS text FROM pages")
+def q_page_text(spark, d):
+    """HTML pages to plain text (whole pages)."""
+    return table(spark, d, "pages").select("page_id", CO.page_text("html").alias("text"))
+
+
+# ============================================================ E1-E3: extraction
+from docvet.operators import extract as EX  # noqa: E402
+
+
+def _request_sql() -> str:
+    tpl = EX.REQUEST_TEMPLATE
+    values = {
+        "name": "'app' || CAST(doc_id AS VARCHAR)",
+        "category": "source",
+        "website": "source || '.example'",
+        "documentation": f"substring(coalesce(text, ''), 1, {fixed.REQUEST_DOC_CHARS})",
+    }
+    parts = []
+    rest = tpl
+    while True:
+        cut = min(((rest.find("{" + k + "}"), k) for k in values if rest.find("{" + k + "}") >= 0), default=None)
+        if cut is None:
+            parts.append(S.lit(rest))
+            break
+        pos, key = cut
+        parts.append(S.lit(rest[:pos]))
+        parts.append(f"coalesce({values[key]}, 'None')")
+        rest = rest[pos + len(key) + 2 :]
+    return " || ".join(parts)
+
+
+@register("q_request_text", f"SELECT doc_id, {_request_sql()} AS request FROM documents")
+def q_request_text(spark, d):
+    """One extraction request per document (first 6000 characters)."""
+    docs = table(spark, d, "documents")
+    name = F.concat(F.lit("app"), F.col("doc_id").cast("string"))
+    web = F.concat(F.col("source"), F.lit(".example"))
+    return docs.select("doc_id", EX.request_text(name, F.col("source"), web, F.col("text")).alias("request"))
+
+
+@register("q_extract_batch")
+def q_extract_batch(spark, d):
+    """The caller's function over every document in Arrow batches (rows-only check)."""
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.concat(F.lit("app"), F.col("doc_id").cast("string")).alias("name"),
+        F.concat(F.col("source"), F.lit(".example")).alias("website"),
+        F.col("source").alias("category"),
+        F.col("text").alias("document"),
+    )
+    out = EX.extract_batch(docs, EX.keyword_extractor)
+    return EX.parse_record(out).select("id", "auth_method", "api_type", "mcp_support", "error")
+
+
+@register(
+    "q_parse_record",
+    "SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k, "
+    "CASE WHEN props IS NULL THEN 'empty answer' WHEN json_extract(props, '$.k') IS NULL THEN 'missing required field(s): k' END AS error FROM events",
+)
+def q_parse_record(spark, d):
+    """Parse JSON payloads with a schema; missing required fields become error rows."""
+    from pyspark.sql import types as T
+
+    ev = table(spark, d, "events").select("event_id", "props")
+    schema = T.StructType([T.StructField("k", T.IntegerType())])
+    return EX.parse_record(ev, "props", schema, ("k",)).select("event_id", "k", "error")
+
+
+# ====================================================== G13, G16: reports
+from docvet.plans import report as RP  # noqa: E402
+
+
+def _raw_sql() -> str:
+    """SQL of the raw frame over RR as a results table."""
+
+    def raw(c: str) -> str:
+        return S.fill_default(c, "", False)
+
+    return (
+        "raw AS (SELECT id, "
+        + S.fill_default("name", "Unknown", False)
+        + " AS app, "
+        + ", ".join(f"{raw(c)} AS {c}" for c in ("category", "auth_method", "self_serve", "api_type", "buildability", "mcp_support", "blocker", "credential_requirement"))
+        + ", '' AS issues, "
+        + S.safe_numeric(S.fill_default("confidence_raw", "0", False))
+        + " AS confidence, "
+        + S.to_bool(S.fill_default("review_raw", "False", False))
+        + " AS review FROM rr)"
+    )
+
+
+def _raw_lines_sql() -> str:
+    parts = [
+        f"SELECT '{sec}' AS section, {col} AS value, id FROM raw WHERE {col} IS NOT NULL AND {S.utrim(col)} <> ''"
+        for sec, col in RP.RAW_SECTIONS.items()
+    ]
+    return (
+        "lines AS (SELECT section, value, count(*) AS n, min(id) AS first_seen, "
+        + S.share_tenths("count(*)", "(SELECT count(*) FROM raw)")
+        + " AS share FROM ("
+        + " UNION ALL ".join(parts)
+        + ") GROUP BY section, value)"
+    )
+
+
+@register("q_report_raw", S.with_rr(f", {_raw_sql()}, {_raw_lines_sql()} SELECT section, value, n, first_seen, share FROM lines".replace("\n, ", ", ", 1)))
+def q_report_raw(spark, d):
+    """G2/G3/G4 as the raw report's eight counters with shares (long form)."""
+    return RP.raw_lines(RP.raw_frame_of_records(spark, d)).select("section", "value", "n", "first_seen", "share")
+
+
+def _findings_sql() -> str:
+    a0, a1 = fixed.FINDING_AUTH.split("{value}")
+    a1a, a1b = a1.split("{share}")
+    s0, s1 = fixed.FINDING_SELF_SERVE.split("{value}")
+    s1a, s1b = s1.split("{share}")
+    b0, b1 = fixed.FINDING_BLOCKER.split("{value}")
+    r0, r1 = fixed.FINDING_REVIEW.split("{rate}")
+    rate = S.ratio_round("count_if(review) * 100", "count(*)", 2)
+    return (
+        f", {_raw_sql()}, {_raw_lines_sql()}, "
+        "lead AS (SELECT section, arg_max(value, n * 1000000000 - first_seen) AS value, arg_max(share, n * 1000000000 - first_seen) AS share FROM lines GROUP BY section), "
+        f"st AS (SELECT count(*) AS total, coalesce({rate}, 0.0) AS rate FROM raw), "
+        "items AS ("
+        f"SELECT 1 AS o, {S.lit(a0)} || value || {S.lit(a1a)} || CAST(share AS VARCHAR) || {S.lit(a1b)} AS finding FROM lead WHERE section = 'top_auth_methods' "
+        f"UNION ALL SELECT 2, {S.lit(s0)} || value || {S.lit(s1a)} || CAST(share AS VARCHAR) || {S.lit(s1b)} FROM lead WHERE section = 'top_self_serve' "
+        f"UNION ALL SELECT 3, {S.lit(b0)} || value || {S.lit(b1)} FROM lead WHERE section = 'top_blockers' "
+        f"UNION ALL SELECT 4, {S.lit(r0)} || CAST(rate AS VARCHAR) || {S.lit(r1)} FROM st WHERE rate >= {fixed.REVIEW_RATE_FINDING}) "
+        "SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS pos, finding FROM items, st WHERE st.total > 0"
+    )
+
+
+@register("q_findings", S.with_rr(_findings_sql()).replace(")\n, ", "), ", 1))
+def q_findings(spark, d):
+    """The findings sentences."""
+    return RP.findings(RP.raw_frame_of_records(spark, d))
+
+
+def _norm_sql() -> str:
+    a = fixed.NORMALISED_ALIASES
+    cols = {
+        "app": S.fill_default("name"),
+        "category": S.fill_default("category"),
+        "auth": S.classify(S.fill_default("auth_method"), RU.AUTH),
+        "api_type": S.classify(S.fill_default("api_type"), RU.API_TYPE),
+        "self_serve": S.classify(S.fill_default("self_serve"), RU.SELF_SERVE),
+        "buildability": S.classify(S.fill_default("buildability"), RU.BUILDABILITY),
+        "mcp": S.classify(S.fill_default("mcp_support"), RU.MCP),
+        "blocker": S.classify(S.fill_default("blocker"), RU.BLOCKER),
+        "confidence": S.safe_numeric(S.fill_default("confidence_raw", "0")),
+        "review": S.to_bool(S.fill_default("review_raw", "False")),
+    }
+    del a
+    return "norm AS (SELECT id, " + ", ".join(f"{v} AS {k}" for k, v in cols.items()) + " FROM rr)"
+
+
+def _report_lines_sql() -> str:
+    parts = []
+    for sec, col in RP.NORMALISED_DISTRIBUTIONS.items():
+        parts.append(f"SELECT '{sec}' AS section, CAST(NULL AS VARCHAR) AS key, {col} AS label, count(*) AS n, CAST(NULL AS DOUBLE) AS x FROM norm GROUP BY {col}")
+    parts.append("SELECT 'blocker_distribution', NULL, CASE WHEN blocker IS NULL OR blocker = '' THEN 'Unknown' ELSE blocker END, count(*), NULL FROM norm GROUP BY 3")
+    parts.append("SELECT 'counts_by_category', NULL, category, count(*), NULL FROM norm GROUP BY category")
+    for sec, col in RP.CROSSTABS.items():
+        parts.append(
+            f"SELECT '{sec}', r.category, k.lab, coalesce(c.n, 0), NULL FROM (SELECT DISTINCT category FROM norm) r "
+            f"CROSS JOIN (SELECT DISTINCT {col} AS lab FROM norm) k LEFT JOIN (SELECT category, {col} AS lab, count(*) AS n FROM norm GROUP BY 1, 2) c "
+            "ON c.category = r.category AND c.lab = k.lab"
+        )
+    parts.append(f"SELECT 'confidence_summary', NULL, 'average', NULL, coalesce({S.round_half_up('avg(confidence)', 2)}, 0.0) FROM norm")
+    parts.append(f"SELECT 'confidence_summary', NULL, 'median', NULL, coalesce({S.round_half_up('median(confidence)', 2)}, 0.0) FROM norm")
+    parts.append("SELECT 'confidence_summary', NULL, 'lowest', coalesce(min(confidence), 0), NULL FROM norm")
+    parts.append("SELECT 'confidence_summary', NULL, 'highest', coalesce(max(confidence), 0), NULL FROM norm")
+    parts.append("SELECT 'confidence_summary', NULL, 'manual_review_count', count_if(review), NULL FROM norm")
+    return "SELECT section, key, label, CAST(n AS BIGINT) AS n, x FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@register("q_report", f"WITH rr AS ({S.rr_select()}), {_norm_sql()}\n{_report_lines_sql()}")
+def q_report(spark, d):
+    """The normalised report in long form (section, key, label, n, x)."""
+    return RP.normalised_lines(normalised_frame(as_results(rr(spark, d))))
+
+
+@register("q_report_nested")
+def q_report_nested(spark, d):
+    """The normalised report as one nested row (checked against q_report in tests)."""
+    return RP.normalised_report(normalised_frame(as_results(rr(spark, d))))
+
+
+@register("q_report_raw_nested")
+def q_report_raw_nested(spark, d):
+    """The raw-value report as one nested row, with the review queue."""
+    raw = RP.raw_frame_of_records(spark, d)
+    return RP.raw_report(raw, RP.review_queue(raw))
+
+
+@register(
+    "q_review_queue",
+    f"WITH rr AS ({S.rr_select()}), {_raw_sql()} SELECT id, app AS name, confidence, issues FROM raw WHERE review",
+)
+def q_review_queue(spark, d):
+    """Flagged rows as name, confidence, issues."""
+    return RP.review_queue(RP.raw_frame_of_records(spark, d))

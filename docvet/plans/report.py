@@ -1,18 +1,255 @@
-"""Reports: findings (G13) and the assembled report."""
+"""Reports: findings (G13) and the assembled reports.
+
+Two reports exist, as in the original: the rule-normalised report
+(distributions, confidence summary, category counts, three crosstabs) and
+the raw-value report (counters with shares, review queue, findings,
+verification stats).
+
+Plan shape (normalised report): the normalised projection is aggregated once
+at its finest grain (category x five closed label sets); every distribution
+and crosstab is then a re-aggregation of that small "cells" table, so the
+base data is shuffled once for all of them (the identical exchange is reused
+inside one plan).  The open-ended blocker labels and the numeric summary take
+one more aggregate each.  The nested one-row reports gather only these small
+aggregates through scalar subqueries; no base row reaches the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvet.functions.rules import NORMALISERS, classify
+from docvet.functions import fixed
+from docvet.functions.text import ratio_round, round_half_up
 from docvet.operators import aggregate as AG
-from docvet.plans.analysis import as_results, normalised_frame
+from docvet.plans.analysis import as_results, normalised_frame, raw_frame
 from docvet.sources.records import research_records
 
+NORMALISED_DISTRIBUTIONS = {
+    "authentication_distribution": "auth",
+    "api_type_distribution": "api_type",
+    "self_serve_distribution": "self_serve",
+    "buildability_distribution": "buildability",
+    "mcp_distribution": "mcp",
+}
+CROSSTABS = {
+    "auth_by_category": "auth",
+    "self_serve_by_category": "self_serve",
+    "buildability_by_category": "buildability",
+}
+RAW_SECTIONS = {
+    "top_auth_methods": "auth_method",
+    "top_self_serve": "self_serve",
+    "top_api_types": "api_type",
+    "top_buildability": "buildability",
+    "top_mcp_support": "mcp_support",
+    "top_blockers": "blocker",
+    "top_categories": "category",
+    "top_credential_requirements": "credential_requirement",
+}
+
+LINE_SCHEMA = "section STRING, key STRING, label STRING, n BIGINT, x DOUBLE"
+
 
 def auth_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: normalised auth label, count and share of all records."""
     n = normalised_frame(as_results(research_records(spark, sf_dir)))
     counts = AG.distribution(n, "auth")
     return AG.with_share(counts, AG.row_total(n)).select("value", "n", "share")
+
+
+def _cells(norm: DataFrame) -> DataFrame:
+    labels = ["category", *NORMALISED_DISTRIBUTIONS.values()]
+    return norm.groupBy(*labels).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_seen"))
+
+
+def _line(section: str, key: Column | None, label: Column, n: Column | None, x: Column | None = None) -> list[Column]:
+    return [
+        F.lit(section).alias("section"),
+        (key if key is not None else F.lit(None)).cast("string").alias("key"),
+        label.cast("string").alias("label"),
+        (n if n is not None else F.lit(None)).cast("bigint").alias("n"),
+        (x if x is not None else F.lit(None)).cast("double").alias("x"),
+    ]
+
+
+def normalised_lines(norm: DataFrame) -> DataFrame:
+    """The normalised report in long form: (section, key, label, n, x)."""
+    cells = _cells(norm)
+    parts: list[DataFrame] = []
+    for section, col in NORMALISED_DISTRIBUTIONS.items():
+        d = cells.groupBy(F.col(col).alias("v")).agg(F.sum("n").alias("n"))
+        parts.append(d.select(*_line(section, None, F.col("v"), F.col("n"))))
+    blk = AG.distribution(norm, "blocker")
+    parts.append(blk.select(*_line("blocker_distribution", None, F.col("value"), F.col("n"))))
+    cat = cells.groupBy("category").agg(F.sum("n").alias("n"))
+    parts.append(cat.select(*_line("counts_by_category", None, F.col("category"), F.col("n"))))
+    for section, col in CROSSTABS.items():
+        pairs = cells.groupBy("category", col).agg(F.sum("n").alias("n"))
+        labels = pairs.select(F.array_sort(F.collect_set(col))).scalar()
+        per_row = pairs.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct(col, "n"))).alias("m"))
+        cell = per_row.select("category", "m", F.explode(labels).alias("lab"))
+        parts.append(cell.select(*_line(section, F.col("category"), F.col("lab"), F.coalesce(F.col("m")[F.col("lab")], F.lit(0)))))
+    stats = norm.agg(
+        F.avg("confidence").alias("avg"),
+        F.median("confidence").alias("med"),
+        F.min("confidence").alias("mn"),
+        F.max("confidence").alias("mx"),
+        F.count_if("review").alias("flagged"),
+        F.count(F.lit(1)).alias("rows"),
+    )
+    stat_rows = F.explode(
+        F.array(
+            F.struct(F.lit("average").alias("k"), F.lit(None).cast("bigint").alias("n"), F.coalesce(round_half_up(F.col("avg"), 2), F.lit(0.0)).alias("x")),
+            F.struct(F.lit("median").alias("k"), F.lit(None).cast("bigint").alias("n"), F.coalesce(round_half_up(F.col("med"), 2), F.lit(0.0)).alias("x")),
+            F.struct(F.lit("lowest").alias("k"), F.coalesce(F.col("mn"), F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
+            F.struct(F.lit("highest").alias("k"), F.coalesce(F.col("mx"), F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
+            F.struct(F.lit("manual_review_count").alias("k"), F.col("flagged").cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
+        )
+    )
+    st = stats.select(stat_rows.alias("s")).select(*_line("confidence_summary", None, F.col("s.k"), F.col("s.n"), F.col("s.x")))
+    parts.append(st)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def normalised_report(norm: DataFrame) -> DataFrame:
+    """The normalised report as one nested row (distributions as
+    array<struct<value,count>> in count order, crosstabs as map<map>)."""
+    lines = normalised_lines(norm)
+    ordered = F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col("label").alias("value"), F.col("n").alias("count")))),
+        lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count")),
+    )
+    dists = lines.where(F.col("key").isNull() & F.col("n").isNotNull() & (F.col("section") != "confidence_summary"))
+    dist_map = dists.groupBy("section").agg(ordered.alias("items")).agg(F.map_from_entries(F.collect_list(F.struct("section", "items")))).scalar()
+    xt = lines.where(F.col("key").isNotNull()).groupBy("section", "key").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("row"))
+    xt_map = xt.groupBy("section").agg(F.map_from_entries(F.collect_list(F.struct("key", "row"))).alias("t")).agg(
+        F.map_from_entries(F.collect_list(F.struct("section", "t")))
+    ).scalar()
+    summ = lines.where(F.col("section") == "confidence_summary").agg(
+        F.struct(
+            F.max(F.when(F.col("label") == "average", F.col("x"))).alias("average"),
+            F.max(F.when(F.col("label") == "median", F.col("x"))).alias("median"),
+            F.max(F.when(F.col("label") == "lowest", F.col("n"))).alias("lowest"),
+            F.max(F.when(F.col("label") == "highest", F.col("n"))).alias("highest"),
+            F.max(F.when(F.col("label") == "manual_review_count", F.col("n"))).alias("manual_review_count"),
+        ).alias("confidence_summary")
+    )
+    # subquery results become columns first; higher-order functions then read columns
+    staged = summ.select("confidence_summary", dist_map.alias("__d"), xt_map.alias("__x"))
+    d = F.col("__d")
+    cols = [F.coalesce(d[s], F.array()).alias(s) for s in [*NORMALISED_DISTRIBUTIONS, "blocker_distribution"]]
+    cat = F.map_from_entries(F.transform(F.coalesce(d["counts_by_category"], F.array()), lambda s: F.struct(s["value"], s["count"])))
+    return staged.select(
+        *cols,
+        "confidence_summary",
+        cat.alias("counts_by_category"),
+        *[F.coalesce(F.col("__x")[s], F.create_map().cast("map<string,map<string,bigint>>")).alias(s) for s in CROSSTABS],
+    )
+
+
+def raw_lines(raw: DataFrame) -> DataFrame:
+    """Counters of the raw report with shares of all rows: section, value, n, first_seen, share."""
+    counts = AG.multi_distribution(raw, dict(RAW_SECTIONS), drop_blank=True)
+    return AG.with_share(counts.withColumnRenamed("field", "section"), AG.row_total(raw))
+
+
+def review_rate_col(raw: DataFrame) -> Column:
+    """G9 as a scalar subquery."""
+    return AG.review_rate(raw, "review").scalar()
+
+
+def findings(raw: DataFrame) -> DataFrame:
+    """Templated sentences from the leaders of auth, self-serve and
+    blocker, and the review line when the rate is at least 10.  Columns: pos, finding."""
+    lines = raw_lines(raw).where(F.col("section").isin("top_auth_methods", "top_self_serve", "top_blockers"))
+    lead = lines.groupBy("section").agg(F.max_by(F.struct("value", "share"), F.struct(F.col("n"), -F.col("first_seen"))).alias("b"))
+    one = lead.agg(F.map_from_entries(F.collect_list(F.struct("section", "b"))).alias("m"))
+    total = AG.row_total(raw)
+    rate = review_rate_col(raw)
+
+    def fill(template: str, value: Column, share: Column | None = None) -> Column:
+        head, rest = template.split("{value}")
+        if share is None:
+            return F.concat(F.lit(head), value, F.lit(rest))
+        mid, tail = rest.split("{share}")
+        return F.concat(F.lit(head), value, F.lit(mid), share.cast("string"), F.lit(tail))
+
+    m = F.col("m")
+    auth = m["top_auth_methods"]
+    ss = m["top_self_serve"]
+    blk = m["top_blockers"]
+    rh, rt = fixed.FINDING_REVIEW.split("{rate}")
+    items = F.array(
+        F.when(auth.isNotNull(), fill(fixed.FINDING_AUTH, auth["value"], auth["share"])),
+        F.when(ss.isNotNull(), fill(fixed.FINDING_SELF_SERVE, ss["value"], ss["share"])),
+        F.when(blk.isNotNull(), fill(fixed.FINDING_BLOCKER, blk["value"])),
+        F.when(rate >= fixed.REVIEW_RATE_FINDING, F.concat(F.lit(rh), rate.cast("string"), F.lit(rt))),
+    )
+    return (
+        one.where(total > 0)
+        .select(F.posexplode(F.array_compact(items)).alias("pos", "finding"))
+        .select((F.col("pos") + 1).alias("pos"), "finding")
+    )
+
+
+def raw_report(raw: DataFrame, review_rows: DataFrame | None = None, section_limit: int = 1000) -> DataFrame:
+    """The raw-value report as one nested row.
+
+    Each section lists at most ``section_limit`` values (largest first) plus
+    ``<section>_values``, the number of distinct values, so a report over
+    open-ended text stays one bounded row; the full counters are
+    ``raw_lines``.  The review queue is bounded the same way.
+    """
+    lines = raw_lines(raw)
+    ranked = AG.top_k(lines.withColumnRenamed("section", "field"), section_limit)
+    item = F.struct(F.col("pos"), F.col("value"), F.col("n").alias("count"), F.col("share"))
+    sec = ranked.groupBy("field").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("k"))
+    sec_map = sec.agg(F.map_from_entries(F.collect_list(F.struct("field", "items")))).scalar()
+    distinct = lines.groupBy("section").agg(F.count(F.lit(1)).alias("c")).agg(F.map_from_entries(F.collect_list(F.struct("section", "c")))).scalar()
+    stats = raw.agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.coalesce(ratio_round(F.count_if("review") * F.lit(100), F.count(F.lit(1)), 2), F.lit(0.0)).alias("manual_review_rate"),
+        F.struct(
+            F.coalesce(ratio_round(F.sum("confidence"), F.count("confidence"), 2), F.lit(0.0)).alias("mean"),
+            F.coalesce(F.min("confidence"), F.lit(0)).alias("min"),
+            F.coalesce(F.max("confidence"), F.lit(0)).alias("max"),
+        ).alias("confidence"),
+        F.count_if("review").alias("manual_review_count"),
+    )
+    fnd = findings(raw).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "finding"))), lambda s: s["finding"])).scalar()
+    staged = stats.select("*", sec_map.alias("__s"), distinct.alias("__n"), fnd.alias("__f"))
+    if review_rows is not None:
+        rq = review_rows.orderBy("id").limit(section_limit).agg(F.collect_list(F.struct("name", "confidence", "issues"))).scalar()
+        staged = staged.withColumn("__q", rq)
+    sm = F.col("__s")
+    strip = lambda arr: F.transform(F.coalesce(arr, F.array()), lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count"), s["share"].alias("share")))
+    cols = [F.col("total_rows"), F.col("manual_review_rate"), F.col("confidence")]
+    cols += [strip(sm[s]).alias(s) for s in RAW_SECTIONS]
+    cols += [F.coalesce(F.col("__n")[s], F.lit(0)).alias(f"{s}_values") for s in RAW_SECTIONS]
+    cols.append(F.map_from_entries(F.transform(F.coalesce(sm["top_categories"], F.array()), lambda s: F.struct(s["value"], s["count"]))).alias("categories"))
+    cols.append(F.coalesce(F.col("__f"), F.array().cast("array<string>")).alias("findings"))
+    if review_rows is not None:
+        cols.append(F.coalesce(F.col("__q"), F.array()).alias("apps_needing_review"))
+    cols.append(
+        F.struct(
+            F.col("manual_review_count"),
+            F.col("manual_review_rate"),
+            F.col("confidence.mean").alias("average_confidence"),
+            F.col("confidence.min").alias("min_confidence"),
+            F.col("confidence.max").alias("max_confidence"),
+        ).alias("verification_stats")
+    )
+    return staged.select(*cols)
+
+
+def review_queue(raw: DataFrame) -> DataFrame:
+    """B5 on the raw frame: flagged rows as name, confidence, issues."""
+    return raw.where("review").select("id", F.col("app").alias("name"), F.col("confidence").cast("bigint").alias("confidence"), F.col("issues").alias("issues"))
+
+
+def raw_frame_of_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_frame(as_results(research_records(spark, sf_dir)))

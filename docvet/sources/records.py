@@ -86,7 +86,11 @@ def pick(values: tuple[str, ...], key: Column) -> Column:
 
 def research_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RR: id, name, category, text, description, evidence_url and the raw fields."""
-    docs = table(spark, sf_dir, "documents")
+    return records_from_documents(table(spark, sf_dir, "documents"))
+
+
+def records_from_documents(docs: DataFrame) -> DataFrame:
+    """The RR projection of any documents frame (batch or streaming)."""
     k = F.col("doc_id")
     cols = [
         k.alias("id"),
