@@ -920,3 +920,202 @@ def q_report_raw_nested(spark, d):
 def q_review_queue(spark, d):
     """Flagged rows as name, confidence, issues."""
     return RP.review_queue(RP.raw_frame_of_records(spark, d))
+
+
+# ============================================================ A: sources, sinks
+from pyspark.sql import types as T  # noqa: E402
+
+from docvet.operators.resolve import resolve  # noqa: E402
+from docvet.session import scratch_path  # noqa: E402
+from docvet.sources import files as FI  # noqa: E402
+
+_NATION_SCHEMA = T.StructType(
+    [T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.IntegerType())]
+)
+
+
+@register("q_scan_csv", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def q_scan_csv(spark, d):
+    """A1: write nation as CSV (shared scratch folder), read it back with a schema and the NULL tokens."""
+    path = scratch_path(spark, "scan-csv")
+    table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.options(**FI.CSV_WRITE).csv(path)
+    return FI.read_csv(spark, path, _NATION_SCHEMA)
+
+
+_REGION_SCHEMA = T.StructType([T.StructField("r_regionkey", T.IntegerType()), T.StructField("r_name", T.StringType())])
+
+
+@register("q_scan_first", "SELECT r_regionkey, r_name FROM region")
+def q_scan_first(spark, d):
+    """A2: the first existing path among three candidates."""
+    root = scratch_path(spark, "scan-first")
+    table(spark, d, "region").select("r_regionkey", "r_name").write.options(**FI.CSV_WRITE).csv(f"{root}/data")
+    return FI.read_first(spark, [f"{root}/outputs", f"{root}/data", f"{root}/root"], _REGION_SCHEMA)
+
+
+_ALIASES = {
+    "app": ("App", "C_NAME", "name"),
+    "segment": ("Segment", "c_mktsegment"),
+    "nation": ("nation", "C_NationKey"),
+    "missing": ("nope", "also_nope"),
+}
+
+
+@register(
+    "q_alias_resolve",
+    "SELECT c_custkey, "
+    + S.fill_default("c_name")
+    + " AS app, "
+    + S.fill_default("c_mktsegment")
+    + " AS segment, "
+    + S.fill_default("c_nationkey")
+    + " AS nation, 'Unknown' AS missing FROM customer",
+)
+def q_alias_resolve(spark, d):
+    """A3: first alias wins, exact then case-insensitive; missing -> default."""
+    return resolve(table(spark, d, "customer"), _ALIASES, keep=["c_custkey"])
+
+
+_DISPLAY_SQL = (
+    "name AS \"App\", category AS \"Category\", description AS \"Description\", auth_method AS \"Auth Method\", "
+    "credential_requirement AS \"Credential Requirement\", self_serve AS \"Self Serve\", api_type AS \"API Type\", "
+    "api_scope AS \"API Surface\", mcp_support AS \"MCP\", buildability AS \"Buildability\", blocker AS \"Blocker\", "
+    "evidence_url AS \"Evidence URL\", confidence AS \"Confidence\", manual_review AS \"Needs Review\", "
+    "to_json(issues) AS \"Issues\""
+)
+
+
+def _merged_cte() -> str:
+    body = MERGED_SQL
+    head, select = body.split("\nSELECT id, name,", 1)
+    return head + ", merged AS (SELECT id, name," + select + ")"
+
+
+@register("q_result_append", _merged_cte() + f"\nSELECT {_DISPLAY_SQL} FROM merged UNION ALL SELECT {_DISPLAY_SQL} FROM merged")
+def q_result_append(spark, d):
+    """A4 + A10: reset-write then append the result records as CSV; read back (twice each)."""
+    path = scratch_path(spark, "results-csv")
+    res = verified_records(rr(spark, d))
+    FI.write_results(res, path, reset=True)
+    FI.write_results(res, path)
+    return FI.read_results(spark, path)
+
+
+@register(
+    "q_json_append",
+    S.with_rr("SELECT id, name, category, auth_method, self_serve, confidence_raw, review_raw FROM rr"),
+)
+def q_json_append(spark, d):
+    """A5: records as JSON lines, read back with a schema."""
+    path = scratch_path(spark, "results-json")
+    cols = ["id", "name", "category", "auth_method", "self_serve", "confidence_raw", "review_raw"]
+    recs = rr(spark, d).select(*cols)
+    FI.write_json(recs, path, reset=True)
+    return spark.read.schema(recs.schema).json(path)
+
+
+@register(
+    "q_error_rows",
+    f"SELECT 'app' || CAST(doc_id AS VARCHAR) AS app, {S.lit(fixed.NO_RESULT_ERROR)} AS error, {S.lit(fixed.NO_RESULT_NOTES)} AS notes "
+    "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
+)
+def q_error_rows(spark, d):
+    """A6 over D7: apps without hits become error rows."""
+    from docvet.operators.collect import no_hits
+
+    docs = table(spark, d, "documents").select("doc_id")
+    missing = no_hits(docs, table(spark, d, "labels"), "doc_id").withColumn("err", F.lit(fixed.NO_RESULT_ERROR))
+    return FI.error_rows(missing, F.concat(F.lit("app"), F.col("doc_id").cast("string")), "err", F.lit(fixed.NO_RESULT_NOTES))
+
+
+@register(
+    "q_run_log",
+    "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'app' || CAST(d.doc_id AS VARCHAR) || "
+    + S.lit(" " + fixed.LOG_OK + "\n")
+    + " ELSE 'app' || CAST(d.doc_id AS VARCHAR) || "
+    + S.lit(" " + fixed.LOG_FAIL + "\n" + fixed.NO_RESULT_LOG + "\n")
+    + " END AS entry FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id",
+)
+def q_run_log(spark, d):
+    """The run log entry per app (``name ✔`` or ``name ❌`` + reason), written as text."""
+    docs = table(spark, d, "documents").select("doc_id")
+    hit = table(spark, d, "labels").select("doc_id").distinct().withColumn("ok", F.lit(True))
+    j = docs.join(hit, "doc_id", "left")
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    entries = j.select("doc_id", FI.log_entry(F.concat(F.lit("app"), F.col("doc_id").cast("string")), ok, F.when(~ok, F.lit(fixed.NO_RESULT_LOG))).alias("entry"))
+    FI.write_log(entries, scratch_path(spark, "run-log"), reset=True)
+    return entries
+
+
+@register(
+    "q_verify_sample",
+    _merged_cte() + f"\nSELECT {_DISPLAY_SQL} FROM merged WHERE confidence < {fixed.LOW_CONFIDENCE} OR manual_review",
+)
+def q_verify_sample(spark, d):
+    """Low-confidence or flagged results, written only when there is one."""
+    path = scratch_path(spark, "verification")
+    res = verified_records(rr(spark, d))
+    sample = SE.low_confidence(res, "confidence", "manual_review")
+    if not FI.write_verification_sample(sample, path):
+        return FI.to_display(sample)
+    return spark.read.schema(FI.results_schema()).options(**FI.CSV_READ).csv(path)
+
+
+@register("q_report_json")
+def q_report_json(spark, d):
+    """The raw report written as one JSON document and read back (rows-only check)."""
+    raw = RP.raw_frame_of_records(spark, d)
+    path = scratch_path(spark, "report-json")
+    FI.write_report(RP.raw_report(raw, RP.review_queue(raw)), path)
+    return spark.read.text(path)
+
+
+@register(
+    "q_reset_append",
+    S.with_rr("SELECT id, name, auth_method FROM rr UNION ALL SELECT id, name, auth_method FROM rr"),
+)
+def q_reset_append(spark, d):
+    """A10: the first write of a run overwrites (reset), later ones append."""
+    path = scratch_path(spark, "reset-append")
+    recs = rr(spark, d).select("id", "name", "auth_method")
+    recs.write.mode("overwrite").parquet(path)
+    recs.write.mode("overwrite").parquet(path)  # a re-run resets
+    recs.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@register(
+    "q_union_rows",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' "
+    "UNION ALL SELECT o_orderkey, NULL, NULL, o_totalprice FROM orders WHERE o_orderstatus <> 'F'",
+)
+def q_union_rows(spark, d):
+    """Existing rows and new rows with other columns, combined by name."""
+    o = table(spark, d, "orders")
+    existing = o.where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_orderstatus")
+    new = o.where(F.col("o_orderstatus") != "F").select("o_orderkey", "o_totalprice")
+    return FI.union_rows(existing, new)
+
+
+# ================================================================ H: streaming
+from docvet.streaming import incremental as INC  # noqa: E402
+
+
+@register("q_stream_append", MERGED_SQL)
+def q_stream_append(spark, d):
+    """H1: documents arrive as files; results are verified and appended (equals the batch result)."""
+    root = scratch_path(spark, "stream-append")
+    docs = table(spark, d, "documents")
+    docs.repartition(4).write.parquet(f"{root}/in")
+    INC.stream_results(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt", docs.schema, max_files_per_trigger=1)
+    return spark.read.parquet(f"{root}/out")
+
+
+@register("q_stream_distribution", "SELECT coalesce(CAST(event_type AS VARCHAR), 'Unknown') AS value, count(*) AS n FROM events GROUP BY 1")
+def q_stream_distribution(spark, d):
+    """H2: the event-type distribution kept current over micro-batches."""
+    root = scratch_path(spark, "stream-dist")
+    ev = table(spark, d, "events")
+    ev.repartition(4).write.parquet(f"{root}/in")
+    INC.stream_distribution(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt", ev.schema, "event_type", max_files_per_trigger=1)
+    return INC.latest_distribution(spark, f"{root}/out")

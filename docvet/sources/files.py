@@ -127,7 +127,9 @@ def log_entry(name: str | Column, ok: str | Column, reason: str | Column | None
 
 def write_log(entries: DataFrame, path: str, column: str = "entry", reset: bool = False) -> None:
     """A7 sink: one text record per entry."""
-    entries.select(F.col(column).alias("value")).write.mode("overwrite" if reset else "append").option("lineSep", "").text(path)
+    # each entry ends with a newline; the text sink adds it back as the line separator
+    body = F.regexp_replace(F.col(column), "\n$", "")
+    entries.select(body.alias("value")).write.mode("overwrite" if reset else "append").text(path)
 
 
 def write_verification_sample(df: DataFrame, path: str) -> bool:
