@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docvet.functions import fixed
-from docvet.functions.text import col_of, collapse_ws, has_text
+from docvet.functions.text import col_of, collapse_ws_head
 
 # Java's (?U) makes \b \s \d Unicode-aware, as Python's str patterns are;
 # (?i) with (?U) folds case Unicode-wide, like re.IGNORECASE.
@@ -32,12 +32,13 @@ def scope_bucket(
 ) -> Column:
     """Size bucket from max(E6, E7); NULL or blank text -> Unknown."""
     t = col_of(text)
+    # NULL or blank text counts 0 and so falls to Unknown; the count is the
+    # first condition's operand, so it is computed once per row.
     n = F.greatest(endpoint_count(t), stated_count(t))
     expr = None
     for limit, label in buckets:
         expr = F.when(n >= limit, F.lit(label)) if expr is None else expr.when(n >= limit, F.lit(label))
-    expr = expr.otherwise(F.lit("Unknown"))
-    return F.when(has_text(t), expr).otherwise(F.lit("Unknown"))
+    return expr.otherwise(F.lit("Unknown"))
 
 
 def description_fallback(
@@ -56,7 +57,7 @@ def description_fallback(
         | (d == F.concat(n, F.lit(" API")))
         | (d == F.concat(n, F.lit(" API documentation")))
     )
-    sub = F.substring(collapse_ws(substitute), 1, max_chars)
+    sub = collapse_ws_head(substitute, max_chars)
     return F.when(placeholder, sub).otherwise(d)
 
 

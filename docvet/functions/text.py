@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from docvet.functions import fixed
 
-# Whitespace as Python's ``str.strip``/``str.split`` see it.  Written with
-# ``\x{..}`` escapes so that Java regex and RE2 (the SQL oracle) read the same
-# class.
+# Whitespace as Python's ``str.strip``/``str.split`` see it (``str.isspace``).
+# Regex form, written with ``\x{..}`` escapes so that Java regex and RE2 (the
+# SQL oracle) read the same class; and the same set as plain characters for
+# ``trim(str, chars)``.
 WS_CLASS = (
     r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 _EDGE_WS = rf"^{WS_CLASS}+|{WS_CLASS}+$"
 _NUMBER = r"^[ \t\n\r\f]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ \t\n\r\f]*$"
 _INTEGER = r"^[ \t\n\r\f]*[+-]?[0-9]+[ \t\n\r\f]*$"
@@ -27,8 +33,11 @@ def col_of(c: str | Column) -> Column:
 
 
 def utrim(c: str | Column) -> Column:
-    """Strip leading and trailing whitespace, Unicode-aware (like ``str.strip``)."""
-    return F.regexp_replace(col_of(c).cast("string"), _EDGE_WS, "")
+    """Strip leading and trailing whitespace, Unicode-aware (like ``str.strip``).
+
+    ``trim(str, chars)`` only touches the trimmed ends, so it costs nothing
+    on a long document (a regex would scan every character)."""
+    return F.trim(col_of(c).cast("string"), F.lit(WS_CHARS))
 
 
 def collapse_ws(c: str | Column) -> Column:
@@ -36,6 +45,20 @@ def collapse_ws(c: str | Column) -> Column:
     return utrim(F.regexp_replace(col_of(c).cast("string"), f"{WS_CLASS}+", " "))
 
 
+def collapse_ws_head(c: str | Column, n: int, window: int = 1000) -> Column:
+    """The first ``n`` characters of ``collapse_ws(c)``, without collapsing the
+    whole text when that is not needed.
+
+    Collapsing a prefix gives a prefix of the collapsed whole (only its end
+    can be shorter), so when the collapsed ``window``-character prefix already
+    holds more than ``n`` characters its first ``n`` are exact; otherwise the
+    whole text is collapsed.  Same result as ``substring(collapse_ws(c), 1, n)``.
+    """
+    t = col_of(c).cast("string")
+    head = collapse_ws(F.substring(t, 1, window))
+    return F.when(F.length(head) > n, F.substring(head, 1, n)).otherwise(F.substring(collapse_ws(t), 1, n))
+
+
 def has_text(c: str | Column) -> Column:
     """True when the text holds at least one non-whitespace character.
 

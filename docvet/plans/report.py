@@ -16,7 +16,7 @@ aggregates through scalar subqueries; no base row reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docvet.functions import fixed
@@ -58,14 +58,9 @@ def auth_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AG.with_share(counts, AG.row_total(n)).select("value", "n", "share")
 
 
-def _cells(norm: DataFrame) -> DataFrame:
-    labels = ["category", *NORMALISED_DISTRIBUTIONS.values()]
-    return norm.groupBy(*labels).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_seen"))
-
-
-def _line(section: str, key: Column | None, label: Column, n: Column | None, x: Column | None = None) -> list[Column]:
+def _line(section: str | Column, key: Column | None, label: Column, n: Column | None, x: Column | None = None) -> list[Column]:
     return [
-        F.lit(section).alias("section"),
+        (F.lit(section) if isinstance(section, str) else section).alias("section"),
         (key if key is not None else F.lit(None)).cast("string").alias("key"),
         label.cast("string").alias("label"),
         (n if n is not None else F.lit(None)).cast("bigint").alias("n"),
@@ -73,42 +68,86 @@ def _line(section: str, key: Column | None, label: Column, n: Column | None, x:
     ]
 
 
-def normalised_lines(norm: DataFrame) -> DataFrame:
-    """The normalised report in long form: (section, key, label, n, x)."""
-    cells = _cells(norm)
-    parts: list[DataFrame] = []
-    for section, col in NORMALISED_DISTRIBUTIONS.items():
-        d = cells.groupBy(F.col(col).alias("v")).agg(F.sum("n").alias("n"))
-        parts.append(d.select(*_line(section, None, F.col("v"), F.col("n"))))
-    blk = AG.distribution(norm, "blocker")
-    parts.append(blk.select(*_line("blocker_distribution", None, F.col("value"), F.col("n"))))
-    cat = cells.groupBy("category").agg(F.sum("n").alias("n"))
-    parts.append(cat.select(*_line("counts_by_category", None, F.col("category"), F.col("n"))))
-    for section, col in CROSSTABS.items():
-        pairs = cells.groupBy("category", col).agg(F.sum("n").alias("n"))
-        labels = pairs.select(F.array_sort(F.collect_set(col))).scalar()
-        per_row = pairs.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct(col, "n"))).alias("m"))
-        cell = per_row.select("category", "m", F.explode(labels).alias("lab"))
-        parts.append(cell.select(*_line(section, F.col("category"), F.col("lab"), F.coalesce(F.col("m")[F.col("lab")], F.lit(0)))))
-    stats = norm.agg(
-        F.avg("confidence").alias("avg"),
-        F.median("confidence").alias("med"),
-        F.min("confidence").alias("mn"),
-        F.max("confidence").alias("mx"),
-        F.count_if("review").alias("flagged"),
-        F.count(F.lit(1)).alias("rows"),
+_CONF = "__confidence"
+_REVIEW = "__review"
+
+
+def _entry(section: str, key: Column | None, label: Column) -> Column:
+    return F.struct(
+        F.lit(section).alias("section"),
+        (key if key is not None else F.lit(None)).cast("string").alias("key"),
+        label.cast("string").alias("label"),
+    )
+
+
+def report_counts(norm: DataFrame) -> DataFrame:
+    """One pass over the normalised rows: every row emits its entries (five
+    distributions, blocker, category, three crosstab pairs, its confidence
+    value and its review flag) and a single aggregation counts them.
+
+    Partial aggregation runs before the only shuffle, so the exchange carries
+    at most (sections x labels) rows per task, whatever the input size.
+    Columns: section, key, label, n.
+    """
+    blocker = F.when(F.col("blocker").isNull() | (F.col("blocker") == ""), F.lit("Unknown")).otherwise(F.col("blocker"))
+    entries = [_entry(sec, None, F.col(c)) for sec, c in NORMALISED_DISTRIBUTIONS.items()]
+    entries.append(_entry("blocker_distribution", None, blocker))
+    entries.append(_entry("counts_by_category", None, F.col("category")))
+    entries += [_entry(sec, F.col("category"), F.col(c)) for sec, c in CROSSTABS.items()]
+    entries.append(_entry(_CONF, None, F.col("confidence")))
+    entries.append(_entry(_REVIEW, None, F.col("review")))
+    exploded = norm.select(F.explode(F.array(*entries)).alias("e")).select("e.section", "e.key", "e.label")
+    return exploded.groupBy("section", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _summary_lines(conf: DataFrame, review: DataFrame) -> DataFrame:
+    """Mean, exact median, min, max from the confidence histogram; the review count.
+
+    The histogram holds one row per distinct confidence value, so the
+    ordered running count (the median's position) runs on that small table.
+    """
+    h = conf.select(F.col("label").cast("bigint").alias("v"), F.col("n"))
+    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = h.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    lo_pos = F.floor((F.col("total") + 1) / 2)
+    hi_pos = F.ceil((F.col("total") + 1) / 2)
+    # the value at position p is the first v whose running count reaches p
+    agg = cum.agg(
+        F.sum(F.col("v") * F.col("n")).alias("sv"),
+        F.sum("n").alias("cnt"),
+        F.min("v").alias("mn"),
+        F.max("v").alias("mx"),
+        F.min(F.when(F.col("upto") >= lo_pos, F.col("v"))).alias("m1"),
+        F.min(F.when(F.col("upto") >= hi_pos, F.col("v"))).alias("m2"),
     )
-    stat_rows = F.explode(
-        F.array(
-            F.struct(F.lit("average").alias("k"), F.lit(None).cast("bigint").alias("n"), F.coalesce(round_half_up(F.col("avg"), 2), F.lit(0.0)).alias("x")),
-            F.struct(F.lit("median").alias("k"), F.lit(None).cast("bigint").alias("n"), F.coalesce(round_half_up(F.col("med"), 2), F.lit(0.0)).alias("x")),
-            F.struct(F.lit("lowest").alias("k"), F.coalesce(F.col("mn"), F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
-            F.struct(F.lit("highest").alias("k"), F.coalesce(F.col("mx"), F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
-            F.struct(F.lit("manual_review_count").alias("k"), F.col("flagged").cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
-        )
+    flagged = review.where(F.col("label") == "true").select(F.sum("n")).scalar()
+    rows = F.array(
+        F.struct(F.lit("average").alias("k"), F.lit(None).cast("bigint").alias("n"), F.coalesce(round_half_up(F.col("sv") / F.col("cnt"), 2), F.lit(0.0)).alias("x")),
+        F.struct(F.lit("median").alias("k"), F.lit(None).cast("bigint").alias("n"), F.coalesce(round_half_up((F.col("m1") + F.col("m2")) / 2.0, 2), F.lit(0.0)).alias("x")),
+        F.struct(F.lit("lowest").alias("k"), F.coalesce(F.col("mn"), F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
+        F.struct(F.lit("highest").alias("k"), F.coalesce(F.col("mx"), F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
+        F.struct(F.lit("manual_review_count").alias("k"), F.coalesce(flagged, F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
     )
-    st = stats.select(stat_rows.alias("s")).select(*_line("confidence_summary", None, F.col("s.k"), F.col("s.n"), F.col("s.x")))
-    parts.append(st)
+    return agg.select(F.explode(rows).alias("s")).select(*_line("confidence_summary", None, F.col("s.k"), F.col("s.n"), F.col("s.x")))
+
+
+def normalised_lines(norm: DataFrame) -> DataFrame:
+    """The normalised report in long form: (section, key, label, n, x).
+
+    Everything derives from ``report_counts`` (one scan, one shuffle of
+    partial counts).  Crosstabs are zero-filled over the column labels
+    observed in their section; the label set comes from a window over the
+    small counts table, never from the base rows.
+    """
+    counts = report_counts(norm)
+    plain = counts.where(F.col("key").isNull() & ~F.col("section").isin(_CONF, _REVIEW))
+    parts = [plain.select(*_line(F.col("section"), None, F.col("label"), F.col("n")))]
+    xt = counts.where(F.col("key").isNotNull())
+    labels = xt.groupBy("section").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    per_row = xt.groupBy("section", "key").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m"))
+    grid = per_row.join(labels, "section").select("section", "key", "m", F.explode("labels").alias("lab"))
+    parts.append(grid.select(*_line(F.col("section"), F.col("key"), F.col("lab"), F.coalesce(F.col("m")[F.col("lab")], F.lit(0)))))
+    parts.append(_summary_lines(counts.where(F.col("section") == _CONF), counts.where(F.col("section") == _REVIEW)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

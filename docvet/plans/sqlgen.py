@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from docvet.functions import fixed
 from docvet.functions.rules import ALLOWED, KEEP, RulePack, Rule
-from docvet.functions.text import WS_CLASS, _EDGE_WS, _INTEGER, _NUMBER
+from docvet.functions.text import WS_CHARS, WS_CLASS, _INTEGER, _NUMBER
 from docvet.sources import records as R
 
 
@@ -25,7 +25,7 @@ def lits(values: Sequence[str]) -> str:
 
 
 def utrim(x: str) -> str:
-    return f"regexp_replace(CAST({x} AS VARCHAR), {lit(_EDGE_WS)}, '', 'g')"
+    return f"trim(CAST({x} AS VARCHAR), {lit(WS_CHARS)})"
 
 
 def collapse_ws(x: str) -> str:
@@ -153,7 +153,7 @@ def stated_count(x: str) -> str:
 def scope_bucket(x: str) -> str:
     n = f"greatest({endpoint_count(x)}, {stated_count(x)})"
     whens = " ".join(f"WHEN {n} >= {lim} THEN {lit(lab)}" for lim, lab in fixed.SCOPE_BUCKETS)
-    return f"(CASE WHEN NOT {has_text(x)} THEN 'Unknown' {whens} ELSE 'Unknown' END)"
+    return f"(CASE {whens} ELSE 'Unknown' END)"
 
 
 def description_fallback(d: str, name: str, sub: str) -> str:

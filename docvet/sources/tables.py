@@ -21,8 +21,46 @@ TABLES = (
     "conversations",
 )
 
+# Tables whose rows carry whole texts and feed per-row text work (regex,
+# substring tests); see ``spread_small``.
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread is None:
+        spread = name in TEXT_TABLES
+    return spread_small(spark, df) if spread else df
+
+
+def _input_bytes(spark: SparkSession, files: list[str]) -> int:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += int(p.getFileSystem(conf).getFileStatus(p).getLen())
+    return total
+
+
+def spread_small(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Spread a *small* text input over all cores before CPU-heavy row work.
+
+    A small Parquet file is often one row group, which Spark reads in one
+    task however many splits it plans, so per-row text work would run on one
+    core.  When the input holds fewer files than cores and less than one
+    full split per core, rows are dealt round-robin (a cheap shuffle of
+    little data).  A large input (the cluster case: many files and row
+    groups) already splits across all tasks and is returned unchanged, so no
+    shuffle is added at scale.
+    """
+    par = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= par:
+        return df
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b").rstrip("B"))
+    if _input_bytes(spark, files) >= par * split:
+        return df
+    return df.repartition(par)
