@@ -46,9 +46,13 @@ def combine_pages(
     failed: str | None = "failed",
     chars: int = fixed.CHARS_PER_PAGE,
     header: str = fixed.PAGE_HEADER,
+    k: int = fixed.PAGES_PER_APP,
 ) -> DataFrame:
     """D4 + D5 + D6: per app, the combined document and the evidence URLs, in rank order.
 
+    Input is normally ``top_docs`` output (with ``pos``); otherwise the first
+    ``k`` pages by rank are taken, so no group ever holds more than k entries.
+
     * A page whose scrape failed keeps its URL in the evidence but adds no
       header and no text.
     * A page with NULL content adds its header only.
@@ -56,6 +60,10 @@ def combine_pages(
     Columns: app, document, evidence_url, n_pages.
     """
     before, after = header.split("{url}")
+    if "pos" not in pages.columns:
+        # keep the group bounded whatever the caller passes: first k by rank
+        w = Window.partitionBy(app).orderBy(F.asc(rank))
+        pages = pages.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
     is_failed = F.coalesce(F.col(failed), F.lit(False)) if failed else F.lit(False)
     piece = F.when(
         is_failed, F.lit("")

@@ -1119,3 +1119,21 @@ def q_stream_distribution(spark, d):
     ev.repartition(4).write.parquet(f"{root}/in")
     INC.stream_distribution(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt", ev.schema, "event_type", max_files_per_trigger=1)
     return INC.latest_distribution(spark, f"{root}/out")
+
+
+# ============================================================ end-to-end run
+from docvet.plans.research import research_run  # noqa: E402
+
+
+@register("q_research_run")
+def q_research_run(spark, d):
+    """D2-D8, E1-E10, F1-F8 end to end over the pages table (rows-only: E2 is the caller's function)."""
+    results, _errors = research_run(spark, d)
+    return results
+
+
+@register("q_research_errors")
+def q_research_errors(spark, d):
+    """A6 from the run: answers that could not be parsed (rows-only)."""
+    _results, errors = research_run(spark, d)
+    return errors

@@ -154,17 +154,28 @@ def normalised_lines(norm: DataFrame) -> DataFrame:
     return out
 
 
-def normalised_report(norm: DataFrame) -> DataFrame:
+def normalised_report(norm: DataFrame, section_limit: int = 1000) -> DataFrame:
     """The normalised report as one nested row (distributions as
-    array<struct<value,count>> in count order, crosstabs as map<map>)."""
+    array<struct<value,count>> in count order, crosstabs as map<map>).
+
+    Closed label sets are small; the open-ended ones (blocker text,
+    categories) are cut to the ``section_limit`` largest values, and the
+    crosstabs to the ``section_limit`` largest categories, so the row stays
+    bounded; ``<section>_values`` gives the number of distinct values.  The
+    complete report is the long form, ``normalised_lines``.
+    """
     lines = normalised_lines(norm)
     ordered = F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col("label").alias("value"), F.col("n").alias("count")))),
         lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count")),
     )
     dists = lines.where(F.col("key").isNull() & F.col("n").isNotNull() & (F.col("section") != "confidence_summary"))
-    dist_map = dists.groupBy("section").agg(ordered.alias("items")).agg(F.map_from_entries(F.collect_list(F.struct("section", "items")))).scalar()
-    xt = lines.where(F.col("key").isNotNull()).groupBy("section", "key").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("row"))
+    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), F.asc("label")))
+    top = dists.withColumn("pos", rank).where(F.col("pos") <= section_limit)
+    dist_map = top.groupBy("section").agg(ordered.alias("items")).agg(F.map_from_entries(F.collect_list(F.struct("section", "items")))).scalar()
+    n_values = dists.groupBy("section").agg(F.count(F.lit(1)).alias("c")).agg(F.map_from_entries(F.collect_list(F.struct("section", "c")))).scalar()
+    kept = top.where(F.col("section") == "counts_by_category").select(F.col("label").alias("key"))
+    xt = lines.where(F.col("key").isNotNull()).join(kept, "key", "left_semi").groupBy("section", "key").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("row"))
     xt_map = xt.groupBy("section").agg(F.map_from_entries(F.collect_list(F.struct("key", "row"))).alias("t")).agg(
         F.map_from_entries(F.collect_list(F.struct("section", "t")))
     ).scalar()
@@ -178,7 +189,7 @@ def normalised_report(norm: DataFrame) -> DataFrame:
         ).alias("confidence_summary")
     )
     # subquery results become columns first; higher-order functions then read columns
-    staged = summ.select("confidence_summary", dist_map.alias("__d"), xt_map.alias("__x"))
+    staged = summ.select("confidence_summary", dist_map.alias("__d"), xt_map.alias("__x"), n_values.alias("__n"))
     d = F.col("__d")
     cols = [F.coalesce(d[s], F.array()).alias(s) for s in [*NORMALISED_DISTRIBUTIONS, "blocker_distribution"]]
     cat = F.map_from_entries(F.transform(F.coalesce(d["counts_by_category"], F.array()), lambda s: F.struct(s["value"], s["count"])))
@@ -187,6 +198,7 @@ def normalised_report(norm: DataFrame) -> DataFrame:
         "confidence_summary",
         cat.alias("counts_by_category"),
         *[F.coalesce(F.col("__x")[s], F.create_map().cast("map<string,map<string,bigint>>")).alias(s) for s in CROSSTABS],
+        *[F.coalesce(F.col("__n")[s], F.lit(0)).alias(f"{s}_values") for s in ("blocker_distribution", "counts_by_category")],
     )
 
 

@@ -35,3 +35,10 @@ def test_page_text(spark):
     html = "<html><head><style>p{x}</style><script>var a='<p>';</script></head><body><!-- c --><p>A &amp; B</p>\n<p>C&nbsp;D</p></body></html>"
     df = spark.createDataFrame([(html,)], "h STRING")
     assert df.select(page_text("h")).collect()[0][0] == "A & B C D"
+
+
+def test_combine_pages_bounds_groups_without_pos(spark):
+    rows = [("a", r, f"u{r}", "t", False) for r in range(10)]
+    pages = spark.createDataFrame(rows, "app STRING, rank INT, url STRING, text STRING, failed BOOLEAN")
+    r = combine_pages(pages).collect()[0]
+    assert r["n_pages"] == 3 and r["evidence_url"] == "u0, u1, u2"
