@@ -20,7 +20,7 @@ def test_top_docs_prefers_official(spark):
 def test_combine_pages_failures(spark):
     rows = [("a", 2, "u2", "x" * 2000, False), ("a", 1, "u1", "hello", False), ("a", 3, "u3", None, False), ("a", 4, "u4", "zzz", True)]
     pages = spark.createDataFrame(rows, "app STRING, rank INT, url STRING, text STRING, failed BOOLEAN")
-    r = combine_pages(pages).collect()[0]
+    r = combine_pages(pages, k=4).collect()[0]
     assert r["document"] == "\n\n--- PAGE: u1 ---\n\nhello" + "\n\n--- PAGE: u2 ---\n\n" + "x" * 1500 + "\n\n--- PAGE: u3 ---\n\n"
     assert r["evidence_url"] == "u1, u2, u3, u4"
 
