@@ -64,9 +64,10 @@ def description_fallback(
 def scope_fallback(scope: str | Column, text: str | Column) -> Column:
     """E5: blank/Unknown scope takes the E8 estimate unless that is Unknown."""
     s = col_of(scope)
-    est = scope_bucket(text)
     missing = s.isNull() | s.isin(list(fixed.SCOPE_PLACEHOLDERS))
-    return F.when(missing & (est != "Unknown"), est).otherwise(s)
+    # the estimate scans the whole text: only rows without a scope pay for it,
+    # and each pays once (an Unknown estimate keeps the original value)
+    return F.when(missing, F.coalesce(F.nullif(scope_bucket(text), F.lit("Unknown")), s)).otherwise(s)
 
 
 def is_filled(c: str | Column) -> Column:

@@ -37,7 +37,7 @@ def utrim(c: str | Column) -> Column:
 
     ``trim(str, chars)`` only touches the trimmed ends, so it costs nothing
     on a long document (a regex would scan every character)."""
-    return F.trim(col_of(c).cast("string"), F.lit(WS_CHARS))
+    return F.btrim(col_of(c).cast("string"), F.lit(WS_CHARS))
 
 
 def collapse_ws(c: str | Column) -> Column:
@@ -87,14 +87,14 @@ def safe_numeric(c: str | Column) -> Column:
     (``1f``, ``inf``, ``nan``); ``try_cast`` keeps ANSI mode from raising.
     """
     s = col_of(c).cast("string")
-    num = F.when(s.rlike(_NUMBER), F.trim(s, F.lit(" \t\n\r\f")).try_cast("double"))
+    num = F.when(s.rlike(_NUMBER), F.btrim(s, F.lit(" \t\n\r\f")).try_cast("double"))
     return F.coalesce(num.try_cast("bigint"), F.lit(0)).cast("bigint")
 
 
 def python_int(c: str | Column) -> Column:
     """``int(x)`` on text, or 0 when it is not an integer literal."""
     s = col_of(c).cast("string")
-    return F.coalesce(F.when(s.rlike(_INTEGER), F.trim(s, F.lit(" \t\n\r\f")).try_cast("bigint")), F.lit(0)).cast("bigint")
+    return F.coalesce(F.when(s.rlike(_INTEGER), F.btrim(s, F.lit(" \t\n\r\f")).try_cast("bigint")), F.lit(0)).cast("bigint")
 
 
 def null_tokens_to_null(c: str | Column, tokens: Iterable[str] = fixed.NULL_TOKENS) -> Column:

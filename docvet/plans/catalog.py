@@ -243,10 +243,14 @@ def q_stated_count(spark, d):
     return docs.select("doc_id", F.greatest(endpoint_count(t), stated_count(t)).alias("n"))
 
 
+_STATED_SIZE = "CAST(n_chars AS VARCHAR) || ' operations'"
+_BUILT_RR = "repeat('GET /v1/x ', CAST(id % 600 AS INTEGER)) || text"
+
+
 @register(
     "q_scope_bucket",
     f"SELECT doc_id, {S.scope_bucket(_BUILT)} AS scope, "
-    f"{S.scope_bucket(chr(39) + chr(39) + ' || CAST(n_chars AS VARCHAR) || ' + chr(39) + ' operations' + chr(39))} AS scope_from_size FROM documents",
+    f"{S.scope_bucket(_STATED_SIZE)} AS scope_from_size FROM documents",
 )
 def q_scope_bucket(spark, d):
     """E8 on built texts (all buckets) and on ``n_chars`` stated as a count."""
@@ -267,7 +271,7 @@ def q_description_fallback(spark, d):
 @register(
     "q_scope_fallback",
     S.with_rr(
-        f"SELECT id, {S.scope_fallback('api_scope', 'repeat(' + chr(39) + 'GET /v1/x ' + chr(39) + ', CAST(id % 600 AS INTEGER)) || text')} AS api_scope FROM rr"
+        f"SELECT id, {S.scope_fallback('api_scope', _BUILT_RR)} AS api_scope FROM rr"
     ),
 )
 def q_scope_fallback(spark, d):
@@ -823,7 +827,7 @@ def _raw_lines_sql() -> str:
     )
 
 
-@register("q_report_raw", S.with_rr(f", {_raw_sql()}, {_raw_lines_sql()} SELECT section, value, n, first_seen, share FROM lines".replace("\n, ", ", ", 1)))
+@register("q_report_raw", S.with_rr("SELECT section, value, n, first_seen, share FROM lines", _raw_sql(), _raw_lines_sql()))
 def q_report_raw(spark, d):
     """G2/G3/G4 as the raw report's eight counters with shares (long form)."""
     return RP.raw_lines(RP.raw_frame_of_records(spark, d)).select("section", "value", "n", "first_seen", "share")
@@ -837,20 +841,21 @@ def _findings_sql() -> str:
     b0, b1 = fixed.FINDING_BLOCKER.split("{value}")
     r0, r1 = fixed.FINDING_REVIEW.split("{rate}")
     rate = S.ratio_round("count_if(review) * 100", "count(*)", 2)
-    return (
-        f", {_raw_sql()}, {_raw_lines_sql()}, "
-        "lead AS (SELECT section, arg_max(value, n * 1000000000 - first_seen) AS value, arg_max(share, n * 1000000000 - first_seen) AS share FROM lines GROUP BY section), "
-        f"st AS (SELECT count(*) AS total, coalesce({rate}, 0.0) AS rate FROM raw), "
+    return S.with_rr(
+        "SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS pos, finding FROM items, st WHERE st.total > 0",
+        _raw_sql(),
+        _raw_lines_sql(),
+        "lead AS (SELECT section, arg_max(value, n * 1000000000 - first_seen) AS value, arg_max(share, n * 1000000000 - first_seen) AS share FROM lines GROUP BY section)",
+        f"st AS (SELECT count(*) AS total, coalesce({rate}, 0.0) AS rate FROM raw)",
         "items AS ("
         f"SELECT 1 AS o, {S.lit(a0)} || value || {S.lit(a1a)} || CAST(share AS VARCHAR) || {S.lit(a1b)} AS finding FROM lead WHERE section = 'top_auth_methods' "
         f"UNION ALL SELECT 2, {S.lit(s0)} || value || {S.lit(s1a)} || CAST(share AS VARCHAR) || {S.lit(s1b)} FROM lead WHERE section = 'top_self_serve' "
         f"UNION ALL SELECT 3, {S.lit(b0)} || value || {S.lit(b1)} FROM lead WHERE section = 'top_blockers' "
-        f"UNION ALL SELECT 4, {S.lit(r0)} || CAST(rate AS VARCHAR) || {S.lit(r1)} FROM st WHERE rate >= {fixed.REVIEW_RATE_FINDING}) "
-        "SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS pos, finding FROM items, st WHERE st.total > 0"
+        f"UNION ALL SELECT 4, {S.lit(r0)} || CAST(rate AS VARCHAR) || {S.lit(r1)} FROM st WHERE rate >= {fixed.REVIEW_RATE_FINDING})",
     )
 
 
-@register("q_findings", S.with_rr(_findings_sql()).replace(")\n, ", "), ", 1))
+@register("q_findings", _findings_sql())
 def q_findings(spark, d):
     """The findings sentences."""
     return RP.findings(RP.raw_frame_of_records(spark, d))

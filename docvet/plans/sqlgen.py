@@ -134,8 +134,10 @@ def rr_select() -> str:
     return "SELECT " + ", ".join(cols) + " FROM documents"
 
 
-def with_rr(body: str) -> str:
-    return f"WITH rr AS ({rr_select()})\n{body}"
+def with_rr(body: str, *ctes: str) -> str:
+    """``WITH rr AS (...)[, more CTEs]`` followed by the query body."""
+    head = ", ".join([f"rr AS ({rr_select()})", *ctes])
+    return f"WITH {head}\n{body}"
 
 
 # ------------------------------------------------------------- scoring (E)
