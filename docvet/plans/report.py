@@ -163,43 +163,77 @@ def normalised_report(norm: DataFrame, section_limit: int = 1000) -> DataFrame:
     crosstabs to the ``section_limit`` largest categories, so the row stays
     bounded; ``<section>_values`` gives the number of distinct values.  The
     complete report is the long form, ``normalised_lines``.
+
+    One plan: the small long form is ranked with windows, cut, unioned into
+    one entry list and collected by a single global aggregate; the nested
+    fields are then assembled from that one row with higher-order functions.
     """
     lines = normalised_lines(norm)
-    ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col("label").alias("value"), F.col("n").alias("count")))),
-        lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count")),
+    by_section = Window.partitionBy("section")
+    dists = lines.where(F.col("key").isNull() & (F.col("section") != "confidence_summary"))
+    dists = dists.withColumn("pos", F.row_number().over(by_section.orderBy(F.desc("n"), F.asc("label")))).withColumn(
+        "values", F.count(F.lit(1)).over(by_section)
+    )
+    xt = (
+        lines.where(F.col("key").isNotNull())
+        .groupBy("section", "key")
+        .agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m"), F.sum("n").alias("t"))
     )
-    dists = lines.where(F.col("key").isNull() & F.col("n").isNotNull() & (F.col("section") != "confidence_summary"))
-    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), F.asc("label")))
-    top = dists.withColumn("pos", rank).where(F.col("pos") <= section_limit)
-    dist_map = top.groupBy("section").agg(ordered.alias("items")).agg(F.map_from_entries(F.collect_list(F.struct("section", "items")))).scalar()
-    n_values = dists.groupBy("section").agg(F.count(F.lit(1)).alias("c")).agg(F.map_from_entries(F.collect_list(F.struct("section", "c")))).scalar()
-    kept = top.where(F.col("section") == "counts_by_category").select(F.col("label").alias("key"))
-    xt = lines.where(F.col("key").isNotNull()).join(kept, "key", "left_semi").groupBy("section", "key").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("row"))
-    xt_map = xt.groupBy("section").agg(F.map_from_entries(F.collect_list(F.struct("key", "row"))).alias("t")).agg(
-        F.map_from_entries(F.collect_list(F.struct("section", "t")))
-    ).scalar()
-    summ = lines.where(F.col("section") == "confidence_summary").agg(
+    xt = xt.withColumn("pos", F.row_number().over(by_section.orderBy(F.desc("t"), F.asc("key"))))
+    empty_map = F.lit(None).cast("map<string,bigint>")
+    entry = "section STRING, key STRING, label STRING, n BIGINT, x DOUBLE, m MAP<STRING,BIGINT>, pos INT, values BIGINT"
+    parts = [
+        dists.where(F.col("pos") <= section_limit).select(
+            "section", F.lit(None).cast("string").alias("key"), "label", "n", F.lit(None).cast("double").alias("x"), empty_map.alias("m"), "pos", "values"
+        ),
+        xt.where(F.col("pos") <= section_limit).select(
+            "section", "key", F.lit(None).cast("string").alias("label"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x"), "m", "pos", F.lit(None).cast("bigint").alias("values")
+        ),
+        lines.where(F.col("section") == "confidence_summary").select(
+            "section", "key", "label", "n", "x", empty_map.alias("m"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("bigint").alias("values")
+        ),
+    ]
+    entries = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    del entry
+    one = entries.agg(F.collect_list(F.struct("pos", "section", "key", "label", "n", "x", "m", "values")).alias("e"))
+    e = F.col("e")
+
+    def by_pos(a: Column, b: Column) -> Column:
+        return F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
+
+    def of(section: str) -> Column:
+        return F.array_sort(F.filter(e, lambda r: r["section"] == section), by_pos)
+
+    def dist(section: str) -> Column:
+        return F.transform(of(section), lambda r: F.struct(r["label"].alias("value"), r["n"].alias("count")))
+
+    def stat(label: str, field: str) -> Column:
+        return F.aggregate(
+            F.filter(e, lambda r: (r["section"] == "confidence_summary") & (r["label"] == label)),
+            F.lit(None).cast("double" if field == "x" else "bigint"),
+            lambda acc, r: F.coalesce(r[field], acc),
+        )
+
+    def n_values(section: str) -> Column:
+        return F.coalesce(F.element_at(F.transform(of(section), lambda r: r["values"]), 1), F.lit(0)).cast("bigint")
+
+    def crosstab(section: str) -> Column:
+        return F.map_from_entries(F.transform(of(section), lambda r: F.struct(r["key"], r["m"])))
+
+    cols = [dist(s).alias(s) for s in [*NORMALISED_DISTRIBUTIONS, "blocker_distribution"]]
+    cols.append(
         F.struct(
-            F.max(F.when(F.col("label") == "average", F.col("x"))).alias("average"),
-            F.max(F.when(F.col("label") == "median", F.col("x"))).alias("median"),
-            F.max(F.when(F.col("label") == "lowest", F.col("n"))).alias("lowest"),
-            F.max(F.when(F.col("label") == "highest", F.col("n"))).alias("highest"),
-            F.max(F.when(F.col("label") == "manual_review_count", F.col("n"))).alias("manual_review_count"),
+            stat("average", "x").alias("average"),
+            stat("median", "x").alias("median"),
+            stat("lowest", "n").alias("lowest"),
+            stat("highest", "n").alias("highest"),
+            stat("manual_review_count", "n").alias("manual_review_count"),
         ).alias("confidence_summary")
     )
-    # subquery results become columns first; higher-order functions then read columns
-    staged = summ.select("confidence_summary", dist_map.alias("__d"), xt_map.alias("__x"), n_values.alias("__n"))
-    d = F.col("__d")
-    cols = [F.coalesce(d[s], F.array()).alias(s) for s in [*NORMALISED_DISTRIBUTIONS, "blocker_distribution"]]
-    cat = F.map_from_entries(F.transform(F.coalesce(d["counts_by_category"], F.array()), lambda s: F.struct(s["value"], s["count"])))
-    return staged.select(
-        *cols,
-        "confidence_summary",
-        cat.alias("counts_by_category"),
-        *[F.coalesce(F.col("__x")[s], F.create_map().cast("map<string,map<string,bigint>>")).alias(s) for s in CROSSTABS],
-        *[F.coalesce(F.col("__n")[s], F.lit(0)).alias(f"{s}_values") for s in ("blocker_distribution", "counts_by_category")],
-    )
+    cols.append(F.map_from_entries(F.transform(of("counts_by_category"), lambda r: F.struct(r["label"], r["n"]))).alias("counts_by_category"))
+    cols += [crosstab(s).alias(s) for s in CROSSTABS]
+    cols += [n_values(s).alias(f"{s}_values") for s in ("blocker_distribution", "counts_by_category")]
+    return one.select(*cols)
 
 
 def raw_lines(raw: DataFrame) -> DataFrame:
