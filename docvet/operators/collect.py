@@ -64,7 +64,7 @@ def combine_pages(
         # keep the group bounded whatever the caller passes: first k by rank
         w = Window.partitionBy(app).orderBy(F.asc(rank))
         pages = pages.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
-    is_failed = F.coalesce(F.col(failed), F.lit(False)) if failed else F.lit(False)
+    is_failed = F.coalesce(F.col(failed), F.lit(False)) if failed and failed in pages.columns else F.lit(False)
     piece = F.when(
         is_failed, F.lit("")
     ).otherwise(F.concat(F.lit(before), F.col(url), F.lit(after), F.coalesce(F.substring(F.col(text), 1, chars), F.lit(""))))
