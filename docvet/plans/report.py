@@ -236,10 +236,48 @@ def normalised_report(norm: DataFrame, section_limit: int = 1000) -> DataFrame:
     return one.select(*cols)
 
 
+_ROWS = "__rows"
+
+
+def raw_counts(raw: DataFrame) -> DataFrame:
+    """One pass over the raw rows: each row emits its non-blank value of every
+    counted field, one row marker, its review flag and its confidence; a
+    single aggregation (partial before the shuffle) counts them.
+    Columns: section, value, n, first_seen."""
+    entries = [F.struct(F.lit(sec).alias("section"), F.col(c).cast("string").alias("value")) for sec, c in RAW_SECTIONS.items()]
+    entries.append(F.struct(F.lit(_ROWS).alias("section"), F.lit("").alias("value")))
+    entries.append(F.struct(F.lit(_REVIEW).alias("section"), F.col("review").cast("string").alias("value")))
+    entries.append(F.struct(F.lit(_CONF).alias("section"), F.col("confidence").cast("string").alias("value")))
+    kept = F.filter(F.array(*entries), lambda e: e["section"].startswith("__") | (e["value"].isNotNull() & (F.btrim(e["value"]) != "")))
+    long = raw.select(F.col("id"), F.explode(kept).alias("e")).select("id", "e.section", "e.value")
+    return long.groupBy("section", "value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_seen"))
+
+
+def _raw_summary(counts: DataFrame) -> DataFrame:
+    """One row from the small counts table: totals, review count, confidence
+    sums, distinct values per section and the leader of each section."""
+    sec = F.col("section")
+    v = F.col("value").cast("bigint")
+    aggs = [
+        F.coalesce(F.sum(F.when(sec == _ROWS, F.col("n"))), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.when((sec == _REVIEW) & (F.col("value") == "true"), F.col("n"))), F.lit(0)).alias("flagged"),
+        F.sum(F.when(sec == _CONF, v * F.col("n"))).alias("conf_sum"),
+        F.sum(F.when(sec == _CONF, F.col("n"))).alias("conf_n"),
+        F.min(F.when(sec == _CONF, v)).alias("conf_min"),
+        F.max(F.when(sec == _CONF, v)).alias("conf_max"),
+    ]
+    for s, _ in RAW_SECTIONS.items():
+        aggs.append(F.count_if(sec == s).alias(f"{s}_values"))
+        aggs.append(F.max_by(F.when(sec == s, F.struct("value", "n")), F.when(sec == s, F.struct(F.col("n"), -F.col("first_seen")))).alias(f"{s}_leader"))
+    return counts.agg(*aggs)
+
+
 def raw_lines(raw: DataFrame) -> DataFrame:
     """Counters of the raw report with shares of all rows: section, value, n, first_seen, share."""
-    counts = AG.multi_distribution(raw, dict(RAW_SECTIONS), drop_blank=True)
-    return AG.with_share(counts.withColumnRenamed("field", "section"), AG.row_total(raw))
+    counts = raw_counts(raw)
+    total = counts.where(F.col("section") == _ROWS).select(F.sum("n")).scalar()
+    lines = counts.where(~F.col("section").startswith("__"))
+    return AG.with_share(lines, total)
 
 
 def review_rate_col(raw: DataFrame) -> Column:
@@ -247,14 +285,10 @@ def review_rate_col(raw: DataFrame) -> Column:
     return AG.review_rate(raw, "review").scalar()
 
 
-def findings(raw: DataFrame) -> DataFrame:
-    """Templated sentences from the leaders of auth, self-serve and
-    blocker, and the review line when the rate is at least 10.  Columns: pos, finding."""
-    lines = raw_lines(raw).where(F.col("section").isin("top_auth_methods", "top_self_serve", "top_blockers"))
-    lead = lines.groupBy("section").agg(F.max_by(F.struct("value", "share"), F.struct(F.col("n"), -F.col("first_seen"))).alias("b"))
-    one = lead.agg(F.map_from_entries(F.collect_list(F.struct("section", "b"))).alias("m"))
-    total = AG.row_total(raw)
-    rate = review_rate_col(raw)
+def _findings_array(g: DataFrame) -> Column:
+    """The findings sentences from the one-row summary (leaders, rate)."""
+    total = F.col("total_rows")
+    rate = F.coalesce(ratio_round(F.col("flagged") * F.lit(100), total, 2), F.lit(0.0))
 
     def fill(template: str, value: Column, share: Column | None = None) -> Column:
         head, rest = template.split("{value}")
@@ -263,22 +297,30 @@ def findings(raw: DataFrame) -> DataFrame:
         mid, tail = rest.split("{share}")
         return F.concat(F.lit(head), value, F.lit(mid), share.cast("string"), F.lit(tail))
 
-    m = F.col("m")
-    auth = m["top_auth_methods"]
-    ss = m["top_self_serve"]
-    blk = m["top_blockers"]
+    def share(leader: Column) -> Column:
+        return ratio_round(leader["n"] * F.lit(100), total, 1)
+
+    auth = F.col("top_auth_methods_leader")
+    ss = F.col("top_self_serve_leader")
+    blk = F.col("top_blockers_leader")
     rh, rt = fixed.FINDING_REVIEW.split("{rate}")
     items = F.array(
-        F.when(auth.isNotNull(), fill(fixed.FINDING_AUTH, auth["value"], auth["share"])),
-        F.when(ss.isNotNull(), fill(fixed.FINDING_SELF_SERVE, ss["value"], ss["share"])),
+        F.when(auth.isNotNull(), fill(fixed.FINDING_AUTH, auth["value"], share(auth))),
+        F.when(ss.isNotNull(), fill(fixed.FINDING_SELF_SERVE, ss["value"], share(ss))),
         F.when(blk.isNotNull(), fill(fixed.FINDING_BLOCKER, blk["value"])),
         F.when(rate >= fixed.REVIEW_RATE_FINDING, F.concat(F.lit(rh), rate.cast("string"), F.lit(rt))),
     )
-    return (
-        one.where(total > 0)
-        .select(F.posexplode(F.array_compact(items)).alias("pos", "finding"))
-        .select((F.col("pos") + 1).alias("pos"), "finding")
-    )
+    return F.when(total > 0, F.array_compact(items)).otherwise(F.array().cast("array<string>"))
+
+
+def findings(raw: DataFrame) -> DataFrame:
+    """Templated sentences from the leaders of auth, self-serve and
+    blocker, and the review line when the rate is at least 10.  Columns: pos, finding.
+
+    One scan and one aggregation of the raw rows, then one global aggregate
+    of the (small) counts; no subquery re-reads the base data."""
+    g = _raw_summary(raw_counts(raw))
+    return g.select(F.posexplode(_findings_array(g)).alias("pos", "finding")).select((F.col("pos") + 1).alias("pos"), "finding")
 
 
 def raw_report(raw: DataFrame, review_rows: DataFrame | None = None, section_limit: int = 1000) -> DataFrame:
@@ -289,24 +331,26 @@ def raw_report(raw: DataFrame, review_rows: DataFrame | None = None, section_lim
     open-ended text stays one bounded row; the full counters are
     ``raw_lines``.  The review queue is bounded the same way.
     """
-    lines = raw_lines(raw)
+    counts = raw_counts(raw)
+    g = _raw_summary(counts)
+    lines = AG.with_share(counts.where(~F.col("section").startswith("__")), counts.where(F.col("section") == _ROWS).select(F.sum("n")).scalar())
     ranked = AG.top_k(lines.withColumnRenamed("section", "field"), section_limit)
     item = F.struct(F.col("pos"), F.col("value"), F.col("n").alias("count"), F.col("share"))
-    sec = ranked.groupBy("field").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("k"))
+    sec = ranked.groupBy("field").agg(F.array_sort(F.collect_list(item)).alias("items"))
     sec_map = sec.agg(F.map_from_entries(F.collect_list(F.struct("field", "items")))).scalar()
-    distinct = lines.groupBy("section").agg(F.count(F.lit(1)).alias("c")).agg(F.map_from_entries(F.collect_list(F.struct("section", "c")))).scalar()
-    stats = raw.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.coalesce(ratio_round(F.count_if("review") * F.lit(100), F.count(F.lit(1)), 2), F.lit(0.0)).alias("manual_review_rate"),
+    total = F.col("total_rows")
+    rate = F.coalesce(ratio_round(F.col("flagged") * F.lit(100), total, 2), F.lit(0.0))
+    staged = g.select(
+        "*",
+        rate.alias("manual_review_rate"),
         F.struct(
-            F.coalesce(ratio_round(F.sum("confidence"), F.count("confidence"), 2), F.lit(0.0)).alias("mean"),
-            F.coalesce(F.min("confidence"), F.lit(0)).alias("min"),
-            F.coalesce(F.max("confidence"), F.lit(0)).alias("max"),
+            F.coalesce(ratio_round(F.col("conf_sum"), F.col("conf_n"), 2), F.lit(0.0)).alias("mean"),
+            F.coalesce(F.col("conf_min"), F.lit(0)).alias("min"),
+            F.coalesce(F.col("conf_max"), F.lit(0)).alias("max"),
         ).alias("confidence"),
-        F.count_if("review").alias("manual_review_count"),
+        _findings_array(g).alias("findings"),
+        sec_map.alias("__s"),
     )
-    fnd = findings(raw).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "finding"))), lambda s: s["finding"])).scalar()
-    staged = stats.select("*", sec_map.alias("__s"), distinct.alias("__n"), fnd.alias("__f"))
     if review_rows is not None:
         rq = review_rows.orderBy("id").limit(section_limit).agg(F.collect_list(F.struct("name", "confidence", "issues"))).scalar()
         staged = staged.withColumn("__q", rq)
@@ -314,14 +358,14 @@ def raw_report(raw: DataFrame, review_rows: DataFrame | None = None, section_lim
     strip = lambda arr: F.transform(F.coalesce(arr, F.array()), lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count"), s["share"].alias("share")))
     cols = [F.col("total_rows"), F.col("manual_review_rate"), F.col("confidence")]
     cols += [strip(sm[s]).alias(s) for s in RAW_SECTIONS]
-    cols += [F.coalesce(F.col("__n")[s], F.lit(0)).alias(f"{s}_values") for s in RAW_SECTIONS]
+    cols += [F.col(f"{s}_values") for s in RAW_SECTIONS]
     cols.append(F.map_from_entries(F.transform(F.coalesce(sm["top_categories"], F.array()), lambda s: F.struct(s["value"], s["count"]))).alias("categories"))
-    cols.append(F.coalesce(F.col("__f"), F.array().cast("array<string>")).alias("findings"))
+    cols.append(F.col("findings"))
     if review_rows is not None:
         cols.append(F.coalesce(F.col("__q"), F.array()).alias("apps_needing_review"))
     cols.append(
         F.struct(
-            F.col("manual_review_count"),
+            F.col("flagged").alias("manual_review_count"),
             F.col("manual_review_rate"),
             F.col("confidence.mean").alias("average_confidence"),
             F.col("confidence.min").alias("min_confidence"),
