@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docvet.functions import fixed
-from docvet.functions.text import ratio_round, round_half_up
+from docvet.functions.text import ratio_round, round_half_up, utrim
 from docvet.operators import aggregate as AG
 from docvet.plans.analysis import as_results, normalised_frame, raw_frame
 from docvet.sources.records import research_records
@@ -248,7 +248,7 @@ def raw_counts(raw: DataFrame) -> DataFrame:
     entries.append(F.struct(F.lit(_ROWS).alias("section"), F.lit("").alias("value")))
     entries.append(F.struct(F.lit(_REVIEW).alias("section"), F.col("review").cast("string").alias("value")))
     entries.append(F.struct(F.lit(_CONF).alias("section"), F.col("confidence").cast("string").alias("value")))
-    kept = F.filter(F.array(*entries), lambda e: e["section"].startswith("__") | (e["value"].isNotNull() & (F.btrim(e["value"]) != "")))
+    kept = F.filter(F.array(*entries), lambda e: e["section"].startswith("__") | (e["value"].isNotNull() & (utrim(e["value"]) != "")))
     long = raw.select(F.col("id"), F.explode(kept).alias("e")).select("id", "e.section", "e.value")
     return long.groupBy("section", "value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_seen"))
 
