@@ -55,13 +55,14 @@ def research_run(
         canon_category(F.regexp_extract("app", r"\.([a-z]+)$", 1)).alias("category"),
         "document",
         "evidence_url",
-    ).withColumn("id", F.xxhash64("name"))
+    )
     asked = apps.withColumn("request", request_text("name", "category", "website", "document"))
-    answers = extract_batch(asked, make_extractor, ("name", "website", "category", "document"), key="id")
+    answers = extract_batch(asked.withColumn("app", F.col("name")), make_extractor, ("name", "website", "category", "document"), key="app")
     path = scratch_path(spark, "extractions")
     answers.write.mode("overwrite").parquet(path)  # cut lineage: never re-call the extractor
-    parsed = parse_record(spark.read.parquet(path))
-    joined = parsed.join(apps.select("id", F.col("name").alias("app"), F.col("category").alias("known_category"), "document", F.col("evidence_url").alias("evidence")), "id")
+    parsed = parse_record(spark.read.parquet(path)).drop("name")
+    context = apps.select(F.col("name").alias("app"), F.col("category").alias("known_category"), "document", F.col("evidence_url").alias("evidence"))
+    joined = parsed.join(context, "app").withColumn("id", F.col("app"))
     errors = error_rows(joined, F.col("app"), F.col("error"), F.lit("Exception during research"))
     good = joined.where(F.col("error").isNull()).withColumn("name", F.col("app"))
     scored = score(good, document="document")
