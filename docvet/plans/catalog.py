@@ -496,7 +496,7 @@ def q_multi_distribution(spark, d):
 @register(
     "q_topk_section",
     S.with_rr(
-        "SELECT field, value, n, first_seen, pos FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, first_seen, value) AS pos FROM ("
+        "SELECT field, value, n, first_seen, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY n DESC, first_seen, value) AS INTEGER) AS pos FROM ("
         + _multi_sql(True)
         + ")) WHERE pos <= 5"
     ),
@@ -641,7 +641,7 @@ _HITS_SQL = (
     f"{S.official_url('url', REC.PAGE_INDICATORS, REC.PAGE_BLOCKED)} AS official FROM pages)"
 )
 _TOP_SQL = (
-    "top AS (SELECT app, rank, url, official, pos FROM (SELECT *, row_number() OVER (PARTITION BY app ORDER BY official DESC, rank) AS pos, "
+    "top AS (SELECT app, rank, url, official, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY app ORDER BY official DESC, rank) AS INTEGER) AS pos, "
     "max(CAST(official AS INTEGER)) OVER (PARTITION BY app) AS any_official FROM hits) "
     f"WHERE pos <= {fixed.PAGES_PER_APP} AND CAST(official AS INTEGER) = any_official)"
 )
@@ -986,7 +986,7 @@ _DISPLAY_SQL = (
     "credential_requirement AS \"Credential Requirement\", self_serve AS \"Self Serve\", api_type AS \"API Type\", "
     "api_scope AS \"API Surface\", mcp_support AS \"MCP\", buildability AS \"Buildability\", blocker AS \"Blocker\", "
     "evidence_url AS \"Evidence URL\", confidence AS \"Confidence\", manual_review AS \"Needs Review\", "
-    "to_json(issues) AS \"Issues\""
+    "CAST(to_json(issues) AS VARCHAR) AS \"Issues\""
 )
 
 

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from docvet.sources.tables import TABLES
-from scripts.oracle_check import digest
+from scripts.oracle_check import digest, duck_type, spark_type
 
 SF = "/root/testdata/sf0.001"
 SQL = E.oracle_sql()
@@ -27,6 +27,8 @@ def test_matches_duckdb(spark, con, name):
     dcols = [c[0] for c in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = {c[0]: duck_type(c[1]) for c in res.description}
+    assert {f.name: spark_type(f.dataType) for f in df.schema.fields} == dtypes
     assert len(rows) == len(drows)
     assert digest(df.columns, rows) == digest(dcols, drows)
 
