@@ -80,15 +80,20 @@ def to_bool(c: str | Column, true_tokens: Iterable[str] = fixed.TRUE_TOKENS) ->
     return F.coalesce(F.lower(col_of(c).cast("string")).isin(list(true_tokens)), F.lit(False))
 
 
-def safe_numeric(c: str | Column) -> Column:
-    """Plain decimal / exponent text -> number truncated to BIGINT; anything else -> 0.
+def parse_number(c: str | Column) -> Column:
+    """Plain decimal / exponent text -> DOUBLE; anything else -> 0.0.
 
     The guard keeps out forms one engine accepts and another does not
     (``1f``, ``inf``, ``nan``); ``try_cast`` keeps ANSI mode from raising.
     """
     s = col_of(c).cast("string")
     num = F.when(s.rlike(_NUMBER), F.btrim(s, F.lit(" \t\n\r\f")).try_cast("double"))
-    return F.coalesce(num.try_cast("bigint"), F.lit(0)).cast("bigint")
+    return F.coalesce(num, F.lit(0.0))
+
+
+def safe_numeric(c: str | Column) -> Column:
+    """``parse_number`` truncated toward zero to BIGINT (out of range -> 0)."""
+    return F.coalesce(parse_number(c).try_cast("bigint"), F.lit(0)).cast("bigint")
 
 
 def python_int(c: str | Column) -> Column:

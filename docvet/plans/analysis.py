@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docvet.functions import fixed
 from docvet.functions.rules import NORMALISERS, classify
-from docvet.functions.text import canon_category, safe_numeric, to_bool
+from docvet.functions.text import canon_category, parse_number, safe_numeric, to_bool
 from docvet.operators.resolve import lookup
 from docvet.operators.verify import score, verify_records
 
@@ -53,6 +53,8 @@ def raw_frame(df: DataFrame, order: str = "id") -> DataFrame:
         lookup(df, a["app"], default="Unknown", blank_to_default=False).alias("app"),
         *[raw[k].alias(k) for k in ("category", "auth_method", "self_serve", "api_type", "buildability", "mcp_support", "blocker", "credential_requirement", "issues")],
         safe_numeric(lookup(df, a["confidence"], default="0", blank_to_default=False)).alias("confidence"),
+        # the raw pass averages the parsed numbers; only min / max / queue truncate
+        parse_number(lookup(df, a["confidence"], default="0", blank_to_default=False)).alias("confidence_value"),
         to_bool(lookup(df, a["needs_review"], default="False", blank_to_default=False)).alias("review"),
     )
 

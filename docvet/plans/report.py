@@ -247,7 +247,7 @@ def raw_counts(raw: DataFrame) -> DataFrame:
     entries = [F.struct(F.lit(sec).alias("section"), F.col(c).cast("string").alias("value")) for sec, c in RAW_SECTIONS.items()]
     entries.append(F.struct(F.lit(_ROWS).alias("section"), F.lit("").alias("value")))
     entries.append(F.struct(F.lit(_REVIEW).alias("section"), F.col("review").cast("string").alias("value")))
-    entries.append(F.struct(F.lit(_CONF).alias("section"), F.col("confidence").cast("string").alias("value")))
+    entries.append(F.struct(F.lit(_CONF).alias("section"), F.col("confidence_value").cast("string").alias("value")))
     kept = F.filter(F.array(*entries), lambda e: e["section"].startswith("__") | (e["value"].isNotNull() & (utrim(e["value"]) != "")))
     long = raw.select(F.col("id"), F.explode(kept).alias("e")).select("id", "e.section", "e.value")
     return long.groupBy("section", "value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_seen"))
@@ -257,14 +257,14 @@ def _raw_summary(counts: DataFrame) -> DataFrame:
     """One row from the small counts table: totals, review count, confidence
     sums, distinct values per section and the leader of each section."""
     sec = F.col("section")
-    v = F.col("value").cast("bigint")
+    v = F.col("value").cast("double")
     aggs = [
         F.coalesce(F.sum(F.when(sec == _ROWS, F.col("n"))), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum(F.when((sec == _REVIEW) & (F.col("value") == "true"), F.col("n"))), F.lit(0)).alias("flagged"),
         F.sum(F.when(sec == _CONF, v * F.col("n"))).alias("conf_sum"),
         F.sum(F.when(sec == _CONF, F.col("n"))).alias("conf_n"),
-        F.min(F.when(sec == _CONF, v)).alias("conf_min"),
-        F.max(F.when(sec == _CONF, v)).alias("conf_max"),
+        F.min(F.when(sec == _CONF, v)).try_cast("bigint").alias("conf_min"),
+        F.max(F.when(sec == _CONF, v)).try_cast("bigint").alias("conf_max"),
     ]
     for s, _ in RAW_SECTIONS.items():
         aggs.append(F.count_if(sec == s).alias(f"{s}_values"))
@@ -344,7 +344,7 @@ def raw_report(raw: DataFrame, review_rows: DataFrame | None = None, section_lim
         "*",
         rate.alias("manual_review_rate"),
         F.struct(
-            F.coalesce(ratio_round(F.col("conf_sum"), F.col("conf_n"), 2), F.lit(0.0)).alias("mean"),
+            F.coalesce(round_half_up(F.col("conf_sum") / F.col("conf_n"), 2), F.lit(0.0)).alias("mean"),
             F.coalesce(F.col("conf_min"), F.lit(0)).alias("min"),
             F.coalesce(F.col("conf_max"), F.lit(0)).alias("max"),
         ).alias("confidence"),

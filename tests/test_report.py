@@ -30,3 +30,17 @@ def test_raw_report_and_findings(spark):
     assert f == rep["findings"]
     assert f[0].startswith("Top auth method is ")
     assert f[-1].endswith("% of rows need manual review.")
+
+
+def test_raw_mean_uses_parsed_numbers(spark):
+    df = spark.createDataFrame(
+        [(1, "a", "12.9", "true"), (2, "b", "x", "false"), (3, "c", "80", "no")],
+        "id INT, name STRING, confidence STRING, manual_review STRING",
+    )
+    from docvet.plans.analysis import raw_frame
+
+    rep = RP.raw_report(raw_frame(df)).collect()[0]
+    # (12.9 + 0 + 80) / 3 = 30.97; min and max truncate
+    assert rep["confidence"]["mean"] == 30.97
+    assert (rep["confidence"]["min"], rep["confidence"]["max"]) == (0, 80)
+    assert rep["manual_review_rate"] == 33.33
