@@ -100,35 +100,44 @@ def report_counts(norm: DataFrame) -> DataFrame:
     return exploded.groupBy("section", "key", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _summary_lines(conf: DataFrame, review: DataFrame) -> DataFrame:
-    """Mean, exact median, min, max from the confidence histogram; the review count.
+def _summary_lines(counts: DataFrame) -> DataFrame:
+    """Mean, exact median, min, max from the confidence histogram, and the
+    review count, in one global aggregate of the small counts table.
 
-    The histogram holds one row per distinct confidence value, so the
-    ordered running count (the median's position) runs on that small table.
+    The histogram (one entry per distinct confidence value) is sorted once;
+    a single ``aggregate`` pass finds the values at the two middle positions.
     """
-    h = conf.select(F.col("label").cast("bigint").alias("v"), F.col("n"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = h.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    lo_pos = F.floor((F.col("total") + 1) / 2)
-    hi_pos = F.ceil((F.col("total") + 1) / 2)
-    # the value at position p is the first v whose running count reaches p
-    agg = cum.agg(
-        F.sum(F.col("v") * F.col("n")).alias("sv"),
-        F.sum("n").alias("cnt"),
-        F.min("v").alias("mn"),
-        F.max("v").alias("mx"),
-        F.min(F.when(F.col("upto") >= lo_pos, F.col("v"))).alias("m1"),
-        F.min(F.when(F.col("upto") >= hi_pos, F.col("v"))).alias("m2"),
+    sec = F.col("section")
+    v = F.col("label").cast("bigint")
+    g = counts.agg(
+        F.sum(F.when(sec == _CONF, v * F.col("n"))).alias("sv"),
+        F.sum(F.when(sec == _CONF, F.col("n"))).alias("cnt"),
+        F.min(F.when(sec == _CONF, v)).alias("mn"),
+        F.max(F.when(sec == _CONF, v)).alias("mx"),
+        F.coalesce(F.sum(F.when((sec == _REVIEW) & (F.col("label") == "true"), F.col("n"))), F.lit(0)).alias("flagged"),
+        F.array_sort(F.collect_list(F.when(sec == _CONF, F.struct(v.alias("v"), F.col("n").alias("n"))))).alias("hist"),
+    )
+    lo = F.floor((F.col("cnt") + 1) / 2)
+    hi = F.ceil((F.col("cnt") + 1) / 2)
+    init = F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(None).cast("bigint").alias("m1"), F.lit(None).cast("bigint").alias("m2"))
+    walk = F.aggregate(
+        F.col("hist"),
+        init,
+        lambda acc, x: F.struct(
+            (acc["c"] + x["n"]).alias("c"),
+            F.coalesce(acc["m1"], F.when(acc["c"] + x["n"] >= lo, x["v"])).alias("m1"),
+            F.coalesce(acc["m2"], F.when(acc["c"] + x["n"] >= hi, x["v"])).alias("m2"),
+        ),
     )
-    flagged = review.where(F.col("label") == "true").select(F.sum("n")).scalar()
+    med = (walk["m1"] + walk["m2"]) / 2.0
     rows = F.array(
         F.struct(F.lit("average").alias("k"), F.lit(None).cast("bigint").alias("n"), F.coalesce(round_half_up(F.col("sv") / F.col("cnt"), 2), F.lit(0.0)).alias("x")),
-        F.struct(F.lit("median").alias("k"), F.lit(None).cast("bigint").alias("n"), F.coalesce(round_half_up((F.col("m1") + F.col("m2")) / 2.0, 2), F.lit(0.0)).alias("x")),
+        F.struct(F.lit("median").alias("k"), F.lit(None).cast("bigint").alias("n"), F.coalesce(round_half_up(med, 2), F.lit(0.0)).alias("x")),
         F.struct(F.lit("lowest").alias("k"), F.coalesce(F.col("mn"), F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
         F.struct(F.lit("highest").alias("k"), F.coalesce(F.col("mx"), F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
-        F.struct(F.lit("manual_review_count").alias("k"), F.coalesce(flagged, F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
+        F.struct(F.lit("manual_review_count").alias("k"), F.col("flagged").cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
     )
-    return agg.select(F.explode(rows).alias("s")).select(*_line("confidence_summary", None, F.col("s.k"), F.col("s.n"), F.col("s.x")))
+    return g.select(F.explode(rows).alias("s")).select(*_line("confidence_summary", None, F.col("s.k"), F.col("s.n"), F.col("s.x")))
 
 
 def normalised_lines(norm: DataFrame) -> DataFrame:
@@ -147,7 +156,7 @@ def normalised_lines(norm: DataFrame) -> DataFrame:
     per_row = xt.groupBy("section", "key").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m"))
     grid = per_row.join(labels, "section").select("section", "key", "m", F.explode("labels").alias("lab"))
     parts.append(grid.select(*_line(F.col("section"), F.col("key"), F.col("lab"), F.coalesce(F.col("m")[F.col("lab")], F.lit(0)))))
-    parts.append(_summary_lines(counts.where(F.col("section") == _CONF), counts.where(F.col("section") == _REVIEW)))
+    parts.append(_summary_lines(counts))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

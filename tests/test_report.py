@@ -44,3 +44,18 @@ def test_raw_mean_uses_parsed_numbers(spark):
     assert rep["confidence"]["mean"] == 30.97
     assert (rep["confidence"]["min"], rep["confidence"]["max"]) == (0, 80)
     assert rep["manual_review_rate"] == 33.33
+
+
+def test_summary_median_from_histogram(spark):
+    import statistics
+
+    for values in ([1, 2, 3, 4], [5], [7, 7, 7, 1], [10, 0, 95, 95, 48, 61]):
+        rows = [(i, "c", "OAuth2", "REST", "Self Serve", "Yes", "No", "Unknown", v, i % 2 == 0) for i, v in enumerate(values)]
+        norm = spark.createDataFrame(
+            rows,
+            "id INT, category STRING, auth STRING, api_type STRING, self_serve STRING, buildability STRING, mcp STRING, blocker STRING, confidence BIGINT, review BOOLEAN",
+        )
+        got = {r["label"]: (r["n"], r["x"]) for r in RP.normalised_lines(norm).where("section = 'confidence_summary'").collect()}
+        assert got["median"][1] == round(statistics.median(values), 2)
+        assert got["lowest"][0] == min(values) and got["highest"][0] == max(values)
+        assert got["manual_review_count"][0] == sum(1 for i in range(len(values)) if i % 2 == 0)
