@@ -53,22 +53,36 @@ def stream_distribution(
     schema,
     field: str,
     max_files_per_trigger: int | None = None,
+    state_partitions: int | None = None,
 ):
     """H2: running counts of ``field`` values; the latest complete table is
-    written per micro-batch to ``sink_dir/batch=<id>``."""
+    written per micro-batch to ``sink_dir/batch=<id>``.
+
+    The state holds one row per label, so its partition count is sized to
+    the labels, not to the input: ``state_partitions`` (default: the
+    cluster's default parallelism).  Input files are still read in parallel
+    and pre-aggregated before the shuffle.  Spark fixes the number in the
+    checkpoint at the first start; the session setting is restored at once.
+    """
     src = documents_stream(spark, source_dir, schema, max_files_per_trigger)
     counts = src.groupBy(F.coalesce(F.col(field).cast("string"), F.lit("Unknown")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id:012d}")
 
-    q = (
-        counts.writeStream.outputMode("complete")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint_dir)
-        .trigger(availableNow=True)
-        .start()
-    )
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        q = (
+            counts.writeStream.outputMode("complete")
+            .foreachBatch(write)
+            .option("checkpointLocation", checkpoint_dir)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     q.awaitTermination()
     return q
 
