@@ -273,6 +273,21 @@ SANITISERS: dict[str, RulePack] = {
 }
 
 
+def missing_first(pack: RulePack, tokens: Sequence[str] = ("", "unknown", "none", "nan"), label: str = "Unknown") -> RulePack:
+    """The same pack with a missing-value test placed first (opt-in).
+
+    The substring packs keep their traps by default (``unknown`` contains
+    ``no``, so C4 maps Unknown to No); this variant maps the missing tokens
+    to ``label`` before any substring rule runs."""
+    return RulePack(
+        rules=(Rule(label, equals=tuple(tokens)), *pack.rules),
+        fallback=pack.fallback,
+        null_text=pack.null_text,
+        null_label=pack.null_label,
+        allowed=pack.allowed,
+    )
+
+
 def allowed_or_unknown(c: str | Column, allowed: Sequence[str]) -> Column:
     """C14 on its own: trimmed text kept when in ``allowed``; else / NULL -> Unknown."""
     return classify(c, RulePack(rules=(), fallback=ALLOWED, null_label="Unknown", allowed=tuple(allowed)))

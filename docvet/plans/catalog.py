@@ -92,6 +92,15 @@ def q_norm_auth_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", classify("text", RU.AUTH).alias("label"))
 
 
+_GUARDED_BUILD = RU.missing_first(RU.BUILDABILITY)
+
+
+@register("q_norm_buildability_guarded", S.with_rr(f"SELECT id, {S.classify('buildability', _GUARDED_BUILD)} AS label FROM rr"))
+def q_norm_buildability_guarded(spark, d):
+    """C4 with the opt-in missing-token guard: Unknown stays Unknown."""
+    return rr(spark, d).select("id", classify("buildability", _GUARDED_BUILD).alias("label"))
+
+
 _PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 
 

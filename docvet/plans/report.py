@@ -391,3 +391,16 @@ def review_queue(raw: DataFrame) -> DataFrame:
 
 def raw_frame_of_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_frame(as_results(research_records(spark, sf_dir)))
+
+
+def raw_report_from_files(spark: SparkSession, candidates: list[str], section_limit: int = 1000) -> DataFrame:
+    """A2 + A9: the raw report of the first results file that exists, or
+    ``{total_rows: 0, message}`` when none does."""
+    from docvet.sources.files import first_existing, missing_report, read_results
+
+    try:
+        path = first_existing(spark, candidates)
+    except FileNotFoundError:
+        return missing_report(spark)
+    raw = raw_frame(read_results(spark, path).withColumn("id", F.monotonically_increasing_id()))
+    return raw_report(raw, review_queue(raw), section_limit)

@@ -59,3 +59,18 @@ def test_summary_median_from_histogram(spark):
         assert got["median"][1] == round(statistics.median(values), 2)
         assert got["lowest"][0] == min(values) and got["highest"][0] == max(values)
         assert got["manual_review_count"][0] == sum(1 for i in range(len(values)) if i % 2 == 0)
+
+
+def test_report_from_files_missing_and_present(spark):
+    from docvet.session import scratch_path
+    from docvet.sources.files import write_results
+    from docvet.plans.analysis import verified_records
+
+    root = scratch_path(spark, "report-files")
+    gone = RP.raw_report_from_files(spark, [f"{root}/nope", f"{root}/also-nope"]).collect()[0]
+    assert gone["total_rows"] == 0 and gone["message"] == "No research results found."
+    res = verified_records(research_records(spark, SF))
+    write_results(res, f"{root}/data", reset=True)
+    rep = RP.raw_report_from_files(spark, [f"{root}/nope", f"{root}/data"]).collect()[0]
+    assert rep["total_rows"] == res.count()
+    assert rep["verification_stats"]["manual_review_count"] == res.where("manual_review").count()

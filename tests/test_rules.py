@@ -129,3 +129,12 @@ def test_sanitise_twice_equals_once_except_blocker(spark):
             assert {(r["a"], r["b"]) for r in diff} <= {("Unknown", "None")}
         else:
             assert diff == []
+
+
+def test_missing_first_guard(spark):
+    guarded = RU.missing_first(RU.BUILDABILITY)
+    assert _one(spark, "Unknown", RU.BUILDABILITY) == "No"
+    assert _one(spark, "Unknown", guarded) == "Unknown"
+    assert _one(spark, None, guarded) == "Unknown"
+    assert _one(spark, "contact vendor", guarded) == "No"
+    assert _one(spark, "unsupported", RU.missing_first(RU.MCP)) == "Yes"  # only missing tokens move
