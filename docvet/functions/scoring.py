@@ -15,9 +15,18 @@ from docvet.functions.text import col_of, collapse_ws_head
 _FLAGS = "(?iU)"
 
 
-def endpoint_count(text: str | Column, pattern: str = fixed.ENDPOINT_PATTERN) -> Column:
-    """Number of ``VERB /path`` mentions, any case, over the whole text."""
-    return F.coalesce(F.regexp_count(col_of(text), F.lit(_FLAGS + pattern)), F.lit(0)).cast("bigint")
+def endpoint_count(text: str | Column, pattern: str = fixed.ENDPOINT_PATTERN, required: str | None = "/") -> Column:
+    """Number of ``VERB /path`` mentions, any case, over the whole text.
+
+    Every mention contains the literal ``required`` ("/" for the default
+    pattern), so a text without it counts 0 without running the regex; the
+    result is the same, the cheap ``instr`` scan just goes first.  Pass
+    ``required=None`` with a pattern of your own."""
+    t = col_of(text)
+    count = F.coalesce(F.regexp_count(t, F.lit(_FLAGS + pattern)), F.lit(0))
+    if required is not None and pattern == fixed.ENDPOINT_PATTERN:
+        count = F.when(F.instr(t, required) > 0, count).otherwise(F.lit(0))
+    return count.cast("bigint")
 
 
 def stated_count(text: str | Column, pattern: str = fixed.STATED_COUNT_PATTERN) -> Column:

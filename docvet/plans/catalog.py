@@ -1100,14 +1100,15 @@ def q_reset_append(spark, d):
 
 @register(
     "q_union_rows",
-    "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' "
-    "UNION ALL SELECT o_orderkey, NULL, NULL, o_totalprice FROM orders WHERE o_orderstatus <> 'F'",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice FROM orders WHERE o_orderstatus IS NOT DISTINCT FROM 'F' "
+    "UNION ALL SELECT o_orderkey, NULL, NULL, o_totalprice FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'",
 )
 def q_union_rows(spark, d):
     """Existing rows and new rows with other columns, combined by name."""
     o = table(spark, d, "orders")
-    existing = o.where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_orderstatus")
-    new = o.where(F.col("o_orderstatus") != "F").select("o_orderkey", "o_totalprice")
+    old_rows = F.col("o_orderstatus").eqNullSafe("F")  # the two halves cover every row, NULLs included
+    existing = o.where(old_rows).select("o_orderkey", "o_custkey", "o_orderstatus")
+    new = o.where(~old_rows).select("o_orderkey", "o_totalprice")
     return FI.union_rows(existing, new)
 
 
