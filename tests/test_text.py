@@ -50,3 +50,13 @@ def test_ratio_round_half_up(spark):
     df = spark.createDataFrame([(1, 8), (36, 99), (5, 1000), (-5, 1000), (0, 0)], "n BIGINT, t BIGINT")
     got = [r["r"] for r in df.select(ratio_round(F.col("n") * 100, F.col("t"), 1).alias("r")).collect()]
     assert got == [12.5, 36.4, 0.5, -0.5, None]
+
+
+def test_find_column():
+    from docvet.operators.resolve import find_column
+
+    cols = ["App", "auth_METHOD", "Auth_Method", "x"]
+    assert find_column(cols, ["Auth Method", "auth_method"]) == "Auth_Method"  # case-folded, later column
+    assert find_column(cols, ["name", "APP"]) == "App"
+    assert find_column(cols, ["x", "App"]) == "x"
+    assert find_column(cols, ["nope"]) is None
