@@ -10,7 +10,8 @@ error rows (A6).
 Shuffles: one by host for the top-3 window (map-side limited), the per-host
 text assembly reuses that partitioning, and the record frame keeps it.  The
 extraction output is written to the shared checkpoint folder before it is
-used, so a lost executor re-reads it instead of calling the extractor again.
+used, so a lost executor re-reads it instead of calling the extractor again;
+the assembled documents and requests are written the same way.
 """
 
 from __future__ import annotations
@@ -56,12 +57,17 @@ def research_run(
         "document",
         "evidence_url",
     )
-    asked = apps.withColumn("request", request_text("name", "category", "website", "document"))
-    answers = extract_batch(asked.withColumn("app", F.col("name")), make_extractor, ("name", "website", "category", "document"), key="app")
+    asked = apps.withColumn("request", request_text("name", "category", "website", "document")).withColumn("app", F.col("name"))
+    # the assembled documents are written once: extraction and the join below
+    # both read them, and a lost executor never re-runs page selection
+    asked_path = scratch_path(spark, "requests")
+    asked.write.mode("overwrite").parquet(asked_path)
+    asked = spark.read.parquet(asked_path)
+    answers = extract_batch(asked, make_extractor, ("name", "website", "category", "document"), key="app")
     path = scratch_path(spark, "extractions")
     answers.write.mode("overwrite").parquet(path)  # cut lineage: never re-call the extractor
     parsed = parse_record(spark.read.parquet(path)).drop("name")
-    context = apps.select(F.col("name").alias("app"), F.col("category").alias("known_category"), "document", F.col("evidence_url").alias("evidence"))
+    context = asked.select("app", F.col("category").alias("known_category"), "document", F.col("evidence_url").alias("evidence"))
     joined = parsed.join(context, "app").withColumn("id", F.col("app"))
     errors = error_rows(joined, F.col("app"), F.col("error"), F.lit("Exception during research"))
     good = joined.where(F.col("error").isNull()).withColumn("name", F.col("app"))
