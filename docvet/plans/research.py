@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docvet.functions import fixed
 from docvet.functions.checks import official_url
 from docvet.functions.text import canon_category
 from docvet.operators.collect import combine_pages, page_text, top_docs
@@ -69,7 +70,7 @@ def research_run(
     parsed = parse_record(spark.read.parquet(path)).drop("name")
     context = asked.select("app", F.col("category").alias("known_category"), "document", F.col("evidence_url").alias("evidence"))
     joined = parsed.join(context, "app").withColumn("id", F.col("app"))
-    errors = error_rows(joined, F.col("app"), F.col("error"), F.lit("Exception during research"))
+    errors = error_rows(joined, F.col("app"), F.col("error"), F.lit(fixed.EXCEPTION_NOTES))
     good = joined.where(F.col("error").isNull()).withColumn("name", F.col("app"))
     scored = score(good, document="document")
     results = verify_records(scored, "known_category", "document", evidence=F.col("evidence"))
