@@ -30,7 +30,7 @@ from docvet.functions.text import canon_category, fill_default, python_int, safe
 from docvet.operators import aggregate as AG
 from docvet.operators import select as SE
 from docvet.plans import sqlgen as S
-from docvet.plans.analysis import as_results, normalised_frame, raw_frame, scored_records, verified_records
+from docvet.plans.analysis import as_results, normalised_frame, scored_records, verified_records
 from docvet.sources.records import research_records
 from docvet.sources.tables import table
 

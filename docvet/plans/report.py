@@ -48,9 +48,6 @@ RAW_SECTIONS = {
     "top_credential_requirements": "credential_requirement",
 }
 
-LINE_SCHEMA = "section STRING, key STRING, label STRING, n BIGINT, x DOUBLE"
-
-
 def auth_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: normalised auth label, count and share of all records."""
     n = normalised_frame(as_results(research_records(spark, sf_dir)))
@@ -190,7 +187,6 @@ def normalised_report(norm: DataFrame, section_limit: int = 1000) -> DataFrame:
     )
     xt = xt.withColumn("pos", F.row_number().over(by_section.orderBy(F.desc("t"), F.asc("key"))))
     empty_map = F.lit(None).cast("map<string,bigint>")
-    entry = "section STRING, key STRING, label STRING, n BIGINT, x DOUBLE, m MAP<STRING,BIGINT>, pos INT, values BIGINT"
     parts = [
         dists.where(F.col("pos") <= section_limit).select(
             "section", F.lit(None).cast("string").alias("key"), "label", "n", F.lit(None).cast("double").alias("x"), empty_map.alias("m"), "pos", "values"
@@ -203,7 +199,6 @@ def normalised_report(norm: DataFrame, section_limit: int = 1000) -> DataFrame:
         ),
     ]
     entries = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    del entry
     one = entries.agg(F.collect_list(F.struct("pos", "section", "key", "label", "n", "x", "m", "values")).alias("e"))
     e = F.col("e")
 

@@ -52,6 +52,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, null_tokens:
     )
 
 
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """A1 for the app catalogue (id, name, website, category)."""
+    return read_csv(spark, path, CATALOGUE_SCHEMA)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop file system of the path."""
     jvm = spark.sparkContext._jvm

@@ -42,3 +42,19 @@ def test_combine_pages_bounds_groups_without_pos(spark):
     pages = spark.createDataFrame(rows, "app STRING, rank INT, url STRING, text STRING, failed BOOLEAN")
     r = combine_pages(pages).collect()[0]
     assert r["n_pages"] == 3 and r["evidence_url"] == "u0, u1, u2"
+
+
+def test_read_catalogue_null_tokens_and_quotes(spark):
+    from docvet.session import scratch_path
+    from docvet.sources.files import read_catalogue
+
+    root = scratch_path(spark, "catalogue")
+    import os
+
+    os.makedirs(root, exist_ok=True)
+    with open(f"{root}/apps.csv", "w", newline="") as f:
+        f.write('id,name,website,category\r\n1,"Acme, Inc.",acme.com,sales\r\n2,None,NA, crm\r\n3,"Say ""hi""",x.io,\r\n')
+    rows = {r["id"]: r for r in read_catalogue(spark, root).collect()}
+    assert rows[1]["name"] == "Acme, Inc." and rows[1]["category"] == "sales"
+    assert rows[2]["name"] is None and rows[2]["website"] is None and rows[2]["category"] == " crm"
+    assert rows[3]["name"] == 'Say "hi"' and rows[3]["category"] is None
