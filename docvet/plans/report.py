@@ -151,7 +151,8 @@ def normalised_lines(norm: DataFrame) -> DataFrame:
     xt = counts.where(F.col("key").isNotNull())
     labels = xt.groupBy("section").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     per_row = xt.groupBy("section", "key").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m"))
-    grid = per_row.join(labels, "section").select("section", "key", "m", F.explode("labels").alias("lab"))
+    # ``labels`` has one row per crosstab section (three): a proven bound, so it is broadcast
+    grid = per_row.join(F.broadcast(labels), "section").select("section", "key", "m", F.explode("labels").alias("lab"))
     parts.append(grid.select(*_line(F.col("section"), F.col("key"), F.col("lab"), F.coalesce(F.col("m")[F.col("lab")], F.lit(0)))))
     parts.append(_summary_lines(counts))
     out = parts[0]
