@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docvet.functions import fixed
-from docvet.functions.text import col_of, collapse_ws_head
+from docvet.functions.text import col_of, collapse_ws_head, python_ws
 
 # Java's (?U) makes \b \s \d Unicode-aware, as Python's str patterns are;
 # (?i) with (?U) folds case Unicode-wide, like re.IGNORECASE.
@@ -23,7 +23,7 @@ def endpoint_count(text: str | Column, pattern: str = fixed.ENDPOINT_PATTERN, re
     result is the same, the cheap ``instr`` scan just goes first.  Pass
     ``required=None`` with a pattern of your own."""
     t = col_of(text)
-    count = F.coalesce(F.regexp_count(t, F.lit(_FLAGS + pattern)), F.lit(0))
+    count = F.coalesce(F.regexp_count(t, F.lit(_FLAGS + python_ws(pattern))), F.lit(0))
     if required is not None and pattern == fixed.ENDPOINT_PATTERN:
         count = F.when(F.instr(t, required) > 0, count).otherwise(F.lit(0))
     return count.cast("bigint")
@@ -31,7 +31,7 @@ def endpoint_count(text: str | Column, pattern: str = fixed.ENDPOINT_PATTERN, re
 
 def stated_count(text: str | Column, pattern: str = fixed.STATED_COUNT_PATTERN) -> Column:
     """The first ``N endpoints/operations/routes/API methods`` (1-4 digits), else 0."""
-    got = F.regexp_extract(col_of(text), _FLAGS + pattern, 1)
+    got = F.regexp_extract(col_of(text), _FLAGS + python_ws(pattern), 1)
     return F.coalesce(got.try_cast("bigint"), F.lit(0)).cast("bigint")
 
 

@@ -24,6 +24,13 @@ WS_CHARS = (
     + "\u2028\u2029\u202f\u205f\u3000"
 )
 _EDGE_WS = rf"^{WS_CLASS}+|{WS_CLASS}+$"
+
+
+def python_ws(pattern: str) -> str:
+    """Rewrite ``\\s`` / ``[^\\s]`` in a regex to Python's whitespace set, so
+    Java (and RE2) treat whitespace exactly as Python's ``re`` does."""
+    inner = WS_CLASS[1:-1]
+    return pattern.replace(r"[^\s]", f"[^{inner}]").replace(r"\s", WS_CLASS)
 _NUMBER = r"^[ \t\n\r\f]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ \t\n\r\f]*$"
 _INTEGER = r"^[ \t\n\r\f]*[+-]?[0-9]+[ \t\n\r\f]*$"
 

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from docvet.functions import fixed
 from docvet.functions.rules import ALLOWED, KEEP, RulePack, Rule
-from docvet.functions.text import WS_CHARS, WS_CLASS, _INTEGER, _NUMBER
+from docvet.functions.text import WS_CHARS, WS_CLASS, _INTEGER, _NUMBER, python_ws
 from docvet.sources import records as R
 
 
@@ -145,11 +145,11 @@ _FLAGS = "(?i)"  # RE2 has no Unicode \b/\s switch; test data keeps needles ASCI
 
 
 def endpoint_count(x: str) -> str:
-    return f"CAST(coalesce(len(regexp_extract_all({x}, {lit(_FLAGS + fixed.ENDPOINT_PATTERN)})), 0) AS BIGINT)"
+    return f"CAST(coalesce(len(regexp_extract_all({x}, {lit(_FLAGS + python_ws(fixed.ENDPOINT_PATTERN))})), 0) AS BIGINT)"
 
 
 def stated_count(x: str) -> str:
-    return f"CAST(coalesce(TRY_CAST(regexp_extract({x}, {lit(_FLAGS + fixed.STATED_COUNT_PATTERN)}, 1) AS BIGINT), 0) AS BIGINT)"
+    return f"CAST(coalesce(TRY_CAST(regexp_extract({x}, {lit(_FLAGS + python_ws(fixed.STATED_COUNT_PATTERN))}, 1) AS BIGINT), 0) AS BIGINT)"
 
 
 def scope_bucket(x: str) -> str:
