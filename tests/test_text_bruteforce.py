@@ -54,3 +54,56 @@ def test_endpoint_and_stated_counts_match_python_re(spark):
     for i, s in rows:
         m = st.search(s)
         assert got[i] == (len(ep.findall(s)), int(m.group(1)) if m else 0), (i, s)
+
+
+def _py_classify(v, pack):
+    from docvet.functions.rules import ALLOWED, KEEP
+
+    if v is None:
+        if pack.null_label is not None:
+            return pack.null_label
+        if pack.null_text is None:
+            return "Unknown" if pack.fallback == ALLOWED else (None if pack.fallback == KEEP else pack.fallback)
+        v = pack.null_text
+    t = v.strip()
+    low = t.lower()
+    for r in pack.rules:
+        ok = True
+        if r.any_of:
+            ok = ok and any(n in low for n in r.any_of)
+        if r.all_of:
+            ok = ok and all(n in low for n in r.all_of)
+        if r.equals:
+            ok = ok and low in r.equals
+        if ok:
+            return t if r.label == KEEP else r.label
+    if pack.fallback == ALLOWED:
+        return t if t in pack.allowed else "Unknown"
+    return t if pack.fallback == KEEP else pack.fallback
+
+
+def test_rule_packs_match_python_evaluation(spark):
+    from docvet.functions import rules as RU
+
+    packs = {**{f"n_{k}": p for k, p in RU.NORMALISERS.items()}, **{f"s_{k}": p for k, p in RU.SANITISERS.items()}, "auth_fix": RU.FIX_AUTH}
+    words = sorted({w for p in packs.values() for r in p.rules for w in (*r.any_of, *r.all_of, *r.equals)} | {a for p in packs.values() for a in p.allowed})
+    rng = random.Random(5)
+    noise = ["é", "中", "x", "-", ",", " "] + list(WS_CHARS[:8])
+
+    def make():
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            w = rng.choice(words + noise)
+            w = w.upper() if rng.random() < 0.3 else (w.title() if rng.random() < 0.3 else w)
+            parts.append(w)
+        return None if rng.random() < 0.05 else "".join(parts)
+
+    rows = [(i, make()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i INT, s STRING")
+    from docvet.functions.rules import classify
+
+    out = df.select("i", *[classify("s", p).alias(k) for k, p in packs.items()]).collect()
+    got = {r["i"]: r for r in out}
+    for i, s in rows:
+        for k, p in packs.items():
+            assert got[i][k] == _py_classify(s, p), (k, s)
