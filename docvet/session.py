@@ -17,6 +17,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "doc
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # size post-shuffle partitions by bytes, not by core count: the report
+        # shuffles carry small partial counts, so fewer, fuller tasks win
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
