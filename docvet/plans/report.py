@@ -93,8 +93,8 @@ def report_counts(norm: DataFrame) -> DataFrame:
     entries += [_entry(sec, F.col("category"), F.col(c)) for sec, c in CROSSTABS.items()]
     entries.append(_entry(_CONF, None, F.col("confidence")))
     entries.append(_entry(_REVIEW, None, F.col("review")))
-    exploded = norm.select(F.explode(F.array(*entries)).alias("e")).select("e.section", "e.key", "e.label")
-    return exploded.groupBy("section", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    exploded = norm.select("id", F.explode(F.array(*entries)).alias("e")).select("id", "e.section", "e.key", "e.label")
+    return exploded.groupBy("section", "key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_seen"))
 
 
 def _summary_lines(counts: DataFrame) -> DataFrame:
@@ -177,8 +177,11 @@ def normalised_report(norm: DataFrame, section_limit: int = 1000) -> DataFrame:
     """
     lines = normalised_lines(norm)
     by_section = Window.partitionBy("section")
-    dists = lines.where(F.col("key").isNull() & (F.col("section") != "confidence_summary"))
-    dists = dists.withColumn("pos", F.row_number().over(by_section.orderBy(F.desc("n"), F.asc("label")))).withColumn(
+    # distributions straight from the counts, which carry first appearance:
+    # equal counts keep the order in which their values first occur
+    counts = report_counts(norm)
+    dists = counts.where(F.col("key").isNull() & ~F.col("section").isin(_CONF, _REVIEW)).select("section", "label", "n", "first_seen")
+    dists = dists.withColumn("pos", F.row_number().over(by_section.orderBy(F.desc("n"), F.asc("first_seen"), F.asc("label")))).withColumn(
         "values", F.count(F.lit(1)).over(by_section)
     )
     xt = (

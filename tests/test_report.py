@@ -74,3 +74,13 @@ def test_report_from_files_missing_and_present(spark):
     rep = RP.raw_report_from_files(spark, [f"{root}/nope", f"{root}/data"]).collect()[0]
     assert rep["total_rows"] == res.count()
     assert rep["verification_stats"]["manual_review_count"] == res.where("manual_review").count()
+
+
+def test_nested_ties_follow_first_appearance(spark):
+    rows = [(i, "c", a, "REST", "Self Serve", "Yes", "No", "Unknown", 50, False) for i, a in enumerate(["PAT", "Basic", "Basic", "PAT", "OAuth2"])]
+    norm = spark.createDataFrame(
+        rows,
+        "id INT, category STRING, auth STRING, api_type STRING, self_serve STRING, buildability STRING, mcp STRING, blocker STRING, confidence BIGINT, review BOOLEAN",
+    )
+    rep = RP.normalised_report(norm).collect()[0]
+    assert [d["value"] for d in rep["authentication_distribution"]] == ["PAT", "Basic", "OAuth2"]
