@@ -84,3 +84,19 @@ def test_nested_ties_follow_first_appearance(spark):
     )
     rep = RP.normalised_report(norm).collect()[0]
     assert [d["value"] for d in rep["authentication_distribution"]] == ["PAT", "Basic", "OAuth2"]
+
+
+def test_report_json_document(spark):
+    import json
+
+    from docvet.plans.catalog import QUERIES
+
+    doc = json.loads(QUERIES["q_report_json"](spark, SF).collect()[0][0])
+    for key in (
+        "total_rows", "manual_review_rate", "confidence", "top_auth_methods", "top_self_serve", "top_api_types",
+        "top_buildability", "top_mcp_support", "top_blockers", "top_categories", "top_credential_requirements",
+        "categories", "findings", "apps_needing_review", "verification_stats",
+    ):
+        assert key in doc, key
+    assert set(doc["confidence"]) == {"mean", "min", "max"}
+    assert doc["verification_stats"]["manual_review_count"] == len(doc["apps_needing_review"])
