@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docvet.llm.common import map_rows
+from docvet.llm.common import map_rows, materialise
 
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -122,7 +122,9 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the group limit keeps a task's smallest rows of each language before they are shuffled
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     ids = known.withColumn("rank", rank).filter(F.col("rank") <= rows_per_language).select("id").distinct()
-    # the bound is per language: a table of very many languages is joined, not broadcast
+    ids = materialise(ids, "languages")
+    # the bound is per language: the ids of very many languages are joined, not broadcast
+    ids = F.broadcast(ids) if ids.count() <= 100_000 else ids
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(ids, "id", "left_semi").filter("lang is not null")
 
     def make():

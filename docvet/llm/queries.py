@@ -7,10 +7,25 @@ from pyspark.sql import functions as F
 
 from docvet.llm.common import read_table
 from docvet.llm.op1_simhash import simhash_groups
+from docvet.llm.op2_pii import KINDS, find_pii, fit_pii, joined_spans
+from docvet.llm.op3_html import main_text
 from docvet.llm.op4_decontaminate import benchmark_hits, contamination
 from docvet.llm.op5_line_dedup import drop_boilerplate_lines
 from docvet.llm.op5_line_dedup import oracle as line_oracle
+from docvet.llm.op6_permutation_index import build_index, search
 from docvet.llm.op7_shards import minimax_shards
+from docvet.llm.op8_bpe import encode_decode, token_digests
+from docvet.llm.op9_language import fit_language, identify
+from docvet.llm.op10_toxicity import fit_toxicity, toxicity
+
+#: The public vocabulary that the contract of the encoding query names.
+BPE_FILE = "byte_bpe_50k.json"
+
+
+def bpe_path(name: str = BPE_FILE) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +34,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hexa.alias("fingerprint"), "component_id", "n_copies")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = find_pii(docs, fit_pii(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(count, KINDS),
+        F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"),
+        joined_spans(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = main_text(read_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=13)
     return contamination(hits).select(
@@ -36,6 +69,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = build_index(read_table(spark, sf_dir, "embeddings"))
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return search(index, index.table.filter("id % 100 = 0"), k=10)
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = minimax_shards(read_table(spark, sf_dir, "documents"), shards=40, overhead=16)
     return placed.select(
@@ -43,11 +83,34 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return token_digests(encode_decode(docs, bpe_path(), columns=["doc_id"]), "doc_id")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = fit_language(docs.filter(~held_out))
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_pii": op2_pii,
+    "op3_html": op3_html,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
+    "op6_permutation_index": op6_permutation_index,
     "op7_shards": op7_shards,
+    "op8_bpe": op8_bpe,
+    "op9_language": op9_language,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {"op5_line_dedup": line_oracle()}
