@@ -1,6 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
-Features are binary: the distinct words of a text and the first 3 to 6 letters of each.  One weight
+Features are binary: the distinct words of a text and the first 3 to 6 letters of each; those are
+kept that speak for toxic most clearly (by chi-square) and are not rare among toxic rows.  Weights
+are not negative, so a text without such features scores lowest, however short it is.  One weight
 vector w is shared by all ordered thresholds t1 < t2 < ...: P(grade >= k) = sigmoid(w.x - tk), and
 the expected severity is the sum of these probabilities over k.
 
@@ -21,7 +23,6 @@ rows each get a row; empty tables give no rows; other columns are ignored or pas
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,38 +70,49 @@ class OrdinalModel:
         return score
 
 
-def fit_ordinal(rows: list[tuple[set[str], int]], grades: int = 3, max_features: int = 1024, steps: int = 300, l2: float = 1e-3) -> OrdinalModel:
-    """Fit on (distinct words, toxic 0/1) rows."""
-    n = Counter(bool(y) for _, y in rows)
+def fit_ordinal(
+    rows: list[tuple[set[str], int]], grades: int = 3, max_features: int = 128, toxic_share: float = 0.3, steps: int = 400, l2: float = 1e-4
+) -> OrdinalModel:
+    """Fit on (distinct words, toxic 0/1) rows; toxic rows carry ``toxic_share`` of the loss, however many they are."""
+    toxic = np.array([bool(y) for _, y in rows], bool)
+    n = {True: int(toxic.sum()), False: int((~toxic).sum())}
     if not n[True] or not n[False]:
         return OrdinalModel()
-    seen = {True: Counter(), False: Counter()}
-    for words, y in rows:
-        seen[bool(y)].update({f for w in words for f in word_features(w)})
-
-    def lift(f):  # signed chi-square of presence against class
-        a, b = seen[True][f], seen[False][f]
-        p, q = a / n[True], b / n[False]
-        m = (a + b) / len(rows)
-        return (p - q) * abs(p - q) / (m * (1 - m) + 1e-9)
-
-    support = max(2, n[True] // 500)
-    common = [f for f in seen[True].keys() | seen[False].keys() if seen[True][f] + seen[False][f] >= support]
-    chosen = sorted(common, key=lambda f: (-abs(lift(f)), f))[:max_features]
-    index = {f: i for i, f in enumerate(chosen)}
+    number: dict[str, int] = {}
+    of_word: dict[str, tuple[int, ...]] = {}
+    present = []
+    for words, _ in rows:
+        here: set[int] = set()
+        for w in words:
+            ids = of_word.get(w)
+            if ids is None:
+                ids = of_word[w] = tuple(number.setdefault(f, len(number)) for f in word_features(w))
+            here.update(ids)
+        present.append(np.fromiter(here, np.int64, len(here)))
+    names = list(number)
+    seen = {c: np.bincount(np.concatenate([p for p, t in zip(present, toxic, strict=True) if t == c]), minlength=len(names)) for c in (True, False)}
+    # chi-square of presence against class, where presence speaks for toxic
+    p, q = seen[True] / n[True], seen[False] / n[False]
+    m = (seen[True] + seen[False]) / len(rows)
+    lift = np.maximum(p - q, 0) ** 2 / (m * (1 - m) + 1e-9)
+    lift[seen[True] + seen[False] < max(3, n[True] // 30)] = 0
+    best = sorted(np.flatnonzero(lift).tolist(), key=lambda i: (-lift[i], names[i]))[:max_features]
+    chosen = [names[i] for i in best]
+    column = np.full(len(names), -1)
+    column[best] = np.arange(len(best))
     # grades of the toxic rows: distinct words with a feature rarely seen in clean rows
-    telling = {f for f in chosen if seen[True][f] / n[True] > 20 * (seen[False][f] + 0.5) / n[False]}
-    depth = np.array([sum(any(f in telling for f in word_features(w)) for w in words) if y else 0 for words, y in rows])
-    toxic = np.array([bool(y) for _, y in rows])
+    telling = np.zeros(len(names), bool)
+    telling[best] = p[best] > 20 * (seen[False][best] + 0.5) / n[False]
+    marked = {w for w, ids in of_word.items() if telling[list(ids)].any()}
+    depth = np.array([len(words & marked) if y else 0 for words, y in rows])
     cuts = [c for c in sorted({float(np.quantile(depth[toxic], k / grades)) for k in range(1, grades)}) if (depth[toxic] > c).any()]
     grade = np.where(toxic, 1 + sum((depth > c).astype(int) for c in cuts) if cuts else 1, 0)
     top = int(grade.max())
     # sparse rows as flat index lists
-    sparse = [sorted({index[f] for w in words for f in word_features(w) if f in index}) for words, _ in rows]
+    sparse = [np.sort(c[c >= 0]) for c in (column[here] for here in present)]
     row_of = np.repeat(np.arange(len(rows)), [len(s) for s in sparse])
-    col_of = np.array([i for s in sparse for i in s], np.int64)
-    # each class weighs the same in total
-    weight = np.where(toxic, 0.5 / n[True], 0.5 / n[False])
+    col_of = np.concatenate(sparse)
+    weight = np.where(toxic, toxic_share / n[True], (1 - toxic_share) / n[False])
     w, t = np.zeros(len(chosen)), np.linspace(0.0, 1.0, top)
     m, v = np.zeros(len(w) + top), np.zeros(len(w) + top)
     above = (grade[:, None] >= np.arange(1, top + 1)).astype(float)
@@ -111,7 +123,7 @@ def fit_ordinal(rows: list[tuple[set[str], int]], grades: int = 3, max_features:
         g = np.concatenate((np.bincount(col_of, by_row[row_of], minlength=len(w)) + l2 * w, -miss.sum(0)))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w, t = w - change[: len(w)], np.maximum.accumulate(t - change[len(w) :])
+        w, t = np.maximum(w - change[: len(w)], 0), np.maximum.accumulate(t - change[len(w) :])
     return OrdinalModel({f: float(x) for f, x in zip(chosen, w, strict=True)}, t.tolist())
 
 

@@ -5,7 +5,7 @@ bytes of its UTF-8 form are hashed to ``2**bits`` features.  Each is weighted (1
 vector has length one.  Per language, spherical k-means makes ``clusters`` centroids; a text gets
 the language of its nearest centroid by cosine, and the cosine is its score.  A text further from
 every centroid than ``reject_below`` (a cosine, learned as a low quantile of the training rows' own
-scores) is marked ``rejected``; one without a letter is `und`.
+scores, less 0.01) is marked ``rejected``; one without a letter is `und`.
 
 Fitted on a bounded sample: per language, the ``rows_per_language`` labelled rows with the smallest
 hash of their id.  Scoring covers whole texts of all rows in one scan without a shuffle; long
@@ -113,7 +113,7 @@ def fit_centroids(rows: list[tuple[str, list[int], list[int]]], bits: int, clust
         scores.append((x @ c.T).max(1))
         names += [lang] * k
         parts.append(c)
-    return CentroidModel(bits, idf, names, np.ascontiguousarray(np.concatenate(parts).T, np.float64), float(np.quantile(np.concatenate(scores), quantile)))
+    return CentroidModel(bits, idf, names, np.ascontiguousarray(np.concatenate(parts).T, np.float64), float(np.quantile(np.concatenate(scores), quantile)) - 0.01)
 
 
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 500, bits: int = 14, clusters: int = 4) -> CentroidModel:
