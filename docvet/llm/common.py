@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docvet.session import scratch_path
 
@@ -29,6 +30,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_below(key, share):
+    """Whether the hash of ``key`` (a column or its name) lies in the lowest ``share`` (a column, or a number) of all hashes."""
+    return F.xxhash64(key) / F.lit(2.0**64) + 0.5 < share
+
+
+def smallest_hashes(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """About the ``n`` rows with the smallest hash of ``key`` (all of them, if they are no more): a stable sample.
+
+    Rows are first cut to the share of hashes that holds about twice as many, so that the sort
+    gathers a bounded number of rows from any number of tasks.
+    """
+    total = rows.count()
+    near = rows.filter(hash_below(key, 2 * n / total)) if total > 2 * n else rows
+    return near.orderBy(F.xxhash64(key), key).limit(n)
+
+
 def map_rows(
     df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., tuple]], batch_rows: int = 256
 ) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docvet.llm.common import map_rows
+from docvet.llm.common import map_rows, smallest_hashes
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -129,11 +129,10 @@ def fit_ordinal(
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 3000, **options) -> OrdinalModel:
     """Fit on at most ``rows_per_class`` labelled rows of either class."""
-    order = F.xxhash64(id_col)
     known = labels.select(id_col, F.col("toxic").cast("int").alias("toxic")).filter(f"toxic IN (0, 1) AND `{id_col}` IS NOT NULL")
     known = known.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    ids = known.filter("toxic = 0").orderBy(order, id_col).limit(rows_per_class).union(
-        known.filter("toxic = 1").orderBy(order, id_col).limit(rows_per_class)
+    ids = smallest_hashes(known.filter("toxic = 0"), id_col, rows_per_class).union(
+        smallest_hashes(known.filter("toxic = 1"), id_col, rows_per_class)
     )
     # at most 2 * rows_per_class ids are broadcast; words are cut out on the executors
     sample = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(id_col, text_col, "toxic")

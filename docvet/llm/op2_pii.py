@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docvet.llm.common import map_rows
+from docvet.llm.common import map_rows, smallest_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -275,7 +275,7 @@ def fit_crf(rows: list[tuple], steps: int = 200, l2: float = 1e-3) -> SkipChainC
 
 
 def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000) -> SkipChainCRF | None:
-    ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
+    ids = smallest_hashes(docs.select(id_col).filter(F.col(id_col).isNotNull()), id_col, sample_docs).distinct()
     sample = docs.select(id_col, text_col).join(F.broadcast(ids), id_col)
     tokens = "array<struct<s:array<int>,y:int,a:int,b:int,k:array<int>>>"
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docvet.llm.common import materialise
+from docvet.llm.common import materialise, smallest_hashes
 
 
 @dataclass
@@ -66,7 +66,7 @@ def build_index(
 ) -> PermutationIndex | None:
     """Index every usable row; None if there is none."""
     good = usable(rows, id_col, vector_col)
-    sample = good.orderBy(F.xxhash64("id"), "id", "vector").limit(sample_rows).collect()
+    sample = smallest_hashes(good, "id", sample_rows).orderBy("id", "vector").collect()
     if not sample:
         return None
     lengths = [len(r.vector) for r in sample]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docvet.llm.common import map_rows, materialise
+from docvet.llm.common import hash_below, map_rows, materialise
 
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -119,9 +119,11 @@ def fit_centroids(rows: list[tuple[str, list[int], list[int]]], bits: int, clust
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 500, bits: int = 14, clusters: int = 4) -> CentroidModel:
     """Fit on at most ``rows_per_language`` labelled rows of each language in ``docs``."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    # the group limit keeps a task's smallest rows of each language before they are shuffled
+    # about twice the rows wanted, by the share of each language's hashes, before any are gathered
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    near = known.join(counts, "lang").filter(hash_below("id", 2 * rows_per_language / F.col("n")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = known.withColumn("rank", rank).filter(F.col("rank") <= rows_per_language).select("id").distinct()
+    ids = near.withColumn("rank", rank).filter(F.col("rank") <= rows_per_language).select("id").distinct()
     ids = materialise(ids, "languages")
     # the bound is per language: the ids of very many languages are joined, not broadcast
     ids = F.broadcast(ids) if ids.count() <= 100_000 else ids
