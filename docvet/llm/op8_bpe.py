@@ -14,7 +14,9 @@ Encoding.  Text flows through three small machines, each holding a bounded buffe
   merge list, on how many bytes can be pending: the longest chain of merges of falling rank, each
   of which can take away or supply a symbol of the one before, times the longest token.
 
-Short pieces repeat, so their encodings are kept in a cache of bounded size.
+A piece no longer than the longest token is within the lookahead as a whole: its one path of
+compatible tokens is found depth first, longest token first.  Such pieces repeat, so their encodings
+are kept in a cache of bounded size.
 
 Decoding feeds each token's bytes to a UTF-8 state machine that returns text as soon as its bytes
 are complete.
@@ -74,6 +76,10 @@ class Merges:
         # tokens that merges can make: these, and the single bytes, end an encoding
         self.reach = {b: i for b, i in self.ids.items() if i in self.made or len(b) == 1}
         self.longest = max(map(len, self.reach))
+        self.longest_from: dict[bytes, int] = {}  # by a token's first four bytes; others have at most three
+        for b in self.reach:
+            if len(b) > 3:
+                self.longest_from[b[:4]] = max(self.longest_from.get(b[:4], 0), len(b))
         self._fits: dict[tuple[int, int], bool] = {}
 
     def lookahead(self) -> int:
@@ -118,6 +124,32 @@ class Merges:
                 used_b, b = made_b, self.pairs[made_b][0]
 
 
+    def path(self, data: bytes) -> list[int]:
+        """The tokens of a short piece.  A prefix has one encoding, so an end that failed once fails for good."""
+        get, fits, reach, size = self.reach.get, self.fits, self.longest_from.get, len(data)
+        out: list[int] = []
+        ends = [0]
+        dead: set[int] = set()
+        end = min(size, reach(data[:4], 3))
+        while ends[-1] < size:
+            at, prior = ends[-1], out[-1] if out else -1
+            while end > at:
+                token = get(data[at:end]) if end not in dead else None
+                if token is not None and (prior < 0 or fits(prior, token)):
+                    out.append(token)
+                    ends.append(end)
+                    end = min(size, end + reach(data[end : end + 4], 3))
+                    break
+                end -= 1
+            else:
+                if not out:
+                    raise ValueError("the vocabulary lacks a byte")
+                dead.add(ends.pop())
+                out.pop()
+                end = at - 1
+        return out
+
+
 class PieceStream:
     """Bytes of one piece in, stable tokens out."""
 
@@ -178,57 +210,64 @@ class PieceStream:
         return out
 
 
+def _pack(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class _Pieces(dict):
-    """Encodings of short pieces, by text; emptied when full."""
+    """Packed encodings of short pieces, by text.  When full, it starts anew and takes over what is asked for again."""
 
     def __init__(self, merges: Merges, most: int):
-        self.stream, self.most = PieceStream(merges), most
-
-    def __missing__(self, piece: str) -> list[int]:
-        out = self.stream.feed(piece.encode("utf-8", "surrogatepass")) + self.stream.finish()
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = out
+        self.m, self.stream, self.most, self.old = merges, PieceStream(merges), most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            data = piece.encode("utf-8", "surrogatepass")
+            if len(data) > self.m.longest:
+                return _pack(self.stream.feed(data) + self.stream.finish())
+            out = _pack(self.m.path(data))
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = out
         return out
 
 
 class Encoder:
-    """Text in, in chunks of any size; tokens out as they become stable."""
+    """Text in, in chunks of any size; tokens out as they become stable, as packed 32-bit numbers."""
 
-    def __init__(self, merges: Merges, cache_pieces: int = 200_000):
+    def __init__(self, merges: Merges, cache_pieces: int = 250_000):
         self.m, self.pieces = merges, _Pieces(merges, cache_pieces)
         self.long = PieceStream(merges)
         self.marks = sorted(merges.added, key=len, reverse=True)
         self.held = self.buffer = ""
         self.run = -1
 
-    def feed(self, chunk: str) -> list[int]:
+    def feed(self, chunk: str) -> bytes:
         if not self.marks or not (self.held or any(x[0] in chunk for x in self.marks)):
             return self._feed(chunk)
-        text, out = self.held + chunk, []
+        text, out = self.held + chunk, b""
         while True:
             at, mark = min(((text.find(x), -len(x), x) for x in self.marks if x in text), default=(-1, 0, ""))[::2]
             if at < 0:
                 break
-            out += self._feed(text[:at]) + self._end() + [self.m.added[mark]]
+            out += self._feed(text[:at]) + self._end() + _pack([self.m.added[mark]])
             text = text[at + len(mark) :]
         hold = max((n for x in self.marks for n in range(1, len(x)) if text.endswith(x[:n])), default=0)
         self.held = text[len(text) - hold :]
         return out + self._feed(text[: len(text) - hold])
 
-    def finish(self) -> list[int]:
+    def finish(self) -> bytes:
         held, self.held = self.held, ""
         return self._feed(held) + self._end()
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for at in range(0, len(text), _CHUNK):
-            out += self.feed(text[at : at + _CHUNK])
-        return out + self.finish()
+    def encode(self, text: str) -> np.ndarray:
+        parts = [self.feed(text[at : at + _CHUNK]) for at in range(0, len(text), _CHUNK)]
+        return np.frombuffer(b"".join([*parts, self.finish()]), np.int32)
 
-    def _feed(self, chunk: str) -> list[int]:
-        text, out = self.buffer + chunk, []
+    def _feed(self, chunk: str) -> bytes:
+        text, out = self.buffer + chunk, b""
         if self.run >= 0:
             text, out = self._continue(text)
         words = PATTERN.findall(text) if self.run < 0 else []
@@ -237,7 +276,7 @@ class Encoder:
             rest += len(words.pop())
         if self.run >= 0:
             rest = size
-        out += [i for w in words for i in self.pieces[w]]
+        out += b"".join(map(self.pieces.__getitem__, words))
         text = text[size - rest :]
         if self.run < 0 and rest > _CHUNK:  # one piece that still grows
             piece = PATTERN.match(text)
@@ -245,12 +284,12 @@ class Encoder:
             kind = next(k for k, x in enumerate(_RUNS) if x.match(body[-1]))
             end = piece.end() - (kind == _SPACES)
             if piece.end() == len(text):
-                out += self.long.feed(text[:end].encode("utf-8", "surrogatepass"))
+                out += _pack(self.long.feed(text[:end].encode("utf-8", "surrogatepass")))
                 text, self.run = text[end:], kind
         self.buffer = text
         return out
 
-    def _continue(self, text: str) -> tuple[str, list[int]]:
+    def _continue(self, text: str) -> tuple[str, bytes]:
         """Pass on what continues the overlong piece; the rest of the text."""
         more = _RUNS[self.run].match(text)
         end = more.end() if more else 0
@@ -261,16 +300,16 @@ class Encoder:
         if ended:
             out += self.long.finish()
             self.run = -1
-        return text[end:], out
+        return text[end:], _pack(out)
 
-    def _end(self) -> list[int]:
-        out: list[int] = []
+    def _end(self) -> bytes:
+        out = b""
         if self.run >= 0:
             more = _RUNS[self.run].match(self.buffer)
             end = more.end() if more else 0
-            out = self.long.feed(self.buffer[:end].encode("utf-8", "surrogatepass")) + self.long.finish()
+            out = _pack(self.long.feed(self.buffer[:end].encode("utf-8", "surrogatepass")) + self.long.finish())
             self.buffer, self.run = self.buffer[end:], -1
-        out += [i for w in PATTERN.findall(self.buffer) for i in self.pieces[w]]
+        out += b"".join(map(self.pieces.__getitem__, PATTERN.findall(self.buffer)))
         self.buffer = ""
         return out
 
@@ -279,7 +318,7 @@ class Decoder:
     """Tokens in, text out as soon as its bytes are complete; broken bytes become U+FFFD."""
 
     def __init__(self, merges: Merges):
-        self.texts = merges.texts
+        self.texts = [merges.texts.get(i) for i in range(max(merges.texts) + 1)]
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
@@ -290,7 +329,8 @@ class Decoder:
         self.machine.reset()
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         parts = [self.feed(ids[at : at + _CHUNK]) for at in range(0, len(ids), _CHUNK)]
         return "".join(parts) + self.finish()
 
@@ -324,7 +364,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", columns: l
                 ids = [encoder.encode(x.as_py() or "") for x in part.column(part.num_columns - 1)]
                 decoded = pa.array([decoder.decode(x) for x in ids], pa.string())
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
+                flat = np.concatenate([np.empty(0, np.int32), *ids])
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
                 arrays = [*part.columns[:-1], tokens, decoded]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *_ADDED.names])
