@@ -66,14 +66,6 @@ def collapse_ws_head(c: str | Column, n: int, window: int = 1000) -> Column:
     return F.when(F.length(head) > n, F.substring(head, 1, n)).otherwise(F.substring(collapse_ws(t), 1, n))
 
 
-def has_text(c: str | Column) -> Column:
-    """True when the text holds at least one non-whitespace character.
-
-    Checks the whole text without copying it (no trim of a large document).
-    """
-    return F.coalesce(col_of(c).rlike(r"[^\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"), F.lit(False))
-
-
 def fill_default(c: str | Column, default: str = "Unknown", blank_to_default: bool = True) -> Column:
     """NULL -> default, to text, trim; optionally ``""`` -> default."""
     t = utrim(F.coalesce(col_of(c).cast("string"), F.lit(default)))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from docvet.functions import fixed
 from docvet.functions.text import col_of, ratio_round, round_half_up, share_tenths, utrim
+from docvet.session import written
 
 
 def distribution(df: DataFrame, value: str | Column, order: str | Column = "id") -> DataFrame:
@@ -94,23 +95,29 @@ def top_k(counts: DataFrame, k: int | Mapping[str, int] = fixed.TOP_K, group: st
     return ranked.where(F.col("pos") <= k)
 
 
-def leaders(counts: DataFrame, group: str = "field", missing: str = "N/A") -> DataFrame:
-    """The leading value per group (largest n, then first seen), ``N/A`` when none.
+def leaders(counts: DataFrame, fields: Sequence[str], group: str = "field", missing: str = "N/A") -> DataFrame:
+    """The leading value of each of ``fields`` (largest n, then first seen), ``N/A`` for one without values.
 
-    ``max_by`` is an aggregate, so it is combined map-side like a count.
+    ``min_by`` is an aggregate, so it is combined map-side like a count.  The
+    fields are the caller's list, joined to the few rows of leaders.
     """
-    best = F.max_by("value", F.struct(F.col("n"), -F.col("first_seen")))
-    return counts.groupBy(group).agg(F.coalesce(best, F.lit(missing)).alias("leader"))
+    best = F.min_by("value", F.struct(-F.col("n"), F.col("first_seen")))
+    found = counts.groupBy(group).agg(best.alias("leader"))
+    asked = counts.sparkSession.createDataFrame([(f,) for f in fields], f"{group} string")
+    return asked.join(found, group, "left").select(group, F.coalesce("leader", F.lit(missing)).alias("leader"))
 
 
-def crosstab_long(df: DataFrame, row: str | Column, col: str | Column) -> DataFrame:
+def crosstab_long(df: DataFrame, row: str | Column, col: str | Column, missing: str = "Unknown") -> DataFrame:
     """Counts of (row label, column label), zero-filled over observed labels.
 
-    The observed column labels are one bounded array computed by a scalar
-    subquery; each row label expands over it.  Columns: row_label, col_label, n.
+    A NULL label counts under ``missing``.  The column side is meant for a
+    closed set of labels: the observed ones are one array, computed by a
+    scalar subquery, over which each row label expands.
+    Columns: row_label, col_label, n.
     """
-    pairs = df.select(col_of(row).cast("string").alias("row_label"), col_of(col).cast("string").alias("col_label"))
-    counts = pairs.groupBy("row_label", "col_label").agg(F.count(F.lit(1)).alias("n"))
+    label = lambda c: F.coalesce(col_of(c).cast("string"), F.lit(missing))
+    counts = df.groupBy(label(row).alias("row_label"), label(col).alias("col_label")).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "crosstab")
     labels = counts.select(F.array_sort(F.collect_set("col_label"))).scalar()
     per_row = counts.groupBy("row_label").agg(F.map_from_entries(F.collect_list(F.struct("col_label", "n"))).alias("m"))
     expanded = per_row.select("row_label", "m", F.explode(labels).alias("col_label"))
@@ -130,20 +137,59 @@ def crosstab_wide(df: DataFrame, row: str | Column, col: str | Column, labels: S
     return wide.na.fill(0, subset=value_cols)
 
 
+def median_of_counts(counts: DataFrame, value: str = "value", n: str = "n", gather: int = 4096) -> float | None:
+    """Exact median of values given with their counts; None without any.
+
+    While more than ``gather`` distinct values lie between the bounds, they
+    are counted in 1024 equal-width bins and the bounds move to the bin that
+    holds the middle, so at most ``gather`` values, or 1024 bins, are at the driver.
+    """
+    known = counts.select(F.col(value).cast("double").alias("v"), F.col(n).alias("n")).where(F.col("v").isNotNull())
+    total, low, high = known.agg(F.sum("n"), F.min("v"), F.max("v")).first()
+    if not total:
+        return None
+
+    def at(position: int, low: float, high: float) -> float:
+        while True:
+            inside = known.where(F.col("v").between(low, high))
+            few = inside.limit(gather + 1).collect()
+            if len(few) <= gather:
+                for v, k in sorted(few):
+                    if position < k:
+                        return v
+                    position -= k
+            place = F.least(F.floor((F.col("v") - low) / (high - low) * 1024), F.lit(1023))
+            bins = inside.groupBy(place.alias("b")).agg(F.sum("n"), F.min("v"), F.max("v")).collect()
+            for _, k, bin_low, bin_high in sorted(bins):
+                if position < k:
+                    low, high = bin_low, bin_high
+                    break
+                position -= k
+
+    return (at((total - 1) // 2, low, high) + at(total // 2, low, high)) / 2
+
+
 def numeric_summary(df: DataFrame, value: str | Column, approx: bool = False) -> DataFrame:
     """Mean and median (2 decimals), min and max (truncated to integers); 0 when empty.
 
-    The exact median keeps a map of distinct values (fine for scores and
-    quantities); ``approx=True`` switches to ``percentile_approx`` for wide
-    numeric columns.
+    One pass counts the distinct values, written once; all four figures come
+    from these counts, the median by ``median_of_counts``.  ``approx=True``
+    takes the median by ``percentile_approx`` over the rows instead.
     """
     v = col_of(value).cast("double")
-    med = F.percentile_approx(v, 0.5, 10000).cast("double") if approx else F.median(v)
-    return df.agg(
-        F.coalesce(round_half_up(F.avg(v), 2), F.lit(0.0)).alias("average"),
-        F.coalesce(round_half_up(med, 2), F.lit(0.0)).alias("median"),
-        F.coalesce(F.min(v).try_cast("bigint"), F.lit(0)).alias("lowest"),
-        F.coalesce(F.max(v).try_cast("bigint"), F.lit(0)).alias("highest"),
+    if approx:
+        return _summary(df.select(v.alias("v"), F.lit(1).alias("n")), F.percentile_approx("v", 0.5, 10000).cast("double"))
+    counts = written(df.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n")).where(F.col("v").isNotNull()), "values")
+    return _summary(counts, F.lit(median_of_counts(counts, "v")).cast("double"))
+
+
+def _summary(counts: DataFrame, median: Column) -> DataFrame:
+    mean = F.sum(F.col("v") * F.col("n")) / F.sum("n")
+    return counts.agg(
+        F.coalesce(round_half_up(mean, 2), F.lit(0.0)).alias("average"),
+        F.coalesce(round_half_up(median, 2), F.lit(0.0)).alias("median"),
+        F.coalesce(F.min("v").try_cast("bigint"), F.lit(0)).alias("lowest"),
+        F.coalesce(F.max("v").try_cast("bigint"), F.lit(0)).alias("highest"),
     )
 
 

@@ -27,7 +27,8 @@ def search_text(name: str | Column, template: str = fixed.SEARCH_TEXT) -> Column
 def top_docs(hits: DataFrame, k: int = fixed.PAGES_PER_APP, app: str = "app", rank: str = "rank", official: str = "official") -> DataFrame:
     """D3: per app, official hits if any exist, else the others; the first k by rank.
 
-    Sorting by (official desc, rank) and keeping k rows puts the official hits
+    Give it ids, or texts already cut: every row of ``hits`` is sorted and shuffled
+    as it is.  Sorting by (official desc, rank) and keeping k rows puts the official hits
     first; the rows whose flag differs from the first row's are then dropped
     by a second, k-bounded window.  Adds ``pos`` (1..k).
     """

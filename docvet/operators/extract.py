@@ -2,14 +2,14 @@
 
 E1 builds the request text as a Column; E2 hands batches to a caller's
 extraction function with ``mapInPandas`` (Arrow batches, the function is set
-up once per partition); E3 parses the JSON answer with ``from_json`` and routes
-records missing a required field to an error column.
+up once per partition); E3 reads the JSON answer as a variant and routes records
+whose required fields don't hold text to an error column.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,8 +19,13 @@ from pyspark.sql import types as T
 from docvet.functions import fixed
 from docvet.functions.text import col_of
 
+def _value_lists() -> str:
+    return "\n".join(f"- {field}: {' | '.join(values)}" for field, values in fixed.ALLOWED_VALUES.items())
+
+
 # Request template: {name} {category} {website} {documentation}.  Wording is
-# free (it does not change any computed value); pass your own.
+# free (it does not change any computed value); pass your own.  The allowed
+# values are those that verification checks.
 REQUEST_TEMPLATE = (
     "Extract structured facts about a software product from its developer documentation.\n"
     "Return one JSON object and nothing else; use \"Unknown\" for anything the text does not state.\n\n"
@@ -28,7 +33,15 @@ REQUEST_TEMPLATE = (
     "Documentation:\n{documentation}\n\n"
     "Fields: category, description, auth_method, self_serve, credential_requirement, api_type, "
     "api_scope, mcp_support, buildability, blocker, evidence_url, confidence.\n"
+    "Every value is text.  Allowed values:\n" + _value_lists() + "\n"
+    "mcp_support is Unknown unless the documentation itself mentions MCP or the Model Context Protocol.\n"
+)
+#: Request for a description alone, over the first characters of the document.
+DESCRIPTION_TEMPLATE = (
+    "Describe in one or two sentences what this product is and what its API offers, from its documentation only.\n\n"
+    "Application: {name}\nWebsite: {website}\nCategory: {category}\n\nDocumentation:\n{documentation}\n"
 )
+DESCRIPTION_DOC_CHARS = 5000
 RETRY_SUFFIX = "\n\nStricter pass: keep only values the documentation states; otherwise \"Unknown\". Keep the known category.\n"
 
 RECORD_SCHEMA = T.StructType(
@@ -49,7 +62,9 @@ RECORD_SCHEMA = T.StructType(
         T.StructField("confidence", T.StringType()),
     ]
 )
-REQUIRED = tuple(f.name for f in RECORD_SCHEMA.fields if f.name not in ("name",))
+#: Fields an answer must hold as text.  The name is the catalogue's, the confidence is computed, a
+#: missing description and scope are filled from the document.
+REQUIRED = tuple(f.name for f in RECORD_SCHEMA.fields if f.name not in ("name", "description", "api_scope", "confidence"))
 
 
 def request_text(
@@ -84,40 +99,41 @@ def request_text(
     return F.concat(*parts)
 
 
-ExtractFn = Callable[[str, str, str, str], str]
+def description_request(name: str | Column, category: str | Column, website: str | Column, document: str | Column) -> Column:
+    """The request for E4's substitute: whoever answers it passes the answer to ``score(substitute=...)``."""
+    return request_text(name, category, website, document, DESCRIPTION_TEMPLATE, doc_chars=DESCRIPTION_DOC_CHARS)
+
+
+#: From the request text and the row's fields to the answer (JSON text), or an exception.
+ExtractFn = Callable[[str, Mapping[str, str]], str]
 
 
 def extract_batch(
-    df: DataFrame,
-    make_fn: Callable[[], ExtractFn],
-    cols: Sequence[str] = ("name", "website", "category", "document"),
-    key: str = "id",
+    df: DataFrame, make_fn: Callable[[], ExtractFn], request: str = "request", fields: Sequence[str] = ("name", "website", "category", "document")
 ) -> DataFrame:
-    """Call the caller's extraction function on every row, in Arrow batches.
+    """The caller's extraction function on every row, in Arrow batches.
 
-    ``make_fn`` runs once per partition on the executor (open clients there);
-    its function returns the answer text (JSON) or raises.  Output: key,
-    payload (NULL on failure), error (the exception text).
+    ``make_fn`` runs once per partition on the executor (open clients there).  All columns of ``df``
+    pass through, so the answers need no join; added: payload (NULL on failure), error (the
+    exception's text).
     """
-    name_c, web_c, cat_c, doc_c = cols
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = make_fn()
         for pdf in batches:
             payloads, errors = [], []
-            for name, web, cat, doc in zip(pdf[name_c], pdf[web_c], pdf[cat_c], pdf[doc_c]):
+            for ask, *values in zip(pdf[request], *(pdf[f] for f in fields)):
+                row = {f: v if isinstance(v, str) else "" for f, v in zip(fields, values)}
                 try:
-                    payloads.append(fn(name, web, cat, doc if isinstance(doc, str) else ""))
+                    payloads.append(fn(ask, row))
                     errors.append(None)
                 except Exception as exc:  # noqa: BLE001 - one record's failure is data
                     payloads.append(None)
                     errors.append(str(exc))
-            yield pd.DataFrame({key: pdf[key], "payload": payloads, "error": errors})
+            yield pdf.assign(payload=payloads, error=errors)
 
-    schema = T.StructType(
-        [df.schema[key], T.StructField("payload", T.StringType()), T.StructField("error", T.StringType())]
-    )
-    return df.select(key, *cols).mapInPandas(run, schema)
+    schema = T.StructType([*df.schema.fields, T.StructField("payload", T.StringType()), T.StructField("error", T.StringType())])
+    return df.mapInPandas(run, schema)
 
 
 def keyword_extractor() -> ExtractFn:
@@ -126,7 +142,8 @@ def keyword_extractor() -> ExtractFn:
     Used by tests and the catalogue; a real deployment passes its own client.
     """
 
-    def fn(name: str, website: str, category: str, document: str) -> str:
+    def fn(request: str, row: Mapping[str, str]) -> str:
+        website, category, document = row["website"], row["category"], row["document"]
         low = document.lower()
         rec = {
             "category": category,
@@ -147,41 +164,61 @@ def keyword_extractor() -> ExtractFn:
     return fn
 
 
-def parse_record(
-    df: DataFrame,
-    payload: str = "payload",
-    schema: T.StructType = RECORD_SCHEMA,
-    required: Sequence[str] = REQUIRED,
-) -> DataFrame:
-    """Parse the answer (PERMISSIVE); a missing required field or a list /
-    object where text belongs makes the row an error row.
+def parse_payload(df: DataFrame, payload: str, schema: T.StructType, required: Sequence[str]) -> DataFrame:
+    """Parse JSON with a schema (PERMISSIVE); a missing required field makes the row an error row.
 
     Adds the parsed fields and ``error`` (NULL for good rows).
     """
-    parsed = F.from_json(F.col(payload), schema, {"mode": "PERMISSIVE"})
     keys = F.json_object_keys(F.col(payload))
-    missing = F.array_compact(
-        F.array(*[F.when(~F.coalesce(F.array_contains(keys, F.lit(r)), F.lit(False)), F.lit(r)) for r in required])
-    )
-    # a list or object where text belongs (the schema would keep its JSON text)
-    v = F.try_parse_json(F.col(payload))
-    text_fields = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    nested = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.coalesce(F.schema_of_variant(F.variant_get(v, f"$.{name}", "variant")).rlike("^(ARRAY|OBJECT)"), F.lit(False)),
-                    F.lit(name),
-                )
-                for name in text_fields
-            ]
-        )
-    ) if text_fields else F.array().cast("array<string>")
+    missing = F.filter(F.array(*map(F.lit, required)), lambda r: ~F.coalesce(F.array_contains(keys, r), F.lit(False)))
     err = (
-        F.when(F.col(payload).isNull(), F.coalesce(F.col("error") if "error" in df.columns else F.lit(None), F.lit("empty answer")))
+        F.when(F.col(payload).isNull(), F.lit("empty answer"))
         .when(keys.isNull(), F.lit("answer is not a JSON object"))
         .when(F.size(missing) > 0, F.concat(F.lit("missing required field(s): "), F.array_join(missing, ", ")))
-        .when(F.size(nested) > 0, F.concat(F.lit("field(s) hold a list or object: "), F.array_join(nested, ", ")))
     )
-    base = [c for c in df.columns if c not in ("error",) and c not in schema.fieldNames()]
-    return df.select(*base, parsed.alias("__r"), err.alias("error")).select(*base, "__r.*", "error")
+    parsed = F.from_json(F.col(payload), schema, {"mode": "PERMISSIVE"})
+    return df.select(*df.columns, parsed.alias("__r"), err.alias("error")).select(*df.columns, "__r.*", "error")
+
+
+def parse_record(df: DataFrame, payload: str = "payload", scope_estimate: str | Column = "Unknown") -> DataFrame:
+    """The answer's text fields, from one variant parse, and ``error`` (NULL for good rows).
+
+    A required field must be there and hold text: a missing one, a null, a number, a boolean, a
+    list or an object makes an error row.  An empty description (missing, null, "", 0, false, an
+    empty list or object) is left NULL for E4; another one must be text.  An empty or Unknown scope takes
+    ``scope_estimate`` if that is known (a column, or the word "Unknown" for none), else it must be
+    text too.  ``name`` and ``confidence`` of an answer are not read.
+    """
+    estimate = F.lit("Unknown") if isinstance(scope_estimate, str) and scope_estimate == "Unknown" else col_of(scope_estimate)
+    fields = (*REQUIRED, "description", "api_scope")
+    base = [c for c in df.columns if c not in ("error", *fields)]
+    at = lambda f: F.variant_get("__v", f"$.{f}", "variant")
+    raw = df.withColumn("__v", F.try_parse_json(F.col(payload))).withColumn("__estimate", estimate)
+    of_kind = [F.schema_of_variant(at(f)).alias(f) for f in fields]
+    of_text = [F.try_variant_get("__v", f"$.{f}", "string").alias(f) for f in fields]
+    is_object = F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False))
+    # a path into a JSON value that is no object is an error, so only objects are looked into
+    staged = raw.withColumn("__v", F.when(is_object, F.col("__v"))).withColumn("__object", is_object)
+    staged = staged.withColumn("__kind", F.struct(*of_kind)).withColumn("__text", F.struct(*of_text))
+
+    is_text = lambda f: F.coalesce(F.col(f"__kind.{f}") == "STRING", F.lit(False))
+    empty = lambda f: F.coalesce(F.col(f"__text.{f}").isin("", "0", "0.0", "false", "[]", "{}"), F.lit(True))
+    value = lambda f: F.when(is_text(f), F.col(f"__text.{f}"))
+    take_estimate = (empty("api_scope") | (is_text("api_scope") & (F.col("__text.api_scope") == "Unknown"))) & (F.col("__estimate") != "Unknown") & F.col("__object")
+    wrong = [F.when(~is_text(f), F.lit(f)) for f in REQUIRED]
+    wrong.append(F.when(~is_text("description") & ~empty("description"), F.lit("description")))
+    wrong.append(F.when(~is_text("api_scope") & ~take_estimate, F.lit("api_scope")))
+    bad = F.array_compact(F.array(*wrong))
+    failed = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    err = (
+        F.when(F.col(payload).isNull(), F.coalesce(failed, F.lit("empty answer")))
+        .when(~F.col("__object"), F.lit("answer is not a JSON object"))
+        .when(F.size(bad) > 0, F.concat(F.lit("field(s) without text: "), F.array_join(bad, ", ")))
+    )
+    return staged.select(
+        *base,
+        *[value(f).alias(f) for f in REQUIRED],
+        F.when(~(empty("description") & is_text("description")), value("description")).alias("description"),
+        F.when(take_estimate, F.col("__estimate")).otherwise(value("api_scope")).alias("api_scope"),
+        err.alias("error"),
+    )

@@ -10,26 +10,31 @@ from pyspark.sql import functions as F
 from docvet.functions.text import fill_default
 
 
-def find_column(columns: Sequence[str], names: Sequence[str]) -> str | None:
-    """Resolve a logical field: the first alias that names a column wins.
+class ColumnIndex:
+    """A frame's columns by name, and by case-folded name where no column has the exact one.
 
-    An alias matches a column exactly or, failing that, ignoring case; when
-    several columns fold to the same lower-case name the later one is used.
+    Built once per frame; each logical field then ranks its aliases against it.  Of columns that
+    fold to one name, the last is taken.
     """
-    exact = set(columns)
-    folded: dict[str, str] = {}
-    for col in columns:
-        folded[col.lower()] = col
-    candidates = ((alias if alias in exact else folded.get(alias.lower())) for alias in names)
-    return next((c for c in candidates if c is not None), None)
 
+    def __init__(self, columns: Sequence[str]):
+        self._folded = {c.lower(): c for c in columns}
+        self._named = dict.fromkeys(columns, True)
 
-def lookup(df: DataFrame, names: Sequence[str], default: str = "Unknown", blank_to_default: bool = True) -> Column:
-    """The resolved column, cleaned by B11; a missing column is the literal default."""
-    found = find_column(df.columns, names)
-    if found is None:
-        return F.lit(default)
-    return fill_default(F.col(f"`{found}`"), default, blank_to_default)
+    def match(self, alias: str) -> str | None:
+        return alias if alias in self._named else self._folded.get(alias.lower())
+
+    def first(self, aliases: Sequence[str]) -> str | None:
+        ranked = filter(None, map(self.match, aliases))
+        return next(ranked, None)
+
+
+def lookup(
+    df: DataFrame, names: Sequence[str], default: str = "Unknown", blank_to_default: bool = True, index: ColumnIndex | None = None
+) -> Column:
+    """The first alias's column, cleaned by B11; a missing column is the literal default."""
+    column = (index or ColumnIndex(df.columns)).first(names)
+    return F.lit(default) if column is None else fill_default(F.col(f"`{column}`"), default, blank_to_default)
 
 
 def resolve(
@@ -40,8 +45,6 @@ def resolve(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Project every logical field (named by its key) from the first matching alias."""
-    defaults = defaults or {}
-    cols = [F.col(f"`{k}`") for k in keep]
-    for logical, names in aliases.items():
-        cols.append(lookup(df, names, defaults.get(logical, "Unknown"), blank_to_default).alias(logical))
-    return df.select(*cols)
+    index, defaults = ColumnIndex(df.columns), defaults or {}
+    fields = [lookup(df, names, defaults.get(field, "Unknown"), blank_to_default, index).alias(field) for field, names in aliases.items()]
+    return df.select(*[F.col(f"`{k}`") for k in keep], *fields)

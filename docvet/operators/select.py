@@ -44,11 +44,6 @@ def low_confidence(df: DataFrame, confidence: str | Column, flag: str | Column,
     return df.where((col_of(confidence) < threshold) | col_of(flag))
 
 
-def review_queue(df: DataFrame, name: Column, confidence: Column, issues: Column, flag: Column) -> DataFrame:
-    """Flagged rows as name, confidence, issues."""
-    return df.where(flag).select(name.alias("name"), confidence.alias("confidence"), issues.alias("issues"))
-
-
 def as_cells(cols: Sequence[str | Column | None], names: Sequence[str]) -> list[Column]:
     """Columns as text, NULL -> "" ; a missing column (None) is "" too."""
     out = []

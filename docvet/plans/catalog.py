@@ -484,11 +484,12 @@ def q_share(spark, d):
 
 
 _MULTI = ("auth_method", "self_serve", "api_type", "buildability", "mcp_support", "blocker")
+_RANKED = (*_MULTI, "category")
 
 
-def _multi_sql(drop_blank: bool) -> str:
+def _multi_sql(drop_blank: bool, fields: tuple[str, ...] = _MULTI) -> str:
     parts = []
-    for f in _MULTI:
+    for f in fields:
         if drop_blank:
             parts.append(f"SELECT '{f}' AS field, {f} AS value, id FROM rr WHERE {f} IS NOT NULL AND {S.utrim(f)} <> ''")
         else:
@@ -506,39 +507,42 @@ def q_multi_distribution(spark, d):
     "q_topk_section",
     S.with_rr(
         "SELECT field, value, n, first_seen, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY n DESC, first_seen, value) AS INTEGER) AS pos FROM ("
-        + _multi_sql(True)
-        + ")) WHERE pos <= 5"
+        + _multi_sql(True, _RANKED)
+        + ")) WHERE pos <= CASE field WHEN 'category' THEN 6 ELSE 5 END"
     ),
 )
 def q_topk_section(spark, d):
-    """Top 5 per field (a top-k report)."""
-    counts = AG.multi_distribution(rr(spark, d), {f: f for f in _MULTI}, drop_blank=True)
-    return AG.top_k(counts, fixed.TOP_K)
+    """Top 5 per field, top 6 categories (a top-k report)."""
+    counts = AG.multi_distribution(rr(spark, d), {f: f for f in _RANKED}, drop_blank=True)
+    return AG.top_k(counts, {f: fixed.TOP_K_CATEGORIES if f == "category" else fixed.TOP_K for f in _RANKED})
 
 
 @register(
     "q_leaders",
     S.with_rr(
-        "SELECT field, coalesce(arg_max(value, n * 1000000000 - first_seen), 'N/A') AS leader FROM ("
+        "SELECT f.field, coalesce((SELECT m.value FROM ("
         + _multi_sql(True)
-        + ") GROUP BY field"
+        + ") m WHERE m.field = f.field ORDER BY m.n DESC, m.first_seen LIMIT 1), 'N/A') AS leader FROM (VALUES "
+        + ", ".join(f"('{f}')" for f in (*_MULTI, "empty"))
+        + ") f(field)"
     ),
 )
 def q_leaders(spark, d):
-    """The leading value per field."""
-    counts = AG.multi_distribution(rr(spark, d), {f: f for f in _MULTI}, drop_blank=True)
-    return AG.leaders(counts)
+    """The leading value per field; a field that is blank in every row has ``N/A``."""
+    fields = {**{f: f for f in _MULTI}, "empty": F.lit(" ")}
+    return AG.leaders(AG.multi_distribution(rr(spark, d), fields, drop_blank=True), list(fields))
 
 
 @register(
     "q_crosstab",
-    "WITH c AS (SELECT o_orderstatus AS row_label, o_orderpriority AS col_label, count(*) AS n FROM orders GROUP BY 1, 2) "
+    "WITH c AS (SELECT o_orderstatus AS row_label, CASE WHEN o_orderkey % 5 = 0 THEN 'Unknown' ELSE o_orderpriority END AS col_label, count(*) AS n FROM orders GROUP BY 1, 2) "
     "SELECT r.row_label, k.col_label, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT row_label FROM c) r "
     "CROSS JOIN (SELECT DISTINCT col_label FROM c) k LEFT JOIN c ON c.row_label = r.row_label AND c.col_label = k.col_label",
 )
 def q_crosstab(spark, d):
-    """G5 long form, zero-filled over observed labels."""
-    return AG.crosstab_long(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
+    """G5 long form, zero-filled over observed labels; every fifth order has a NULL label."""
+    label = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority"))
+    return AG.crosstab_long(table(spark, d, "orders"), "o_orderstatus", label)
 
 
 _PRIO_ALL = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -696,6 +700,8 @@ def _doc_pages(spark, d, failures: bool) -> DataFrame:
             F.col("text"),
             F.lit(False).alias("failed"),
         )
+    # the text is cut before it takes part in the ranking's sort and shuffle
+    pages = pages.withColumn("text", F.substring("text", 1, fixed.CHARS_PER_PAGE))
     return CO.top_docs(pages.withColumn("official", F.lit(False)))
 
 
@@ -771,9 +777,30 @@ def q_request_text(spark, d):
     return docs.select("doc_id", EX.request_text(name, F.col("source"), web, F.col("text")).alias("request"))
 
 
-@register("q_extract_batch")
+_STUB_SQL = {
+    "auth_method": "CASE WHEN contains({t}, 'oauth') THEN 'OAuth 2.0' WHEN contains({t}, 'key') THEN 'API key' ELSE 'Unknown' END",
+    "self_serve": "CASE WHEN contains({t}, 'free') THEN 'Self Serve' ELSE 'Unknown' END",
+    "credential_requirement": "CASE WHEN contains({t}, 'key') THEN 'API key' ELSE 'Unknown' END",
+    "api_type": "CASE WHEN contains({t}, 'rest') THEN 'REST' ELSE 'Unknown' END",
+    "api_scope": "'Unknown'",
+    "mcp_support": "CASE WHEN contains({t}, 'mcp') THEN 'Yes' ELSE 'Unknown' END",
+    "buildability": "CASE WHEN contains({t}, 'api') THEN 'Yes' ELSE 'Unknown' END",
+    "blocker": "'None'",
+}
+
+
+def _stub_sql(field: str, text: str) -> str:
+    return _STUB_SQL[field].replace("{t}", f"lower({text})")
+
+
+@register(
+    "q_extract_batch",
+    "SELECT doc_id AS id, "
+    + ", ".join(f"{_stub_sql(f, 'text')} AS {f}" for f in ("auth_method", "api_type", "mcp_support"))
+    + ", CAST(NULL AS VARCHAR) AS error FROM documents",
+)
 def q_extract_batch(spark, d):
-    """The caller's function over every document in Arrow batches (rows-only check)."""
+    """E1 -> E2 -> E3: a keyword function over every document's request, in Arrow batches."""
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("app"), F.col("doc_id").cast("string")).alias("name"),
@@ -781,8 +808,8 @@ def q_extract_batch(spark, d):
         F.col("source").alias("category"),
         F.col("text").alias("document"),
     )
-    out = EX.extract_batch(docs, EX.keyword_extractor)
-    return EX.parse_record(out).select("id", "auth_method", "api_type", "mcp_support", "error")
+    asked = docs.withColumn("request", EX.request_text("name", "category", "website", "document"))
+    return EX.parse_record(EX.extract_batch(asked, EX.keyword_extractor)).select("id", "auth_method", "api_type", "mcp_support", "error")
 
 
 @register(
@@ -791,12 +818,72 @@ def q_extract_batch(spark, d):
     "CASE WHEN props IS NULL THEN 'empty answer' WHEN json_extract(props, '$.k') IS NULL THEN 'missing required field(s): k' END AS error FROM events",
 )
 def q_parse_record(spark, d):
-    """Parse JSON payloads with a schema; missing required fields become error rows."""
+    """E3's general form: parse JSON payloads with a schema; missing required fields become error rows."""
     from pyspark.sql import types as T
 
     ev = table(spark, d, "events").select("event_id", "props")
     schema = T.StructType([T.StructField("k", T.IntegerType())])
-    return EX.parse_record(ev, "props", schema, ("k",)).select("event_id", "k", "error")
+    return EX.parse_payload(ev, "props", schema, ("k",)).select("event_id", "k", "error")
+
+
+def _answer(**changes: str | None) -> str:
+    """An answer of 12 fields as JSON text; a change is a field's JSON text, None leaves the field out."""
+    given = {f: '"v"' for f in (*EX.REQUIRED, "description", "api_scope")} | {"confidence": "7"} | changes
+    return "{" + ",".join(f'"{k}":{v}' for k, v in given.items() if v is not None) + "}"
+
+
+# payload, then what must come of it, stated by hand: auth_method, description, api_scope ("=": the
+# estimate where it is known), error.
+_WITHOUT = "field(s) without text: "
+_ANSWERS: tuple[tuple[str | None, str | None, str | None, str | None, str | None], ...] = (
+    (_answer(), "v", "v", "v", None),
+    (_answer(confidence=None), "v", "v", "v", None),
+    (_answer(description=None), "v", None, "v", None),
+    (_answer(description="null"), "v", None, "v", None),
+    (_answer(description='""'), "v", None, "v", None),
+    (_answer(description="5"), "v", None, "v", _WITHOUT + "description"),
+    (_answer(api_scope=None), "v", "v", "=", _WITHOUT + "api_scope"),
+    (_answer(api_scope="null"), "v", "v", "=", _WITHOUT + "api_scope"),
+    (_answer(api_scope='"Unknown"'), "v", "v", "=Unknown", None),
+    (_answer(api_scope="[1]"), "v", "v", None, _WITHOUT + "api_scope"),
+    (_answer(auth_method="null"), None, "v", "v", _WITHOUT + "auth_method"),
+    (_answer(auth_method="5", mcp_support="true"), None, "v", "v", _WITHOUT + "auth_method, mcp_support"),
+    (_answer(auth_method='["a"]'), None, "v", "v", _WITHOUT + "auth_method"),
+    (_answer(auth_method='""'), "", "v", "v", None),
+    ('{"auth_method":"v"', None, None, None, "answer is not a JSON object"),
+    ("[1,2]", None, None, None, "answer is not a JSON object"),
+    (None, None, None, None, "empty answer"),
+)
+
+
+def _parse_full_sql() -> str:
+    est = S.scope_bucket(_BUILT)
+
+    def by_case(values: list[str]) -> str:
+        return f"CASE doc_id % {len(_ANSWERS)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+    def scope(v: str | None) -> str:
+        if v is None or not v.startswith("="):
+            return S.lit(v)
+        return f"CASE WHEN {est} <> 'Unknown' THEN {est} ELSE {S.lit(v[1:] or None)} END"
+
+    def error(v: str | None, e: str | None) -> str:
+        return f"CASE WHEN {est} = 'Unknown' THEN {S.lit(e)} END" if v == "=" else S.lit(e)
+
+    return (
+        f"SELECT doc_id, CAST({by_case([S.lit(a[1]) for a in _ANSWERS])} AS VARCHAR) AS auth_method, "
+        f"CAST({by_case([S.lit(a[2]) for a in _ANSWERS])} AS VARCHAR) AS description, "
+        f"CAST({by_case([scope(a[3]) for a in _ANSWERS])} AS VARCHAR) AS api_scope, "
+        f"CAST({by_case([error(a[3], a[4]) for a in _ANSWERS])} AS VARCHAR) AS error FROM documents"
+    )
+
+
+@register("q_parse_record_full", _parse_full_sql())
+def q_parse_record_full(spark, d):
+    """E3 on 12-field answers: whole, with a field missing, null, empty, a number, a boolean or a list, broken, absent."""
+    answers = F.array(*[F.lit(a[0]).cast("string") for a in _ANSWERS])
+    built = _built(spark, d).withColumn("payload", F.element_at(answers, (F.col("doc_id") % len(_ANSWERS)).cast("int") + 1))
+    return EX.parse_record(built, scope_estimate=scope_bucket("text")).select("doc_id", "auth_method", "description", "api_scope", "error")
 
 
 # ====================================================== G13, G16: reports
@@ -817,6 +904,8 @@ def _raw_sql() -> str:
         + ", '' AS issues, "
         + S.safe_numeric(S.fill_default("confidence_raw", "0", False))
         + " AS confidence, "
+        + S.parse_number(S.fill_default("confidence_raw", "0", False))
+        + " AS confidence_value, "
         + S.to_bool(S.fill_default("review_raw", "False", False))
         + " AS review FROM rr)"
     )
@@ -871,7 +960,6 @@ def q_findings(spark, d):
 
 
 def _norm_sql() -> str:
-    a = fixed.NORMALISED_ALIASES
     cols = {
         "app": S.fill_default("name"),
         "category": S.fill_default("category"),
@@ -884,7 +972,6 @@ def _norm_sql() -> str:
         "confidence": S.safe_numeric(S.fill_default("confidence_raw", "0")),
         "review": S.to_bool(S.fill_default("review_raw", "False")),
     }
-    del a
     return "norm AS (SELECT id, " + ", ".join(f"{v} AS {k}" for k, v in cols.items()) + " FROM rr)"
 
 
@@ -914,17 +1001,26 @@ def q_report(spark, d):
     return RP.normalised_lines(normalised_frame(as_results(rr(spark, d))))
 
 
-@register("q_report_nested")
-def q_report_nested(spark, d):
-    """The normalised report as one nested row (checked against q_report in tests)."""
-    return RP.normalised_report(normalised_frame(as_results(rr(spark, d))))
+def _summary_sql() -> str:
+    parts = ", ".join(
+        f"coalesce((SELECT value FROM lines WHERE section = '{sec}' ORDER BY n DESC, first_seen LIMIT 1), 'N/A') AS {sec}_leader" for sec in RP.RAW_SECTIONS
+    )
+    return S.with_rr(
+        "SELECT count(*) AS total_rows, CAST(count_if(review) AS BIGINT) AS manual_review_count, "
+        f"coalesce({S.ratio_round('count_if(review) * 100', 'count(*)', 2)}, 0.0) AS manual_review_rate, "
+        f"coalesce({S.round_half_up('avg(confidence_value)', 2)}, 0.0) AS average_confidence, "
+        "CAST(coalesce(min(confidence), 0) AS BIGINT) AS min_confidence, CAST(coalesce(max(confidence), 0) AS BIGINT) AS max_confidence, "
+        + parts
+        + " FROM raw",
+        _raw_sql(),
+        _raw_lines_sql(),
+    )
 
 
-@register("q_report_raw_nested")
-def q_report_raw_nested(spark, d):
-    """The raw-value report as one nested row, with the review queue."""
-    raw = RP.raw_frame_of_records(spark, d)
-    return RP.raw_report(raw, RP.review_queue(raw))
+@register("q_report_summary", _summary_sql())
+def q_report_summary(spark, d):
+    """The closed part of the raw report, one row of figures and leaders."""
+    return RP.raw_summary(RP.raw_frame_of_records(spark, d)).drop("findings")
 
 
 @register(
@@ -940,7 +1036,7 @@ def q_review_queue(spark, d):
 from pyspark.sql import types as T  # noqa: E402
 
 from docvet.operators.resolve import resolve  # noqa: E402
-from docvet.session import scratch_path  # noqa: E402
+from docvet.session import scratch_path, written  # noqa: E402
 from docvet.sources import files as FI  # noqa: E402
 
 _NATION_SCHEMA = T.StructType(
@@ -995,7 +1091,7 @@ _DISPLAY_SQL = (
     "credential_requirement AS \"Credential Requirement\", self_serve AS \"Self Serve\", api_type AS \"API Type\", "
     "api_scope AS \"API Surface\", mcp_support AS \"MCP\", buildability AS \"Buildability\", blocker AS \"Blocker\", "
     "evidence_url AS \"Evidence URL\", confidence AS \"Confidence\", manual_review AS \"Needs Review\", "
-    "CAST(to_json(issues) AS VARCHAR) AS \"Issues\""
+    "CAST(to_json(issues) AS VARCHAR) AS \"Issues\", lpad(CAST(id AS VARCHAR), 20, '0') AS \"Row\""
 )
 
 
@@ -1009,56 +1105,56 @@ def _merged_cte() -> str:
 def q_result_append(spark, d):
     """A4 + A10: reset-write then append the result records as CSV; read back (twice each)."""
     path = scratch_path(spark, "results-csv")
-    res = verified_records(rr(spark, d))
+    res = written(verified_records(rr(spark, d)), "results")
     FI.write_results(res, path, reset=True)
     FI.write_results(res, path)
     return FI.read_results(spark, path)
 
 
-@register(
-    "q_json_append",
-    S.with_rr("SELECT id, name, category, auth_method, self_serve, confidence_raw, review_raw FROM rr"),
-)
+@register("q_json_append", _merged_cte() + "\nSELECT * FROM merged UNION ALL SELECT * FROM merged")
 def q_json_append(spark, d):
-    """A5: records as JSON lines, read back with a schema."""
+    """A5: the result records as JSON lines, written after a reset and appended once; read back."""
     path = scratch_path(spark, "results-json")
-    cols = ["id", "name", "category", "auth_method", "self_serve", "confidence_raw", "review_raw"]
-    recs = rr(spark, d).select(*cols)
+    recs = written(verified_records(rr(spark, d)), "results")
     FI.write_json(recs, path, reset=True)
+    FI.write_json(recs, path)
     return spark.read.schema(recs.schema).json(path)
 
 
-@register(
-    "q_error_rows",
+_MISSING_SQL = (
     f"SELECT 'app' || CAST(doc_id AS VARCHAR) AS app, {S.lit(fixed.NO_RESULT_ERROR)} AS error, {S.lit(fixed.NO_RESULT_NOTES)} AS notes "
-    "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
+    "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"
 )
-def q_error_rows(spark, d):
-    """A6 over D7: apps without hits become error rows."""
-    from docvet.operators.collect import no_hits
 
-    docs = table(spark, d, "documents").select("doc_id")
-    missing = no_hits(docs, table(spark, d, "labels"), "doc_id").withColumn("err", F.lit(fixed.NO_RESULT_ERROR))
-    return FI.error_rows(missing, F.concat(F.lit("app"), F.col("doc_id").cast("string")), "err", F.lit(fixed.NO_RESULT_NOTES))
+
+@register("q_error_rows", f"{_MISSING_SQL} UNION ALL {_MISSING_SQL}")
+def q_error_rows(spark, d):
+    """A6 over D7: apps without hits become error rows, written after a reset and appended once; read back."""
+    path = scratch_path(spark, "errors")
+    _, errors, _ = _run_frames(spark, d)
+    FI.write_errors(errors, path, reset=True)
+    FI.write_errors(errors, path)
+    return FI.read_errors(spark, path)
 
 
 @register(
     "q_run_log",
-    "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'app' || CAST(d.doc_id AS VARCHAR) || "
+    "SELECT unnest(string_split(rtrim(entry, chr(10)), chr(10))) AS value FROM (SELECT CASE WHEN l.doc_id IS NOT NULL THEN 'app' || CAST(d.doc_id AS VARCHAR) || "
     + S.lit(" " + fixed.LOG_OK + "\n")
     + " ELSE 'app' || CAST(d.doc_id AS VARCHAR) || "
     + S.lit(" " + fixed.LOG_FAIL + "\n" + fixed.NO_RESULT_LOG + "\n")
-    + " END AS entry FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id",
+    + " END AS entry FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id)",
 )
 def q_run_log(spark, d):
-    """The run log entry per app (``name ✔`` or ``name ❌`` + reason), written as text."""
+    """The run log (``name ✔`` or ``name ❌`` + a reason line per app), written as text; its lines read back."""
     docs = table(spark, d, "documents").select("doc_id")
     hit = table(spark, d, "labels").select("doc_id").distinct().withColumn("ok", F.lit(True))
     j = docs.join(hit, "doc_id", "left")
     ok = F.coalesce(F.col("ok"), F.lit(False))
     entries = j.select("doc_id", FI.log_entry(F.concat(F.lit("app"), F.col("doc_id").cast("string")), ok, F.when(~ok, F.lit(fixed.NO_RESULT_LOG))).alias("entry"))
-    FI.write_log(entries, scratch_path(spark, "run-log"), reset=True)
-    return entries
+    path = scratch_path(spark, "run-log")
+    FI.write_log(entries, path, reset=True)
+    return spark.read.text(path)
 
 
 @register(
@@ -1072,30 +1168,87 @@ def q_verify_sample(spark, d):
     sample = SE.low_confidence(res, "confidence", "manual_review")
     if not FI.write_verification_sample(sample, path):
         return FI.to_display(sample)
-    return spark.read.schema(FI.results_schema()).options(**FI.CSV_READ).csv(path)
+    return FI.read_results(spark, path)
 
 
-@register("q_report_json")
+def _written_report(spark, d) -> str:
+    path = scratch_path(spark, "report")
+    RP.write_raw_report(RP.raw_frame_of_records(spark, d), path)
+    return path
+
+
+@register("q_report_json", _summary_sql())
 def q_report_json(spark, d):
-    """The raw report written as one JSON document and read back (rows-only check)."""
-    raw = RP.raw_frame_of_records(spark, d)
-    path = scratch_path(spark, "report-json")
-    FI.write_report(RP.raw_report(raw, RP.review_queue(raw)), path)
-    return spark.read.text(path)
+    """The report's JSON document, written and read back."""
+    schema = RP.raw_summary(RP.raw_frame_of_records(spark, d)).schema
+    return spark.read.schema(schema).json(f"{_written_report(spark, d)}/summary").drop("findings")
+
+
+@register("q_report_sections", S.with_rr("SELECT section, value, n, first_seen, share FROM lines", _raw_sql(), _raw_lines_sql()))
+def q_report_sections(spark, d):
+    """Every entry of every section, written partitioned by section and read back."""
+    return spark.read.parquet(f"{_written_report(spark, d)}/sections").select("section", "value", "n", "first_seen", "share")
+
+
+@register("q_report_queue", f"WITH rr AS ({S.rr_select()}), {_raw_sql()} SELECT id, app AS name, confidence, issues FROM raw WHERE review")
+def q_report_queue(spark, d):
+    """The whole review queue, written and read back."""
+    return spark.read.parquet(f"{_written_report(spark, d)}/review_queue")
+
+
+def _files_report_sql() -> str:
+    token = "('" + "', '".join(t.replace("'", "''") for t in fixed.NULL_TOKENS) + "')"
+    kept = {"top_auth_methods": "auth_method", "top_blockers": "blocker", "top_self_serve": "self_serve"}
+    parts = [f"SELECT '{sec}' AS section, trim({c}) AS value FROM merged WHERE {c} IS NOT NULL AND {c} NOT IN {token} AND trim({c}) <> ''" for sec, c in kept.items()]
+    return _merged_cte() + "\nSELECT section, value, count(*) AS n FROM (" + " UNION ALL ".join(parts) + ") GROUP BY ALL"
+
+
+@register("q_report_from_files", _files_report_sql())
+def q_report_from_files(spark, d):
+    """A2 + G16: results written as CSV, read from the first path there is with the missing-value tokens (such as ``None``) as NULL."""
+    root = scratch_path(spark, "report-files")
+    FI.write_results(verified_records(rr(spark, d)), f"{root}/data", reset=True)
+    lines = RP.raw_lines(RP.raw_frame_from_files(spark, [f"{root}/outputs", f"{root}/data"]))
+    return lines.where(F.col("section").isin("top_auth_methods", "top_blockers", "top_self_serve")).select("section", "value", "n")
+
+
+def _run_frames(spark, d):
+    """Results, errors and log of a run whose apps are the documents; those without a label have no hit."""
+    from docvet.operators.collect import no_hits
+
+    results = verified_records(rr(spark, d))
+    docs = table(spark, d, "documents").select("doc_id")
+    missing = no_hits(docs, table(spark, d, "labels"), "doc_id").select(F.concat(F.lit("app"), F.col("doc_id").cast("string")).alias("name"))
+    errors = FI.error_rows(missing.withColumn("err", F.lit(fixed.NO_RESULT_ERROR)), "name", "err", F.lit(fixed.NO_RESULT_NOTES))
+    return results, errors, missing.select("name", FI.log_entry("name", F.lit(False), F.lit(fixed.NO_RESULT_LOG)).alias("entry"))
 
 
 @register(
     "q_reset_append",
-    S.with_rr("SELECT id, name, auth_method FROM rr UNION ALL SELECT id, name, auth_method FROM rr"),
+    _merged_cte()
+    + ", m AS (SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL))"
+    + "\nSELECT 'results' AS output, CAST(2 * count(*) AS BIGINT) AS n FROM merged UNION ALL SELECT 'json', 2 * count(*) FROM merged "
+    "UNION ALL SELECT 'errors', 2 * n FROM m UNION ALL SELECT 'log', 4 * n FROM m "
+    f"UNION ALL SELECT 'verification', count(*) FROM merged WHERE confidence < {fixed.LOW_CONFIDENCE} OR manual_review",
 )
 def q_reset_append(spark, d):
-    """A10: the first write of a run overwrites (reset), later ones append."""
-    path = scratch_path(spark, "reset-append")
-    recs = rr(spark, d).select("id", "name", "auth_method")
-    recs.write.mode("overwrite").parquet(path)
-    recs.write.mode("overwrite").parquet(path)  # a re-run resets
-    recs.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    """A10: a run, a second that resets the four outputs, a third that appends; rows (or lines) of each output."""
+    root = scratch_path(spark, "run")
+    frames = _run_frames(spark, d)
+    for reset in (False, True, False):
+        FI.write_run(*frames, root, reset=reset)
+    read = {
+        "results": FI.read_results(spark, f"{root}/results"),
+        "json": spark.read.schema(frames[0].schema).json(f"{root}/json"),
+        "errors": FI.read_errors(spark, f"{root}/errors"),
+        "log": spark.read.text(f"{root}/log"),
+        "verification": FI.read_results(spark, f"{root}/verification"),
+    }
+    counts = [df.agg(F.lit(k).alias("output"), F.count(F.lit(1)).alias("n")) for k, df in read.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out
 
 
 @register(
@@ -1118,11 +1271,10 @@ from docvet.streaming import incremental as INC  # noqa: E402
 
 @register("q_stream_append", MERGED_SQL)
 def q_stream_append(spark, d):
-    """H1: documents arrive as files; results are verified and appended (equals the batch result)."""
+    """H1: the files of the documents table arrive; results are verified and appended (equals the batch result)."""
     root = scratch_path(spark, "stream-append")
     docs = table(spark, d, "documents")
-    docs.repartition(4).write.parquet(f"{root}/in")
-    INC.stream_results(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt", docs.schema, max_files_per_trigger=1)
+    INC.stream_results(spark, f"{d}/documents.parquet", f"{root}/out", f"{root}/ckpt", docs.schema)
     return spark.read.parquet(f"{root}/out")
 
 
@@ -1131,8 +1283,7 @@ def q_stream_distribution(spark, d):
     """H2: the event-type distribution kept current over micro-batches."""
     root = scratch_path(spark, "stream-dist")
     ev = table(spark, d, "events")
-    ev.repartition(4).write.parquet(f"{root}/in")
-    INC.stream_distribution(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt", ev.schema, "event_type", max_files_per_trigger=1)
+    INC.stream_distribution(spark, f"{d}/events.parquet", f"{root}/out", f"{root}/ckpt", ev.schema, "event_type")
     return INC.latest_distribution(spark, f"{root}/out")
 
 
@@ -1140,15 +1291,63 @@ def q_stream_distribution(spark, d):
 from docvet.plans.research import research_run  # noqa: E402
 
 
-@register("q_research_run")
+def _fails_at_times() -> EX.ExtractFn:
+    """The keyword function, but for apps whose call fails or whose answer is no JSON."""
+    answer = EX.keyword_extractor()
+
+    def fn(request: str, row) -> str:
+        if row["name"].endswith(".org"):
+            raise RuntimeError("no answer")
+        return "not json" if row["name"].startswith("m.") else answer(request, row)
+
+    return fn
+
+
+_RUNS: dict[tuple[str, str], object] = {}
+
+
+def _run(spark, d):
+    """One run per session and folder: results and errors come from the same answers."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RUNS:
+        _RUNS[key] = research_run(spark, d, _fails_at_times)
+    return _RUNS[key]
+
+
+def _run_ctes() -> str:
+    h0, h1 = fixed.PAGE_HEADER.split("{url}")
+    piece = f"{S.lit(h0)} || t.url || {S.lit(h1)} || coalesce(substring({_page_text_sql('p.html')}, 1, {fixed.CHARS_PER_PAGE}), '')"
+    return (
+        f"{_HITS_SQL}, {_TOP_SQL}, docs AS (SELECT t.app, string_agg({piece}, '' ORDER BY t.rank) AS document, "
+        f"string_agg(t.url, {S.lit(fixed.EVIDENCE_SEPARATOR)} ORDER BY t.rank) AS evidence FROM top t JOIN pages p ON p.page_id = t.rank GROUP BY t.app), "
+        "named AS (SELECT DISTINCT app AS name FROM hits UNION SELECT DISTINCT source || '.test' FROM documents)"
+    )
+
+
+def _run_sql() -> str:
+    category = S.canon_category(r"regexp_extract(app, '\.([a-z]+)$', 1)")
+    words = f"array_to_string(list_slice(string_split({S.utrim(S.collapse_ws('document'))}, ' '), 1, 12), ' ')"
+    records = (
+        f"SELECT app AS id, app AS name, {category} AS category, document AS text, {words} AS description, app AS evidence_url, "
+        + ", ".join(f"{_stub_sql(f, 'document')} AS {f}" for f in _STUB_SQL)
+        + " FROM docs WHERE NOT app LIKE '%.org' AND NOT app LIKE 'm.%'"
+    )
+    merged = _merged_cte().replace(S.rr_select(), records)
+    return merged.replace("WITH ", f"WITH {_run_ctes()}, ", 1) + "\nSELECT m.* REPLACE (d.evidence AS evidence_url) FROM merged m JOIN docs d ON d.app = m.name"
+
+
+@register("q_research_run", _run_sql())
 def q_research_run(spark, d):
-    """D2-D8, E1-E10, F1-F8 end to end over the pages table (rows-only: E2 is the caller's function)."""
-    results, _errors = research_run(spark, d)
-    return results
+    """A1, D2-D8, E1-E10, F1-F8 end to end: the result records of a run over the pages table."""
+    return _run(spark, d).results
 
 
-@register("q_research_errors")
+@register(
+    "q_research_errors",
+    f"WITH {_run_ctes()} SELECT app, 'no answer' AS error, {S.lit(fixed.EXCEPTION_NOTES)} AS notes FROM docs WHERE app LIKE '%.org' "
+    f"UNION ALL SELECT app, 'answer is not a JSON object', {S.lit(fixed.EXCEPTION_NOTES)} FROM docs WHERE app LIKE 'm.%' AND NOT app LIKE '%.org' "
+    f"UNION ALL SELECT name, {S.lit(fixed.NO_RESULT_ERROR)}, {S.lit(fixed.NO_RESULT_NOTES)} FROM named WHERE name NOT IN (SELECT app FROM docs)",
+)
 def q_research_errors(spark, d):
-    """A6 from the run: answers that could not be parsed (rows-only)."""
-    _results, errors = research_run(spark, d)
-    return errors
+    """A6 from the same run: failed calls, unreadable answers, apps without pages."""
+    return _run(spark, d).errors

@@ -5,24 +5,25 @@ Two reports exist, as in the original: the rule-normalised report
 the raw-value report (counters with shares, review queue, findings,
 verification stats).
 
-Plan shape (normalised report): the normalised projection is aggregated once
-at its finest grain (category x five closed label sets); every distribution
-and crosstab is then a re-aggregation of that small "cells" table, so the
-base data is shuffled once for all of them (the identical exchange is reused
-inside one plan).  The open-ended blocker labels and the numeric summary take
-one more aggregate each.  The nested one-row reports gather only these small
-aggregates through scalar subqueries; no base row reaches the driver.
+Plan shape: every row emits its (section, key, label) entries and one
+aggregation counts them, so the rows are scanned once and shuffled as partial
+counts.  That small table is written to the shared folder; all sections,
+shares, the exact median, leaders and findings read it.  No section is cut;
+what is open-ended stays in rows, and only closed label sets and figures share
+one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docvet.functions import fixed
 from docvet.functions.text import ratio_round, round_half_up, utrim
 from docvet.operators import aggregate as AG
 from docvet.plans.analysis import as_results, normalised_frame, raw_frame
+from docvet.session import written
+from docvet.sources.files import ROW_ID, first_existing, missing_report, read_results, write_json_document
 from docvet.sources.records import research_records
 
 NORMALISED_DISTRIBUTIONS = {
@@ -98,60 +99,47 @@ def report_counts(norm: DataFrame) -> DataFrame:
 
 
 def _summary_lines(counts: DataFrame) -> DataFrame:
-    """Mean, exact median, min, max from the confidence histogram, and the
-    review count, in one global aggregate of the small counts table.
-
-    The histogram (one entry per distinct confidence value) is sorted once;
-    a single ``aggregate`` pass finds the values at the two middle positions.
-    """
+    """Mean, exact median, min, max of the counted confidence values, and the review count."""
     sec = F.col("section")
     v = F.col("label").cast("bigint")
+    median = AG.median_of_counts(counts.where(sec == _CONF).select(v.alias("value"), "n"))
     g = counts.agg(
         F.sum(F.when(sec == _CONF, v * F.col("n"))).alias("sv"),
         F.sum(F.when(sec == _CONF, F.col("n"))).alias("cnt"),
         F.min(F.when(sec == _CONF, v)).alias("mn"),
         F.max(F.when(sec == _CONF, v)).alias("mx"),
         F.coalesce(F.sum(F.when((sec == _REVIEW) & (F.col("label") == "true"), F.col("n"))), F.lit(0)).alias("flagged"),
-        F.array_sort(F.collect_list(F.when(sec == _CONF, F.struct(v.alias("v"), F.col("n").alias("n"))))).alias("hist"),
     )
-    lo = F.floor((F.col("cnt") + 1) / 2)
-    hi = F.ceil((F.col("cnt") + 1) / 2)
-    init = F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(None).cast("bigint").alias("m1"), F.lit(None).cast("bigint").alias("m2"))
-    walk = F.aggregate(
-        F.col("hist"),
-        init,
-        lambda acc, x: F.struct(
-            (acc["c"] + x["n"]).alias("c"),
-            F.coalesce(acc["m1"], F.when(acc["c"] + x["n"] >= lo, x["v"])).alias("m1"),
-            F.coalesce(acc["m2"], F.when(acc["c"] + x["n"] >= hi, x["v"])).alias("m2"),
-        ),
-    )
-    med = (walk["m1"] + walk["m2"]) / 2.0
+    none = F.lit(None)
+
+    def stat(name: str, n: Column, x: Column) -> Column:
+        return F.struct(F.lit(name).alias("k"), n.cast("bigint").alias("n"), x.cast("double").alias("x"))
+
     rows = F.array(
-        F.struct(F.lit("average").alias("k"), F.lit(None).cast("bigint").alias("n"), F.coalesce(round_half_up(F.col("sv") / F.col("cnt"), 2), F.lit(0.0)).alias("x")),
-        F.struct(F.lit("median").alias("k"), F.lit(None).cast("bigint").alias("n"), F.coalesce(round_half_up(med, 2), F.lit(0.0)).alias("x")),
-        F.struct(F.lit("lowest").alias("k"), F.coalesce(F.col("mn"), F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
-        F.struct(F.lit("highest").alias("k"), F.coalesce(F.col("mx"), F.lit(0)).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
-        F.struct(F.lit("manual_review_count").alias("k"), F.col("flagged").cast("bigint").alias("n"), F.lit(None).cast("double").alias("x")),
+        stat("average", none, F.coalesce(round_half_up(F.col("sv") / F.col("cnt"), 2), F.lit(0.0))),
+        stat("median", none, F.coalesce(round_half_up(F.lit(median).cast("double"), 2), F.lit(0.0))),
+        stat("lowest", F.coalesce("mn", F.lit(0)), none),
+        stat("highest", F.coalesce("mx", F.lit(0)), none),
+        stat("manual_review_count", F.col("flagged"), none),
     )
     return g.select(F.explode(rows).alias("s")).select(*_line("confidence_summary", None, F.col("s.k"), F.col("s.n"), F.col("s.x")))
 
 
 def normalised_lines(norm: DataFrame) -> DataFrame:
-    """The normalised report in long form: (section, key, label, n, x).
+    """The normalised report, complete, in long form: (section, key, label, n, x).
 
-    Everything derives from ``report_counts`` (one scan, one shuffle of
-    partial counts).  Crosstabs are zero-filled over the column labels
-    observed in their section; the label set comes from a window over the
-    small counts table, never from the base rows.
+    ``report_counts`` is written once (one scan of the rows, one shuffle of
+    partial counts); every section reads that small table.  Crosstabs are
+    zero-filled over the column labels observed in their section, which come
+    from the closed sets of the rule packs.
     """
-    counts = report_counts(norm)
+    counts = written(report_counts(norm), "report-counts")
     plain = counts.where(F.col("key").isNull() & ~F.col("section").isin(_CONF, _REVIEW))
     parts = [plain.select(*_line(F.col("section"), None, F.col("label"), F.col("n")))]
     xt = counts.where(F.col("key").isNotNull())
     labels = xt.groupBy("section").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     per_row = xt.groupBy("section", "key").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m"))
-    # ``labels`` has one row per crosstab section (three): a proven bound, so it is broadcast
+    # ``labels`` has one row per crosstab section (three), each a closed label set: a proven bound
     grid = per_row.join(F.broadcast(labels), "section").select("section", "key", "m", F.explode("labels").alias("lab"))
     parts.append(grid.select(*_line(F.col("section"), F.col("key"), F.col("lab"), F.coalesce(F.col("m")[F.col("lab")], F.lit(0)))))
     parts.append(_summary_lines(counts))
@@ -161,89 +149,6 @@ def normalised_lines(norm: DataFrame) -> DataFrame:
     return out
 
 
-def normalised_report(norm: DataFrame, section_limit: int = 1000) -> DataFrame:
-    """The normalised report as one nested row (distributions as
-    array<struct<value,count>> in count order, crosstabs as map<map>).
-
-    Closed label sets are small; the open-ended ones (blocker text,
-    categories) are cut to the ``section_limit`` largest values, and the
-    crosstabs to the ``section_limit`` largest categories, so the row stays
-    bounded; ``<section>_values`` gives the number of distinct values.  The
-    complete report is the long form, ``normalised_lines``.
-
-    One plan: the small long form is ranked with windows, cut, unioned into
-    one entry list and collected by a single global aggregate; the nested
-    fields are then assembled from that one row with higher-order functions.
-    """
-    lines = normalised_lines(norm)
-    by_section = Window.partitionBy("section")
-    # distributions straight from the counts, which carry first appearance:
-    # equal counts keep the order in which their values first occur
-    counts = report_counts(norm)
-    dists = counts.where(F.col("key").isNull() & ~F.col("section").isin(_CONF, _REVIEW)).select("section", "label", "n", "first_seen")
-    dists = dists.withColumn("pos", F.row_number().over(by_section.orderBy(F.desc("n"), F.asc("first_seen"), F.asc("label")))).withColumn(
-        "values", F.count(F.lit(1)).over(by_section)
-    )
-    xt = (
-        lines.where(F.col("key").isNotNull())
-        .groupBy("section", "key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m"), F.sum("n").alias("t"))
-    )
-    xt = xt.withColumn("pos", F.row_number().over(by_section.orderBy(F.desc("t"), F.asc("key"))))
-    empty_map = F.lit(None).cast("map<string,bigint>")
-    parts = [
-        dists.where(F.col("pos") <= section_limit).select(
-            "section", F.lit(None).cast("string").alias("key"), "label", "n", F.lit(None).cast("double").alias("x"), empty_map.alias("m"), "pos", "values"
-        ),
-        xt.where(F.col("pos") <= section_limit).select(
-            "section", "key", F.lit(None).cast("string").alias("label"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("x"), "m", "pos", F.lit(None).cast("bigint").alias("values")
-        ),
-        lines.where(F.col("section") == "confidence_summary").select(
-            "section", "key", "label", "n", "x", empty_map.alias("m"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("bigint").alias("values")
-        ),
-    ]
-    entries = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    one = entries.agg(F.collect_list(F.struct("pos", "section", "key", "label", "n", "x", "m", "values")).alias("e"))
-    e = F.col("e")
-
-    def by_pos(a: Column, b: Column) -> Column:
-        return F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
-
-    def of(section: str) -> Column:
-        return F.array_sort(F.filter(e, lambda r: r["section"] == section), by_pos)
-
-    def dist(section: str) -> Column:
-        return F.transform(of(section), lambda r: F.struct(r["label"].alias("value"), r["n"].alias("count")))
-
-    def stat(label: str, field: str) -> Column:
-        return F.aggregate(
-            F.filter(e, lambda r: (r["section"] == "confidence_summary") & (r["label"] == label)),
-            F.lit(None).cast("double" if field == "x" else "bigint"),
-            lambda acc, r: F.coalesce(r[field], acc),
-        )
-
-    def n_values(section: str) -> Column:
-        return F.coalesce(F.element_at(F.transform(of(section), lambda r: r["values"]), 1), F.lit(0)).cast("bigint")
-
-    def crosstab(section: str) -> Column:
-        return F.map_from_entries(F.transform(of(section), lambda r: F.struct(r["key"], r["m"])))
-
-    cols = [dist(s).alias(s) for s in [*NORMALISED_DISTRIBUTIONS, "blocker_distribution"]]
-    cols.append(
-        F.struct(
-            stat("average", "x").alias("average"),
-            stat("median", "x").alias("median"),
-            stat("lowest", "n").alias("lowest"),
-            stat("highest", "n").alias("highest"),
-            stat("manual_review_count", "n").alias("manual_review_count"),
-        ).alias("confidence_summary")
-    )
-    cols.append(F.map_from_entries(F.transform(of("counts_by_category"), lambda r: F.struct(r["label"], r["n"]))).alias("counts_by_category"))
-    cols += [crosstab(s).alias(s) for s in CROSSTABS]
-    cols += [n_values(s).alias(f"{s}_values") for s in ("blocker_distribution", "counts_by_category")]
-    return one.select(*cols)
-
-
 _ROWS = "__rows"
 
 
@@ -276,21 +181,18 @@ def _raw_summary(counts: DataFrame) -> DataFrame:
     ]
     for s, _ in RAW_SECTIONS.items():
         aggs.append(F.count_if(sec == s).alias(f"{s}_values"))
-        aggs.append(F.max_by(F.when(sec == s, F.struct("value", "n")), F.when(sec == s, F.struct(F.col("n"), -F.col("first_seen")))).alias(f"{s}_leader"))
+        aggs.append(F.min_by(F.when(sec == s, F.struct("value", "n")), F.when(sec == s, F.struct(-F.col("n"), F.col("first_seen")))).alias(f"{s}_leader"))
     return counts.agg(*aggs)
 
 
 def raw_lines(raw: DataFrame) -> DataFrame:
     """Counters of the raw report with shares of all rows: section, value, n, first_seen, share."""
-    counts = raw_counts(raw)
-    total = counts.where(F.col("section") == _ROWS).select(F.sum("n")).scalar()
-    lines = counts.where(~F.col("section").startswith("__"))
-    return AG.with_share(lines, total)
+    return _lines_of(written(raw_counts(raw), "raw-counts"))
 
 
-def review_rate_col(raw: DataFrame) -> Column:
-    """G9 as a scalar subquery."""
-    return AG.review_rate(raw, "review").scalar()
+def _lines_of(counts: DataFrame) -> DataFrame:
+    total = counts.where(F.col("section") == _ROWS).select(F.sum("n")).scalar()
+    return AG.with_share(counts.where(~F.col("section").startswith("__")), total)
 
 
 def _findings_array(g: DataFrame) -> Column:
@@ -331,56 +233,37 @@ def findings(raw: DataFrame) -> DataFrame:
     return g.select(F.posexplode(_findings_array(g)).alias("pos", "finding")).select((F.col("pos") + 1).alias("pos"), "finding")
 
 
-def raw_report(raw: DataFrame, review_rows: DataFrame | None = None, section_limit: int = 1000) -> DataFrame:
-    """The raw-value report as one nested row.
-
-    Each section lists at most ``section_limit`` values (largest first) plus
-    ``<section>_values``, the number of distinct values, so a report over
-    open-ended text stays one bounded row; the full counters are
-    ``raw_lines``.  The review queue is bounded the same way.
-    """
-    counts = raw_counts(raw)
+def _summary_of(counts: DataFrame) -> DataFrame:
+    """The closed part of the raw report, one row: totals, rate, confidence, findings, leaders."""
     g = _raw_summary(counts)
-    lines = AG.with_share(counts.where(~F.col("section").startswith("__")), counts.where(F.col("section") == _ROWS).select(F.sum("n")).scalar())
-    ranked = AG.top_k(lines.withColumnRenamed("section", "field"), section_limit)
-    item = F.struct(F.col("pos"), F.col("value"), F.col("n").alias("count"), F.col("share"))
-    sec = ranked.groupBy("field").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    sec_map = sec.agg(F.map_from_entries(F.collect_list(F.struct("field", "items")))).scalar()
-    total = F.col("total_rows")
-    rate = F.coalesce(ratio_round(F.col("flagged") * F.lit(100), total, 2), F.lit(0.0))
-    staged = g.select(
-        "*",
-        rate.alias("manual_review_rate"),
-        F.struct(
-            F.coalesce(round_half_up(F.col("conf_sum") / F.col("conf_n"), 2), F.lit(0.0)).alias("mean"),
-            F.coalesce(F.col("conf_min"), F.lit(0)).alias("min"),
-            F.coalesce(F.col("conf_max"), F.lit(0)).alias("max"),
-        ).alias("confidence"),
+    leader = lambda s: F.coalesce(F.col(f"{s}_leader")["value"], F.lit("N/A")).alias(f"{s}_leader")
+    return g.select(
+        "total_rows",
+        F.col("flagged").alias("manual_review_count"),
+        F.coalesce(ratio_round(F.col("flagged") * F.lit(100), F.col("total_rows"), 2), F.lit(0.0)).alias("manual_review_rate"),
+        F.coalesce(round_half_up(F.col("conf_sum") / F.col("conf_n"), 2), F.lit(0.0)).alias("average_confidence"),
+        F.coalesce("conf_min", F.lit(0)).alias("min_confidence"),
+        F.coalesce("conf_max", F.lit(0)).alias("max_confidence"),
         _findings_array(g).alias("findings"),
-        sec_map.alias("__s"),
-    )
-    if review_rows is not None:
-        rq = review_rows.orderBy("id").limit(section_limit).agg(F.collect_list(F.struct("name", "confidence", "issues"))).scalar()
-        staged = staged.withColumn("__q", rq)
-    sm = F.col("__s")
-    strip = lambda arr: F.transform(F.coalesce(arr, F.array()), lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count"), s["share"].alias("share")))
-    cols = [F.col("total_rows"), F.col("manual_review_rate"), F.col("confidence")]
-    cols += [strip(sm[s]).alias(s) for s in RAW_SECTIONS]
-    cols += [F.col(f"{s}_values") for s in RAW_SECTIONS]
-    cols.append(F.map_from_entries(F.transform(F.coalesce(sm["top_categories"], F.array()), lambda s: F.struct(s["value"], s["count"]))).alias("categories"))
-    cols.append(F.col("findings"))
-    if review_rows is not None:
-        cols.append(F.coalesce(F.col("__q"), F.array()).alias("apps_needing_review"))
-    cols.append(
-        F.struct(
-            F.col("flagged").alias("manual_review_count"),
-            F.col("manual_review_rate"),
-            F.col("confidence.mean").alias("average_confidence"),
-            F.col("confidence.min").alias("min_confidence"),
-            F.col("confidence.max").alias("max_confidence"),
-        ).alias("verification_stats")
+        *map(leader, RAW_SECTIONS),
     )
-    return staged.select(*cols)
+
+
+def raw_summary(raw: DataFrame) -> DataFrame:
+    return _summary_of(written(raw_counts(raw), "raw-counts"))
+
+
+def write_raw_report(raw: DataFrame, path: str) -> None:
+    """A9, complete at any size: the raw-value report as three outputs below ``path``.
+
+    ``sections``: one row per section entry, partitioned by section; ``review_queue``: every flagged
+    row; ``summary``: the closed part, one JSON document.  Entries of a section are in the order of
+    the report when read by n descending, then first_seen.
+    """
+    counts = written(raw_counts(raw), "raw-counts")
+    _lines_of(counts).write.mode("overwrite").partitionBy("section").parquet(f"{path}/sections")
+    review_queue(raw).write.mode("overwrite").parquet(f"{path}/review_queue")
+    write_json_document(_summary_of(counts), f"{path}/summary")
 
 
 def review_queue(raw: DataFrame) -> DataFrame:
@@ -392,14 +275,21 @@ def raw_frame_of_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_frame(as_results(research_records(spark, sf_dir)))
 
 
-def raw_report_from_files(spark: SparkSession, candidates: list[str], section_limit: int = 1000) -> DataFrame:
-    """A2 + A9: the raw report of the first results file that exists, or
-    ``{total_rows: 0, message}`` when none does."""
-    from docvet.sources.files import first_existing, missing_report, read_results
+def raw_frame_from_files(spark: SparkSession, candidates: list[str]) -> DataFrame:
+    """A2: the raw frame of the first results file that exists, its missing-value tokens as NULL.
+
+    Rows keep the id that the sink wrote with them, so ties by first appearance do not depend on
+    how the files are split.
+    """
+    return raw_frame(read_results(spark, first_existing(spark, candidates), fixed.NULL_TOKENS), order=ROW_ID)
+
 
+def report_from_files(spark: SparkSession, candidates: list[str], path: str) -> None:
+    """A2 + A9: write the raw report of the first results file that exists; without one the summary
+    is ``{total_rows: 0, message}``."""
     try:
-        path = first_existing(spark, candidates)
+        raw = raw_frame_from_files(spark, candidates)
     except FileNotFoundError:
-        return missing_report(spark)
-    raw = raw_frame(read_results(spark, path).withColumn("id", F.monotonically_increasing_id()))
-    return raw_report(raw, review_queue(raw), section_limit)
+        write_json_document(missing_report(spark), f"{path}/summary")
+    else:
+        write_raw_report(raw, path)

@@ -1,77 +1,116 @@
-"""The research run end to end, as one Spark job.
-
-pages -> hits per host (D2) -> first 3 per host, official first (D3) -> page
-text of the chosen pages only (D8) -> combined document and evidence URLs
-(D4-D6) -> extraction request (E1) -> caller's extraction function (E2) ->
-parsed record (E3) -> fallbacks and fill-rate confidence (E4/E5/E9/E10) ->
-verification and merge (F1-F8) -> result records; unparseable answers become
-error rows (A6).
-
-Shuffles: one by host for the top-3 window (map-side limited), the per-host
-text assembly reuses that partitioning, and the record frame keeps it.  The
-extraction output is written to the shared checkpoint folder before it is
-used, so a lost executor re-reads it instead of calling the extractor again;
-the assembled documents and requests are written the same way.
+"""The research run end to end.
+
+catalogue (A1, B1, B2) -> hits per app (D2) -> first 3 ids per app, official
+first (D3) -> their pages only, as text cut to length (D8) -> combined
+document and evidence URLs (D4-D6) -> extraction request (E1) -> caller's
+extraction function (E2) -> parsed record (E3) -> fallbacks and fill-rate
+confidence (E4/E5/E9/E10) -> verification and merge (F1-F8) -> result records.
+Apps without hits (D7), failed calls and unreadable answers become error rows
+(A6), and every app gets a log entry (A7).
+
+Scale: pages are ranked by id; no page text takes part in the ranking's sort
+and shuffle.  The chosen ids (at most 3 per app) are joined back to the pages,
+whose text is cut before it is grouped.  The answers are written to the shared
+folder once: results, errors and log all read them, and a lost executor never
+calls the extractor again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docvet.functions import fixed
 from docvet.functions.checks import official_url
+from docvet.functions.scoring import scope_bucket
 from docvet.functions.text import canon_category
-from docvet.operators.collect import combine_pages, page_text, top_docs
+from docvet.operators.collect import combine_pages, no_hits, page_text, top_docs
 from docvet.operators.extract import ExtractFn, extract_batch, keyword_extractor, parse_record, request_text
+from docvet.operators.select import first_n, named_sample
 from docvet.operators.verify import score, verify_records
-from docvet.session import scratch_path
+from docvet.session import written
 from docvet.sources import records as REC
-from docvet.sources.files import error_rows
+from docvet.sources.files import error_rows, log_entry, write_run
 from docvet.sources.tables import table
 
 
+@dataclass
+class ResearchRun:
+    """What one run gives: result records, error rows (app, error, notes), log entries (name, entry)."""
+
+    results: DataFrame
+    errors: DataFrame
+    log: DataFrame
+
+    def write(self, root: str, reset: bool = False) -> None:
+        write_run(self.results, self.errors, self.log, root, reset)
+
+
+def research(
+    apps: DataFrame,
+    hits: DataFrame,
+    pages: DataFrame,
+    make_extractor: Callable[[], ExtractFn],
+    sample: Sequence[str] | None = None,
+    limit: int | None = None,
+) -> ResearchRun:
+    """Run over a catalogue (id, name, website, category).
+
+    ``hits``: app, rank, url, official, page_id; ``pages``: page_id, html (NULL: the scrape failed).
+    """
+    if sample is not None:
+        apps = named_sample(apps.sparkSession, apps, sample, name_col="name", order="id").drop("pos")
+    if limit is not None:
+        apps = first_n(apps, limit, "id")
+    apps = apps.withColumn("category", canon_category("category"))
+    chosen = top_docs(hits).join(pages, "page_id", "left")
+    texts = chosen.select("app", "rank", "url", F.substring(page_text("html"), 1, fixed.CHARS_PER_PAGE).alias("text"), F.col("html").isNull().alias("failed"), "pos")
+    docs = combine_pages(texts)
+    found = apps.join(docs.withColumnRenamed("app", "name"), "name")
+    asked = found.withColumn("request", request_text("name", "category", "website", "document"))
+    answers = extract_batch(asked.withColumnRenamed("evidence_url", "evidence"), make_extractor).drop("request")
+    answers = written(answers, "answers")
+    parsed = parse_record(
+        answers.withColumnsRenamed({"category": "known_category"}), scope_estimate=scope_bucket("document")
+    )
+    failed = error_rows(parsed, F.col("name"), F.col("error"), F.lit(fixed.EXCEPTION_NOTES))
+    missed = no_hits(apps, docs.select(F.col("app").alias("name")), "name").withColumn("error", F.lit(fixed.NO_RESULT_ERROR))
+    errors = failed.union(error_rows(missed, F.col("name"), F.col("error"), F.lit(fixed.NO_RESULT_NOTES)))
+    scored = score(parsed.where(F.col("error").isNull()), document="document")
+    results = verify_records(scored, "known_category", "document", evidence=F.col("evidence"))
+    log = parsed.select("name", log_entry("name", F.col("error").isNull(), F.col("error")).alias("entry")).union(
+        missed.select("name", log_entry("name", F.lit(False), F.lit(fixed.NO_RESULT_LOG)).alias("entry"))
+    )
+    return ResearchRun(results, errors, log)
+
+
+def table_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue from the test tables: every host of ``pages``, and every source of ``documents``, which has no page."""
+    hosts = table(spark, sf_dir, "pages").select(F.regexp_extract("url", REC.HOST_PATTERN, 1).alias("name"))
+    sources = table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".test")).alias("name"))
+    names = hosts.union(sources).distinct()
+    return names.select(F.col("name").alias("id"), "name", F.col("name").alias("website"), F.regexp_extract("name", r"\.([a-z]+)$", 1).alias("category"))
+
+
 def research_run(
     spark: SparkSession,
     sf_dir: str,
     make_extractor: Callable[[], ExtractFn] = keyword_extractor,
     indicators=REC.PAGE_INDICATORS,
     blocked=REC.PAGE_BLOCKED,
-) -> tuple[DataFrame, DataFrame]:
-    """Returns (results, errors)."""
+    sample: Sequence[str] | None = None,
+    limit: int | None = None,
+) -> ResearchRun:
+    """The run over the test tables: hosts are the apps, their pages the hits."""
     pages = table(spark, sf_dir, "pages")
     hits = pages.select(
         F.regexp_extract("url", REC.HOST_PATTERN, 1).alias("app"),
         F.col("page_id").alias("rank"),
         "url",
         official_url("url", indicators, blocked).alias("official"),
-        "html",
+        "page_id",
     )
-    chosen = top_docs(hits).withColumn("text", page_text("html")).withColumn("failed", F.lit(False))
-    docs = combine_pages(chosen)
-    apps = docs.select(
-        F.col("app").alias("name"),
-        F.col("app").alias("website"),
-        canon_category(F.regexp_extract("app", r"\.([a-z]+)$", 1)).alias("category"),
-        "document",
-        "evidence_url",
-    )
-    asked = apps.withColumn("request", request_text("name", "category", "website", "document")).withColumn("app", F.col("name"))
-    # the assembled documents are written once: extraction and the join below
-    # both read them, and a lost executor never re-runs page selection
-    asked_path = scratch_path(spark, "requests")
-    asked.write.mode("overwrite").parquet(asked_path)
-    asked = spark.read.parquet(asked_path)
-    answers = extract_batch(asked, make_extractor, ("name", "website", "category", "document"), key="app")
-    path = scratch_path(spark, "extractions")
-    answers.write.mode("overwrite").parquet(path)  # cut lineage: never re-call the extractor
-    parsed = parse_record(spark.read.parquet(path)).drop("name")
-    context = asked.select("app", F.col("category").alias("known_category"), "document", F.col("evidence_url").alias("evidence"))
-    joined = parsed.join(context, "app").withColumn("id", F.col("app"))
-    errors = error_rows(joined, F.col("app"), F.col("error"), F.lit(fixed.EXCEPTION_NOTES))
-    good = joined.where(F.col("error").isNull()).withColumn("name", F.col("app"))
-    scored = score(good, document="document")
-    results = verify_records(scored, "known_category", "document", evidence=F.col("evidence"))
-    return results, errors
+    return research(table_catalogue(spark, sf_dir), hits, pages.select("page_id", "html"), make_extractor, sample, limit)

@@ -32,11 +32,6 @@ def collapse_ws(x: str) -> str:
     return utrim(f"regexp_replace(CAST({x} AS VARCHAR), {lit(WS_CLASS + '+')}, ' ', 'g')")
 
 
-def has_text(x: str) -> str:
-    neg = "[^" + WS_CLASS[1:]
-    return f"coalesce(regexp_matches({x}, {lit(neg)}), false)"
-
-
 def fill_default(x: str, default: str = "Unknown", blank_to_default: bool = True) -> str:
     t = utrim(f"coalesce(CAST({x} AS VARCHAR), {lit(default)})")
     if blank_to_default:
@@ -48,11 +43,15 @@ def to_bool(x: str, tokens: Sequence[str] = fixed.TRUE_TOKENS) -> str:
     return f"coalesce(lower(CAST({x} AS VARCHAR)) IN ({lits(tokens)}), false)"
 
 
-def safe_numeric(x: str) -> str:
+def parse_number(x: str) -> str:
     s = f"CAST({x} AS VARCHAR)"
     num = f"(CASE WHEN regexp_full_match({s}, {lit(_NUMBER)}) THEN TRY_CAST(trim({s}, ' \t\n\r\f') AS DOUBLE) END)"
+    return f"coalesce({num}, 0.0)"
+
+
+def safe_numeric(x: str) -> str:
     # Spark's double -> bigint cast truncates toward zero
-    return f"CAST(coalesce(TRY_CAST(trunc({num}) AS BIGINT), 0) AS BIGINT)"
+    return f"CAST(coalesce(TRY_CAST(trunc({parse_number(x)}) AS BIGINT), 0) AS BIGINT)"
 
 
 def python_int(x: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "docvet") -> SparkSession:
@@ -22,7 +22,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "doc
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -36,9 +36,9 @@ _LOCAL_ROOTS: dict[str, str] = {}
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Read from the session.  Only when the session names none (local tests)
-    is a folder created, once per application, and registered with the
-    context, so every later write lands in the same place.
+    Read from the session.  A local session without one gets a temporary
+    folder, once per application; on a cluster that folder would differ from
+    machine to machine, so there the setting must be given.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
@@ -47,6 +47,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             root = spark.conf.get("spark.checkpoint.dir")
         except Exception:  # noqa: BLE001 - key absent
             root = None
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         app_id = sc.applicationId
         root = _LOCAL_ROOTS.get(app_id)
@@ -58,6 +60,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below the shared folder and read back: computed once, and safe from lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique folder below the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/docvet/{label}-{uuid.uuid4().hex[:12]}"

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from docvet.functions import fixed
 from docvet.functions.text import null_tokens_to_null
+from docvet.operators.select import low_confidence
+from docvet.session import written
 
 # CSV options that round-trip text exactly: RFC-4180 quote doubling, an
 # explicit NULL marker so "" stays "", no whitespace trimming, multi-line cells.
@@ -78,8 +80,12 @@ def read_first(spark: SparkSession, candidates: Sequence[str], schema: T.StructT
     return read_csv(spark, first_existing(spark, candidates), schema)
 
 
+#: The sink's column for a record's id; it keeps the order of rows through files.
+ROW_ID = "Row"
+
+
 def to_display(df: DataFrame, names: Sequence[tuple[str, str]] = fixed.DISPLAY_NAMES, array_as_json: bool = True) -> DataFrame:
-    """A4's projection: snake_case -> display names, fixed order, absent columns dropped."""
+    """A4's projection: snake_case -> display names, fixed order, absent columns dropped, then the id if there is one."""
     cols = []
     for src, dst in names:
         if src not in df.columns:
@@ -88,26 +94,33 @@ def to_display(df: DataFrame, names: Sequence[tuple[str, str]] = fixed.DISPLAY_N
         if array_as_json and isinstance(df.schema[src].dataType, T.ArrayType):
             c = F.to_json(c)
         cols.append(c.alias(dst))
+    if "id" in df.columns:
+        cols.append(F.col("id").cast("string").alias(ROW_ID))
     return df.select(*cols)
 
 
 def write_results(df: DataFrame, path: str, reset: bool = False) -> None:
-    """A4 / A10: append the result records as CSV (overwrite when ``reset``)."""
+    """A4 / A10: append the result records as CSV (overwrite when ``reset``).
+
+    Several writes of one frame should be given a written frame, as ``write_run`` does."""
     to_display(df).write.mode("overwrite" if reset else "append").options(**CSV_WRITE).csv(path)
 
 
 def results_schema() -> T.StructType:
     types = {"confidence": T.IntegerType(), "manual_review": T.BooleanType()}
-    return T.StructType([T.StructField(dst, types.get(src, T.StringType())) for src, dst in fixed.DISPLAY_NAMES])
+    fields = [T.StructField(dst, types.get(src, T.StringType())) for src, dst in fixed.DISPLAY_NAMES]
+    return T.StructType([*fields, T.StructField(ROW_ID, T.StringType())])
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(results_schema()).options(**CSV_READ).csv(path)
+def read_results(spark: SparkSession, path: str, null_tokens: Sequence[str] | None = None) -> DataFrame:
+    """Result records as written; with ``null_tokens`` as the reports read them.  Numeric ids order as numbers."""
+    df = read_csv(spark, path, results_schema(), null_tokens)
+    return df.withColumn(ROW_ID, F.coalesce(F.lpad(F.expr(f"try_cast({ROW_ID} AS BIGINT)").cast("string"), 20, "0"), F.col(ROW_ID)))
 
 
 def write_json(df: DataFrame, path: str, reset: bool = False) -> None:
     """A5: append records as JSON lines (one object per line, not one array)."""
-    df.write.mode("overwrite" if reset else "append").json(path)
+    df.write.mode("overwrite" if reset else "append").option("ignoreNullFields", "false").json(path)
 
 
 def error_rows(df: DataFrame, app: str | Column, error: str | Column, notes: str | Column) -> DataFrame:
@@ -118,6 +131,18 @@ def error_rows(df: DataFrame, app: str | Column, error: str | Column, notes: str
     return df.where(e.isNotNull()).select(a.cast("string").alias("app"), e.cast("string").alias("error"), n.cast("string").alias("notes"))
 
 
+def write_errors(errors: DataFrame, path: str, reset: bool = False) -> None:
+    """A6 sink: append ``app, error, notes`` as CSV."""
+    errors.select("app", "error", "notes").write.mode("overwrite" if reset else "append").options(**CSV_WRITE).csv(path)
+
+
+ERRORS_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("app", "error", "notes")])
+
+
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ERRORS_SCHEMA).options(**CSV_READ).csv(path)
+
+
 def log_entry(name: str | Column, ok: str | Column, reason: str | Column | None = None) -> Column:
     """``name ✔`` or ``name ❌``, then the reason line when there is one."""
     n = F.col(name) if isinstance(name, str) else name
@@ -138,15 +163,39 @@ def write_log(entries: DataFrame, path: str, column: str = "entry", reset: bool
 
 
 def write_verification_sample(df: DataFrame, path: str) -> bool:
-    """Write the sample only when it has a row (``isEmpty`` reads one row)."""
-    if df.isEmpty():
+    """Write the sample only when it has a row.  The rows are computed once, then looked at and written."""
+    sample = written(to_display(df), "sample")
+    if sample.isEmpty():
         return False
-    to_display(df).write.mode("overwrite").options(**CSV_WRITE).csv(path)
+    sample.write.mode("overwrite").options(**CSV_WRITE).csv(path)
     return True
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """The one-row report as a single JSON document."""
+RUN_OUTPUTS = ("results", "json", "errors", "log")
+
+
+def reset_run(spark: SparkSession, root: str) -> None:
+    """A10: remove the four outputs of a run; the verification sample stays."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in RUN_OUTPUTS:
+        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        p.getFileSystem(conf).delete(p, True)
+
+
+def write_run(results: DataFrame, errors: DataFrame, log: DataFrame, root: str, reset: bool = False) -> None:
+    """Append a run's results (CSV and JSON), errors and log below ``root``, and its verification sample."""
+    if reset:
+        reset_run(results.sparkSession, root)
+    results = written(results, "run-results")
+    write_results(results, f"{root}/results")
+    write_json(results, f"{root}/json")
+    write_errors(errors, f"{root}/errors")
+    write_log(log, f"{root}/log")
+    write_verification_sample(low_confidence(results, "confidence", "manual_review"), f"{root}/verification")
+
+
+def write_json_document(report: DataFrame, path: str) -> None:
+    """A one-row frame as a single JSON document."""
     report.select(F.to_json(F.struct(*[F.col(c) for c in report.columns])).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 

@@ -9,7 +9,7 @@ H2: label distributions kept current while records arrive: a streaming
 aggregation in complete mode (state is one row per label, bounded by label
 cardinality; there is no event time, so no watermark is needed).  Each
 micro-batch overwrites the sink folder of that batch, so a retried batch
-rewrites the same files.
+rewrites the same files; the folders of earlier batches are then removed.
 """
 
 from __future__ import annotations
@@ -22,9 +22,14 @@ from docvet.sources.records import records_from_documents
 
 
 def documents_stream(spark: SparkSession, source_dir: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The files of a folder as they arrive; a path that is one file is streamed from its folder by its name."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
     return reader.parquet(source_dir)
 
 
@@ -69,6 +74,7 @@ def stream_distribution(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id:012d}")
+        _remove_older(spark, sink_dir, batch_id)
 
     parts = state_partitions or spark.sparkContext.defaultParallelism
     previous = spark.conf.get("spark.sql.shuffle.partitions")
@@ -87,6 +93,16 @@ def stream_distribution(
     return q
 
 
+def _remove_older(spark: SparkSession, sink_dir: str, batch_id: int) -> None:
+    """Keep the current table and the one before it, which a reader may still have open."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name.removeprefix("batch=")) < batch_id - 1:
+            fs.delete(status.getPath(), True)
+
+
 def latest_distribution(spark: SparkSession, sink_dir: str) -> DataFrame:
     """The table written by the last micro-batch of H2 (batch ids only grow)."""
     all_batches = spark.read.parquet(sink_dir)

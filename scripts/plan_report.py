@@ -17,8 +17,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 SINKS = {
     "q_scan_csv", "q_scan_first", "q_result_append", "q_json_append", "q_run_log", "q_verify_sample",
-    "q_report_json", "q_reset_append", "q_stream_append", "q_stream_distribution", "q_research_run",
-    "q_research_errors",
+    "q_error_rows", "q_report_json", "q_report_sections", "q_report_queue", "q_report_from_files", "q_reset_append",
+    "q_stream_append", "q_stream_distribution",
 }
 
 
@@ -29,7 +29,6 @@ def summarise(plan: str) -> dict[str, str]:
     pushed = re.findall(r"PushedFilters: \[([^\]]*)\]", plan)
     return {
         "exchanges": str(n(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)")),
-        "spread": "yes" if "RoundRobinPartitioning" in plan else "-",
         "scans": str(n(r"FileScan ")),
         "pushed filters": "yes" if any(p.strip() for p in pushed) else "-",
         "python": str(n(r"MapInPandas|PythonMapInArrow|BatchEvalPython|ArrowEvalPython")),
@@ -59,9 +58,9 @@ def main() -> None:
         "",
         f"Physical plans of the catalogue queries at `{sf}`, AQE off so the static",
         "choice is visible (AQE then coalesces partitions and may switch joins to",
-        "broadcast by runtime size).  `spread` marks the round-robin deal of a",
-        "small text input over all cores (absent for inputs with many files or",
-        "row groups).  Generated by `python scripts/plan_report.py`.",
+        "broadcast by runtime size).  Reports and the research run write their",
+        "counts or answers first; shown is the plan that reads these.",
+        "Generated by `python scripts/plan_report.py`.",
         "",
         "| query | " + " | ".join(cols) + " |",
         "| --- | " + " | ".join("---" for _ in cols) + " |",

@@ -49,7 +49,7 @@ def test_counter_ties_by_first_appearance(spark):
     c = AG.counter(df, "v")
     top = AG.top_k(c.withColumn("field", F.lit("f")), 1).collect()[0]
     assert top["value"] == "b"  # tie 2-2, b seen first
-    lead = AG.leaders(c.withColumn("field", F.lit("f"))).collect()[0]["leader"]
+    lead = AG.leaders(c.withColumn("field", F.lit("f")), ["f"]).collect()[0]["leader"]
     assert lead == "b"
     assert c.count() == 2  # blanks dropped
 
@@ -67,3 +67,26 @@ def test_crosstab_wide_matches_long(spark):
     w = {(r["row_label"], c): r[c] for r in wide.collect() for c in wide.columns if c != "row_label"}
     l = {(r["row_label"], r["col_label"]): r["n"] for r in long.collect()}
     assert w == l
+
+
+def test_median_of_many_distinct_values(spark):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    for n in (1, 2, 301, 900):
+        values = [round(rng.gauss(0, 50), 3) if i % 3 else 7.25 for i in range(n)]
+        counts = spark.createDataFrame([(v,) for v in values], "v double").groupBy("v").count()
+        assert AG.median_of_counts(counts, "v", "count", gather=20) == statistics.median(values)
+    assert AG.median_of_counts(counts.where("false"), "v", "count") is None
+
+
+def test_crosstab_counts_null_labels(spark):
+    df = spark.createDataFrame([("a", None), ("a", "x"), (None, "x"), ("a", None)], "r string, c string")
+    got = {(r["row_label"], r["col_label"]): r["n"] for r in AG.crosstab_long(df, "r", "c").collect()}
+    assert got == {("a", "Unknown"): 2, ("a", "x"): 1, ("Unknown", "x"): 1, ("Unknown", "Unknown"): 0}
+
+
+def test_leader_of_a_blank_field(spark):
+    counts = AG.multi_distribution(spark.createDataFrame([(1, "x", " "), (2, "x", None)], "id int, f string, g string"), {"f": "f", "g": "g"}, drop_blank=True)
+    assert {r["field"]: r["leader"] for r in AG.leaders(counts, ["f", "g"]).collect()} == {"f": "x", "g": "N/A"}

@@ -2,31 +2,57 @@
 
 from pyspark.sql import functions as F
 
-from docvet.plans.research import research_run
+from docvet.plans.research import research_run, table_catalogue
+from docvet.session import scratch_path
+from docvet.sources.files import ERRORS_SCHEMA, read_errors, read_results
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_research_run(spark):
-    results, errors = research_run(spark, SF)
-    hosts = spark.read.parquet(f"{SF}/pages.parquet").select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1)).distinct().count()
-    assert results.count() + errors.count() == hosts
-    bad = results.where((F.size("issues") > 0) != F.col("manual_review"))
-    assert bad.count() == 0
+    run = research_run(spark, SF)
+    apps = table_catalogue(spark, SF).count()
+    missed = spark.read.parquet(f"{SF}/documents.parquet").select("source").distinct().count()
+    assert run.errors.count() == missed > 0
+    assert run.results.count() + missed == apps == run.log.count()
+    assert run.results.where((F.size("issues") > 0) != F.col("manual_review")).count() == 0
     # every evidence list holds at most three URLs
-    assert results.where(F.size(F.split("evidence_url", ", ")) > 3).count() == 0
+    assert run.results.where(F.size(F.split("evidence_url", ", ")) > 3).count() == 0
 
 
 def test_research_run_routes_failures(spark):
     def make():
-        def fn(name, website, category, document):
-            if name.startswith("m."):
+        def fn(request, row):
+            assert row["name"] in request and row["category"] in request
+            if row["name"].startswith("m."):
                 raise RuntimeError("model unavailable")
-            return '{"category": "x"}'  # missing required fields
+            return '{"category": "x"}'  # required fields are missing
 
         return fn
 
-    results, errors = research_run(spark, SF, make)
-    e = errors.collect()
-    assert results.count() == 0 and len(e) > 0
-    assert {r["error"].split(":")[0] for r in e} <= {"model unavailable", "missing required field(s)"}
+    run = research_run(spark, SF, make)
+    e = run.errors.collect()
+    assert run.results.count() == 0
+    assert {r["error"].split(":")[0] for r in e} == {"model unavailable", "field(s) without text", "No result returned"}
+
+
+def test_sample_limit_and_outputs(spark):
+    names = [r["name"] for r in table_catalogue(spark, SF).orderBy("name").limit(5).collect()]
+    run = research_run(spark, SF, sample=names, limit=3)
+    assert run.log.count() == 3
+    root = scratch_path(spark, "outputs")
+    run.write(root, reset=True)
+    run.write(root)
+    assert read_results(spark, f"{root}/results").count() == 2 * run.results.count()
+    assert read_errors(spark, f"{root}/errors").schema == ERRORS_SCHEMA
+    run.write(root, reset=True)
+    assert read_results(spark, f"{root}/results").count() == run.results.count()
+
+
+def test_pages_are_ranked_by_id(spark):
+    """No page text goes through the ranking's window: it reads the ids and URLs only."""
+    from docvet.operators.collect import top_docs
+    from docvet.sources.records import page_hits
+
+    plan = top_docs(page_hits(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in plan

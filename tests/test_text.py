@@ -52,11 +52,11 @@ def test_ratio_round_half_up(spark):
     assert got == [12.5, 36.4, 0.5, -0.5, None]
 
 
-def test_find_column():
-    from docvet.operators.resolve import find_column
+def test_column_index():
+    from docvet.operators.resolve import ColumnIndex
 
     cols = ["App", "auth_METHOD", "Auth_Method", "x"]
-    assert find_column(cols, ["Auth Method", "auth_method"]) == "Auth_Method"  # case-folded, later column
-    assert find_column(cols, ["name", "APP"]) == "App"
-    assert find_column(cols, ["x", "App"]) == "x"
-    assert find_column(cols, ["nope"]) is None
+    assert ColumnIndex(cols).first(["Auth Method", "auth_method"]) == "Auth_Method"  # case-folded, later column
+    assert ColumnIndex(cols).first(["name", "APP"]) == "App"
+    assert ColumnIndex(cols).first(["x", "App"]) == "x"
+    assert ColumnIndex(cols).first(["nope"]) is None
