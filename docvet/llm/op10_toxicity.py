@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docvet.llm.common import map_rows, smallest_hashes
+from docvet.llm.common import map_rows, materialise, smallest_hashes
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -70,49 +70,36 @@ class OrdinalModel:
         return score
 
 
-def fit_ordinal(
-    rows: list[tuple[set[str], int]], grades: int = 3, max_features: int = 128, toxic_share: float = 0.3, steps: int = 400, l2: float = 1e-4
+def _support(n_toxic: int) -> int:
+    return max(3, n_toxic // 30)
+
+
+def choose_features(seen: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, max_features: int) -> tuple[list[str], set[str]]:
+    """From (toxic rows, clean rows) with each feature: the chosen ones, and those rarely seen in clean rows."""
+    lift = {}
+    for f, (a, b) in seen.items():
+        p, q, m = a / n_toxic, b / n_clean, (a + b) / (n_toxic + n_clean)
+        if p > q and a >= _support(n_toxic):
+            lift[f] = (p - q) ** 2 / (m * (1 - m) + 1e-9)
+    chosen = sorted(lift, key=lambda f: (-lift[f], f))[:max_features]
+    return chosen, {f for f in chosen if seen[f][0] / n_toxic > 20 * (seen[f][1] + 0.5) / n_clean}
+
+
+def fit_weights(
+    chosen: list[str], rows: list[tuple[list[int], int, bool]], grades: int = 3, toxic_share: float = 0.3, steps: int = 400, l2: float = 1e-4
 ) -> OrdinalModel:
-    """Fit on (distinct words, toxic 0/1) rows; toxic rows carry ``toxic_share`` of the loss, however many they are."""
-    toxic = np.array([bool(y) for _, y in rows], bool)
-    n = {True: int(toxic.sum()), False: int((~toxic).sum())}
-    if not n[True] or not n[False]:
-        return OrdinalModel()
-    number: dict[str, int] = {}
-    of_word: dict[str, tuple[int, ...]] = {}
-    present = []
-    for words, _ in rows:
-        here: set[int] = set()
-        for w in words:
-            ids = of_word.get(w)
-            if ids is None:
-                ids = of_word[w] = tuple(number.setdefault(f, len(number)) for f in word_features(w))
-            here.update(ids)
-        present.append(np.fromiter(here, np.int64, len(here)))
-    names = list(number)
-    seen = {c: np.bincount(np.concatenate([p for p, t in zip(present, toxic, strict=True) if t == c]), minlength=len(names)) for c in (True, False)}
-    # chi-square of presence against class, where presence speaks for toxic
-    p, q = seen[True] / n[True], seen[False] / n[False]
-    m = (seen[True] + seen[False]) / len(rows)
-    lift = np.maximum(p - q, 0) ** 2 / (m * (1 - m) + 1e-9)
-    lift[seen[True] + seen[False] < max(3, n[True] // 30)] = 0
-    best = sorted(np.flatnonzero(lift).tolist(), key=lambda i: (-lift[i], names[i]))[:max_features]
-    chosen = [names[i] for i in best]
-    column = np.full(len(names), -1)
-    column[best] = np.arange(len(best))
-    # grades of the toxic rows: distinct words with a feature rarely seen in clean rows
-    telling = np.zeros(len(names), bool)
-    telling[best] = p[best] > 20 * (seen[False][best] + 0.5) / n[False]
-    marked = {w for w, ids in of_word.items() if telling[list(ids)].any()}
-    depth = np.array([len(words & marked) if y else 0 for words, y in rows])
+    """Fit on (chosen features present, words with a telling feature, toxic) rows.
+
+    Toxic rows carry ``toxic_share`` of the loss, however many they are.
+    """
+    toxic = np.array([t for _, _, t in rows], bool)
+    depth = np.array([d for _, d, _ in rows])
     cuts = [c for c in sorted({float(np.quantile(depth[toxic], k / grades)) for k in range(1, grades)}) if (depth[toxic] > c).any()]
     grade = np.where(toxic, 1 + sum((depth > c).astype(int) for c in cuts) if cuts else 1, 0)
     top = int(grade.max())
-    # sparse rows as flat index lists
-    sparse = [np.sort(c[c >= 0]) for c in (column[here] for here in present)]
-    row_of = np.repeat(np.arange(len(rows)), [len(s) for s in sparse])
-    col_of = np.concatenate(sparse)
-    weight = np.where(toxic, toxic_share / n[True], (1 - toxic_share) / n[False])
+    row_of = np.repeat(np.arange(len(rows)), [len(f) for f, _, _ in rows])
+    col_of = np.array([i for f, _, _ in rows for i in f], np.int64)
+    weight = np.where(toxic, toxic_share / toxic.sum(), (1 - toxic_share) / (~toxic).sum())
     w, t = np.zeros(len(chosen)), np.linspace(0.0, 1.0, top)
     m, v = np.zeros(len(w) + top), np.zeros(len(w) + top)
     above = (grade[:, None] >= np.arange(1, top + 1)).astype(float)
@@ -127,8 +114,38 @@ def fit_ordinal(
     return OrdinalModel({f: float(x) for f, x in zip(chosen, w, strict=True)}, t.tolist())
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 3000, **options) -> OrdinalModel:
-    """Fit on at most ``rows_per_class`` labelled rows of either class."""
+def fit_ordinal(rows: list[tuple[set[str], int]], max_features: int = 128, **options) -> OrdinalModel:
+    """Fit on a small list of (distinct words, toxic 0/1) rows, without Spark."""
+    n_toxic = sum(bool(y) for _, y in rows)
+    if not 0 < n_toxic < len(rows):
+        return OrdinalModel()
+    present = [{f for w in words for f in word_features(w)} for words, _ in rows]
+    seen: dict[str, tuple[int, int]] = {}
+    for here, (_, y) in zip(present, rows, strict=True):
+        for f in here:
+            a, b = seen.get(f, (0, 0))
+            seen[f] = (a + bool(y), b + (not y))
+    chosen, telling = choose_features(seen, n_toxic, len(rows) - n_toxic, max_features)
+    index = {f: i for i, f in enumerate(chosen)}
+    return fit_weights(
+        chosen,
+        [
+            (sorted(index[f] for f in here if f in index), sum(not telling.isdisjoint(word_features(w)) for w in words), bool(y))
+            for here, (words, y) in zip(present, rows, strict=True)
+        ],
+        **options,
+    )
+
+
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 3000, max_features: int = 128, **options
+) -> OrdinalModel:
+    """Fit on at most ``rows_per_class`` labelled rows of either class.
+
+    Features are counted on the executors: first in the toxic rows, which leaves fewer than 30 times
+    a text's mean number of features, then these in all rows; the driver gets counts and, per
+    row, the indices of chosen features.
+    """
     known = labels.select(id_col, F.col("toxic").cast("int").alias("toxic")).filter(f"toxic IN (0, 1) AND `{id_col}` IS NOT NULL")
     known = known.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     ids = smallest_hashes(known.filter("toxic = 0"), id_col, rows_per_class).union(
@@ -136,9 +153,41 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     )
     # at most 2 * rows_per_class ids are broadcast; words are cut out on the executors
     sample = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(id_col, text_col, "toxic")
-    words = map_rows(sample, [id_col, text_col, "toxic"], "id long, words array<string>, toxic int", lambda: lambda i, x, y: (i, sorted(distinct_words(x)), y))
-    rows = sorted((r[0], tuple(r[1]), r[2]) for r in words.collect())
-    return fit_ordinal([(set(w), y) for _, w, y in rows], **options)
+    cut = lambda: lambda key, text, toxic: (key, sorted(distinct_words(text)), toxic)
+    sample = materialise(map_rows(sample, [id_col, text_col, "toxic"], "id long, words array<string>, toxic int", cut), "labelled")
+    rows, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < n_toxic < rows:
+        return OrdinalModel()
+    of_word = lambda w: F.concat(
+        F.array(F.concat(F.lit("="), w)), F.transform(F.filter(F.array(*map(F.lit, range(3, 7))), lambda n: F.length(w) >= n), lambda n: F.concat(F.lit("^"), F.substring(w, F.lit(1), n)))
+    )
+    features = F.array_distinct(F.flatten(F.transform("words", of_word)))
+    common = sample.filter("toxic = 1").select(F.explode(features).alias("f")).groupBy("f").count().filter(F.col("count") >= _support(n_toxic))
+    sent = docs.sparkSession.sparkContext.broadcast(sorted(r.f for r in common.collect()))
+
+    def make_present():
+        index = {f: i for i, f in enumerate(sent.value)}
+
+        def one(words, toxic):
+            return sorted({index[f] for w in words for f in word_features(w) if f in index}), toxic
+
+        return one
+
+    present = map_rows(sample, ["words", "toxic"], "at array<int>, toxic int", make_present)
+    counts = present.select(F.explode("at").alias("at"), "toxic").groupBy("at").agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).collect()
+    chosen, telling = choose_features({sent.value[i]: (a, b) for i, a, b in counts}, n_toxic, rows - n_toxic, max_features)
+
+    def make_rows():
+        index = {f: i for i, f in enumerate(chosen)}
+
+        def one(key, words, toxic):
+            here = [word_features(w) for w in words]
+            return key, sorted({index[f] for fs in here for f in fs if f in index}), sum(not telling.isdisjoint(fs) for fs in here), toxic
+
+        return one
+
+    found = map_rows(sample, ["id", "words", "toxic"], "id long, at array<int>, depth int, toxic int", make_rows).collect()
+    return fit_weights(chosen, [(list(at), depth, bool(t)) for _, at, depth, t in sorted(tuple(r) for r in found)], **options)
 
 
 def toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
