@@ -1,16 +1,18 @@
-"""SQL text for the DuckDB oracle, built from the same rule data as the Spark
-columns (so the check compares engines, not two copies of the rules).
+"""SQL text for the DuckDB oracle.
 
-Only used to produce ``oracle_sql()`` strings; nothing here runs on Spark.
+Rules, thresholds, allowed values and messages come from ``oracle_values``,
+which states them apart from the engine's packs and constants.  Only used to
+produce ``oracle_sql()`` strings; nothing here runs on Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from docvet.functions import fixed
+from docvet.functions import fixed, rules
 from docvet.functions.rules import ALLOWED, KEEP, RulePack, Rule
 from docvet.functions.text import WS_CHARS, WS_CLASS, _INTEGER, _NUMBER, python_ws
+from docvet.plans import oracle_values as V
 from docvet.sources import records as R
 
 
@@ -39,7 +41,7 @@ def fill_default(x: str, default: str = "Unknown", blank_to_default: bool = True
     return t
 
 
-def to_bool(x: str, tokens: Sequence[str] = fixed.TRUE_TOKENS) -> str:
+def to_bool(x: str, tokens: Sequence[str] = V.TRUE_TOKENS) -> str:
     return f"coalesce(lower(CAST({x} AS VARCHAR)) IN ({lits(tokens)}), false)"
 
 
@@ -61,7 +63,7 @@ def python_int(x: str) -> str:
 
 def canon_category(x: str) -> str:
     t = utrim(x)
-    return f"(CASE WHEN lower({t}) IN ({lits(fixed.CATEGORY_SYNONYMS)}) THEN {lit(fixed.CATEGORY_CANONICAL)} ELSE {t} END)"
+    return f"(CASE WHEN lower({t}) IN ({lits(V.CATEGORY_SYNONYMS)}) THEN {lit(V.CATEGORY_CANONICAL)} ELSE {t} END)"
 
 
 def ratio_round(num: str, den: str, digits: int) -> str:
@@ -91,7 +93,18 @@ def _match(rule: Rule, low: str) -> str:
     return "(" + " AND ".join(conds) + ")"
 
 
+def _stated(pack: RulePack) -> str | None:
+    """The name under which the oracle's own values hold this pack."""
+    return next((n for n in V.RULES if getattr(rules, n) is pack), None)
+
+
 def classify(x: str, pack: RulePack) -> str:
+    """The rules of a named pack as ``oracle_values`` states them; other packs (variants) from the pack itself."""
+    name = _stated(pack)
+    if name is not None:
+        raw = f"CAST({x} AS VARCHAR)"
+        t = utrim(raw if V.NULL_TEXT[name] is None else f"coalesce({raw}, {lit(V.NULL_TEXT[name])})")
+        return "(" + V.RULES[name].replace("{low}", f"lower({t})").replace("{t}", t).replace("{raw}", raw) + ")"
     raw = f"CAST({x} AS VARCHAR)"
     src = f"coalesce({raw}, {lit(pack.null_text)})" if pack.null_text is not None else raw
     t = utrim(src)
@@ -153,57 +166,57 @@ def stated_count(x: str) -> str:
 
 def scope_bucket(x: str) -> str:
     n = f"greatest({endpoint_count(x)}, {stated_count(x)})"
-    whens = " ".join(f"WHEN {n} >= {lim} THEN {lit(lab)}" for lim, lab in fixed.SCOPE_BUCKETS)
+    whens = " ".join(f"WHEN {n} >= {lim} THEN {lit(lab)}" for lim, lab in V.SCOPE_BUCKETS)
     return f"(CASE {whens} ELSE 'Unknown' END)"
 
 
 def description_fallback(d: str, name: str, sub: str) -> str:
     ph = f"({d} IS NULL OR {d} IN ('', 'Unknown') OR {d} = {name} || ' API' OR {d} = {name} || ' API documentation')"
-    return f"(CASE WHEN {ph} THEN substring({collapse_ws(sub)}, 1, {fixed.DESCRIPTION_MAX_CHARS}) ELSE {d} END)"
+    return f"(CASE WHEN {ph} THEN substring({collapse_ws(sub)}, 1, {V.DESCRIPTION_MAX_CHARS}) ELSE {d} END)"
 
 
 def scope_fallback(s: str, text: str) -> str:
     est = scope_bucket(text)
-    return f"(CASE WHEN ({s} IS NULL OR {s} IN ({lits(fixed.SCOPE_PLACEHOLDERS)})) AND {est} <> 'Unknown' THEN {est} ELSE {s} END)"
+    return f"(CASE WHEN ({s} IS NULL OR {s} IN ({lits(V.SCOPE_PLACEHOLDERS)})) AND {est} <> 'Unknown' THEN {est} ELSE {s} END)"
 
 
-def fill_count(cols: Sequence[str] = fixed.FILL_FIELDS) -> str:
+def fill_count(cols: Sequence[str] = V.FILL_FIELDS) -> str:
     return "(" + " + ".join(
-        f"(CASE WHEN {c} IS NOT NULL AND {c} NOT IN ({lits(fixed.UNFILLED_TOKENS)}) THEN 1 ELSE 0 END)" for c in cols
+        f"(CASE WHEN {c} IS NOT NULL AND {c} NOT IN ({lits(V.UNFILLED_TOKENS)}) THEN 1 ELSE 0 END)" for c in cols
     ) + ")"
 
 
-def confidence(f: str, n_fields: int = len(fixed.FILL_FIELDS), retry: bool = False) -> str:
-    v = f"((100 * ({f})) // {n_fields} - {fixed.UNFILLED_PENALTY} * ({n_fields} - ({f})){' - ' + str(fixed.RETRY_PENALTY) if retry else ''})"
-    return f"CAST(greatest(0, least({fixed.CONFIDENCE_CAP}, {v})) AS INTEGER)"
+def confidence(f: str, n_fields: int = len(V.FILL_FIELDS), retry: bool = False) -> str:
+    v = f"((100 * ({f})) // {n_fields} - {V.UNFILLED_PENALTY} * ({n_fields} - ({f})){' - ' + str(V.RETRY_PENALTY) if retry else ''})"
+    return f"CAST(greatest(0, least({V.CONFIDENCE_CAP}, {v})) AS INTEGER)"
 
 
 # -------------------------------------------------------- verification (F)
 def allowed_message(field: str, allowed: Sequence[str]) -> str:
-    return fixed.ALLOWED_ISSUE.format(field=field, values=", ".join(sorted(allowed)))
+    return V.ALLOWED_ISSUE.format(field=field, values=", ".join(sorted(allowed)))
 
 
-def issues(category: str, known: str, document: str, allowed: Mapping[str, Sequence[str]] = fixed.ALLOWED_VALUES) -> str:
-    parts = [f"CASE WHEN {category} IS NOT DISTINCT FROM {known} THEN NULL ELSE {lit(fixed.CATEGORY_ISSUE.split('{category}')[0])} || {known} END"]
+def issues(category: str, known: str, document: str, allowed: Mapping[str, Sequence[str]] = V.ALLOWED_VALUES) -> str:
+    parts = [f"CASE WHEN {category} IS NOT DISTINCT FROM {known} THEN NULL ELSE {lit(V.CATEGORY_ISSUE.split('{category}')[0])} || {known} END"]
     for f, vals in allowed.items():
         parts.append(f"CASE WHEN coalesce({f} IN ({lits(vals)}), false) THEN NULL ELSE {lit(allowed_message(f, vals))} END")
-    parts.append(f"CASE WHEN coalesce(blocker IN ({lits(fixed.BLOCKER_ACCEPTED)}), false) THEN NULL ELSE {lit(fixed.BLOCKER_ISSUE)} END")
+    parts.append(f"CASE WHEN coalesce(blocker IN ({lits(V.BLOCKER_ACCEPTED)}), false) THEN NULL ELSE {lit(V.BLOCKER_ISSUE)} END")
     parts.append(evidence_issue("mcp_support", document))
     return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
 
 
-def evidence_issue(mcp: str, document: str, needles: Sequence[str] = fixed.MCP_EVIDENCE_NEEDLES) -> str:
+def evidence_issue(mcp: str, document: str, needles: Sequence[str] = V.MCP_EVIDENCE_NEEDLES) -> str:
     low = f"lower(coalesce({document}, ''))"
     has = " OR ".join(f"contains({low}, {lit(n)})" for n in needles)
-    return f"CASE WHEN coalesce({mcp} = 'Yes', false) AND NOT ({has}) THEN {lit(fixed.MCP_EVIDENCE_ISSUE)} END"
+    return f"CASE WHEN coalesce({mcp} = 'Yes', false) AND NOT ({has}) THEN {lit(V.MCP_EVIDENCE_ISSUE)} END"
 
 
 def penalised(conf: str, iss: str) -> str:
     n = f"len({iss})"
-    return f"CAST(CASE WHEN {n} > 0 THEN greatest(0, {conf} - least({fixed.PENALTY_CAP}, {fixed.PENALTY_PER_ISSUE} * {n})) ELSE {conf} END AS INTEGER)"
+    return f"CAST(CASE WHEN {n} > 0 THEN greatest(0, {conf} - least({V.PENALTY_CAP}, {V.PENALTY_PER_ISSUE} * {n})) ELSE {conf} END AS INTEGER)"
 
 
-def official_url(x: str, indicators: Sequence[str] = fixed.DOC_INDICATORS, blocked: Sequence[str] = fixed.DOC_BLOCKED) -> str:
+def official_url(x: str, indicators: Sequence[str] = V.DOC_INDICATORS, blocked: Sequence[str] = V.DOC_BLOCKED) -> str:
     low = f"lower(coalesce({x}, ''))"
     anyi = " OR ".join(f"contains({low}, {lit(n)})" for n in indicators)
     anyb = " OR ".join(f"contains({low}, {lit(n)})" for n in blocked)
