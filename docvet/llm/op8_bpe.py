@@ -77,9 +77,14 @@ class Merges:
         self.reach = {b: i for b, i in self.ids.items() if i in self.made or len(b) == 1}
         self.longest = max(map(len, self.reach))
         self.longest_from: dict[bytes, int] = {}  # by a token's first four bytes; others have at most three
+        sizes: dict[bytes, set[int]] = {}
         for b in self.reach:
+            if len(b) > 2:
+                sizes.setdefault(b[-3:], set()).add(len(b))
             if len(b) > 3:
                 self.longest_from[b[:4]] = max(self.longest_from.get(b[:4], 0), len(b))
+        #: by a token's last three bytes, the lengths there are, longest first; others have at most two
+        self.lengths_to = {b: (*sorted(s, reverse=True), 2, 1) for b, s in sizes.items()}
         self._fits: dict[tuple[int, int], bool] = {}
 
     def lookahead(self) -> int:
@@ -169,9 +174,11 @@ class PieceStream:
 
     def _extend(self) -> None:
         get, fits, data, last, start = self.m.reach.get, self.m.fits, self.data, self.last, self.start
+        lengths = self.m.lengths_to.get
         for end in range(len(last), len(data) + 1):
-            for at in range(max(0, end - self.m.longest), end):
-                token = get(data[at:end])
+            for size in lengths(data[max(0, end - 3) : end], (2, 1)):
+                at = end - size
+                token = get(data[at:end]) if at >= 0 else None
                 if token is not None:
                     prior = last[at] if at else self.before
                     if prior < 0 or fits(prior, token):
