@@ -216,3 +216,28 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13,
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def oracle(window: int = 13, ratio: int = 20) -> str:
+    """DuckDB SQL for the rows of the query over ``documents`` and ``benchmark``."""
+    words = (
+        "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    )
+    return f"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS w FROM benchmark),
+ig AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g
+       FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i
+             FROM (SELECT item, w, least({window}, len(w)) AS n FROM iw WHERE len(w) > 0))),
+sizes AS (SELECT DISTINCT n FROM ig),
+dg AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
+hits AS (SELECT r, i, dg.n, item FROM dg JOIN ig ON dg.n = ig.n AND dg.g = ig.g),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h
+        FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(h, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND {ratio} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)"""

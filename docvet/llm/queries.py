@@ -10,6 +10,7 @@ from docvet.llm.op1_simhash import simhash_groups
 from docvet.llm.op2_pii import KINDS, find_pii, fit_pii, joined_spans
 from docvet.llm.op3_html import main_text
 from docvet.llm.op4_decontaminate import benchmark_hits, contamination
+from docvet.llm.op4_decontaminate import oracle as hit_oracle
 from docvet.llm.op5_line_dedup import drop_boilerplate_lines
 from docvet.llm.op5_line_dedup import oracle as line_oracle
 from docvet.llm.op6_permutation_index import build_index, search
@@ -113,4 +114,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE = {"op5_line_dedup": line_oracle()}
+ORACLE = {"op4_decontaminate": hit_oracle(), "op5_line_dedup": line_oracle()}
