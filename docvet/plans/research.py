@@ -77,7 +77,7 @@ def research(
         answers.withColumnsRenamed({"category": "known_category"}), scope_estimate=scope_bucket("document")
     )
     failed = error_rows(parsed, F.col("name"), F.col("error"), F.lit(fixed.EXCEPTION_NOTES))
-    missed = no_hits(apps, docs.select(F.col("app").alias("name")), "name").withColumn("error", F.lit(fixed.NO_RESULT_ERROR))
+    missed = no_hits(apps, hits.select(F.col("app").alias("name")), "name").withColumn("error", F.lit(fixed.NO_RESULT_ERROR))
     errors = failed.union(error_rows(missed, F.col("name"), F.col("error"), F.lit(fixed.NO_RESULT_NOTES)))
     scored = score(parsed.where(F.col("error").isNull()), document="document")
     results = verify_records(scored, "known_category", "document", evidence=F.col("evidence"))
