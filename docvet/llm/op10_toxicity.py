@@ -49,7 +49,7 @@ class OrdinalModel:
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
 
-    def scorer(self, cache_words: int = 200_000):
+    def scorer(self, cache_words: int = 100_000):
         """text -> P(grade >= k) for each k."""
         cached: dict[str, tuple[str, ...]] = {}
         weights, cuts = self.weights, np.array(self.thresholds)

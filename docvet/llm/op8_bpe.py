@@ -244,7 +244,7 @@ class _Pieces(dict):
 class Encoder:
     """Text in, in chunks of any size; tokens out as they become stable, as packed 32-bit numbers."""
 
-    def __init__(self, merges: Merges, cache_pieces: int = 250_000):
+    def __init__(self, merges: Merges, cache_pieces: int = 120_000):
         self.m, self.pieces = merges, _Pieces(merges, cache_pieces)
         self.long = PieceStream(merges)
         self.marks = sorted(merges.added, key=len, reverse=True)
