@@ -88,7 +88,8 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
-_TOKEN = re.compile(r"\S*[0-9@+]\S*")
+_TOKEN = re.compile(r"\S+")
+_ENTITY_SIGN = re.compile(r"[0-9@+]")
 _EDGE = " .,;:|\"'!?$#&*%=<>[]{}"
 #: Names of the shape features, in the order of a token's feature vector.
 SHAPES = ("bias", "at", "dots3", "plus", "paren", "hyphen", "letters", "hex32", "digits1-2", "digits3-4", "digits5-9", "digits10-13", "digits14-19", "digits20+", "only_digits", "short", "bad_checksum", "part_over_255")
@@ -127,7 +128,7 @@ def build_graph(text: str, base: list[Span]) -> Graph:
     last: dict[tuple, int] = {}
     at, prior_end = 0, -2
     for m in _TOKEN.finditer(text):
-        core = m[0].strip(_EDGE)
+        core = m[0].strip(_EDGE) if _ENTITY_SIGN.search(m[0]) else ""
         if not core:
             continue
         start = m.start() + m[0].index(core)
@@ -145,8 +146,10 @@ def build_graph(text: str, base: list[Span]) -> Graph:
         digits = "".join(c for c in core if "0" <= c <= "9")
         keys = [("text", core.lower())]
         if len(digits) >= 7:
+            keys.append(("digits", digits))
+        if 7 <= len(digits) <= 19:
             # one blanked digit: numbers that differ in one place share a key
-            keys += [("digits", digits), *(("but", n, digits[:n] + digits[n + 1 :]) for n in range(min(len(digits), 19)))]
+            keys += [("but", n, digits[:n] + digits[n + 1 :]) for n in range(len(digits))]
         linked = set()
         for key in keys:
             j = last.get(key)

@@ -36,6 +36,9 @@ def test_long_runs_stay_linear():
     for text in ("a" * 200_000, "1" * 200_000, "a@" * 50_000, "+" * 100_000, "1." * 100_000, "0" * 6000 + ".1.1.1"):
         base_spans(text)
     assert base_spans("0" * 6000 + "1.1.1.1")[0][0] == 1
+    known = "call +1 (204) 555-1004 "
+    for text in ("a" * 200_000, "1" * 200_000, "x1 " * 5000, "555-1004 " * 3000):
+        build_graph(known + text, base_spans(known + text))
 
 
 TRAIN = [f"word call +1 ({a}) 555-{b} now or 10.0.{a % 200}.7 x{a}@mail.example.com then {b}" for a, b in zip(range(200, 400), range(1000, 1200), strict=True)]
