@@ -120,7 +120,8 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fit on at most ``rows_per_language`` labelled rows of each language in ``docs``."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     # about twice the rows wanted, by the share of each language's hashes, before any are gathered
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = materialise(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    counts = F.broadcast(counts) if counts.count() <= 100_000 else counts
     near = known.join(counts, "lang").filter(hash_below("id", 2 * rows_per_language / F.col("n")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     ids = near.withColumn("rank", rank).filter(F.col("rank") <= rows_per_language).select("id").distinct()
