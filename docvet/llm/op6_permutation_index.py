@@ -9,8 +9,10 @@ The index is partitioned by row: blocks of about ``block_rows`` vectors, by the
 each with the inverted files of its own vectors.  Queries, in blocks too, meet every vector block
 in one cogroup; a pivot or a vector that a third of all rows share is spread over all blocks.  A
 block's files holding fewer than ``k`` rows for a query are supplemented by the whole block, so a
-query always finds min(k, all) neighbours.  Pivots are fitted on a bounded sample: distinct vectors
-among the ``sample_rows`` rows with the smallest hash of their id; every row is indexed.
+query always finds min(k, all) neighbours.  Pivots are fitted on a bounded sample, the
+``sample_rows`` rows with the smallest hash of their id: each pivot is the vector furthest from the
+pivots before it, so that copies and near copies, however many, are not most of the pivots.  Every
+row is indexed.
 
 Defined results: vectors that are null, all zero, of another length than the pivots, or holding a
 null or non-finite component take no part, as do rows with a null id; rows that repeat an id count
@@ -54,6 +56,16 @@ def _places(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
+def _furthest_first(x: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` distinct rows: the first, then always the one furthest from those chosen; ties to the first."""
+    chosen = [0]
+    gap = ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < n and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector) of the rows that take part."""
     v = F.col(vector_col)
@@ -71,8 +83,7 @@ def build_index(
         return None
     lengths = [len(r.vector) for r in sample]
     width = max(sorted(set(lengths)), key=lengths.count)
-    chosen = list(dict.fromkeys(tuple(r.vector) for r in sample if len(r.vector) == width))[:pivots]
-    centre = np.array(chosen, np.float64)
+    centre = _furthest_first(np.array([r.vector for r in sample if len(r.vector) == width], np.float64), pivots)
     good = good.filter(F.size("vector") == width)
     blocks = max(1, -(-good.count() // block_rows))
     sent = rows.sparkSession.sparkContext.broadcast(centre)

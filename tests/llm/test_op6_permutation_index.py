@@ -2,6 +2,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 
 from docvet.llm.op6_permutation_index import build_index, search, usable
 from docvet.llm.queries import op6_permutation_index
@@ -64,3 +65,23 @@ def test_awkward_vectors(spark):
     assert got == [(0, 1, 9, 0.0), (0, 2, 1, two), (1, 1, 0, two), (1, 2, 9, two), (9, 1, 0, 0.0), (9, 2, 1, two)]
     assert build_index(spark.createDataFrame([], VECTORS)) is None
     assert build_index(spark.createDataFrame([(1, None, 0)], VECTORS)) is None
+
+
+def test_recall_with_a_third_near_copies(spark):
+    rng = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(6000, 64)))
+    near = np.arange(len(x)) % 3 == 1
+    x[near] = unit(x[0] + 0.05 * unit(rng.normal(size=(int(near.sum()), 64))))
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x.astype(np.float32))]
+    x = np.array([v for _, v, _ in rows])
+    index = build_index(spark.createDataFrame(rows, VECTORS))
+    got = {}
+    for r in search(index, index.table.filter("id % 40 = 0"), k=10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    share = {True: [], False: []}
+    for q, mine in got.items():
+        gap = np.sqrt(((x - x[q]) ** 2).sum(1))
+        gap[q] = np.inf
+        share[bool(near[q])].append(len(mine & set(np.argsort(gap)[:10].tolist())) / 10)
+    assert len(got) == 150 and sum(share[False]) / len(share[False]) >= 0.9 and sum(share[True]) / len(share[True]) >= 0.9
