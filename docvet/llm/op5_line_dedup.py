@@ -12,8 +12,13 @@ found by a shuffle join of (host, line) and handed to the pages by id.
 
 Lines are compared by a 96-bit hash (xxhash64 and murmur3 of the line).
 
+A document of which every line is boilerplate is emptied.  Copies count as pages by definition, so
+a document whose copies are over ``max_ratio`` of its host loses its whole text.  With
+``distinct_texts`` each distinct page text of a host counts once on both sides of the ratio (texts
+compared by such a hash too), so exact copies are no evidence; near copies still are.
+
 Defined results: a null host is a host of its own; a null text stays null; an empty text stays
-empty; repeated rows count as pages; empty tables give no rows; other columns pass through
+empty; repeated rows count as pages (unless ``distinct_texts``); empty tables give no rows; other columns pass through
 untouched (helper columns carry a prefix no table here uses).
 """
 
@@ -25,8 +30,12 @@ from pyspark.sql import functions as F
 from docvet.llm.common import materialise
 
 
+def _hashes(text):
+    return F.struct(F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"))
+
+
 def _key(line):
-    return F.struct(F.xxhash64(F.trim(line)).alias("h1"), F.hash(F.trim(line)).alias("h2"))
+    return _hashes(F.trim(line))
 
 
 def _page_lines(text):
@@ -35,10 +44,15 @@ def _page_lines(text):
     return F.array_distinct(F.transform(lines, _key))
 
 
-def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
+def boilerplate_lines(
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 3, distinct_texts: bool = False
+) -> DataFrame:
     """(host, key, pages, total): the lines above the ratio, by hash."""
-    pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    counts = pages.select("host", F.explode(_page_lines(F.col("text"))).alias("key")).groupBy("host", "key").agg(F.count("*").alias("pages"))
+    pages = docs.select(F.col(host_col).alias("host"), _hashes(F.col(text_col)).alias("page"), _page_lines(F.col(text_col)).alias("keys"))
+    if distinct_texts:
+        # copies combine map-side; a page travels as the hashes of its lines
+        pages = materialise(pages.groupBy("host", "page").agg(F.first("keys").alias("keys")), "pages")
+    counts = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("pages"))
     totals = pages.groupBy("host").agg(F.count("*").alias("total"))
     return (
         counts.filter(F.col("pages") >= min_pages)
@@ -56,9 +70,10 @@ def drop_boilerplate_lines(
     max_ratio: float = 0.05,
     min_pages: int = 3,
     broadcast_lines: int = 200_000,
+    distinct_texts: bool = False,
 ) -> DataFrame:
     """``docs`` with cleaned ``text_col``, plus ``n_lines`` and ``n_dropped`` (lines before, lines dropped)."""
-    found = materialise(boilerplate_lines(docs, host_col, text_col, max_ratio, min_pages), "lines")
+    found = materialise(boilerplate_lines(docs, host_col, text_col, max_ratio, min_pages, distinct_texts), "lines")
     if found.count() <= broadcast_lines:
         per_host = found.groupBy("host").agg(F.collect_set("key").alias("__drop")).withColumnRenamed("host", "__host")
         marked = docs.join(F.broadcast(per_host), docs[host_col].eqNullSafe(F.col("__host")), "left").drop("__host")

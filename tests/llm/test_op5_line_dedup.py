@@ -43,3 +43,14 @@ def test_both_paths_match_brute_force(spark, bound, ratio):
 
 def test_empty(spark):
     assert drop_boilerplate_lines(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1000, -1])
+def test_distinct_texts_count_once(spark, bound):
+    docs = tables() + [(3000 + i, "clean one\nclean two", "en", "big", 1) for i in range(30)]
+    # brute force over one row per text of a host
+    once = [(n, *d[1:]) for n, d in enumerate({(d[3], d[1]): d for d in docs}.values())]
+    text = {(once[int(n)][3], once[int(n)][1]): row for n, *row in brute(once, 0.05, 3)}
+    got = drop_boilerplate_lines(spark.createDataFrame(docs, DOCS), broadcast_lines=bound, distinct_texts=True).collect()
+    assert sorted(((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got), key=str) == sorted(((str(d[0]), *text[d[3], d[1]]) for d in docs), key=str)
+    assert {r.text for r in got if r.doc_id and r.doc_id >= 3000} == {"clean one\nclean two"} and any(r.n_dropped for r in got)
