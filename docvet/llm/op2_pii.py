@@ -11,9 +11,11 @@ digit, an `@` or a `+`; every other token is certainly outside and cuts the chai
 outside and the four kinds.  Potentials: shape features of a token; the labels of neighbouring
 nodes; and, over skip edges, the labels of distant tokens with the same or a similar text (the same
 lower-cased text, the same digits, or the same digits but for one).  A token is linked to the next
-similar one, so a text repeated n times costs n edges.  Tokens that a base span covers are observed
-with its kind; the others get their marginals from loopy sum-product message passing.  Neighbouring tokens of one
-kind, each more probable than ``threshold`` and connected to an observed token, become one added span.
+similar one, and a token outside the base spans also to the first similar one inside them, wherever
+that stands: a text repeated n times costs at most 2 n edges, and every repeat is one edge from what
+the rules know.  Tokens that a base span covers are observed with its kind; the others get their
+marginals from loopy sum-product message passing, run until the messages settle (a field that never
+settles stops after ``MOST_ROUNDS`` rounds).  Neighbouring tokens of one kind, each more probable than ``threshold`` and connected to an observed token, become one added span.
 
 Weights are fitted by pseudo-likelihood on a bounded sample, the ``sample_docs`` documents with the
 smallest hash of their id, labelled by the base rules.  Scoring covers whole texts in one scan
@@ -88,6 +90,9 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
+#: Only a field whose messages keep swinging comes to this many rounds.
+MOST_ROUNDS = 1000
+
 _TOKEN = re.compile(r"\S+")
 _ENTITY_SIGN = re.compile(r"[0-9@+]")
 _EDGE = " .,;:|\"'!?$#&*%=<>[]{}"
@@ -126,6 +131,8 @@ class Graph:
 def build_graph(text: str, base: list[Span]) -> Graph:
     spans, shapes, observed, chain, skip = [], [], [], [], []
     last: dict[tuple, int] = {}
+    known: dict[tuple, int] = {}  # per key, its first observed token
+    keyed: list[list[tuple]] = []
     at, prior_end = 0, -2
     for m in _TOKEN.finditer(text):
         core = m[0].strip(_EDGE) if _ENTITY_SIGN.search(m[0]) else ""
@@ -157,6 +164,17 @@ def build_graph(text: str, base: list[Span]) -> Graph:
                 linked.add(j)
                 skip.append((j, i))
             last[key] = i
+            if kind:
+                known.setdefault(key, i)
+        keyed.append(keys)
+    direct = set(skip)
+    for i, keys in enumerate(keyed):
+        if not observed[i]:
+            for j in {known[key] for key in keys if key in known}:
+                edge = (min(i, j), max(i, j))
+                if edge not in direct:
+                    direct.add(edge)
+                    skip.append(edge)
     return Graph(spans, shapes, observed, chain, skip)
 
 
@@ -168,7 +186,7 @@ class SkipChainCRF:
     chain: np.ndarray
     skip: np.ndarray
 
-    def marginals(self, g: Graph, rounds: int = 20) -> np.ndarray:
+    def marginals(self, g: Graph, rounds: int = MOST_ROUNDS) -> np.ndarray:
         """Loopy sum-product over the document; observed tokens are fixed."""
         n, k = len(g.spans), len(self.skip)
         scores = np.array([self.unary[list(s)].sum(0) for s in g.shapes])

@@ -1,7 +1,7 @@
 import random
 import re
 
-from docvet.llm.op2_pii import KINDS, SkipChainCRF, base_spans, build_graph, find_pii, fit_crf, fit_pii, joined_spans, luhn
+from docvet.llm.op2_pii import KINDS, SHAPES, SkipChainCRF, base_spans, build_graph, find_pii, fit_crf, fit_pii, joined_spans, luhn
 from docvet.llm.op2_pii import _training_rows
 from tests.llm.helpers import DOCS, awkward_docs
 
@@ -58,6 +58,25 @@ def test_the_field_adds_what_the_document_repeats():
     assert crf.added("(204) 555-1004 twice (204) 555-1004", []) == []
 
 
+def test_every_repeat_is_labelled_like_the_first():
+    import numpy as np
+
+    # shapes speak for outside, links for one label: only what the rules know can tell
+    crf = SkipChainCRF(np.zeros((len(SHAPES), 5)), np.zeros((5, 5)), np.array([0.5, 3.0, 3.0, 3.0, 3.0]))
+    crf.unary[0, 0] = 2.0
+    for n in (1, 50, 400):
+        for text in ("ring +1204555-1004." + " then 1204555-1004 again," * n, "first 1204555-1004 again," * n + " ring +1204555-1004."):
+            base = base_spans(text)
+            assert [(KINDS[k], text[a:b]) for k, a, b in base] == [("phone", "+1204555-1004")]
+            assert [(KINDS[k], text[a:b]) for k, a, b in crf.added(text, base)] == [("phone", "1204555-1004")] * n
+
+
+def test_links_stay_few():
+    text = "call +1 (204) 555-1004 " + "555-1004 " * 3000
+    g = build_graph(text, base_spans(text))
+    assert len(set(g.skip)) == len(g.skip) <= 2 * len(g.spans) and all(a < b for a, b in g.skip)
+
+
 def test_message_passing_is_exact_on_a_chain():
     import itertools
 
