@@ -4,11 +4,11 @@ A window is ``window`` consecutive words of a benchmark item (a shorter item, if
 one window).  A document word inside any occurrence of a window is hit; a document is contaminated
 if it has a hit and hits are at least ``1 / ratio`` of its words.
 
-Main path: the set of benchmark windows goes to every task as a broadcast hash set, once its size
-is known to be within ``broadcast_bytes``; every document is scanned in place, no text is shuffled.
+Main path: the set of benchmark windows goes to every task as a broadcast hash set, once its size in
+memory, reckoned from the number of windows and words, is known to be within ``broadcast_bytes``; every document is scanned in place, no text is shuffled.
 A larger benchmark takes the second path: windows of documents and of the benchmark meet on their
 hash in a shuffle join, windows found are verified word by word, and hits are gathered per document.
-Both give the same rows.
+Both give the same rows, and judge each row for itself, whatever its id.
 
 Words: A-Z lower-cased, then runs of a-z, 0-9 and everything beyond ASCII.
 
@@ -35,18 +35,25 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
+#: Bytes that a window (besides its words' numbers) and a word take in a WindowSet at most, as measured with some room.
+_WINDOW_BYTES, _WORD_BYTES = 300, 250
+
+
 class WindowSet:
     """Every window of the benchmark: over numbered words, a hash set from window to its items."""
 
     def __init__(self, items: list[tuple], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
+        self.windows: dict[int, dict[bytes, frozenset[str]]] = {}
         for item_id, text in items:
+            alone = frozenset(("" if item_id is None else str(item_id),))  # shared by the item's windows
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], np.int32)
             size = min(window, len(ids))
             for at in range(len(ids) - size + 1 if size else 0):
-                found = self.windows.setdefault(size, {}).setdefault(ids[at : at + size].tobytes(), set())
-                found.add("" if item_id is None else str(item_id))
+                table, key = self.windows.setdefault(size, {}), ids[at : at + size].tobytes()
+                found = table.setdefault(key, alone)
+                if not alone <= found:
+                    table[key] = found | alone
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], list[str]]:
         """The number of words, the hit runs as [start, end) in words, the sorted item ids."""
@@ -164,6 +171,14 @@ def _by_shuffle(docs, benchmark, id_col, text_col, item_col, item_text, window):
     )
 
 
+def window_set_bytes(benchmark: DataFrame, item_text: str = "text", window: int = 13) -> int:
+    """What the WindowSet of the benchmark takes in memory at most: its windows, its words and its text."""
+    words = F.size(_word_array(F.col(item_text))).cast("long")
+    windows = F.when(words > 0, F.greatest(words - window + 1, F.lit(1))).otherwise(0)
+    cost = windows * (_WINDOW_BYTES + 4 * window) + words * _WORD_BYTES + F.coalesce(F.octet_length(item_text), F.lit(0))
+    return benchmark.agg(F.sum(cost)).first()[0] or 0
+
+
 def benchmark_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -175,8 +190,7 @@ def benchmark_hits(
     broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Per document: id, ``n_words``, ``hit_runs`` ([start, stop) in words), ``item_ids`` (sorted as strings)."""
-    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    path = _by_broadcast if size <= broadcast_bytes else _by_shuffle
+    path = _by_broadcast if window_set_bytes(benchmark, item_text, window) <= broadcast_bytes else _by_shuffle
     return path(docs, benchmark, id_col, text_col, item_col, item_text, window)
 
 
@@ -192,12 +206,14 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     """``docs`` without the contaminated documents; all columns stay as they are.
 
     Within the broadcast bound a document is judged and passed on in one scan; beyond it the
-    contaminated ids, found by the shuffle path, are taken out by an anti join.
+    contaminated rows, found by the shuffle path, are taken out by an anti join on a row key.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > broadcast_bytes:
-        bad = contamination(benchmark_hits(docs, benchmark, window=window, broadcast_bytes=broadcast_bytes), ratio)
-        return docs.join(bad.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti")
+    if window_set_bytes(benchmark, "text", window) > broadcast_bytes:
+        from docvet.llm.common import materialise
+
+        keyed = materialise(docs.withColumn("__row", F.expr("uuid()")), "rows")
+        bad = contamination(_by_shuffle(keyed, benchmark, "__row", "text", "item_id", "text", window), ratio)
+        return keyed.join(bad.filter("contaminated").select("__row"), "__row", "left_anti").select(*docs.columns)
     windows = docs.sparkSession.sparkContext.broadcast(
         WindowSet([tuple(r) for r in benchmark.select("item_id", "text").collect()], window)
     )

@@ -1,9 +1,10 @@
 import random
 import re
+import tracemalloc
 
 import pytest
 
-from docvet.llm.op4_decontaminate import benchmark_hits, contamination, remove_contaminated, words_of
+from docvet.llm.op4_decontaminate import WindowSet, benchmark_hits, contamination, remove_contaminated, window_set_bytes, words_of
 from tests.llm.helpers import DOCS, awkward_docs, sentence
 
 BENCH = "item_id long, text string"
@@ -56,6 +57,27 @@ def test_both_paths_match_brute_force(spark, bound):
     assert bad and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in docs if str(d[0]) not in bad)
 
 
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_rows_are_judged_each_for_itself(spark, bound):
+    docs, items = tables()
+    dirty = next(t for _, t in items if t and len(t.split()) >= 13)
+    docs = [(None, dirty, "en", "s", 1), (None, "clean words", "en", "s", 1), (7, dirty, "en", "s", 1), (7, "clean words", "en", "s", 1)]
+    kept = remove_contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, BENCH), broadcast_bytes=bound).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("7", "clean words"), ("None", "clean words")]
+
+
+def test_reckoned_size_covers_the_window_set(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 60)))) for i in range(2000)]
+    tracemalloc.start()
+    known = WindowSet(items, 13)
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    text = sum(len(t) for _, t in items)
+    assert known.windows and 4 * text < taken <= window_set_bytes(spark.createDataFrame(items, BENCH))
+    assert window_set_bytes(spark.createDataFrame([], BENCH)) == 0
+
+
 @pytest.mark.parametrize("bound", [1 << 20, -1])
 def test_empty_tables(spark, bound):
     docs, bench = spark.createDataFrame(awkward_docs(), DOCS), spark.createDataFrame([], BENCH)
