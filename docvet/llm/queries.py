@@ -18,6 +18,7 @@ from docvet.llm.op7_shards import minimax_shards
 from docvet.llm.op8_bpe import encode_decode, token_digests
 from docvet.llm.op9_language import fit_language, identify
 from docvet.llm.op10_toxicity import fit_toxicity, toxicity
+from docvet.llm.op12_runs import periodic_runs
 
 #: The public vocabulary that the contract of the encoding query names.
 BPE_FILE = "byte_bpe_50k.json"
@@ -101,6 +102,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, where the contract's tenth of the texts repeats a stretch of its words to the end."""
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    keyed = docs.select("doc_id", "text", (code % 10 == 0).alias("planted"), F.floor(code / 10).alias("g"))
+    keyed = keyed.withColumn("w", F.when(F.col("planted"), words)).withColumn("n", F.size("w").cast("long"))
+    keyed = keyed.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    keyed = keyed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = F.transform("w", lambda w, i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    text = F.array_join(F.transform(place, lambda i: F.get("w", i.cast("int"))), " ")
+    return keyed.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(read_table(spark, sf_dir, "documents")), min_length=24, min_exponent=3)
+    # the greatest length / period, compared by cross products; of equal ones the first in the list
+    better = lambda a, b: F.coalesce(b["length"] * a["period"] > a["length"] * b["period"], F.lit(True))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    best = F.aggregate("runs", none, lambda a, b: F.when(better(a, b), b).otherwise(a))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -112,6 +145,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
+    "op12_runs": op12_runs,
 }
 
 ORACLE = {"op4_decontaminate": hit_oracle(), "op5_line_dedup": line_oracle()}
