@@ -19,6 +19,7 @@ from docvet.llm.op8_bpe import encode_decode, token_digests
 from docvet.llm.op9_language import fit_language, identify
 from docvet.llm.op10_toxicity import fit_toxicity, toxicity
 from docvet.llm.op12_runs import periodic_runs
+from docvet.llm.op13_cross_polytope import embedding_groups
 
 #: The public vocabulary that the contract of the encoding query names.
 BPE_FILE = "byte_bpe_50k.json"
@@ -134,6 +135,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -146,6 +151,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
     "op12_runs": op12_runs,
+    "op13_cross_polytope": op13_cross_polytope,
 }
 
 ORACLE = {"op4_decontaminate": hit_oracle(), "op5_line_dedup": line_oracle()}
