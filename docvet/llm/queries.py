@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvet.llm.common import read_table
+from docvet.llm.common import materialise, read_table
 from docvet.llm.op1_simhash import simhash_groups
 from docvet.llm.op2_pii import KINDS, find_pii, fit_pii, joined_spans
 from docvet.llm.op3_html import main_text
@@ -18,6 +18,8 @@ from docvet.llm.op7_shards import minimax_shards
 from docvet.llm.op8_bpe import encode_decode, token_digests
 from docvet.llm.op9_language import fit_language, identify
 from docvet.llm.op10_toxicity import fit_toxicity, toxicity
+from docvet.llm.op11_prefix_trie import SPAN, in_order, prefix_trie, turn_symbols
+from docvet.llm.op11_prefix_trie import oracle as trie_oracle
 from docvet.llm.op12_runs import periodic_runs
 from docvet.llm.op13_cross_polytope import embedding_groups
 
@@ -103,6 +105,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+def rebuilt_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns (conv, pos, symbol, words) of the contract's rebuilt conversations, and all their ids.
+
+    Conversation c is the first h turns of c - c % 20, then its own behind its first h.
+    """
+    turns = in_order(turn_symbols(conversations), "conv", F.col("turn").asc_nulls_first(), "symbol")
+    turns = materialise(turns, "turns")
+    h = (F.crc32(F.col("conv").cast("string").cast("binary")) % 4).cast("int")
+    heads = turns.filter("pos < 3").groupBy(F.col("conv").alias("base"))
+    heads = heads.agg(F.sort_array(F.collect_list(F.struct("pos", "symbol", "words"))).alias("head"))
+    convs = turns.groupBy("conv").agg(F.count("*").alias("n")).withColumn("base", F.col("conv") - F.col("conv") % 20)
+    taken = F.coalesce(F.slice("head", F.lit(1), h), F.array().cast(heads.schema["head"].dataType))
+    convs = materialise(convs.join(heads, "base", "left").select("conv", "n", taken.alias("head")), "rebuilt")
+    first = convs.select("conv", F.explode("head").alias("t")).select("conv", "t.pos", "t.symbol", "t.words")
+    # turns move up where the other conversation is shorter than h; keyed by stretch, so that a long one is dealt
+    stretch = F.floor(F.col("pos") / SPAN)
+    moved = convs.select("conv", (h - F.size("head")).alias("up"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / SPAN))).alias("stretch"))
+    own = turns.filter(F.col("pos") >= h).withColumn("stretch", stretch).join(moved.filter("up > 0"), ["conv", "stretch"], "left")
+    own = own.select("conv", (F.col("pos") - F.coalesce("up", F.lit(0))).alias("pos"), "symbol", "words")
+    return first.union(own), convs.select("conv")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefix_trie(*rebuilt_turns(read_table(spark, sf_dir, "conversations")))
+    return trie.drop("name", "parent")
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``, where the contract's tenth of the texts repeats a stretch of its words to the end."""
     code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -150,8 +179,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_runs": op12_runs,
     "op13_cross_polytope": op13_cross_polytope,
 }
 
-ORACLE = {"op4_decontaminate": hit_oracle(), "op5_line_dedup": line_oracle()}
+ORACLE = {"op4_decontaminate": hit_oracle(), "op5_line_dedup": line_oracle(), "op11_prefix_trie": trie_oracle()}
