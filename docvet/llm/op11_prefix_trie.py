@@ -329,8 +329,7 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     root = least.select(
         F.lit(ROOT).alias("name"), F.lit(None).cast("binary").alias("parent"), "conv_id", F.lit(0).cast("long").alias("depth"), "n_convs"
     )
-    of_root = least.select(F.lit(ROOT).alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    top = nodes.filter("depth = 1").join(F.broadcast(of_root), "parent")
+    top = nodes.filter("depth = 1").withColumn("parent_conv_id", least.select("conv_id").scalar())
     rest = nodes.filter("depth > 1").join(parents, "parent")
     columns = ["name", "parent", "conv_id", "depth", "n_convs"]
     below = top.select(*columns, "parent_conv_id").union(rest.select(*columns, "parent_conv_id")).join(totals, "name")
