@@ -50,6 +50,18 @@ def scope_bucket(
     return expr.otherwise(F.lit("Unknown"))
 
 
+def is_description_missing(description: str | Column, name: str | Column) -> Column:
+    """NULL, blank, Unknown, "{name} API" or "{name} API documentation"."""
+    d = col_of(description)
+    n = col_of(name).cast("string")
+    return (
+        d.isNull()
+        | d.isin(["", "Unknown"])
+        | F.coalesce(d == F.concat(n, F.lit(" API")), F.lit(False))
+        | F.coalesce(d == F.concat(n, F.lit(" API documentation")), F.lit(False))
+    )
+
+
 def description_fallback(
     description: str | Column,
     name: str | Column,
@@ -58,16 +70,8 @@ def description_fallback(
 ) -> Column:
     """Blank / Unknown / "{name} API" / "{name} API documentation" are replaced
     by the substitute text, whitespace collapsed, cut to ``max_chars``."""
-    d = col_of(description)
-    n = col_of(name).cast("string")
-    placeholder = (
-        d.isNull()
-        | d.isin(["", "Unknown"])
-        | (d == F.concat(n, F.lit(" API")))
-        | (d == F.concat(n, F.lit(" API documentation")))
-    )
     sub = collapse_ws_head(substitute, max_chars)
-    return F.when(placeholder, sub).otherwise(d)
+    return F.when(is_description_missing(description, name), sub).otherwise(col_of(description))
 
 
 def scope_fallback(scope: str | Column, text: str | Column) -> Column:
@@ -94,13 +98,15 @@ def fill_count(cols: Sequence[str | Column] = fixed.FILL_FIELDS) -> Column:
     return total.cast("int")
 
 
-def confidence(filled: str | Column, n_fields: int = len(fixed.FILL_FIELDS), retry: bool = False) -> Column:
+def confidence(filled: str | Column, n_fields: int = len(fixed.FILL_FIELDS), retry: bool | Column = False) -> Column:
     """int(filled/n*100) - 3*unfilled - (5 if retry), clamped to 0..95.
 
-    ``int(f/n*100)`` is computed as ``(100*f) div n``, exact for n = 10."""
+    ``int(f/n*100)`` is computed as ``(100*f) div n``, exact for n = 10.  ``retry`` may differ by row."""
     f = col_of(filled).cast("bigint")
     base = F.call_function("div", F.lit(100) * f, F.lit(n_fields).cast("bigint"))
     val = base - F.lit(fixed.UNFILLED_PENALTY) * (F.lit(n_fields) - f)
-    if retry:
+    if isinstance(retry, Column):
+        val = val - F.when(retry, F.lit(fixed.RETRY_PENALTY)).otherwise(0)
+    elif retry:
         val = val - F.lit(fixed.RETRY_PENALTY)
     return F.greatest(F.lit(0), F.least(F.lit(fixed.CONFIDENCE_CAP), val)).cast("int")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docvet.functions import fixed
+from docvet.functions.scoring import fill_count
 from docvet.functions.text import col_of
 
 def _value_lists() -> str:
@@ -164,6 +165,26 @@ def keyword_extractor() -> ExtractFn:
     return fn
 
 
+def is_thin(least: int, error: str | Column = "error") -> Column:
+    """Whether a parsed answer is worth asking again: unreadable, or with fewer than ``least`` fields filled."""
+    return col_of(error).isNotNull() | (fill_count(fixed.FILL_FIELDS) < least)
+
+
+def better_answer(first: DataFrame, strict: DataFrame, key: str) -> DataFrame:
+    """Parsed answers of the first pass, where the strict pass has a readable one that one instead.
+
+    ``strict`` holds the rows asked again (a subset by ``key``, which names a row).  Adds ``pass``, the
+    pass that the answer is from; an answer that neither pass could read keeps its strict error.
+    """
+    columns = [c for c in first.columns if c != key]
+    again = strict.select(key, F.struct(*columns).alias("__strict"))
+    both = first.join(again, key, "left")
+    asked, read = F.col("__strict").isNotNull(), F.col("__strict.error").isNull()
+    take = asked & (read | F.col("error").isNotNull())
+    chosen = [F.when(take, F.col(f"__strict.{c}")).otherwise(F.col(c)).alias(c) for c in columns]
+    return both.select(key, *chosen, F.when(take, F.lit("strict")).otherwise(F.lit("first")).alias("pass"))
+
+
 def parse_payload(df: DataFrame, payload: str, schema: T.StructType, required: Sequence[str]) -> DataFrame:
     """Parse JSON with a schema (PERMISSIVE); a missing required field makes the row an error row.
 

@@ -43,7 +43,7 @@ def score(
     df: DataFrame,
     document: str = "document",
     substitute: str | Column | None = None,
-    retry: bool = False,
+    retry: bool | Column = False,
 ) -> DataFrame:
     """E4, E5, E9, E10 on a record frame: description and scope fallbacks,
     then the fill-rate confidence (replaces ``confidence``)."""

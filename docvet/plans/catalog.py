@@ -793,23 +793,91 @@ def _stub_sql(field: str, text: str) -> str:
     return _STUB_SQL[field].replace("{t}", f"lower({text})")
 
 
-@register(
-    "q_extract_batch",
-    "SELECT doc_id AS id, "
-    + ", ".join(f"{_stub_sql(f, 'text')} AS {f}" for f in ("auth_method", "api_type", "mcp_support"))
-    + ", CAST(NULL AS VARCHAR) AS error FROM documents",
+def _first_words_sql(text: str) -> str:
+    return f"array_to_string(list_slice(string_split({S.utrim(S.collapse_ws(text))}, ' '), 1, 12), ' ')"
+
+
+#: The keyword function's answer to a document, field by field; a blank description is none.
+_ANSWER_SQL = (
+    "SELECT doc_id AS id, coalesce(source, '') AS category, "
+    + f"nullif({_first_words_sql('text')}, '') AS description, coalesce(source || '.example', '') AS evidence_url, "
+    + ", ".join(f"{_stub_sql(f, 'text')} AS {f}" for f in _STUB_SQL)
+    + " FROM documents"
 )
-def q_extract_batch(spark, d):
-    """E1 -> E2 -> E3: a keyword function over every document's request, in Arrow batches."""
-    docs = table(spark, d, "documents").select(
+
+
+def _document_apps(spark, d):
+    """Every document as the documentation of an app of its own."""
+    return table(spark, d, "documents").select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("app"), F.col("doc_id").cast("string")).alias("name"),
         F.concat(F.col("source"), F.lit(".example")).alias("website"),
         F.col("source").alias("category"),
         F.col("text").alias("document"),
     )
+
+
+@register("q_extract_batch", f"SELECT a.*, CAST(NULL AS VARCHAR) AS error FROM ({_ANSWER_SQL}) a")
+def q_extract_batch(spark, d):
+    """E1 -> E2 -> E3: a keyword function over every document's request, in Arrow batches; all fields of the answers."""
+    docs = _document_apps(spark, d)
     asked = docs.withColumn("request", EX.request_text("name", "category", "website", "document"))
-    return EX.parse_record(EX.extract_batch(asked, EX.keyword_extractor)).select("id", "auth_method", "api_type", "mcp_support", "error")
+    answered = EX.extract_batch(asked, EX.keyword_extractor).select("id", "payload", "error")
+    return EX.parse_record(answered).select("id", *EX.REQUIRED, "description", "api_scope", "error")
+
+
+def _clearer_when_strict() -> EX.ExtractFn:
+    """The keyword function, but some calls fail, some answers are no JSON, and a strict answer names no blocker."""
+    import json
+
+    answer = EX.keyword_extractor()
+
+    def fn(request: str, row) -> str:
+        number, strict = int(row["name"].removeprefix("app")), request.endswith(EX.RETRY_SUFFIX)
+        if number % 7 == 0 and not (strict and number % 2):
+            raise RuntimeError("no answer")
+        if number % 11 == 0 and not strict:
+            return "not json"
+        record = json.loads(answer(request, row))
+        return json.dumps(record | {"blocker": "Unknown"} if strict else record)
+
+    return fn
+
+
+_THIN = 7
+_FILLED_SQL = " + ".join(f"CAST(coalesce({f}, '') NOT IN ('', 'Unknown') AS INTEGER)" for f in fixed.FILL_FIELDS)
+
+
+@register(
+    "q_extract_retry",
+    f"WITH a AS ({_ANSWER_SQL}), f AS (SELECT a.*, {_FILLED_SQL} AS filled, "
+    "CASE WHEN id % 7 = 0 THEN 'no answer' WHEN id % 11 = 0 THEN 'answer is not a JSON object' END AS e1, "
+    "CASE WHEN id % 7 = 0 AND id % 2 = 0 THEN 'no answer' END AS e2 FROM a), "
+    f"p AS (SELECT *, (e1 IS NOT NULL OR filled < {_THIN}) AND (e1 IS NOT NULL OR e2 IS NULL) AS again FROM f), "
+    "r AS (SELECT *, CASE WHEN again THEN e2 ELSE e1 END AS error FROM p) "
+    "SELECT id, CASE WHEN again THEN 'strict' ELSE 'first' END AS pass, error, "
+    + ", ".join(f"CASE WHEN error IS NULL THEN {f} END AS {f}" for f in ("category", "description", "auth_method", "api_type", "credential_requirement", "evidence_url"))
+    + ", CASE WHEN error IS NULL THEN CASE WHEN again THEN 'Unknown' ELSE blocker END END AS blocker FROM r",
+)
+def q_extract_retry(spark, d):
+    """E1 -> E2 -> E3 twice: what could not be read, or has few fields filled, is asked again with the strict request.
+
+    Answers go through a ledger, so another run over it asks only the calls that failed.
+    """
+    from docvet.operators import ledger as LE
+
+    path = scratch_path(spark, "ledger")
+    docs = written(_document_apps(spark, d), "apps")
+
+    def parsed(rows, which):
+        request = EX.request_text("name", "category", "website", "document", retry=which == LE.STRICT)
+        got = LE.ask(rows.withColumn("request", request), _clearer_when_strict, path, which)
+        return written(EX.parse_record(got.select("id", "payload", "error")), which)
+
+    first = parsed(docs, LE.FIRST)
+    thin = written(docs.join(first.where(EX.is_thin(_THIN)).select("id"), "id", "left_semi"), "thin")
+    best = EX.better_answer(first, parsed(thin, LE.STRICT), "id")
+    return best.select("id", "pass", "error", "category", "description", "auth_method", "api_type", "credential_requirement", "evidence_url", "blocker")
 
 
 @register(
@@ -1303,17 +1371,6 @@ def _fails_at_times() -> EX.ExtractFn:
     return fn
 
 
-_RUNS: dict[tuple[str, str], object] = {}
-
-
-def _run(spark, d):
-    """One run per session and folder: results and errors come from the same answers."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _RUNS:
-        _RUNS[key] = research_run(spark, d, _fails_at_times)
-    return _RUNS[key]
-
-
 def _run_ctes() -> str:
     h0, h1 = fixed.PAGE_HEADER.split("{url}")
     piece = f"{S.lit(h0)} || t.url || {S.lit(h1)} || coalesce(substring({_page_text_sql('p.html')}, 1, {fixed.CHARS_PER_PAGE}), '')"
@@ -1326,7 +1383,7 @@ def _run_ctes() -> str:
 
 def _run_sql() -> str:
     category = S.canon_category(r"regexp_extract(app, '\.([a-z]+)$', 1)")
-    words = f"array_to_string(list_slice(string_split({S.utrim(S.collapse_ws('document'))}, ' '), 1, 12), ' ')"
+    words = _first_words_sql("document")
     records = (
         f"SELECT app AS id, app AS name, {category} AS category, document AS text, {words} AS description, app AS evidence_url, "
         + ", ".join(f"{_stub_sql(f, 'document')} AS {f}" for f in _STUB_SQL)
@@ -1339,7 +1396,7 @@ def _run_sql() -> str:
 @register("q_research_run", _run_sql())
 def q_research_run(spark, d):
     """A1, D2-D8, E1-E10, F1-F8 end to end: the result records of a run over the pages table."""
-    return _run(spark, d).results
+    return research_run(spark, d, _fails_at_times).results
 
 
 @register(
@@ -1350,4 +1407,4 @@ def q_research_run(spark, d):
 )
 def q_research_errors(spark, d):
     """A6 from the same run: failed calls, unreadable answers, apps without pages."""
-    return _run(spark, d).errors
+    return research_run(spark, d, _fails_at_times).errors
