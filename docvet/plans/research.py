@@ -48,8 +48,9 @@ class ResearchRun:
     errors: DataFrame
     log: DataFrame
 
-    def write(self, root: str, reset: bool = False) -> None:
-        write_run(self.results, self.errors, self.log, root, reset)
+    def write(self, root: str, reset: bool = False, run_id: str | None = None) -> str:
+        """Commit all outputs below ``root`` (``sources.files.write_run``); started again under its id it replaces itself."""
+        return write_run(self.results, self.errors, self.log, root, reset, run_id)
 
 
 def research(
