@@ -1355,6 +1355,30 @@ def q_stream_distribution(spark, d):
     return INC.latest_distribution(spark, f"{root}/out")
 
 
+def _streamed_state(spark, d) -> str:
+    from docvet.streaming.report_state import stream_report
+
+    root = scratch_path(spark, "stream-report")
+    stream_report(spark, f"{d}/documents.parquet", f"{root}/state", f"{root}/ckpt", table(spark, d, "documents").schema)
+    return f"{root}/state"
+
+
+@register("q_stream_report", ORACLE["q_report_raw"])
+def q_stream_report(spark, d):
+    """H2 for the raw report: all counters kept current over micro-batches (equals the batch report)."""
+    from docvet.streaming.report_state import current_raw_lines
+
+    return current_raw_lines(spark, _streamed_state(spark, d)).select("section", "value", "n", "first_seen", "share")
+
+
+@register("q_stream_report_normalised", ORACLE["q_report"])
+def q_stream_report_normalised(spark, d):
+    """H2 for the normalised report: distributions, crosstabs and the confidence summary from the merged state."""
+    from docvet.streaming.report_state import current_normalised_lines
+
+    return current_normalised_lines(spark, _streamed_state(spark, d))
+
+
 # ============================================================ end-to-end run
 from docvet.plans.research import research_run  # noqa: E402
 

@@ -133,7 +133,11 @@ def normalised_lines(norm: DataFrame) -> DataFrame:
     zero-filled over the column labels observed in their section, which come
     from the closed sets of the rule packs.
     """
-    counts = written(report_counts(norm), "report-counts")
+    return normalised_lines_of(written(report_counts(norm), "report-counts"))
+
+
+def normalised_lines_of(counts: DataFrame) -> DataFrame:
+    """The same from the counts alone, a small written table."""
     plain = counts.where(F.col("key").isNull() & ~F.col("section").isin(_CONF, _REVIEW))
     parts = [plain.select(*_line(F.col("section"), None, F.col("label"), F.col("n")))]
     xt = counts.where(F.col("key").isNotNull())
@@ -187,10 +191,11 @@ def _raw_summary(counts: DataFrame) -> DataFrame:
 
 def raw_lines(raw: DataFrame) -> DataFrame:
     """Counters of the raw report with shares of all rows: section, value, n, first_seen, share."""
-    return _lines_of(written(raw_counts(raw), "raw-counts"))
+    return raw_lines_of(written(raw_counts(raw), "raw-counts"))
 
 
-def _lines_of(counts: DataFrame) -> DataFrame:
+def raw_lines_of(counts: DataFrame) -> DataFrame:
+    """The same from the counts alone, a small written table."""
     total = counts.where(F.col("section") == _ROWS).select(F.sum("n")).scalar()
     return AG.with_share(counts.where(~F.col("section").startswith("__")), total)
 
@@ -233,7 +238,7 @@ def findings(raw: DataFrame) -> DataFrame:
     return g.select(F.posexplode(_findings_array(g)).alias("pos", "finding")).select((F.col("pos") + 1).alias("pos"), "finding")
 
 
-def _summary_of(counts: DataFrame) -> DataFrame:
+def raw_summary_of(counts: DataFrame) -> DataFrame:
     """The closed part of the raw report, one row: totals, rate, confidence, findings, leaders."""
     g = _raw_summary(counts)
     leader = lambda s: F.coalesce(F.col(f"{s}_leader")["value"], F.lit("N/A")).alias(f"{s}_leader")
@@ -250,7 +255,7 @@ def _summary_of(counts: DataFrame) -> DataFrame:
 
 
 def raw_summary(raw: DataFrame) -> DataFrame:
-    return _summary_of(written(raw_counts(raw), "raw-counts"))
+    return raw_summary_of(written(raw_counts(raw), "raw-counts"))
 
 
 def write_raw_report(raw: DataFrame, path: str) -> None:
@@ -261,9 +266,9 @@ def write_raw_report(raw: DataFrame, path: str) -> None:
     the report when read by n descending, then first_seen.
     """
     counts = written(raw_counts(raw), "raw-counts")
-    _lines_of(counts).write.mode("overwrite").partitionBy("section").parquet(f"{path}/sections")
+    raw_lines_of(counts).write.mode("overwrite").partitionBy("section").parquet(f"{path}/sections")
     review_queue(raw).write.mode("overwrite").parquet(f"{path}/review_queue")
-    write_json_document(_summary_of(counts), f"{path}/summary")
+    write_json_document(raw_summary_of(counts), f"{path}/summary")
 
 
 def review_queue(raw: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ restarted driver.
 H2: label distributions kept current while records arrive: a streaming
 aggregation in complete mode (state is one row per label, bounded by label
 cardinality; there is no event time, so no watermark is needed).  Each
-micro-batch overwrites the sink folder of that batch, so a retried batch
-rewrites the same files; the folders of earlier batches are then removed.
+micro-batch writes a folder of its own and points to it when it is complete
+(``streaming.published``).  The whole report is kept current by
+``streaming.report_state``.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from docvet.plans.analysis import verified_records
 from docvet.sources.records import records_from_documents
+from docvet.streaming.published import publish, read_published
 
 
 def documents_stream(spark: SparkSession, source_dir: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -73,8 +75,7 @@ def stream_distribution(
     counts = src.groupBy(F.coalesce(F.col(field).cast("string"), F.lit("Unknown")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id:012d}")
-        _remove_older(spark, sink_dir, batch_id)
+        publish(spark, sink_dir, batch_id, lambda: batch)
 
     parts = state_partitions or spark.sparkContext.defaultParallelism
     previous = spark.conf.get("spark.sql.shuffle.partitions")
@@ -93,18 +94,9 @@ def stream_distribution(
     return q
 
 
-def _remove_older(spark: SparkSession, sink_dir: str, batch_id: int) -> None:
-    """Keep the current table and the one before it, which a reader may still have open."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith("batch=") and int(name.removeprefix("batch=")) < batch_id - 1:
-            fs.delete(status.getPath(), True)
-
-
 def latest_distribution(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """The table written by the last micro-batch of H2 (batch ids only grow)."""
-    all_batches = spark.read.parquet(sink_dir)
-    last = all_batches.select(F.max("batch")).scalar()
-    return all_batches.where(F.col("batch") == last).drop("batch")
+    """The table published by the last complete micro-batch of H2."""
+    table = read_published(spark, sink_dir)
+    if table is None:
+        raise FileNotFoundError(f"no distribution has been published in {sink_dir}")
+    return table
