@@ -16,6 +16,7 @@ Scale notes
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -124,6 +125,36 @@ def crosstab_long(df: DataFrame, row: str | Column, col: str | Column, missing:
     return expanded.select("row_label", "col_label", F.coalesce(F.col("m")[F.col("col_label")], F.lit(0)).cast("bigint").alias("n"))
 
 
+#: What a row of a sparse crosstab stands for, by its grouping id: the bits of the labels that are left out.
+SPARSE_KINDS = ("cell", "row", "col", "total")
+
+
+def crosstab_sparse(df: DataFrame, row: str | Column, col: str | Column, missing: str = "Unknown") -> DataFrame:
+    """G5 for two open columns: the pairs that occur, and both margins, from one ``GROUPING SETS`` pass.
+
+    Nothing is zero-filled, so the output grows with the pairs that occur and not with the product of the
+    labels; no label list is gathered.  Columns: kind (cell, row, col, total), row_label and col_label
+    (NULL where the kind sums over them), n.  A NULL label counts under ``missing``.
+    """
+    label = lambda c: F.coalesce(col_of(c).cast("string"), F.lit(missing))
+    pairs = df.select(label(row).alias("row_label"), label(col).alias("col_label"))
+    r, c = F.col("row_label"), F.col("col_label")
+    sets = pairs.groupingSets([[r, c], [r], [c], []], r, c).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"))
+    kind = F.element_at(F.array(*map(F.lit, SPARSE_KINDS)), (F.col("g") + 1).cast("int"))
+    # the total of no rows is a row of its own in SQL; without rows there is nothing to sum
+    return sets.where(F.col("n") > 0).select(kind.alias("kind"), "row_label", "col_label", "n")
+
+
+def zero_filled(sparse: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """The cells of a sparse crosstab with a zero for each of ``labels``, a closed list, that a row does not have.
+
+    Columns: row_label, col_label, n.  Cells of other labels stay as they are.
+    """
+    cells = sparse.where(F.col("kind") == "cell").select("row_label", "col_label", "n")
+    zeros = sparse.where(F.col("kind") == "row").select("row_label", F.explode(F.array(*map(F.lit, labels))).alias("col_label"), F.lit(0).alias("n"))
+    return cells.union(zeros).groupBy("row_label", "col_label").agg(F.sum("n").alias("n"))
+
+
 def crosstab_wide(df: DataFrame, row: str | Column, col: str | Column, labels: Sequence[str] | None = None) -> DataFrame:
     """G5 wide: one column per label, zeros for absent pairs.
 
@@ -137,36 +168,46 @@ def crosstab_wide(df: DataFrame, row: str | Column, col: str | Column, labels: S
     return wide.na.fill(0, subset=value_cols)
 
 
-def median_of_counts(counts: DataFrame, value: str = "value", n: str = "n", gather: int = 4096) -> float | None:
-    """Exact median of values given with their counts; None without any.
+def value_at_rank(counts: DataFrame, position: int, value: str = "value", n: str = "n", gather: int = 4096, splitters: int = 63) -> float | None:
+    """The value at ``position`` (from 0) of all values in order, given with their counts; NULL and NaN take no place.
 
-    While more than ``gather`` distinct values lie between the bounds, they
-    are counted in 1024 equal-width bins and the bounds move to the bin that
-    holds the middle, so at most ``gather`` values, or 1024 bins, are at the driver.
+    While more than ``gather`` distinct values lie between the bounds, some of them (those with the
+    smallest hashes) split the rest into intervals, whose sizes are counted, and the bounds move to the
+    interval that holds the position.  Values are only compared, never subtracted or scaled, so infinite
+    ones and any range are ordinary; and as every splitter is itself a value, every round leaves fewer.
+    At most ``gather`` values are at the driver.
     """
-    known = counts.select(F.col(value).cast("double").alias("v"), F.col(n).alias("n")).where(F.col("v").isNotNull())
-    total, low, high = known.agg(F.sum("n"), F.min("v"), F.max("v")).first()
-    if not total:
-        return None
-
-    def at(position: int, low: float, high: float) -> float:
-        while True:
-            inside = known.where(F.col("v").between(low, high))
-            few = inside.limit(gather + 1).collect()
-            if len(few) <= gather:
-                for v, k in sorted(few):
-                    if position < k:
-                        return v
-                    position -= k
-            place = F.least(F.floor((F.col("v") - low) / (high - low) * 1024), F.lit(1023))
-            bins = inside.groupBy(place.alias("b")).agg(F.sum("n"), F.min("v"), F.max("v")).collect()
-            for _, k, bin_low, bin_high in sorted(bins):
+    v = F.col(value).cast("double")
+    inside = counts.select(v.alias("v"), F.col(n).alias("n")).where(v.isNotNull() & ~F.isnan(v))
+    while True:
+        few = inside.limit(gather + 1).collect()
+        if len(few) <= gather:
+            for known, k in sorted(map(tuple, few)):
                 if position < k:
-                    low, high = bin_low, bin_high
-                    break
+                    return known
                 position -= k
+            return None
+        cuts = sorted(r[0] for r in inside.select("v").orderBy(F.xxhash64("v"), "v").limit(splitters).collect())
+        interval = sum((F.when(F.col("v") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+        for _, k, low, high in sorted(map(tuple, inside.groupBy(interval.alias("b")).agg(F.sum("n"), F.min("v"), F.max("v")).collect())):
+            if position < k:
+                inside = inside.where(F.col("v").between(low, high))
+                break
+            position -= k
+        else:
+            return None
 
-    return (at((total - 1) // 2, low, high) + at(total // 2, low, high)) / 2
+
+def median_of_counts(counts: DataFrame, value: str = "value", n: str = "n", gather: int = 4096) -> float | None:
+    """Exact median of values given with their counts; None without any.  NULL and NaN are no values; infinite ones are."""
+    v = F.col(value).cast("double")
+    total = counts.where(v.isNotNull() & ~F.isnan(v)).agg(F.sum(n)).first()[0]
+    if not total:
+        return None
+    low = value_at_rank(counts, (total - 1) // 2, value, n, gather)
+    high = low if total % 2 else value_at_rank(counts, total // 2, value, n, gather)
+    middle = (low + high) / 2
+    return middle if math.isfinite(middle) else low / 2 + high / 2
 
 
 def numeric_summary(df: DataFrame, value: str | Column, approx: bool = False) -> DataFrame:
@@ -175,24 +216,35 @@ def numeric_summary(df: DataFrame, value: str | Column, approx: bool = False) ->
     One pass counts the distinct values, written once; all four figures come
     from these counts, the median by ``median_of_counts``.  ``approx=True``
     takes the median by ``percentile_approx`` over the rows instead.
+
+    NaN is a missing value.  Infinite values count like others: they are smallest or largest, and the
+    mean follows them.  A minimum or maximum that no long can hold is NULL.
     """
     v = col_of(value).cast("double")
+    known = F.col("v").isNotNull() & ~F.isnan("v")
     if approx:
-        return _summary(df.select(v.alias("v"), F.lit(1).alias("n")), F.percentile_approx("v", 0.5, 10000).cast("double"))
-    counts = written(df.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n")).where(F.col("v").isNotNull()), "values")
+        rows = df.select(v.alias("v"), F.lit(1).alias("n")).where(known)
+        return _summary(rows, F.percentile_approx("v", 0.5, 10000).cast("double"))
+    counts = written(df.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n")).where(known), "values")
     return _summary(counts, F.lit(median_of_counts(counts, "v")).cast("double"))
 
 
 def _summary(counts: DataFrame, median: Column) -> DataFrame:
     mean = F.sum(F.col("v") * F.col("n")) / F.sum("n")
+    whole = lambda c: F.when(c.isNull(), F.lit(0)).otherwise(c.try_cast("bigint"))
     return counts.agg(
-        F.coalesce(round_half_up(mean, 2), F.lit(0.0)).alias("average"),
-        F.coalesce(round_half_up(median, 2), F.lit(0.0)).alias("median"),
-        F.coalesce(F.min("v").try_cast("bigint"), F.lit(0)).alias("lowest"),
-        F.coalesce(F.max("v").try_cast("bigint"), F.lit(0)).alias("highest"),
+        F.coalesce(_two_places(mean), F.lit(0.0)).alias("average"),
+        F.coalesce(_two_places(median), F.lit(0.0)).alias("median"),
+        whole(F.min("v")).alias("lowest"),
+        whole(F.max("v")).alias("highest"),
     )
 
 
+def _two_places(c: Column) -> Column:
+    """Half-up to two decimals; beyond 1e15 a double has none, and stays as it is."""
+    return F.when(F.isnan(c) | (F.abs(c) >= 1e15), c).otherwise(round_half_up(c, 2))
+
+
 def confidence_stats(df: DataFrame, value: str | Column) -> DataFrame:
     """Mean (2 decimals, half-up by integer arithmetic), min, max of integer scores; 0 when empty."""
     v = col_of(value).cast("bigint")

@@ -571,6 +571,36 @@ def q_numeric_summary(spark, d):
     return AG.numeric_summary(table(spark, d, "lineitem"), "l_quantity")
 
 
+_ANY_NUMBER = (
+    ("l_orderkey % 97 = 0", "'Infinity'"),
+    ("l_orderkey % 89 = 0", "'-Infinity'"),
+    ("l_orderkey % 83 = 0", "'NaN'"),
+    ("l_orderkey % 5 = 0", "l_extendedprice * 1e300"),
+)
+_ANY_NUMBER_SQL = "CASE " + " ".join(f"WHEN {c} THEN CAST({v} AS DOUBLE)" for c, v in _ANY_NUMBER) + " ELSE l_extendedprice END"
+
+
+@register(
+    "q_numeric_summary_any",
+    f"SELECT {S.round_half_up('median(v)', 2)} AS median, CAST(NULL AS BIGINT) AS highest FROM (SELECT {_ANY_NUMBER_SQL} AS v FROM lineitem) WHERE NOT isnan(v)",
+)
+def q_numeric_summary_any(spark, d):
+    """G6 on any numbers: many distinct ones, both infinities, NaN and a range beyond a double's."""
+    v = table(spark, d, "lineitem").select(F.expr(_ANY_NUMBER_SQL).alias("v"))
+    return AG.numeric_summary(v, "v").select("median", "highest")
+
+
+@register(
+    "q_crosstab_sparse",
+    "SELECT CASE grouping_id(p, s) WHEN 0 THEN 'cell' WHEN 1 THEN 'row' WHEN 2 THEN 'col' ELSE 'total' END AS kind, "
+    "p AS row_label, s AS col_label, count(*) AS n FROM (SELECT coalesce(CAST(l_partkey AS VARCHAR), 'Unknown') AS p, "
+    "coalesce(CAST(l_suppkey AS VARCHAR), 'Unknown') AS s FROM lineitem) GROUP BY GROUPING SETS ((p, s), (p), (s), ())",
+)
+def q_crosstab_sparse(spark, d):
+    """G5 for two open columns: part x supplier, pairs that occur and both margins."""
+    return AG.crosstab_sparse(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
+
+
 @register(
     "q_conf_stats",
     _with_scored(
