@@ -1137,6 +1137,39 @@ from docvet.operators.resolve import resolve  # noqa: E402
 from docvet.session import scratch_path, written  # noqa: E402
 from docvet.sources import files as FI  # noqa: E402
 
+_DRIFT_LAYOUTS = (("key", "status", "priority"), ("key", "customer", "status", "priority", "note"))
+_DRIFT_NOTE = 'He said "no, never"'
+
+
+@register(
+    "q_scan_drift",
+    "SELECT CASE WHEN o_orderkey % 15 = 2 THEN 'reject' ELSE 'row' END AS kind, CAST(o_orderkey AS VARCHAR) AS key, "
+    "CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 15 <> 2 THEN CAST(o_custkey AS VARCHAR) END AS customer, "
+    "o_orderstatus AS status, CASE WHEN o_orderkey % 15 <> 2 THEN o_orderpriority END AS priority, "
+    f"CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 15 <> 2 THEN {S.lit(_DRIFT_NOTE)} END AS note FROM orders",
+)
+def q_scan_drift(spark, d):
+    """A1/A2 on drifted files: orders written as records of two widths, some too narrow for either, with a header
+    before some records and another one glued to some; every record read by its own layout."""
+    from docvet.sources.drift import read_drifted
+
+    path = scratch_path(spark, "drift")
+    key = F.col("o_orderkey")
+    text = lambda c: F.col(c).cast("string")
+    line = lambda *cols: F.to_csv(F.struct(*cols), {"escape": '"'})
+    narrow = line(text("o_orderkey"), text("o_orderstatus"), text("o_orderpriority"))
+    wide = line(text("o_orderkey"), text("o_custkey"), text("o_orderstatus"), text("o_orderpriority"), F.lit(_DRIFT_NOTE).alias("note"))
+    record = F.when(key % 15 == 2, line(text("o_orderkey"), text("o_orderstatus"))).when(key % 3 == 0, narrow).otherwise(wide)
+    header = ",".join(_DRIFT_LAYOUTS[1])
+    before = F.when(key % 97 == 0, F.lit(header + "\n")).when(key % 101 == 0, F.lit(header)).otherwise(F.lit(""))
+    table(spark, d, "orders").select(F.concat(before, record)).write.text(path)
+    read = read_drifted(spark, path, _DRIFT_LAYOUTS, headers=[_DRIFT_LAYOUTS[1]], multi_line=False)
+    field = lambda i: F.get("fields", F.lit(i))
+    none = F.lit(None).cast("string")
+    rejects = read.rejects.select(F.lit("reject").alias("kind"), field(0).alias("key"), none.alias("customer"), field(1).alias("status"), none.alias("priority"), none.alias("note"))
+    return read.rows.select(F.lit("row").alias("kind"), "key", "customer", "status", "priority", "note").union(rejects)
+
+
 _NATION_SCHEMA = T.StructType(
     [T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.IntegerType())]
 )
