@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docvet.functions import fixed
 from docvet.functions.text import col_of
+from docvet.session import written
 
 
 def search_text(name: str | Column, template: str = fixed.SEARCH_TEXT) -> Column:
@@ -57,10 +58,12 @@ def combine_pages(
     * A page whose scrape failed keeps its URL in the evidence but adds no
       header and no text.
     * A page with NULL content adds its header only.
-    * Text is cut to ``chars`` characters before it is collected.
+    * Text is cut to ``chars`` characters before it is sorted, shuffled or collected.
     Columns: app, document, evidence_url, n_pages.
     """
     before, after = header.split("{url}")
+    cut = F.substring(F.col(text), 1, chars)
+    pages = pages.select(*dict.fromkeys((app, rank, url)), cut.alias(text), *(c for c in ("pos", failed) if c and c in pages.columns))
     if "pos" not in pages.columns:
         # keep the group bounded whatever the caller passes: first k by rank
         w = Window.partitionBy(app).orderBy(F.asc(rank))
@@ -68,7 +71,7 @@ def combine_pages(
     is_failed = F.coalesce(F.col(failed), F.lit(False)) if failed and failed in pages.columns else F.lit(False)
     piece = F.when(
         is_failed, F.lit("")
-    ).otherwise(F.concat(F.lit(before), F.col(url), F.lit(after), F.coalesce(F.substring(F.col(text), 1, chars), F.lit(""))))
+    ).otherwise(F.concat(F.lit(before), F.col(url), F.lit(after), F.coalesce(F.col(text), F.lit(""))))
     entries = pages.select(F.col(app).alias("app"), F.struct(F.col(rank).alias("r"), F.col(url).alias("u"), piece.alias("p")).alias("e"))
     grouped = entries.groupBy("app").agg(F.array_sort(F.collect_list("e")).alias("es"))
     return grouped.select(
@@ -79,6 +82,21 @@ def combine_pages(
     )
 
 
+def chosen_texts(chosen: DataFrame, pages: DataFrame, chars: int = fixed.CHARS_PER_PAGE, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """D3 -> D4: the text of the chosen pages, cut before anything is shuffled: ``chosen`` with ``text`` and ``failed``.
+
+    ``chosen`` is ``top_docs`` output over ids: it is written and read back under its own limit, which
+    makes it a small filtered scan.  So where the pages are large, Spark puts a runtime filter of the
+    chosen ids on their scan, and the html of other pages is neither turned into text nor exchanged.
+    A page that is not there counts as failed.
+    """
+    few = written(chosen, "chosen").where(F.col("pos") <= fixed.PAGES_PER_APP)
+    cut = F.substring(page_text(html), 1, chars)
+    texts = pages.select(page_id, cut.alias("text"), F.col(html).isNull().alias("failed"))
+    joined = few.join(texts, page_id, "left")
+    return joined.withColumn("failed", F.coalesce("failed", F.lit(True)))
+
+
 def no_hits(apps: DataFrame, hits: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Apps without any hit (anti join; the hit side is shuffled or broadcast by AQE)."""
     return apps.join(hits.select(key).distinct() if isinstance(key, str) else hits.select(*key).distinct(), key, "left_anti")

@@ -10,8 +10,9 @@ verification and merge (F1-F8) -> result records.  Apps without hits (D7), faile
 (A6), and every app gets a log entry (A7).
 
 Scale: pages are ranked by id; no page text takes part in the ranking's sort
-and shuffle.  The chosen ids (at most 3 per app) are joined back to the pages,
-whose text is cut before it is grouped.  All answers go to a ledger in the
+and shuffle.  The chosen ids (at most 3 per app) are written and joined back to
+the pages, whose text is cut before the join; Spark's runtime filter keeps the
+html of other pages out of it.  All answers go to a ledger in the
 shared folder (``operators.ledger``): results, errors and log read them from
 there, and neither a second pass nor a run that is started again asks what has
 an answer.
@@ -29,7 +30,7 @@ from docvet.functions import fixed
 from docvet.functions.checks import official_url
 from docvet.functions.scoring import is_description_missing, scope_bucket
 from docvet.functions.text import canon_category
-from docvet.operators.collect import combine_pages, no_hits, page_text, top_docs
+from docvet.operators.collect import chosen_texts, combine_pages, no_hits, top_docs
 from docvet.operators.extract import ExtractFn, better_answer, description_request, is_thin, keyword_extractor, parse_record, request_text
 from docvet.operators.ledger import DESCRIBE, FIRST, STRICT, ask
 from docvet.operators.select import first_n, named_sample
@@ -78,8 +79,7 @@ def research(
     if limit is not None:
         apps = first_n(apps, limit, "id")
     apps = apps.withColumn("category", canon_category("category"))
-    chosen = top_docs(hits).join(pages, "page_id", "left")
-    texts = chosen.select("app", "rank", "url", F.substring(page_text("html"), 1, fixed.CHARS_PER_PAGE).alias("text"), F.col("html").isNull().alias("failed"), "pos")
+    texts = chosen_texts(top_docs(hits), pages)
     docs = combine_pages(texts)
     found = apps.join(docs.withColumnRenamed("app", "name"), "name")
     asked = written(found.withColumnRenamed("evidence_url", "evidence"), "asked")
