@@ -15,7 +15,9 @@ Lines are compared by a 96-bit hash (xxhash64 and murmur3 of the line).
 A document of which every line is boilerplate is emptied.  Copies count as pages by definition, so
 a document whose copies are over ``max_ratio`` of its host loses its whole text.  With
 ``distinct_texts`` each distinct page text of a host counts once on both sides of the ratio (texts
-compared by such a hash too), so exact copies are no evidence; near copies still are.
+compared by such a hash too), so exact copies are no evidence.  With ``groups``, which names the pages
+that are near copies of each other, each group of a host counts once: a line is on it if it is on any
+of its pages, so neither are near copies.
 
 Defined results: a null host is a host of its own; a null text stays null; an empty text stays
 empty; repeated rows count as pages (unless ``distinct_texts``); empty tables give no rows; other columns pass through
@@ -38,6 +40,11 @@ def _key(line):
     return _hashes(F.trim(line))
 
 
+def page_key(text):
+    """What tells a page's text from others: the ``page`` of ``groups``."""
+    return _hashes(text)
+
+
 def _page_lines(text):
     """The distinct lines of a page, as keys."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
@@ -45,14 +52,25 @@ def _page_lines(text):
 
 
 def boilerplate_lines(
-    docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 3, distinct_texts: bool = False
+    docs: DataFrame,
+    host_col: str = "source",
+    text_col: str = "text",
+    max_ratio: float = 0.05,
+    min_pages: int = 3,
+    distinct_texts: bool = False,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
-    """(host, key, pages, total): the lines above the ratio, by hash."""
-    pages = docs.select(F.col(host_col).alias("host"), _hashes(F.col(text_col)).alias("page"), _page_lines(F.col(text_col)).alias("keys"))
-    if distinct_texts:
+    """(host, key, pages, total): the lines above the ratio, by hash.  ``groups``: (page, group) of every text, see ``page_key``."""
+    pages = docs.select(F.col(host_col).alias("host"), page_key(F.col(text_col)).alias("page"), _page_lines(F.col(text_col)).alias("keys"))
+    if distinct_texts or groups is not None:
         # copies combine map-side; a page travels as the hashes of its lines
         pages = materialise(pages.groupBy("host", "page").agg(F.first("keys").alias("keys")), "pages")
-    counts = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("pages"))
+    lines = pages.select("host", F.explode("keys").alias("key"))
+    if groups is not None:
+        grouped = pages.join(groups.select("page", "group"), "page")
+        lines = grouped.select("host", "group", F.explode("keys").alias("key")).distinct()
+        pages = grouped.select("host", "group").distinct()
+    counts = lines.groupBy("host", "key").agg(F.count("*").alias("pages"))
     totals = pages.groupBy("host").agg(F.count("*").alias("total"))
     return (
         counts.filter(F.col("pages") >= min_pages)
@@ -71,9 +89,10 @@ def drop_boilerplate_lines(
     min_pages: int = 3,
     broadcast_lines: int = 200_000,
     distinct_texts: bool = False,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with cleaned ``text_col``, plus ``n_lines`` and ``n_dropped`` (lines before, lines dropped)."""
-    found = materialise(boilerplate_lines(docs, host_col, text_col, max_ratio, min_pages, distinct_texts), "lines")
+    found = materialise(boilerplate_lines(docs, host_col, text_col, max_ratio, min_pages, distinct_texts, groups), "lines")
     if found.count() <= broadcast_lines:
         per_host = found.groupBy("host").agg(F.collect_set("key").alias("__drop")).withColumnRenamed("host", "__host")
         marked = docs.join(F.broadcast(per_host), docs[host_col].eqNullSafe(F.col("__host")), "left").drop("__host")

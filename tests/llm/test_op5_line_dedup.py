@@ -1,6 +1,7 @@
 import pytest
 
-from docvet.llm.op5_line_dedup import drop_boilerplate_lines
+from docvet.llm.op5_line_dedup import drop_boilerplate_lines, page_key
+from pyspark.sql import functions as F
 from tests.llm.helpers import DOCS, awkward_docs
 
 
@@ -14,12 +15,15 @@ def tables():
     return docs
 
 
-def brute(docs, ratio, least):
-    pages, total = {}, {}
-    for _, text, _, host, _ in docs:
-        total[host] = total.get(host, 0) + 1
+def brute(docs, ratio, least, groups=None):
+    """``groups``: what each row counts as, on its host; by default every row is a page."""
+    groups = range(len(docs)) if groups is None else groups
+    total, pages = {}, {}
+    for (_, text, _, host, _), group in zip(docs, groups, strict=True):
+        total.setdefault(host, set()).add(group)
         for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
-            pages[host, line] = pages.get((host, line), 0) + 1
+            pages.setdefault((host, line), set()).add(group)
+    total, pages = ({k: len(v) for k, v in d.items()} for d in (total, pages))
     out = []
     for key, text, _, host, _ in docs:
         if text is None:
@@ -54,3 +58,17 @@ def test_distinct_texts_count_once(spark, bound):
     got = drop_boilerplate_lines(spark.createDataFrame(docs, DOCS), broadcast_lines=bound, distinct_texts=True).collect()
     assert sorted(((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got), key=str) == sorted(((str(d[0]), *text[d[3], d[1]]) for d in docs), key=str)
     assert {r.text for r in got if r.doc_id and r.doc_id >= 3000} == {"clean one\nclean two"} and any(r.n_dropped for r in got)
+
+
+@pytest.mark.parametrize("bound", [1000, -1])
+def test_groups_count_once(spark, bound):
+    """Near copies on a third of a host: their lines are no boilerplate, one page's own line stays the one page's."""
+    docs = tables() + [(3000 + i, f"clean one\nclean two\nnumber {i}" + "\nfew 0" * (i % 2), "en", "big", 1) for i in range(30)]
+    group = lambda text: "copies" if (text or "").startswith("clean") else text
+    frame = spark.createDataFrame(docs, DOCS)
+    texts = frame.select("text", F.when(F.col("text").startswith("clean"), "copies").otherwise(F.col("text")).alias("group"))
+    names = texts.select(page_key(F.col("text")).alias("page"), "group").distinct()
+    got = drop_boilerplate_lines(frame, broadcast_lines=bound, groups=names).collect()
+    assert sorted(((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got), key=str) == brute(docs, 0.05, 3, [group(d[1]) for d in docs])
+    assert all(r.n_dropped == 0 or "few 0" not in r.text for r in got if (r.doc_id or 0) >= 3000)
+    assert sum("clean one\nclean two" in (r.text or "") for r in got) == 30
