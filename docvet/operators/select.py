@@ -65,8 +65,11 @@ def full_table(df: DataFrame, cols: Sequence[str | Column | None], names: Sequen
     return df.select(F.col(order), *as_cells(cols, names))
 
 
+def search_cells(cells: Sequence[str | Column]) -> Column:
+    """The text of a row that a search looks at: its cells side by side, lower-cased."""
+    return F.lower(F.concat_ws("", *[F.coalesce(col_of(c).cast("string"), F.lit("")) for c in cells]))
+
+
 def table_search(df: DataFrame, cells: Sequence[str | Column], query: str) -> DataFrame:
     """Rows whose adjacent cell text contains the trimmed, lower-cased query."""
-    q = query.strip().lower()
-    text = F.lower(F.concat_ws("", *[F.coalesce(col_of(c).cast("string"), F.lit("")) for c in cells]))
-    return df.where(text.contains(q))
+    return df.where(search_cells(cells).contains(query.strip().lower()))

@@ -216,6 +216,18 @@ def q_table_search(spark, d):
     return SE.table_search(table(spark, d, "part"), ["p_name", "p_brand", "p_type"], "  Widgetbrand#1 ")
 
 
+@register(
+    "q_table_search_index",
+    "SELECT * FROM part WHERE contains(lower(coalesce(p_name, '') || coalesce(p_brand, '') || coalesce(p_type, '')), 'brand#1')",
+)
+def q_table_search_index(spark, d):
+    """B8 by an index: the postings of the needle's rarest trigrams, then the test on the rows they name."""
+    from docvet.operators.search import build_index
+
+    index = build_index(table(spark, d, "part"), "p_partkey", ["p_name", "p_brand", "p_type"], scratch_path(spark, "search-index"))
+    return index.search(" Brand#1 ")
+
+
 # ====================================================== E: scoring, fallbacks
 _BUILT = "repeat('GET /v1/x ', CAST(doc_id % 600 AS INTEGER)) || text"
 
@@ -517,6 +529,31 @@ def q_topk_section(spark, d):
     return AG.top_k(counts, {f: fixed.TOP_K_CATEGORIES if f == "category" else fixed.TOP_K for f in _RANKED})
 
 
+_OPEN_VALUES = {
+    "flag": "l_returnflag",
+    "supplier": "CAST(l_suppkey AS STRING)",
+    "part": "CAST(l_partkey AS STRING)",
+    "order": "CASE WHEN l_orderkey % 3 = 0 THEN 'hot' WHEN l_orderkey % 5 = 0 THEN 'warm' ELSE CAST(l_orderkey AS STRING) END",
+}
+
+
+@register(
+    "q_topk_open",
+    "SELECT field, value, n, first_seen, pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY n DESC, first_seen, value) AS INTEGER) AS pos FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{f}' AS field, {e} AS value, count(*) AS n, min(l_orderkey) AS first_seen FROM lineitem WHERE {e} IS NOT NULL AND trim({e}) <> '' GROUP BY ALL"
+        for f, e in _OPEN_VALUES.items()
+    )
+    + ")) WHERE pos <= CASE field WHEN 'order' THEN 2 ELSE 5 END",
+)
+def q_topk_open(spark, d):
+    """G2 + G11 over open values: bounded summaries, then only candidates are counted; even counts are counted in full."""
+    from docvet.operators.heavy import top_values
+
+    fields = {f: F.expr(e) for f, e in _OPEN_VALUES.items()}
+    return top_values(table(spark, d, "lineitem"), fields, {"order": 2}, "l_orderkey")
+
+
 @register(
     "q_leaders",
     S.with_rr(
