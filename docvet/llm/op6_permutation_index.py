@@ -84,7 +84,9 @@ def build_index(
     lengths = [len(r.vector) for r in sample]
     width = max(sorted(set(lengths)), key=lengths.count)
     centre = _furthest_first(np.array([r.vector for r in sample if len(r.vector) == width], np.float64), pivots)
-    good = good.filter(F.size("vector") == width)
+    # an id counts once, with the vector that sorts first: repeats combine map-side and never fill a block
+    good = good.filter(F.size("vector") == width).groupBy("id").agg(F.min("vector").alias("vector"))
+    good = materialise(good, "vectors")
     blocks = max(1, -(-good.count() // block_rows))
     sent = rows.sparkSession.sparkContext.broadcast(centre)
 
