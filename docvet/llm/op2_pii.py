@@ -117,6 +117,16 @@ def shape(core: str) -> tuple[int, ...]:
     return tuple(sorted(on + [size] * (size >= 0)))
 
 
+#: Digits, at signs and dots that make a token an entity of its kind by itself.
+_WHOLE = (("@", 1), (".", 3), ("", 14), ("", 10))
+
+
+def is_whole(kind: int, token: str) -> bool:
+    """Whether a token is a whole entity of the kind, not a piece that its neighbour goes on with."""
+    sign, least = _WHOLE[kind]
+    return (token.count(sign) if sign else sum("0" <= c <= "9" for c in token)) >= least
+
+
 @dataclass
 class Graph:
     """One document's field: tokens, their observed kinds (0 outside the rules), chain and skip edges."""
@@ -188,44 +198,59 @@ class SkipChainCRF:
 
     def marginals(self, g: Graph, rounds: int = MOST_ROUNDS) -> np.ndarray:
         """Loopy sum-product over the document; observed tokens are fixed."""
+        return self.settle(g, rounds)[0]
+
+    def settle(self, g: Graph, rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, bool]:
+        """The marginals, and whether the messages settled; only edges that can still change are computed again."""
         n, k = len(g.spans), len(self.skip)
         scores = np.array([self.unary[list(s)].sum(0) for s in g.shapes])
         for i, y in enumerate(g.observed):
             if y:
                 scores[i] = -50.0
                 scores[i, y] = 0.0
-        edges = [(a, b, self.chain) for a, b in g.chain] + [(a, b, np.diag(self.skip)) for a, b in g.skip]
+        edges = g.chain + g.skip
+        settled = not edges
         if edges:
-            src = np.array([e[0] for e in edges] + [e[1] for e in edges])
-            dst = np.array([e[1] for e in edges] + [e[0] for e in edges])
-            pair = np.exp(np.array([e[2] for e in edges] + [e[2].T for e in edges]))
+            ends = np.array(edges)
+            src, dst = np.concatenate((ends[:, 0], ends[:, 1])), np.concatenate((ends[:, 1], ends[:, 0]))
             half = len(edges)
+            pair = np.exp(np.stack([self.chain, self.chain.T, np.diag(self.skip)]))
+            # which of the three potentials an edge has: along the chain, against it, or a skip edge
+            kind = np.concatenate([np.repeat([0, 2], [len(g.chain), len(g.skip)]), np.repeat([1, 2], [len(g.chain), len(g.skip)])])
             back = np.concatenate((np.arange(half, 2 * half), np.arange(half)))
-            message = np.zeros((2 * half, k))
+            message, total = np.zeros((2 * half, k)), scores.copy()
+            active = np.arange(2 * half)
             for _ in range(rounds):
-                total = scores.copy()
-                np.add.at(total, dst, message)
-                out = total[src] - message[back]
+                out = total[src[active]] - message[back[active]]
                 out = np.exp(out - out.max(1, keepdims=True))
-                new = np.log(np.einsum("ei,eij->ej", out, pair) + 1e-30)
+                new = np.log(np.einsum("ei,eij->ej", out, pair[kind[active]]) + 1e-30)
                 new -= new.max(1, keepdims=True)
-                new = 0.5 * message + 0.5 * new
-                moved = np.abs(new - message).max()
-                message = new
-                if moved < 1e-4:
+                step = 0.5 * (new - message[active])
+                message[active] += step
+                np.add.at(total, dst[active], step)
+                moving = active[np.abs(step).max(1) >= 1e-4]
+                if not len(moving):
+                    settled = True
                     break
-            total = scores.copy()
-            np.add.at(total, dst, message)
+                touched = np.zeros(n, bool)
+                touched[dst[moving]] = True
+                again = touched[src]
+                again[moving] = True
+                active = np.flatnonzero(again)
             scores = total
         p = np.exp(scores - scores.max(1, keepdims=True))
-        return (p / p.sum(1, keepdims=True)).reshape(n, k)
+        return (p / p.sum(1, keepdims=True)).reshape(n, k), settled
 
     def added(self, text: str, base: list[Span], threshold: float = 0.5) -> list[Span]:
-        """Spans beyond the base ones."""
+        """Spans beyond the base ones; none where the messages do not settle."""
+        return self.judged(text, base, threshold)[0]
+
+    def judged(self, text: str, base: list[Span], threshold: float = 0.5) -> tuple[list[Span], bool]:
+        """Spans beyond the base ones, and whether the field settled; if it did not, no label of it is used."""
         g = build_graph(text, base)
         # only a token tied to another can be told something that its own shape does not say
         if not any(g.observed) or all(g.observed) or not (g.chain or g.skip):
-            return []
+            return [], True
         told = {i for i, y in enumerate(g.observed) if y}
         ties = defaultdict(list)
         for a, b in g.chain + g.skip:
@@ -237,8 +262,10 @@ class SkipChainCRF:
             told.update(fresh)
             reach += fresh
         if len(told) == sum(map(bool, g.observed)):
-            return []
-        p = self.marginals(g)
+            return [], True
+        p, settled = self.settle(g)
+        if not settled:
+            return [], False
         label = np.where(p.max(1) > threshold, p.argmax(1), 0)
         label[[i for i in range(len(label)) if i not in told]] = 0
         joined = set(g.chain)
@@ -246,12 +273,13 @@ class SkipChainCRF:
         prior = -1
         for i, y in enumerate(label.tolist()):
             if y and not g.observed[i]:
-                if prior >= 0 and prior == i - 1 and (prior, i) in joined and out[-1][0] == y - 1:
+                pieces = not any(is_whole(y - 1, text[slice(*g.spans[j])]) for j in (prior, i))
+                if prior >= 0 and prior == i - 1 and (prior, i) in joined and out[-1][0] == y - 1 and pieces:
                     out[-1] = (y - 1, out[-1][1], g.spans[i][1])
                 else:
                     out.append((y - 1, *g.spans[i]))
                 prior = i
-        return out
+        return out, True
 
 
 def _training_rows(text: str) -> list[tuple[list[int], int, int, int, list[int]]]:
@@ -313,7 +341,10 @@ _SPANS = "array<struct<kind:string,start:int,stop:int>>"
 
 
 def find_pii(docs: DataFrame, model: SkipChainCRF | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Per row: id, ``base`` and ``added``: spans as (kind, start, stop) in code points, by start, then kind."""
+    """Per row: id, ``base`` and ``added``: spans as (kind, start, stop) in code points, by start, then kind; ``settled``.
+
+    A document whose messages did not settle in ``MOST_ROUNDS`` rounds has its base spans alone, and ``settled`` false.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -322,13 +353,13 @@ def find_pii(docs: DataFrame, model: SkipChainCRF | None, id_col: str = "doc_id"
 
         def one(key, text):
             base = base_spans(text or "")
-            added = crf.added(text, base, threshold) if crf is not None and base else []
-            return key, name(base), name(added)
+            added, settled = crf.judged(text, base, threshold) if crf is not None and base else ([], True)
+            return key, name(base), name(added), settled
 
         return one
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], f"`{id_col}` {kind}, base {_SPANS}, added {_SPANS}", make)
+    return map_rows(docs, [id_col, text_col], f"`{id_col}` {kind}, base {_SPANS}, added {_SPANS}, settled boolean", make)
 
 
 def joined_spans(spans):

@@ -49,6 +49,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"),
         joined_spans(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        "settled",
     )
 
 

@@ -1,7 +1,10 @@
+import itertools
 import random
 import re
 
-from docvet.llm.op2_pii import KINDS, SHAPES, SkipChainCRF, base_spans, build_graph, find_pii, fit_crf, fit_pii, joined_spans, luhn
+import numpy as np
+
+from docvet.llm.op2_pii import KINDS, SHAPES, Graph, SkipChainCRF, base_spans, build_graph, find_pii, fit_crf, fit_pii, is_whole, joined_spans, luhn
 from docvet.llm.op2_pii import _training_rows
 from tests.llm.helpers import DOCS, awkward_docs
 
@@ -104,3 +107,46 @@ def test_frame(spark):
     assert find_pii(docs, None).count() == docs.count()
     empty = spark.createDataFrame([], DOCS)
     assert fit_pii(empty) is None and find_pii(empty, None).count() == 0
+
+
+def _field():
+    """Agreement on skip edges, a little pull along the chain, and no say for shapes."""
+    k = 5
+    return SkipChainCRF(np.zeros((len(SHAPES), k)), 0.1 * np.eye(k), np.full(k, 3.0))
+
+
+def test_two_whole_entities_stay_two_spans():
+    a, b = "4111 1111 1111 1111".replace(" ", ""), "5500000000000004"
+    text = f"card {a} and {b} again:\n{a[:-1]}9 {b[:-1]}9 end"
+    base = base_spans(text)
+    assert [s[0] for s in base] == [2, 2]
+    added = _field().added(text, base)
+    found = [text[s:e] for _, s, e in added]
+    assert found == [f"{a[:-1]}9", f"{b[:-1]}9"]
+    assert is_whole(2, a) and not is_whole(2, a[:8]) and is_whole(0, "a@b") and is_whole(1, "1.2.3.4") and not is_whole(3, "+1555")
+
+
+def test_messages_settle_to_the_exact_marginals_of_a_tree():
+    """Without loops the settled messages are exact: enumeration over all labellings."""
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        crf = SkipChainCRF(rng.normal(size=(len(SHAPES), 3)), rng.normal(size=(3, 3)), np.abs(rng.normal(size=3)))
+        g = Graph([(i, i + 1) for i in range(5)], [(0, int(rng.integers(1, 8))) for _ in range(5)], [0, 1, 0, 0, 0], [(0, 1), (2, 3)], [(0, 3), (1, 4)])
+        p, settled = crf.settle(g)
+        assert settled
+        want = np.zeros((5, 3))
+        for labels in itertools.product(range(3), repeat=5):
+            if labels[1] == 1:
+                score = sum(crf.unary[list(s), y].sum() for i, (s, y) in enumerate(zip(g.shapes, labels, strict=True)) if i != 1)
+                score += sum(crf.chain[labels[a], labels[b]] for a, b in g.chain) + sum(crf.skip[labels[a]] for a, b in g.skip if labels[a] == labels[b])
+                for i, y in enumerate(labels):
+                    want[i, y] += np.exp(score)
+        assert np.allclose(p, want / want.sum(1, keepdims=True), atol=2e-3)
+
+
+def test_a_field_that_does_not_settle_labels_nothing(monkeypatch):
+    text = "card 4111111111111111 and later 4111111111111112 end"
+    base = base_spans(text)
+    assert _field().judged(text, base)[0] and _field().judged(text, base)[1]
+    monkeypatch.setattr(SkipChainCRF.settle, "__defaults__", (1,))
+    assert _field().judged(text, base) == ([], False)
