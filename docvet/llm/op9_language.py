@@ -139,7 +139,8 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return one
 
-    found = map_rows(sample, ["id", "lang", "text"], "id long, lang string, at array<int>, n array<long>", make).collect()
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = map_rows(sample, ["id", "lang", "text"], f"id {kind}, lang string, at array<int>, n array<long>", make).collect()
     rows = sorted((r[1], r[0], r[2], r[3]) for r in found if r[2] is not None)
     return fit_centroids([(lang, at, n) for lang, _, at, n in rows], bits, clusters)
 

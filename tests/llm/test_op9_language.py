@@ -50,3 +50,44 @@ def test_far_text_is_rejected():
     model = fit_centroids(rows, 12, clusters=2)
     assert not model.predict("the cat sat on the mat number two")[2]
     assert model.predict("зовсім інші літери")[2]
+
+
+def _plain_counts(text, bits):
+    """The counts, gram by gram."""
+    import re
+
+    data = b" " + re.sub(r"[\W\d_]+", " ", text.lower()).encode() + b" "
+    out = {}
+    for end in range(1, len(data)):
+        for n in (1, 2, 3):
+            if end - n + 1 >= 0:
+                gram = data[end - n + 1 : end + 1]
+                code = int.from_bytes(gram, "big") | (n << 24 if n < 3 else 0)
+                at = (code * 2654435761 % 2**32) >> (32 - bits)
+                out[at] = out.get(at, 0) + 1
+    return out
+
+
+def test_predictions_equal_plain_cosines():
+    """Every prediction against cosines worked out gram by gram and centroid by centroid."""
+    from docvet.llm.op9_language import fit_centroids
+
+    bits, texts = 10, {"en": ["the cat sat there", "a dog and the cat ran", "where they were then"], "de": ["die Katze saß dort", "der Hund läuft über Gras"]}
+    model = fit_centroids([(lang, *map(np.ndarray.tolist, gram_counts(t, bits))) for lang, ts in texts.items() for t in ts], bits, clusters=2)
+    for text in [t for ts in texts.values() for t in ts] + ["the dog läuft", "xyz", "Über the Gras 12"]:
+        counts = _plain_counts(text, bits)
+        assert dict(zip(*map(np.ndarray.tolist, gram_counts(text, bits)), strict=True)) == counts
+        weight = {at: (1 + np.log(n)) * model.idf[at] for at, n in counts.items()}
+        norm = sum(w * w for w in weight.values()) ** 0.5
+        cosines = [sum(w * model.centroids[at, j] for at, w in weight.items()) / norm for j in range(len(model.languages))]
+        best = int(np.argmax(cosines))
+        lang, score, rejected = model.predict(text)
+        assert lang == model.languages[best] and abs(score - min(1, max(0, cosines[best]))) < 1e-9 and rejected == (score < model.reject_below)
+
+
+def test_ids_of_any_type_and_a_very_long_text(spark):
+    rows = [(f"id{i}", t, lang) for i, (t, lang) in enumerate([("wörter sind hier", "de"), ("words are here", "en")] * 4)]
+    rows += [("long", "wörter und dinge " * 40_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in identify(docs, fit_language(docs)).collect()}
+    assert got["id0"] == "de" and got["id1"] == "en" and got["long"] == "de"
