@@ -12,11 +12,12 @@ Encoding.  Text flows through three small machines, each holding a bounded buffe
   final encoding runs through one of the last ``longest`` prefixes; the tokens that the encodings
   of all of these share are stable and are emitted.  ``lookahead`` is the bound, computed from the
   merge list, on how many bytes can be pending: the longest chain of merges of falling rank, each
-  of which can take away or supply a symbol of the one before, times the longest token.
+  of which can take away or supply a symbol of the one before, times the longest token.  Where the
+  prefixes have not met by then, the tokens before the bound are emitted all the same, so a piece
+  of any length takes the memory of the lookahead and two longest tokens.
 
-A piece no longer than the longest token is within the lookahead as a whole: its one path of
-compatible tokens is found depth first, longest token first.  Such pieces repeat, so their encodings
-are kept in a cache of bounded size.
+Pieces of every length go through the transducer.  Short ones repeat, so the encodings of those no
+longer than the longest token are kept in a cache of bounded size.
 
 Decoding feeds each token's bytes to a UTF-8 state machine that returns text as soon as its bytes
 are complete.
@@ -25,7 +26,8 @@ Nothing is trained here; the vocabulary file's path is a parameter.
 
 Defined results: a null text is an empty one, with no tokens; repeated rows each get a row; an empty
 table gives no rows; ids unknown to the vocabulary are an error in decoding; other columns are
-ignored or pass through.
+ignored or pass through.  Every token that a merge makes must encode to itself, as in any list that was
+learned by merging.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -76,19 +79,19 @@ class Merges:
         # tokens that merges can make: these, and the single bytes, end an encoding
         self.reach = {b: i for b, i in self.ids.items() if i in self.made or len(b) == 1}
         self.longest = max(map(len, self.reach))
-        self.longest_from: dict[bytes, int] = {}  # by a token's first four bytes; others have at most three
-        sizes: dict[bytes, set[int]] = {}
-        for b in self.reach:
-            if len(b) > 2:
-                sizes.setdefault(b[-3:], set()).add(len(b))
-            if len(b) > 3:
-                self.longest_from[b[:4]] = max(self.longest_from.get(b[:4], 0), len(b))
-        #: by a token's last three bytes, the lengths there are, longest first; others have at most two
-        self.lengths_to = {b: (*sorted(s, reverse=True), 2, 1) for b, s in sizes.items()}
-        self._fits: dict[tuple[int, int], bool] = {}
+        #: finds the tokens that end at each byte, longest first
+        self.automaton = ahocorasick.Automaton()
+        for b, i in self.reach.items():
+            self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
+        self.automaton.make_automaton()
+        self._lookahead = self._longest_chain() * self.longest
+        self.fitting: dict[tuple[int, int], bool] = {}  # pairs of neighbours tried so far
 
     def lookahead(self) -> int:
         """Bytes of right context that can decide about a token, from the merge list alone."""
+        return self._lookahead
+
+    def _longest_chain(self) -> int:
         chain: dict[int, int] = {}  # of the merge that makes a token
         taking_left: dict[int, int] = {}  # longest chain of an earlier merge whose left symbol is this
         taking_right: dict[int, int] = {}
@@ -97,7 +100,7 @@ class Merges:
             chain[c] = n
             taking_left[a] = max(taking_left.get(a, 0), n)
             taking_right[b] = max(taking_right.get(b, 0), n)
-        return max(chain.values(), default=1) * self.longest
+        return max(chain.values(), default=1)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b after token a is an encoding of their joint text.
@@ -106,11 +109,11 @@ class Merges:
         two symbols that once met there would have merged before one of them was used up.  Of equal
         merges the left one comes first, so a tie counts against the right symbol only.
         """
-        known = self._fits.get((a, b))
+        known = self.fitting.get((a, b))
         if known is None:
-            if len(self._fits) > 500_000:
-                self._fits.clear()
-            known = self._fits[a, b] = self._fit(a, b)
+            if len(self.fitting) > 500_000:
+                self.fitting.clear()
+            known = self.fitting[a, b] = self._fit(a, b)
         return known
 
     def _fit(self, a: int, b: int) -> bool:
@@ -129,64 +132,57 @@ class Merges:
                 used_b, b = made_b, self.pairs[made_b][0]
 
 
-    def path(self, data: bytes) -> list[int]:
-        """The tokens of a short piece.  A prefix has one encoding, so an end that failed once fails for good."""
-        get, fits, reach, size = self.reach.get, self.fits, self.longest_from.get, len(data)
-        out: list[int] = []
-        ends = [0]
-        dead: set[int] = set()
-        end = min(size, reach(data[:4], 3))
-        while ends[-1] < size:
-            at, prior = ends[-1], out[-1] if out else -1
-            while end > at:
-                token = get(data[at:end]) if end not in dead else None
-                if token is not None and (prior < 0 or fits(prior, token)):
-                    out.append(token)
-                    ends.append(end)
-                    end = min(size, end + reach(data[end : end + 4], 3))
-                    break
-                end -= 1
-            else:
-                if not out:
-                    raise ValueError("the vocabulary lacks a byte")
-                dead.add(ends.pop())
-                out.pop()
-                end = at - 1
-        return out
-
-
 class PieceStream:
-    """Bytes of one piece in, stable tokens out."""
+    """Bytes of one piece in, stable tokens out; at most the lookahead and two longest tokens are pending."""
 
     def __init__(self, merges: Merges):
-        self.m, self.data, self.last, self.start = merges, b"", [-1], [0]
+        self.m, self.search = merges, merges.automaton.iter("")
+        self._begin()
+
+    def _begin(self) -> None:
+        self.search.set("", True)
+        self.last, self.start = [-1], [0]  # by length of the pending prefix: its last token, and where that starts
         self.before = -1  # the token emitted last
+        self.cut = 0  # bytes of the piece that are emitted
+
+    def pending(self) -> int:
+        return len(self.last) - 1
 
     def feed(self, data: bytes) -> list[int]:
-        m, longest = self.m, self.m.longest
+        longest = self.m.longest
         out: list[int] = []
         for at in range(0, len(data), longest):
-            self.data += data[at : at + longest]
-            self._extend()
+            self._extend(data[at : at + longest])
             if len(self.last) > 4 * longest:
                 out += self._stable()
         return out
 
-    def _extend(self) -> None:
-        get, fits, data, last, start = self.m.reach.get, self.m.fits, self.data, self.last, self.start
-        lengths = self.m.lengths_to.get
-        for end in range(len(last), len(data) + 1):
-            for size in lengths(data[max(0, end - 3) : end], (2, 1)):
-                at = end - size
-                token = get(data[at:end]) if at >= 0 else None
-                if token is not None:
-                    prior = last[at] if at else self.before
-                    if prior < 0 or fits(prior, token):
-                        last.append(token)
-                        start.append(at)
-                        break
+    def _extend(self, data: bytes) -> None:
+        known, fits, last, start, before = self.m.fitting, self.m.fits, self.last, self.start, self.before
+        n, size = len(last), len(last) + len(data)
+        self.search.set(data.decode("latin-1"))
+        shift = 1 - self.cut
+        for end, (token, length) in self.search:  # the tokens that end here, longest first
+            if end + shift < n:
+                continue
+            at = n - length
+            if at > 0:
+                prior = last[at]
+            elif at < 0:  # begins in what is emitted
+                continue
             else:
-                raise ValueError("the vocabulary lacks a byte")
+                prior = before
+            if prior >= 0:
+                good = known.get((prior, token))
+                if good is None:
+                    good = fits(prior, token)
+                if not good:
+                    continue
+            last.append(token)
+            start.append(at)
+            n += 1
+        if n != size:
+            raise ValueError("the vocabulary lacks a byte")
 
     def _path(self, end: int) -> list[int]:
         out = []
@@ -195,25 +191,33 @@ class PieceStream:
             end = self.start[end]
         return out[::-1]
 
-    def _stable(self) -> list[int]:
+    def _shared(self) -> int:
+        """The furthest prefix that the encodings of all of the last ``longest`` prefixes pass through."""
         n = len(self.last) - 1
         ends = set(range(n - self.m.longest + 1, n + 1))
-        while len(ends) > 1:  # the furthest prefix that all of these pass through
+        while len(ends) > 1:
             top = max(ends)
             ends.discard(top)
             ends.add(self.start[top])
-        cut = ends.pop()
+        return ends.pop()
+
+    def _stable(self) -> list[int]:
+        n, cut = len(self.last) - 1, self._shared()
+        if n - cut > self.m.lookahead():  # what the merge list proves stable need not wait for this to show
+            cut = n
+            while n - cut < self.m.lookahead():
+                cut = self.start[cut]
         out = self._path(cut)
         if out:
             self.before = out[-1]
-            self.data = self.data[cut:]
+            self.cut += cut
             self.last = [-1, *self.last[cut + 1 :]]
             self.start = [0, *(s - cut for s in self.start[cut + 1 :])]
         return out
 
     def finish(self) -> list[int]:
         out = self._path(len(self.last) - 1)
-        self.data, self.last, self.start, self.before = b"", [-1], [0], -1
+        self._begin()
         return out
 
 
@@ -231,9 +235,9 @@ class _Pieces(dict):
         out = self.old.get(piece)
         if out is None:
             data = piece.encode("utf-8", "surrogatepass")
+            out = _pack(self.stream.feed(data) + self.stream.finish())
             if len(data) > self.m.longest:
-                return _pack(self.stream.feed(data) + self.stream.finish())
-            out = _pack(self.m.path(data))
+                return out
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

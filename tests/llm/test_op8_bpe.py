@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -42,7 +43,7 @@ def test_long_pieces_stream_in_constant_memory(library, merges):
             data = piece.encode()
             for at in range(0, len(data), 100):
                 out += stream.feed(data[at : at + 100])
-                most = max(most, len(stream.data))
+                most = max(most, stream.pending())
             out += stream.finish()
             assert most <= merges.lookahead() and most < 12 * merges.longest
             if " " not in piece:
@@ -50,6 +51,62 @@ def test_long_pieces_stream_in_constant_memory(library, merges):
         assert Encoder(merges).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def merged(pairs, text):
+    """Tokens of a text by the definition: the earliest merge of the list first, its leftmost pair first."""
+    parts = list(text)
+    while True:
+        here = [(pairs.index(p), i) for i, p in enumerate(zip(parts, parts[1:])) if p in pairs]
+        if not here:
+            return parts
+        _, i = min(here)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def tiny_vocabulary(rng, path):
+    """Random merges over three letters of which every one encodes to itself."""
+    tokens, pairs = ["a", "b", "c"], []
+    for _ in range(rng.randint(1, 60)):
+        pair = rng.choice(tokens), rng.choice(tokens)
+        made = "".join(pair)
+        if made not in tokens and len(made) <= 9 and len(merged([*pairs, pair], made)) == 1:
+            tokens.append(made)
+            pairs.append(pair)
+    path.write_text(json.dumps({"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": [list(p) for p in pairs]}}))
+    return tokens, pairs
+
+
+def test_transducer_equals_the_merge_rules_within_its_lookahead(tmp_path):
+    rng = random.Random(8)
+    for n in range(150):
+        tokens, pairs = tiny_vocabulary(rng, tmp_path / f"{n}.json")
+        merges = Merges(str(tmp_path / f"{n}.json"))
+        stream = PieceStream(merges)
+        for _ in range(6):
+            unit = "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+            text = rng.choice([unit * rng.randint(1, 60), "".join(rng.choice("abc") for _ in range(rng.randint(1, 150)))])
+            out, at = [], 0
+            while at < len(text):
+                step = rng.randint(1, 20)
+                out += stream.feed(text[at : at + step].encode())
+                at += step
+                # a chunk is looked at when more than four longest tokens are pending
+                assert stream.pending() <= max(merges.lookahead(), 4 * merges.longest) + 2 * merges.longest
+            assert [tokens[i] for i in out + stream.finish()] == merged(pairs, text), (pairs, text)
+
+
+def test_what_the_lookahead_proves_stable_is_emitted_without_a_common_prefix(merges, library, monkeypatch):
+    text = "thereingtion" * 400
+    want = library.encode(text, add_special_tokens=False).ids
+    stream = PieceStream(merges)
+    monkeypatch.setattr(merges, "_lookahead", 6 * merges.longest)
+    monkeypatch.setattr(PieceStream, "_shared", lambda self: 0)  # prefixes that never meet
+    out, most = [], 0
+    for at in range(0, len(text), 50):
+        out += stream.feed(text[at : at + 50].encode())
+        most = max(most, stream.pending())
+    assert out + stream.finish() == want and most <= 8 * merges.longest
+
+
 def test_decoder_waits_for_whole_characters(merges, library):
     ids = library.encode("😀é中", add_special_tokens=False).ids
     decoder = Decoder(merges)
