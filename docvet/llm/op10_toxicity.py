@@ -1,19 +1,21 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
-Features are binary: the distinct words of a text and the first 3 to 6 letters of each; those are
-kept that speak for toxic most clearly (by chi-square) and are not rare among toxic rows.  Weights
-are not negative, so a text without such features scores lowest, however short it is.  One weight
+Features are binary: the distinct words of a text and the first 3 to 6 letters of each; all are
+kept that a thirtieth of the toxic rows hold (3 rows at least) and that are more frequent there than
+in clean rows.  Weights are not negative, so a text without such features scores lowest, however short it is.  One weight
 vector w is shared by all ordered thresholds t1 < t2 < ...: P(grade >= k) = sigmoid(w.x - tk), and
 the expected severity is the sum of these probabilities over k.
 
 Grades: labels are toxic or not, so grade 0 is a row labelled not toxic, and the rows labelled toxic
 are graded 1 to ``grades`` by how many of their distinct words carry a feature that stands out in
-toxic rows (equal-count cuts over those rows).  A text is rejected when P(grade >= 1) reaches
+toxic rows (equal-count cuts over those rows).  Severity thus means how much of a text is telling, as
+labels have two values; the words that make it up are chosen by the labels alone.  A text is rejected when P(grade >= 1) reaches
 ``reject_at``.
 
 The model is fitted on a bounded sample of labelled rows: per class, the ``rows_per_class`` rows
-with the smallest hash of their id.  Scoring covers whole texts of all rows in one scan, without a
-shuffle; only the fitted weights (at most ``max_features``) are sent to the tasks.
+with the smallest hash of their id (of any type; rows that repeat an id count once, with the text that
+sorts first).  Scoring covers whole texts of all rows in one scan, without a shuffle; only the weights
+above zero are sent to the tasks.
 
 Defined results: a null or wordless text has the scores of a text without features; labels that
 are null are ignored; with one class only, or none, no text is rejected and scores are 0; repeated
@@ -74,14 +76,9 @@ def _support(n_toxic: int) -> int:
     return max(3, n_toxic // 30)
 
 
-def choose_features(seen: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, max_features: int) -> tuple[list[str], set[str]]:
+def choose_features(seen: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> tuple[list[str], set[str]]:
     """From (toxic rows, clean rows) with each feature: the chosen ones, and those rarely seen in clean rows."""
-    lift = {}
-    for f, (a, b) in seen.items():
-        p, q, m = a / n_toxic, b / n_clean, (a + b) / (n_toxic + n_clean)
-        if p > q and a >= _support(n_toxic):
-            lift[f] = (p - q) ** 2 / (m * (1 - m) + 1e-9)
-    chosen = sorted(lift, key=lambda f: (-lift[f], f))[:max_features]
+    chosen = sorted(f for f, (a, b) in seen.items() if a >= _support(n_toxic) and a / n_toxic > b / n_clean)
     return chosen, {f for f in chosen if seen[f][0] / n_toxic > 20 * (seen[f][1] + 0.5) / n_clean}
 
 
@@ -111,10 +108,10 @@ def fit_weights(
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, t = np.maximum(w - change[: len(w)], 0), np.maximum.accumulate(t - change[len(w) :])
-    return OrdinalModel({f: float(x) for f, x in zip(chosen, w, strict=True)}, t.tolist())
+    return OrdinalModel({f: float(x) for f, x in zip(chosen, w, strict=True) if x > 0}, t.tolist())
 
 
-def fit_ordinal(rows: list[tuple[set[str], int]], max_features: int = 128, **options) -> OrdinalModel:
+def fit_ordinal(rows: list[tuple[set[str], int]], **options) -> OrdinalModel:
     """Fit on a small list of (distinct words, toxic 0/1) rows, without Spark."""
     n_toxic = sum(bool(y) for _, y in rows)
     if not 0 < n_toxic < len(rows):
@@ -125,7 +122,7 @@ def fit_ordinal(rows: list[tuple[set[str], int]], max_features: int = 128, **opt
         for f in here:
             a, b = seen.get(f, (0, 0))
             seen[f] = (a + bool(y), b + (not y))
-    chosen, telling = choose_features(seen, n_toxic, len(rows) - n_toxic, max_features)
+    chosen, telling = choose_features(seen, n_toxic, len(rows) - n_toxic)
     index = {f: i for i, f in enumerate(chosen)}
     return fit_weights(
         chosen,
@@ -138,7 +135,7 @@ def fit_ordinal(rows: list[tuple[set[str], int]], max_features: int = 128, **opt
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 3000, max_features: int = 128, **options
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = 3000, **options
 ) -> OrdinalModel:
     """Fit on at most ``rows_per_class`` labelled rows of either class.
 
@@ -151,10 +148,12 @@ def fit_toxicity(
     ids = smallest_hashes(known.filter("toxic = 0"), id_col, rows_per_class).union(
         smallest_hashes(known.filter("toxic = 1"), id_col, rows_per_class)
     )
-    # at most 2 * rows_per_class ids are broadcast; words are cut out on the executors
-    sample = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(id_col, text_col, "toxic")
+    # at most 2 * rows_per_class ids are broadcast; rows that repeat one combine before they move, words are cut out on the executors
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids.withColumnRenamed(id_col, "id")), "id")
+    sample = sample.groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    kind = sample.schema["id"].dataType.simpleString()
     cut = lambda: lambda key, text, toxic: (key, sorted(distinct_words(text)), toxic)
-    sample = materialise(map_rows(sample, [id_col, text_col, "toxic"], "id long, words array<string>, toxic int", cut), "labelled")
+    sample = materialise(map_rows(sample, ["id", "text", "toxic"], f"id {kind}, words array<string>, toxic int", cut), "labelled")
     rows, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n_toxic < rows:
         return OrdinalModel()
@@ -175,7 +174,7 @@ def fit_toxicity(
 
     present = map_rows(sample, ["words", "toxic"], "at array<int>, toxic int", make_present)
     counts = present.select(F.explode("at").alias("at"), "toxic").groupBy("at").agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).collect()
-    chosen, telling = choose_features({sent.value[i]: (a, b) for i, a, b in counts}, n_toxic, rows - n_toxic, max_features)
+    chosen, telling = choose_features({sent.value[i]: (a, b) for i, a, b in counts}, n_toxic, rows - n_toxic)
 
     def make_rows():
         index = {f: i for i, f in enumerate(chosen)}
@@ -186,7 +185,7 @@ def fit_toxicity(
 
         return one
 
-    found = map_rows(sample, ["id", "words", "toxic"], "id long, at array<int>, depth int, toxic int", make_rows).collect()
+    found = map_rows(sample, ["id", "words", "toxic"], f"id {kind}, at array<int>, depth int, toxic int", make_rows).collect()
     return fit_weights(chosen, [(list(at), depth, bool(t)) for _, at, depth, t in sorted(tuple(r) for r in found)], **options)
 
 

@@ -1,8 +1,10 @@
+import math
 import random
 
 import duckdb
+import pytest
 
-from docvet.llm.op10_toxicity import OrdinalModel, distinct_words, fit_ordinal, fit_toxicity, remove_toxic, toxicity
+from docvet.llm.op10_toxicity import OrdinalModel, choose_features, distinct_words, fit_ordinal, fit_toxicity, remove_toxic, toxicity
 from tests.llm.helpers import DOCS, awkward_docs, sentence
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -38,6 +40,58 @@ def test_grades_are_ordered_and_share_weights():
     assert clean[0] < 0.5 < strong[0]
 
 
+def labelled(rng, n=240):
+    """(text, toxic, how many of the words are vile) rows; a vile row also has words of its own."""
+    rows = []
+    for i in range(n):
+        vile = rng.sample("abcdefghi", rng.randint(1, 6)) if i % 4 == 0 else []
+        rows.append((" ".join([sentence(rng, 20), *(f"vile{j}" for j in vile)]), int(bool(vile)), len(vile)))
+    return rows
+
+
+def test_chosen_features_are_those_of_a_plain_count():
+    rows = [(distinct_words(t), y) for t, y, _ in labelled(random.Random(5))]
+    present = [({f"={w}" for w in ws} | {f"^{w[:n]}" for w in ws for n in range(3, 7) if len(w) >= n}, y) for ws, y in rows]
+    toxic = [fs for fs, y in present if y]
+    clean = [fs for fs, y in present if not y]
+    seen = {f: (sum(f in x for x in toxic), sum(f in x for x in clean)) for f in set().union(*(fs for fs, _ in present))}
+    chosen, telling = choose_features(seen, len(toxic), len(clean))
+    want = [f for f, (a, b) in seen.items() if a >= 3 and a * len(clean) > b * len(toxic)]
+    assert chosen == sorted(want) and len(chosen) == len(set(chosen))
+    assert {f for f in chosen if f.startswith("=vile")} <= telling and not any(f[1:] in sentence(random.Random(1), 99) for f in telling if f[0] == "=")
+
+
+def test_fit_on_frames_equals_the_plain_fit_whatever_the_ids(spark):
+    rows = labelled(random.Random(6))
+    plain = fit_ordinal([(distinct_words(t), y) for t, y, _ in rows])
+    for name, kind in ((lambda i: f"doc {i:04d}", "string"), (lambda i: i, "long"), (lambda i: i, "int")):
+        docs = spark.createDataFrame([(name(i), t) for i, (t, _, _) in enumerate(rows)], f"key {kind}, text string")
+        labels = spark.createDataFrame([(name(i), y) for i, (_, y, _) in enumerate(rows)], f"key {kind}, toxic int")
+        # a third of all rows repeat one id: it counts once
+        hot = docs.unionAll(spark.range(120).crossJoin(docs.limit(1)).select("key", "text")) if kind == "string" else docs
+        model = fit_toxicity(hot, labels, id_col="key", rows_per_class=1000)
+        assert model.thresholds == [pytest.approx(t) for t in plain.thresholds]
+        assert model.weights == {f: pytest.approx(w) for f, w in plain.weights.items()}
+        got = toxicity(docs, model, id_col="key")
+        assert got.schema["key"].dataType.simpleString() == {"string": "string", "long": "bigint", "int": "int"}[kind]
+        assert got.filter("toxic").count() >= 55
+
+
+def test_scores_equal_the_definition_and_follow_planted_severity():
+    train, held = labelled(random.Random(7), 400), labelled(random.Random(8), 400)
+    model = fit_ordinal([(distinct_words(t), y) for t, y, _ in train])
+    score = model.scorer()
+    by_depth: dict[int, list[float]] = {}
+    for text, _, depth in held:
+        words = set(text.split())
+        value = sum(w for f, w in model.weights.items() if any(f == f"={x}" or (f[0] == "^" and 3 <= len(f) - 1 <= 6 and x.startswith(f[1:])) for x in words))
+        want = [1 / (1 + math.exp(t - value)) for t in model.thresholds]
+        assert score(text).tolist() == [pytest.approx(x) for x in want]
+        by_depth.setdefault(depth, []).append(sum(want))
+    means = [sum(by_depth[d]) / len(by_depth[d]) for d in sorted(by_depth)]
+    assert means == sorted(means) and means[0] < 0.5 < means[-1]
+
+
 def test_awkward_rows(spark):
     docs = spark.createDataFrame([(*r, "x") for r in awkward_docs()], DOCS + ", toxic string")
     none = fit_toxicity(docs, spark.createDataFrame([], LABELS))
