@@ -34,6 +34,8 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -46,6 +48,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the byte-level pre-tokeniser's pattern.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same on texts of ASCII characters alone, which Python's own engine cuts twice as fast.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
 #: What continues an overlong piece, by its kind.
 _RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")]
 _SPACES = 3
@@ -54,6 +58,10 @@ _HOLD = 3
 _CHUNK = 1 << 16
 
 
+def pieces_of(text: str) -> list[str]:
+    return (_ASCII if text.isascii() else PATTERN).findall(text)
+
+
 def byte_alphabet() -> dict[str, int]:
     """Character of the vocabulary file -> byte: printable bytes stand for themselves, the rest follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -158,12 +166,12 @@ class PieceStream:
         return out
 
     def _extend(self, data: bytes) -> None:
-        known, fits, last, start, before = self.m.fitting, self.m.fits, self.last, self.start, self.before
+        known, fits, last, start, before = self.m.fitting.get, self.m.fits, self.last, self.start, self.before
         n, size = len(last), len(last) + len(data)
         self.search.set(data.decode("latin-1"))
-        shift = 1 - self.cut
+        due = n - 1 + self.cut  # the byte whose prefix comes next
         for end, (token, length) in self.search:  # the tokens that end here, longest first
-            if end + shift < n:
+            if end != due:
                 continue
             at = n - length
             if at > 0:
@@ -173,14 +181,13 @@ class PieceStream:
             else:
                 prior = before
             if prior >= 0:
-                good = known.get((prior, token))
-                if good is None:
-                    good = fits(prior, token)
-                if not good:
+                good = known((prior, token))
+                if not good and (good is not None or not fits(prior, token)):
                     continue
             last.append(token)
             start.append(at)
             n += 1
+            due += 1
         if n != size:
             raise ValueError("the vocabulary lacks a byte")
 
@@ -222,7 +229,7 @@ class PieceStream:
 
 
 def _pack(ids: list[int]) -> bytes:
-    return np.array(ids, np.int32).tobytes()
+    return array("i", ids).tobytes()
 
 
 class _Pieces(dict):
@@ -281,7 +288,7 @@ class Encoder:
         text, out = self.buffer + chunk, b""
         if self.run >= 0:
             text, out = self._continue(text)
-        words = PATTERN.findall(text) if self.run < 0 else []
+        words = pieces_of(text) if self.run < 0 else []
         size, rest = len(text), 0
         while words and rest <= _HOLD:
             rest += len(words.pop())
@@ -320,7 +327,7 @@ class Encoder:
             end = more.end() if more else 0
             out = _pack(self.long.feed(self.buffer[:end].encode("utf-8", "surrogatepass")) + self.long.finish())
             self.buffer, self.run = self.buffer[end:], -1
-        out += b"".join(map(self.pieces.__getitem__, PATTERN.findall(self.buffer)))
+        out += b"".join(map(self.pieces.__getitem__, pieces_of(self.buffer)))
         self.buffer = ""
         return out
 
