@@ -17,7 +17,8 @@ Encoding.  Text flows through three small machines, each holding a bounded buffe
   of any length takes the memory of the lookahead and two longest tokens.
 
 Pieces of every length go through the transducer.  Short ones repeat, so the encodings of those no
-longer than the longest token are kept in a cache of bounded size.
+longer than the longest token are kept in a cache of bounded size (two generations of ``cache_pieces``,
+some 150 bytes each).
 
 Decoding feeds each token's bytes to a UTF-8 state machine that returns text as soon as its bytes
 are complete.
@@ -255,7 +256,7 @@ class _Pieces(dict):
 class Encoder:
     """Text in, in chunks of any size; tokens out as they become stable, as packed 32-bit numbers."""
 
-    def __init__(self, merges: Merges, cache_pieces: int = 120_000):
+    def __init__(self, merges: Merges, cache_pieces: int = 400_000):
         self.m, self.pieces = merges, _Pieces(merges, cache_pieces)
         self.long = PieceStream(merges)
         self.marks = sorted(merges.added, key=len, reverse=True)
