@@ -1,7 +1,7 @@
 """Structured extraction.
 
 E1 builds the request text as a Column; E2 hands batches to a caller's
-extraction function with ``mapInPandas`` (Arrow batches, the function is set
+extraction function with ``mapInArrow`` (Arrow batches, the function is set
 up once per partition); E3 reads the JSON answer as a variant and routes records
 whose required fields don't hold text to an error column.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,6 +105,9 @@ def description_request(name: str | Column, category: str | Column, website: str
     return request_text(name, category, website, document, DESCRIPTION_TEMPLATE, doc_chars=DESCRIPTION_DOC_CHARS)
 
 
+#: Rows whose texts are Python objects at a time, and that are handed back at a time.
+ROWS_AT_ONCE = 128
+
 #: From the request text and the row's fields to the answer (JSON text), or an exception.
 ExtractFn = Callable[[str, Mapping[str, str]], str]
 
@@ -119,22 +122,25 @@ def extract_batch(
     exception's text).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make_fn()
-        for pdf in batches:
-            payloads, errors = [], []
-            for ask, *values in zip(pdf[request], *(pdf[f] for f in fields)):
-                row = {f: v if isinstance(v, str) else "" for f, v in zip(fields, values)}
-                try:
-                    payloads.append(fn(ask, row))
-                    errors.append(None)
-                except Exception as exc:  # noqa: BLE001 - one record's failure is data
-                    payloads.append(None)
-                    errors.append(str(exc))
-            yield pdf.assign(payload=payloads, error=errors)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                payloads, errors = [], []
+                for ask, *values in zip(*(part.column(f).to_pylist() for f in (request, *fields))):
+                    row = {f: v if isinstance(v, str) else "" for f, v in zip(fields, values)}
+                    try:
+                        payloads.append(fn(ask, row))
+                        errors.append(None)
+                    except Exception as exc:  # noqa: BLE001 - one record's failure is data
+                        payloads.append(None)
+                        errors.append(str(exc))
+                added = [pa.array(payloads, pa.string()), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "payload", "error"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("payload", T.StringType()), T.StructField("error", T.StringType())])
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def keyword_extractor() -> ExtractFn:

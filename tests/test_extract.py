@@ -73,3 +73,18 @@ def test_extract_batch_gets_the_request_and_captures_exceptions(spark):
     out = {r["id"]: r for r in extract_batch(df, make).collect()}
     assert out[2]["payload"] is None and out[2]["error"] == "boom" and out[2]["document"] is None
     assert json.loads(out[1]["payload"])["description"] == "R:hel" and out[1]["document"] == "hello"
+
+
+def test_extract_batch_hands_on_arrow_columns(spark):
+    """Only a few rows' texts are Python objects at a time: no whole batch goes through pandas; other columns pass as they are."""
+
+    def make():
+        return lambda request, row: request + row["name"]
+
+    df = spark.range(2000).coalesce(1).selectExpr("id", "concat('n', id) AS name", "'w' AS website", "'c' AS category", "'d' AS document", "'R' AS request", "X'00FF' AS raw")
+    asked = extract_batch(df, make)
+    out = asked.collect()
+    assert [(r["id"], r["payload"]) for r in out] == [(i, f"Rn{i}") for i in range(2000)]
+    assert all(r["raw"] == b"\x00\xff" and r["error"] is None for r in out)
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
