@@ -2,7 +2,7 @@
 
 A column with as many values as rows makes its counter a shuffle of the whole column, although a top k
 list needs a handful of them.  Here each partition first sums up its values in a bounded summary
-(Misra-Gries: the largest counters, and how much has been taken off all of them).  Summaries merge by
+(Misra-Gries, a chunk of values at a time: the largest counters, and how much has been taken off all of them).  Summaries merge by
 addition and bound every value's count from below and above.  Where the k-th largest lower bound is
 above all that was taken off, no value outside the summaries can be among the first k: then only the
 values whose upper bound reaches that far are counted, exactly.  Where the bound proves nothing (counts
@@ -12,7 +12,9 @@ are too even) the field is counted in full, so the result is that of ``top_k`` o
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +27,8 @@ from docvet.session import written
 
 #: Counters of one field that a partition keeps.
 CAPACITY = 1024
+#: Values of one field that are counted together before they enter its counters.
+CHUNK = 1 << 17
 #: Candidates that are broadcast to the second pass; more are joined by a shuffle.
 BROADCAST_CANDIDATES = 100_000
 
@@ -41,21 +45,42 @@ def shrink(counters: dict[str, int], capacity: int) -> int:
     return off
 
 
-def summaries(long: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def chunk_counts(values: list[pa.Array], capacity: int) -> tuple[list[tuple[str, int]], int]:
+    """The ``capacity`` largest counts of the values less the next one, as ``shrink`` cuts them; and what was taken off."""
+    counted = pa.chunked_array(values, pa.string()).value_counts()
+    counts = counted.field("counts").to_numpy()
+    off = 0
+    if len(counts) > capacity:
+        off = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
+        counted, counts = counted.filter(pa.array(counts > off)), counts[counts > off]
+    return list(zip(counted.field("values").to_pylist(), (counts - off).tolist(), strict=True)), off
+
+
+def summaries(long: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> DataFrame:
     """(field, value) rows -> per partition and field at most ``capacity`` rows (field, value, low), and one
     without a value whose ``low`` is what has been taken off: a value's count lies between its low and low + that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[str, dict[str, int]] = {}
         taken: dict[str, int] = {}
+        waiting: dict[str, list[pa.Array]] = {}
+
+        def enter(field: str):
+            counts, off = chunk_counts(waiting.pop(field), capacity)
+            mine = counters.setdefault(field, {})
+            for value, n in counts:
+                mine[value] = mine.get(value, 0) + n
+            taken[field] = taken.get(field, 0) + off + shrink(mine, capacity)
+
         for batch in batches:
             fields = batch.column(0)
             for field in pc.unique(fields).to_pylist():
-                values = batch.column(1).filter(pc.equal(fields, field))
-                mine = counters.setdefault(field, {})
-                for item in pc.value_counts(values).to_pylist():
-                    mine[item["values"]] = mine.get(item["values"], 0) + item["counts"]
-                taken[field] = taken.get(field, 0) + shrink(mine, capacity)
+                values = waiting.setdefault(field, [])
+                values.append(batch.column(1).filter(pc.equal(fields, field)).cast(pa.string()))
+                if sum(map(len, values)) >= chunk:
+                    enter(field)
+        for field in list(waiting):
+            enter(field)
         rows = [(f, v, n) for f, c in counters.items() for v, n in c.items()] + [(f, None, n) for f, n in taken.items()]
         if rows:
             columns = zip(*rows, strict=True)
@@ -64,12 +89,16 @@ def summaries(long: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return long.select("field", "value").mapInArrow(run, "field string, value string, low long")
 
 
+def _filled() -> Column:
+    return F.col("value").isNotNull() & (utrim("value") != "")
+
+
 def candidates(long: DataFrame, k: int | Mapping[str, int], capacity: int = CAPACITY) -> DataFrame:
     """(field, value) of every value that may be among the first k of its field, ``value`` NULL for a field where
     the bounds prove nothing."""
     merged = written(summaries(long, capacity).groupBy("field", "value").agg(F.sum("low").alias("low")), "summaries")
     taken = merged.where(F.col("value").isNull()).select("field", F.col("low").alias("taken"))
-    counted = merged.where(F.col("value").isNotNull())
+    counted = merged.where(_filled())  # a blank value is summed up like others, and is no candidate
     limit = F.lit(fixed.TOP_K if isinstance(k, Mapping) else k)
     for field, n in k.items() if isinstance(k, Mapping) else ():
         limit = F.when(F.col("field") == field, F.lit(n)).otherwise(limit)
@@ -94,15 +123,20 @@ def top_values(
 
     Equal to ``top_k`` over the fields' counters: field, value, n, first_seen, pos.
     """
-    pairs = [F.struct(F.lit(name).alias("field"), col_of(c).cast("string").alias("value")) for name, c in fields.items()]
-    kept = F.filter(F.array(*pairs), lambda p: p["value"].isNotNull() & (utrim(p["value"]) != ""))
-    long = df.select(col_of(order).alias("__order"), F.explode(kept).alias("p")).select("__order", "p.field", "p.value")
-    found = candidates(long, k, capacity)
+
+    def long(names) -> DataFrame:
+        pairs = [c for name in names for c in (F.lit(name), col_of(fields[name]).cast("string"))]
+        rows = df.select(col_of(order).alias("__order"), F.stack(F.lit(len(names)), *pairs).alias("field", "value"))
+        return rows.where(F.col("value").isNotNull())
+
+    found = candidates(long(list(fields)), k, capacity)
     named = found.where(F.col("value").isNotNull())
     open_fields = [r["field"] for r in found.where(F.col("value").isNull()).collect()]  # some of the caller's fields
-    few = F.broadcast(named) if named.count() <= BROADCAST_CANDIDATES else named
-    counted = long.join(few, ["field", "value"], "left_semi")
-    if open_fields:
-        counted = counted.union(long.where(F.col("field").isin(open_fields)).select(*counted.columns))
+    proven = [name for name in fields if name not in open_fields]
+    parts = [long(open_fields)] if open_fields else []
+    if proven:
+        few = F.broadcast(named) if named.count() <= BROADCAST_CANDIDATES else named
+        parts.append(long(proven).join(few, ["field", "value"], "left_semi").select("__order", "field", "value"))
+    counted = reduce(DataFrame.union, parts)
     counts = counted.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"), F.min("__order").alias("first_seen"))
-    return top_k(counts, k)
+    return top_k(counts.where(_filled()), k)

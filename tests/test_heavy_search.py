@@ -1,7 +1,9 @@
 """Top values by bounded summaries, and the trigram index, against the plain operators."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,37 @@ def test_summary_bounds(spark):
         assert all(kept.get(v, 0) <= n <= kept.get(v, 0) + taken for v, n in true.items())
 
 
+def test_chunks_are_cut_like_counters():
+    rng = random.Random(9)
+    for capacity in (1, 5, 40, 1000):
+        values = [str(int(rng.paretovariate(0.5))) for _ in range(3000)]
+        counts = {v: values.count(v) for v in set(values)}
+        got, off = HE.chunk_counts([pa.array(values[:1000]), pa.array(values[1000:])], capacity)
+        assert off == HE.shrink(counts, capacity) and dict(got) == counts and len(got) <= capacity
+
+
+def test_summaries_hold_in_small_chunks(spark):
+    """Fields and blanks mixed in every batch, chunks shorter and longer than a partition: the bounds hold."""
+    long = rows(spark).select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("skewed", "even")])).alias("p"))
+    long = long.select("p.*").where("value IS NOT NULL")
+    true = {(r["field"], r["value"]): r["count"] for r in long.groupBy("field", "value").count().collect()}
+    for chunk in (1, 700, 10**6):
+        low = {(r["field"], r["value"]): r["low"] for r in HE.summaries(long, 15, chunk).groupBy("field", "value").agg(F.sum("low").alias("low")).collect()}
+        for (f, v), n in true.items():
+            assert low.get((f, v), 0) <= n <= low.get((f, v), 0) + low[f, None]
+
+
+def test_values_are_read_once_per_use(spark):
+    """No row builds an array to filter, and a field that is counted in full is not looked up among candidates."""
+    path = scratch_path(spark, "heavy-test")
+    rows(spark).write.parquet(path)
+    top = HE.top_values(spark.read.parquet(path), {f: f for f in ("closed", "even")}, 3, capacity=20)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "filter(array" not in plan
+    reads = sorted(re.findall(r"ReadSchema: struct<([^>]*)>", plan))
+    assert [r for r in reads if "id:" in r] == ["id:bigint,closed:string", "id:bigint,even:string"]
+
+
 def test_index_search_equals_the_scan(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdeé İ") for _ in range(rng.randint(0, 9)))
